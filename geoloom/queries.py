@@ -1,0 +1,6 @@
+"""The registered queries over rasters, features and catalogs, each with its SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
