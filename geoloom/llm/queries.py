@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, simhash
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
+    "op10_simhash": simhash.op10,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.oracle(),
