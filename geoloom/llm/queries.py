@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash
+from . import bpe, decontaminate, simhash
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
+    "op2_bpe": bpe.op2,
     "op10_simhash": simhash.op10,
 }
 ORACLE_SQL = {
