@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, simhash
+from . import bpe, decontaminate, simhash, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op2_bpe": bpe.op2,
+    "op5_toxicity": toxicity.op5,
     "op10_simhash": simhash.op10,
 }
 ORACLE_SQL = {
