@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, simhash, toxicity
+from . import bpe, decontaminate, pii, simhash, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op2_bpe": bpe.op2,
     "op5_toxicity": toxicity.op5,
+    "op6_pii": pii.op6,
     "op10_simhash": simhash.op10,
 }
 ORACLE_SQL = {
