@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, pii, simhash, toxicity
+from . import bpe, decontaminate, pii, quality_classifier, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op2_bpe": bpe.op2,
+    "op4_quality_rules": quality_rules.op4,
     "op5_toxicity": toxicity.op5,
     "op6_pii": pii.op6,
+    "op7_quality_classifier": quality_classifier.op7,
     "op10_simhash": simhash.op10,
 }
 ORACLE_SQL = {
