@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, pii, quality_classifier, quality_rules, simhash, toxicity
+from . import bpe, decontaminate, language_model, pii, quality_classifier, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5,
     "op6_pii": pii.op6,
     "op7_quality_classifier": quality_classifier.op7,
+    "op8_language_model": language_model.op8,
     "op10_simhash": simhash.op10,
 }
 ORACLE_SQL = {
