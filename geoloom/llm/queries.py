@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_model, pii, quality_classifier, quality_rules, simhash, toxicity
+from . import bpe, decontaminate, language_model, pii, quality_classifier, quality_rules, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op2_bpe": bpe.op2,
+    "op3_token_counts": token_counts.op3,
     "op4_quality_rules": quality_rules.op4,
     "op5_toxicity": toxicity.op5,
     "op6_pii": pii.op6,
