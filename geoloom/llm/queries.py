@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_model, pii, quality_classifier, quality_rules, simhash, token_counts, toxicity
+from . import bpe, chat, decontaminate, language_model, pii, quality_classifier, quality_rules, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_pii": pii.op6,
     "op7_quality_classifier": quality_classifier.op7,
     "op8_language_model": language_model.op8,
+    "op9_chat": chat.op9,
     "op10_simhash": simhash.op10,
 }
 ORACLE_SQL = {
