@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from ..registry import ORACLE_SQL, QUERIES
-from . import grid_queries, pixel_queries, vector_queries  # noqa: F401
+from . import catalog_queries, grid_queries, pixel_queries, stat_queries, vector_queries  # noqa: F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
