@@ -29,7 +29,7 @@ CHUNK, OVERLAP = 1 << 16, 1 << 9
 #: contraction has three.
 AHEAD = 3
 #: Distinct pre-tokens remembered in a task; beyond that it forgets them all and goes on.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 IDS = T.ArrayType(T.IntegerType())
 
 
@@ -54,6 +54,10 @@ class Encoder:
         self.find = regex.compile(public_tokenizers.PATTERN)
         self.one = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.ranks, self.known = ranks, {}
+        self.of_id = {i: b for b, i in ranks.items()}.__getitem__
+
+    def bytes_of(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.of_id, ids))
 
     def ids(self, pieces: list[str], out: list[int]) -> None:
         """Appends the ids of the pre-tokens."""
@@ -120,11 +124,12 @@ def seams(starts: list[int], found: list[list[int]], end: int) -> list[tuple[int
     return [x for x in out if x[1] > x[0]]
 
 
-def encode(docs: DataFrame, text: str = "text", carry: list[str] | None = None, path: str | None = None, long_chars: int = CHUNK, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", carry: list[str] | None = None, path: str | None = None, long_chars: int = CHUNK, chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
     """Adds ids, the tokens of the whole text, to the columns of ``carry`` (default: all).
 
     The ids are those of the tiktoken library without special tokens: their strings are ordinary text. Null and empty
-    texts have no ids (an empty list). A carried column named ids is returned as ids_in.
+    texts have no ids (an empty list). With decoded the bytes that the ids decode to are added as well, made from them in the same task.
+    Carried columns named ids or decoded are returned as ids_in and decoded_in.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary_bytes(path))
@@ -132,26 +137,32 @@ def encode(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
     docs = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(carry)], docs[text].cast("string").alias("text"))
     is_long = F.coalesce(F.length("text"), F.lit(0)) > long_chars
 
+    fields = [T.StructField("ids", IDS), *([T.StructField("decoded", T.BinaryType())] if decoded else [])]
+
     def setup():
         e = encoder(shared)
 
         def work(texts):
-            flat, sizes = [], []
+            flat, sizes, back = [], [], []
             for t in texts:
                 n = len(flat)
                 if t:
                     e.ids(e.find.findall(t.decode()), flat)
                 sizes.append(len(flat) - n)
-            return [lists(flat, sizes)]
+                if decoded:
+                    back.append(e.bytes_of(flat[n:]))
+            return [lists(flat, sizes), *([pa.array(back, pa.binary())] if decoded else [])]
 
         return work
 
-    short = map_text(docs.filter(~is_long), "text", setup, [T.StructField("ids", IDS)], [f"c{i}" for i in range(len(carry))])
+    short = map_text(docs.filter(~is_long), "text", setup, fields, [f"c{i}" for i in range(len(carry))])
     rows = docs.filter(is_long).withColumn("h", F.sha2("text", 256))
     made = encode_long(rows.select("h", "text"), shared, chunk, overlap)
+    made = decode(made, path=path) if decoded else made
     long = rows.drop("text").join(made, "h").drop("h").select(*short.columns)
     out = short.unionByName(long)
-    return out.select(*[F.col(f"c{i}").alias("ids_in" if c == "ids" else c) for i, c in enumerate(carry)], "ids")
+    names = {f.name for f in fields}
+    return out.select(*[F.col(f"c{i}").alias(f"{c}_in" if c in names else c) for i, c in enumerate(carry)], *[f.name for f in fields])
 
 
 def encode_long(rows: DataFrame, shared, chunk: int, overlap: int) -> DataFrame:
@@ -230,5 +241,5 @@ def digest(rows: DataFrame) -> list:
 
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = decode(encode(docs, carry=["doc_id"]))
+    rows = encode(docs, carry=["doc_id"], decoded=True)
     return rows.select("doc_id", *digest(rows))

@@ -20,7 +20,15 @@ LOWER_WORDS = bytes(
     c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else (c + 32 if 65 <= c <= 90 else 32) for c in range(256)
 )
 #: Rows of a batch are worked on in pieces of about so many bytes, which bounds the memory of a task.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
+#: Rows of an Arrow batch at most: Spark's default of 10,000 is made for rows of numbers, not for texts.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows if they are larger."""
+    if not 0 < int(spark.conf.get(key := "spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def map_text(
@@ -36,17 +44,18 @@ def map_text(
     (None for null) and returns one pyarrow array (or list) for each field. Narrow: no row changes place.
     A carried column with the name of a field is returned as ``<name>_in``.
     """
-    names = df.columns
-    carry = names if carry is None else carry
-    source = df.select(*[df[c].alias(f"c{i}") for i, c in enumerate(carry)], df[text].cast("string").alias("t"))
-    schema = T.StructType([*source.schema.fields[:-1], *[T.StructField(f"r{i}", f.dataType) for i, f in enumerate(fields)]])
-    n = len(carry)
+    small_batches(df.sparkSession)
+    carry = df.columns if carry is None else carry
+    n, sent = len(carry), text in carry and isinstance(df.schema[text].dataType, T.StringType)
+    source = df.select(*[df[c].alias(f"c{i}") for i, c in enumerate(carry)], *([] if sent else [df[text].cast("string").alias("t")]))
+    at = carry.index(text) if sent else n  # a text that is carried isn't sent twice
+    schema = T.StructType([*source.schema.fields[:n], *[T.StructField(f"r{i}", f.dataType) for i, f in enumerate(fields)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, out_schema = setup(), None
         for batch in batches:
-            for part in pieces(batch, n):
-                made = work(part.column(n).cast(pa.binary()).to_pylist())
+            for part in pieces(batch, at):
+                made = work(part.column(at).cast(pa.binary()).to_pylist())
                 if out_schema is None:
                     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -195,11 +195,13 @@ def decontaminate(
     spark = docs.sparkSession
     carry = docs.columns if carry is None else carry
     found = blocks(benchmark, item, item_text, block_words)
-    out = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(carry)], docs[text].cast("string").alias("text"))
+    sent = text in carry  # then it isn't sent twice
+    out = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(carry)], *([] if sent else [docs[text].alias("text")]))
+    name = f"c{carry.index(text)}" if sent else "text"
     for k, items in enumerate(found):
         index = Windows(items)
         index.order(shingle_counts(docs, text, index, spark.sparkContext.broadcast(index)))
-        out = mark(out, spark.sparkContext.broadcast(index), k)
+        out = mark(out, name, spark.sparkContext.broadcast(index), k)
     every = range(len(found))
     runs = F.array_sort(F.flatten(F.array(*[f"runs{k}" for k in every])))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("e"))
@@ -215,7 +217,7 @@ def decontaminate(
     )
 
 
-def mark(out: DataFrame, shared, k: int) -> DataFrame:
+def mark(out: DataFrame, text: str, shared, k: int) -> DataFrame:
     """Adds the number of words, the runs of hit words and the items found, for block k."""
 
     def setup():
@@ -237,7 +239,7 @@ def mark(out: DataFrame, shared, k: int) -> DataFrame:
 
     run = T.ArrayType(T.StructType([T.StructField("b", T.LongType()), T.StructField("e", T.LongType())]))
     fields = [T.StructField(f"words{k}", T.LongType()), T.StructField(f"runs{k}", run), T.StructField(f"items{k}", T.ArrayType(T.StringType()))]
-    return map_text(out, "text", setup, fields)
+    return map_text(out, text, setup, fields)
 
 
 def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

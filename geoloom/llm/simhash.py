@@ -292,9 +292,11 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     with that id and fingerprint any one."""
     _, by_fp = grouped(docs, text, doc_id)
     stay = by_fp.select(F.col("first_id").alias("s_id"), F.col("first_fp").alias("s_fp")).distinct()
-    rows = fingerprints(docs.select(F.col(doc_id).alias("k_id"), F.col(text).alias("k_text"), F.struct(*docs.columns).alias("row")), "k_text", ["k_id", "row"])
-    kept = rows.join(stay, (rows["k_id"].eqNullSafe(stay["s_id"])) & (rows["fp"] == stay["s_fp"]), "left_semi")
-    return kept.dropDuplicates(["k_id", "fp"]).select("row.*")
+    names = docs.columns
+    rows = fingerprints(docs.toDF(*[f"k{i}" for i in range(len(names))]), f"k{names.index(text)}")
+    key = f"k{names.index(doc_id)}"
+    kept = rows.join(stay, (rows[key].eqNullSafe(stay["s_id"])) & (rows["fp"] == stay["s_fp"]), "left_semi")
+    return kept.dropDuplicates([key, "fp"]).drop("fp").toDF(*names)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

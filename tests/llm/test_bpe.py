@@ -34,6 +34,11 @@ def test_chunks_agree_with_the_whole(spark, library, odd, chunk, overlap):
         assert bytes(r.decoded) == (r.text or "").encode()
 
 
+def test_decoding_in_the_same_task(spark, odd):
+    rows = B.encode(odd, long_chars=2_000, decoded=True).collect()
+    assert len(rows) == odd.count() and all(bytes(r.decoded) == (r.text or "").encode() for r in rows)
+
+
 def test_clashing_names_and_no_rows(spark, odd):
     rows = B.encode(odd.withColumnRenamed("n_words", "ids"))
     assert rows.columns == ["doc_id", "text", "score", "ids_in", "ids"]
