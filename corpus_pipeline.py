@@ -13,11 +13,17 @@ from geoloom.llm import bpe, decontaminate, pii, simhash, toxicity
 from geoloom.llm.common import written
 
 
+def neutral(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with columns of names that clash with no operator's, and that of the text."""
+    names = docs.columns
+    return docs.toDF(*[f"k{i}" for i in range(len(names))]), f"k{names.index('text')}"
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go. The lexicon is learned from the labelled rows among docs."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.toxicity(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, carry=["row"])
-    return scored.filter("predicted = 0").select("row.*")
+    rows, text = neutral(docs)
+    return toxicity.toxicity(rows, model, text).filter("predicted = 0").select(*rows.columns).toDF(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +33,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    marked = decontaminate.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["row"])
-    return marked.filter(~F.col("contaminated")).select("row.*")
+    rows, text = neutral(docs)
+    marked = decontaminate.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text)
+    return marked.filter(~F.col("contaminated")).select(*rows.columns).toDF(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +48,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document's tokens, with digests of the ids and of the text that they decode to."""
-    rows = bpe.decode(bpe.encode(docs, carry=["doc_id"]))
+    rows = bpe.encode(docs, carry=["doc_id"], decoded=True)
     return rows.select("doc_id", "ids", *bpe.digest(rows))
 
 
