@@ -55,7 +55,7 @@ def patched(t):
 for _name, _sql in {
     "max": "greatest(0, max(v))",
     "min": "least(1, min(v))",
-    "mean": "list_reduce(list_prepend(0.0, list(v ORDER BY ord)), (a, b) -> (a + b) / 2)",
+    "mean": "list_reduce(list_prepend(0.0, list(v ORDER BY ord)), lambda a, b: (a + b) / 2)",
     "replace": "arg_max(v, ord)",
 }.items():
 
