@@ -15,9 +15,7 @@ RANGES = 64
 def ranged(df: DataFrame, by: str, ranges: int = RANGES) -> DataFrame:
     """Adds range_no: equal values share it, and larger values never have a smaller one. Nulls are before all."""
     bounds = sorted(set(df.approxQuantile(by, [i / ranges for i in range(1, ranges)], 0.002))) if ranges > 1 else []
-    at = F.lit(0)
-    if bounds:
-        at = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= F.col(by)))
+    at = sum(((F.col(by) >= float(b)).cast("int") for b in bounds), F.lit(0))
     return df.withColumn("range_no", F.when(F.col(by).isNull(), -1).otherwise(at))
 
 
@@ -37,18 +35,29 @@ def row_numbers(df: DataFrame, by: str, ties: list[str], out: str = "rn") -> Dat
     return running_total(df, by, ties, F.lit(1).cast("bigint"), out)
 
 
-def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Adds ranks in which ties share their mean. Values are counted first, so ties cost nothing."""
+def ranks_of(df: DataFrame, value: str, out: str) -> DataFrame:
+    """(ar_value, out): the rank of each distinct value, ties sharing their mean. Values are counted first, so that
+    ties cost nothing."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("ar_n"))
     upto = running_total(counts, value, [], F.col("ar_n"), "ar_upto")
-    ranks = upto.select(F.col(value).alias("ar_value"), (F.col("ar_upto") - (F.col("ar_n") - 1) / 2).alias(out))
+    return upto.select(F.col(value).alias("ar_value"), (F.col("ar_upto") - (F.col("ar_n") - 1) / 2).alias(out))
+
+
+def average_ranks(df: DataFrame, value: str, out: str, ranks: DataFrame | None = None) -> DataFrame:
+    """Adds ranks in which ties share their mean."""
+    ranks = ranks_of(df, value, out) if ranks is None else ranks
     return df.join(ranks, F.col(value).eqNullSafe(F.col("ar_value"))).drop("ar_value")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row with rho, the correlation of average ranks."""
-    both = average_ranks(average_ranks(df.select(x, y), x, "rx"), y, "ry")
-    return both.agg(F.corr("rx", "ry").alias("rho"))
+    rx, ry = ranks_of(df, x, "rx"), ranks_of(df, y, "ry")
+    pairs = df.groupBy(x, y).agg(F.count(F.lit(1)).alias("n"))
+    both = average_ranks(average_ranks(pairs, x, "rx", rx), y, "ry", ry)
+    n, a, b = F.col("n").cast("double"), F.col("rx"), F.col("ry")
+    s = both.agg(F.sum(n).alias("n"), F.sum(n * a * b).alias("ab"), F.sum(n * a * a).alias("aa"), F.sum(n * b * b).alias("bb"))
+    total = F.col("n") * ((F.col("n") + 1) / 2) ** 2  # the mean of ranks is (n + 1) / 2
+    return s.select(((F.col("ab") - total) / F.sqrt((F.col("aa") - total) * (F.col("bb") - total))).alias("rho"))
 
 
 def normal_two_sided(z: Column) -> Column:
