@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, remainder, training_rows
+from .common import map_text, materialised, remainder, training_rows
 
 #: At most so many labelled documents are learned from.
 TRAINING_ROWS = 12_000
@@ -119,7 +119,8 @@ def entries_of(text: str) -> set[tuple[str, str]]:
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", bound: int = TRAINING_ROWS) -> Model:
     """Learns from at most ``bound`` labelled documents outside the hold-out. Without both classes the model is empty
     and scores every text alike, under the threshold."""
-    rows = training_rows(docs, labels, "toxic", bound, doc_id, text).select("label", "text")
+    # kept, as each step below reads them; at most ``bound`` documents
+    rows = materialised(training_rows(docs, labels, "toxic", bound, doc_id, text).select("label", "text"))
 
     def count(batches):
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
