@@ -19,7 +19,7 @@ from .common import map_text, training_rows
 from .quality_classifier import SYMBOLS, shares
 
 #: At most so many labelled documents are learned from, and so many lines of each, in runs of SEGMENT.
-TRAINING_ROWS, TRAINING_LINES, SEGMENT = 3_000, 150, 50
+TRAINING_ROWS, TRAINING_LINES, SEGMENT = 3_000, 160, 16
 N_FEATURES = 12
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 
