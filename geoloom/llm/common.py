@@ -117,15 +117,21 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """The rows, written compressed to the shared folder and read again; for larger tables than materialised().
-    The files stay until the folder is cleared, as the returned DataFrame reads them."""
+    The files stay until they are removed, as the returned DataFrame reads them."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a written table, in whatever store it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, text, label) of at most ``bound`` labelled documents outside the hold-out (remainder 2 of 4), the
     first by a hash of the id. A document with several or null labels counts once, by its largest label.
