@@ -6,11 +6,13 @@ hands what it reads from there to the next stage. All but the last return the co
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm import bpe, decontaminate, pii, simhash, toxicity
-from geoloom.llm.common import written
+from geoloom.llm.common import removed, shared_dir, written
 
 
 def neutral(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -65,8 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+    """The stages applied to documents, each written and read again; only the last table stays."""
+    docs, folder, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}", None
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), path := f"{folder}/{name}")
+        if before:
+            removed(spark, before)
+        before = path
     return docs
