@@ -190,7 +190,8 @@ def decontaminate(
 
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z. A window is 10 consecutive words of an
     item; an item of fewer, but not none, is one window. Null, empty or wordless texts have no words and no hits; an
-    empty benchmark hits nothing; repeated items of one id count as one, repeated documents each for themselves.
+    empty benchmark hits nothing; repeated items of one id count as one, repeated documents each for themselves. A
+    carried column with the name of a result is returned with _in behind it.
     """
     spark = docs.sparkSession
     carry = docs.columns if carry is None else carry
@@ -209,7 +210,7 @@ def decontaminate(
         runs, start, lambda a, r: F.struct((a.n + F.greatest(F.lit(0), r.e - F.greatest(r.b, a.e))).alias("n"), F.greatest(a.e, r.e).alias("e"))
     ).n
     return out.select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)],
+        *[F.col(f"c{i}").alias(f"{c}_in" if c in ("n_words", "n_hit", "items", "contaminated") else c) for i, c in enumerate(carry)],
         F.col("words0").alias("n_words"),
         hit.alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.array(*[f"items{k}" for k in every])))).alias("items"),
