@@ -299,3 +299,34 @@ def scored(patches: DataFrame, model: Callable[[np.ndarray], np.ndarray], keep:
             yield out
 
     return patches.select(*keep, values).mapInPandas(run, schema)
+
+
+def augmented(frames: DataFrame, id_: str, values: str, height: int, width: int, seed: int = 1) -> DataFrame:
+    """Frames (arrays of height x width) flipped, cropped by up to a tenth and filled up again, blurred, and changed in
+    contrast, each with its chance; draws depend on the frame's id and the seed only, so a lost task repeats them."""
+    schema = f"{id_} {dict(frames.dtypes)[id_]}, {values} array<double>"
+
+    def one(key: int, v: np.ndarray) -> np.ndarray:
+        rng = np.random.default_rng((seed, abs(int(key))))
+        a = np.asarray(v, float).reshape(height, width)
+        for axis in (0, 1):
+            if rng.random() < 0.5:
+                a = np.flip(a, axis)
+        if rng.random() < 0.5:
+            r, c = (int(rng.integers(0, max(1, n // 10) + 1)) for n in (height, width))
+            part = a[r : height - r or None, c : width - c or None]
+            a = part[np.arange(height)[:, None] * part.shape[0] // height, np.arange(width)[None, :] * part.shape[1] // width]
+        if rng.random() < 0.3:
+            p = np.pad(a, 1, mode="edge")
+            a = (p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] + 4 * p[1:-1, 1:-1]) / 8
+        if rng.random() < 0.3:
+            a = (a - a.mean()) * rng.uniform(0.3, 1.2) + a.mean()
+        return a.ravel()
+
+    def run(batches):
+        for pdf in batches:
+            out = pdf[[id_]].copy()
+            out[values] = [one(k, v) for k, v in zip(pdf[id_], pdf[values], strict=True)]
+            yield out
+
+    return frames.select(id_, values).mapInPandas(run, schema)
