@@ -64,3 +64,13 @@ def raster_bounds(t):
     w, h = F.lit(10.0), F.lit(5.0)
     x1, y0 = col("a") + w * 0.003, col("b") - h * 0.004
     return c.select("id", r6("a").alias("x0"), r6("b").alias("y1"), r6(x1).alias("x1"), r6(y0).alias("y0"))
+
+
+@query("sql_functions", f"SELECT id, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area, CAST(2 * (x1 - x0 + y1 - y0) AS DOUBLE) AS perimeter, (x0 + x1) / 2.0 AS cx, (y0 + y1) / 2.0 AS cy, x0 < 500 AND 100 < x1 AND y0 < 500 AND 100 < y1 AS inside FROM ({RECTS})")
+def sql_functions(t):
+    from ..functions import sql
+
+    sql.register(t.spark)
+    rects(t).createOrReplaceTempView("geoloom_rects")
+    return t.spark.sql("""SELECT id, gl_area(g) AS area, gl_perimeter(g) AS perimeter, round(gl_centroid(g).x, 6) AS cx, round(gl_centroid(g).y, 6) AS cy, gl_overlaps(x0, y0, x1, y1, 100, 100, 500, 500) AS inside
+FROM (SELECT *, gl_box(x0, y0, x1, y1) AS g FROM geoloom_rects)""")
