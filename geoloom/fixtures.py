@@ -37,7 +37,7 @@ def bands(t: Tables) -> DataFrame:
 RECTS = """SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(o_orderkey % 1000 AS BIGINT) AS x0, CAST(o_custkey % 1000 AS BIGINT) AS y0,
  CAST(o_orderkey % 1000 + 1 + o_orderkey % 7 AS BIGINT) AS x1, CAST(o_custkey % 1000 + 1 + o_custkey % 5 AS BIGINT) AS y1 FROM orders"""
 ZONES = """SELECT CAST(p_partkey AS BIGINT) AS zid, CAST((p_partkey * 37) % 1000 AS BIGINT) AS zx0, CAST((p_partkey * 91) % 1000 AS BIGINT) AS zy0,
- CAST((p_partkey * 37) % 1000 + 20 AS BIGINT) AS zx1, CAST((p_partkey * 91) % 1000 + 20 AS BIGINT) AS zy1 FROM part WHERE p_partkey % 20 = 0"""
+ CAST((p_partkey * 37) % 1000 + 20 AS BIGINT) AS zx1, CAST((p_partkey * 91) % 1000 + 20 AS BIGINT) AS zy1 FROM part"""
 
 
 def rects(t: Tables) -> DataFrame:
@@ -45,7 +45,7 @@ def rects(t: Tables) -> DataFrame:
 
 
 def zones(t: Tables) -> DataFrame:
-    return t.part.filter("p_partkey % 20 = 0").selectExpr("cast(p_partkey as bigint) zid", "cast((p_partkey * 37) % 1000 as bigint) zx0", "cast((p_partkey * 91) % 1000 as bigint) zy0", "cast((p_partkey * 37) % 1000 + 20 as bigint) zx1", "cast((p_partkey * 91) % 1000 + 20 as bigint) zy1")
+    return t.part.selectExpr("cast(p_partkey as bigint) zid", "cast((p_partkey * 37) % 1000 as bigint) zx0", "cast((p_partkey * 91) % 1000 as bigint) zy0", "cast((p_partkey * 37) % 1000 + 20 as bigint) zx1", "cast((p_partkey * 91) % 1000 + 20 as bigint) zy1")
 
 
 # ---- centroids with an area ----

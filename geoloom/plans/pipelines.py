@@ -78,20 +78,25 @@ def predict(images: DataFrame, pixels: DataFrame, masks: DataFrame | None, confi
     return out.withColumn("mask", pixel.threshold(F.col("p"), config.at))
 
 
-def postprocess(mask: DataFrame, config: Config) -> dict[str, DataFrame]:
-    """features (image, label, n, rings), centroids (image, label, x, y, area), density and cover from predicted
-    pixels (image, r, c, mask)."""
+def postprocess(mask: DataFrame, config: Config, wanted: tuple[str, ...] = ("features", "centroids", "density", "cover")) -> dict[str, DataFrame]:
+    """Of predicted pixels (image, r, c, mask) what is wanted: features (image, label, v, n, rings), centroids (image,
+    label, x, y, area), density and cover. Components are found, in jobs of their own, only where they are needed."""
     config.validate()
     p = mask.select("image", "r", "c", F.col("mask").alias("v"))
-    features = kernels.polygonised(p, "image", config.chunk)
-    labels = kernels.labelled(p.filter("v = 1"), "image", config.chunk)
-    centroids = labels.groupBy("image", "label").agg((F.avg("c") + 0.5).alias("x"), (F.avg("r") + 0.5).alias("y"), F.count(F.lit(1)).cast("double").alias("area"))
-    limits = list(config.area_limits)
-    cell = [grid.coarse(F.col(a), config.resolution).alias(b) for a, b in (("x", "cx"), ("y", "cy"))]
-    k = vector.area_class(F.col("area"), limits)
-    density = centroids.groupBy("image", *cell).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(k == i).alias(f"n_{i}") for i in range(1, len(limits) + 1)])
-    cover = p.groupBy("image", grid.coarse(F.col("c"), config.resolution).alias("cx"), grid.coarse(F.col("r"), config.resolution).alias("cy")).agg((F.avg("v") * 100).alias("cover"))
-    return {"features": features, "centroids": centroids, "density": density, "cover": cover}
+    out = {}
+    if "features" in wanted:
+        out["features"] = kernels.polygonised(p, "image", config.chunk)
+    if "centroids" in wanted or "density" in wanted:
+        labels = kernels.labelled(p.filter("v = 1"), "image", config.chunk)
+        out["centroids"] = labels.groupBy("image", "label").agg((F.avg("c") + 0.5).alias("x"), (F.avg("r") + 0.5).alias("y"), F.count(F.lit(1)).cast("double").alias("area"))
+    if "density" in wanted:
+        limits = list(config.area_limits)
+        cell = [grid.coarse(F.col(a), config.resolution).alias(b) for a, b in (("x", "cx"), ("y", "cy"))]
+        k = vector.area_class(F.col("area"), limits)
+        out["density"] = out["centroids"].groupBy("image", *cell).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(k == i).alias(f"n_{i}") for i in range(1, len(limits) + 1)])
+    if "cover" in wanted:
+        out["cover"] = p.groupBy("image", grid.coarse(F.col("c"), config.resolution).alias("cx"), grid.coarse(F.col("r"), config.resolution).alias("cy")).agg((F.avg("v") * 100).alias("cover"))
+    return out
 
 
 def frames(areas: DataFrame, labels: DataFrame, pixels: DataFrame, config: Config, cell: float = 16.0) -> DataFrame:

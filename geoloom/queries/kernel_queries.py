@@ -166,9 +166,9 @@ def training_batches(t):
     return x.withColumn("dy", n).withColumn("dx", F.floor(F.rand(4) * 4).cast("int")).select("tile", "dy", "dx", F.filter("px", lambda q: q["r"].between(col("dy"), col("dy") + 3) & q["c"].between(col("dx"), col("dx") + 3)).alias("patch"))
 
 
-@query("raster_copy_nearest", f"SELECT tile, r, c, round(v, 6) AS v FROM ({TILES}) WHERE r BETWEEN 1 AND 6 AND c BETWEEN 2 AND 5 AND tile % 2 = 0")
+@query("raster_copy_nearest", f"SELECT tile, r, c, round(v, 6) AS v FROM ({TILES}) WHERE r BETWEEN 1 AND 6 AND c BETWEEN 2 AND 5")
 def raster_copy_nearest(t):
-    w = tiles(t).filter("tile % 2 = 0 AND r BETWEEN 1 AND 6 AND c BETWEEN 2 AND 5")
+    w = tiles(t).filter("r BETWEEN 1 AND 6 AND c BETWEEN 2 AND 5")
     up = grid.rescaled_nearest(w.withColumns({"r": col("r") - 1, "c": col("c") - 2}), ["tile"], 6, 4, 12, 8, "r", "c", "v")
     down = grid.rescaled_nearest(up, ["tile"], 12, 8, 6, 4, "r", "c", "v")
     return down.select("tile", (col("r") + 1).alias("r"), (col("c") + 2).alias("c"), r6("v").alias("v"))

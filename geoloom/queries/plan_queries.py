@@ -29,14 +29,21 @@ def predict_all(t):
 
 @query("postprocess_cover", f"SELECT CAST(image AS BIGINT) AS image, CAST(c // 4 AS BIGINT) AS cx, CAST(r // 4 AS BIGINT) AS cy, round(avg(CASE WHEN 1 / (1 + exp(-10 * v)) >= 0.55 THEN 1.0 ELSE 0.0 END) * 100, 6) AS cover FROM ({_SRC}) GROUP BY ALL")
 def postprocess_cover(t):
-    return pipelines.postprocess(predicted(t), CONFIG)["cover"].withColumn("cover", r6("cover"))
+    return pipelines.postprocess(predicted(t), CONFIG, ("cover",))["cover"].withColumn("cover", r6("cover"))
 
 
 @query("postprocess_density")
 def postprocess_density(t):
     _checkpoints(t)
     m = mosaic(t).select("image", "r", "c", col("v").alias("mask"))
-    return pipelines.postprocess(m, CONFIG)["density"]
+    return pipelines.postprocess(m, CONFIG, ("density",))["density"]
+
+
+@query("postprocess_features")
+def postprocess_features(t):
+    _checkpoints(t)
+    m = mosaic(t).select("image", "r", "c", col("v").alias("mask"))
+    return pipelines.postprocess(m, CONFIG, ("features",))["features"].select("image", "label", "n", F.size("rings").alias("n_rings"))
 
 
 @query("preprocess_frames", f"""WITH z AS (SELECT zid, px, unnest(range(zy0, zy1)) AS py FROM (SELECT zid, unnest(range(zx0, zx1)) AS px, zy0, zy1 FROM ({ZONES}))),
