@@ -100,13 +100,13 @@ def remainder_of(doc_id: int | None, by: int) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set (local mode)."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    made = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if made.isDefined():
-        return made.get()
-    spark.sparkContext.setCheckpointDir(path := tempfile.mkdtemp(prefix="shared-"))
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or what the context has. A temporary
+    folder is made only where neither is set, as in local tests."""
+    context = spark.sparkContext
+    now = context._jsc.sc().getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or (now.get() if now.isDefined() else tempfile.mkdtemp(prefix="shared-"))
+    if not now.isDefined():
+        context.setCheckpointDir(path)
     return path
 
 
