@@ -13,13 +13,13 @@ FEATURES = "id bigint, geom array<struct<x:double,y:double>>, xmin double, ymin
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set, as in local tests."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    now = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if now.isDefined():
-        return now.get()
-    spark.sparkContext.setCheckpointDir(path := tempfile.mkdtemp(prefix="shared-"))
+    """The folder of spark.checkpoint.dir, or of the context; a temporary one only where neither is set, as in local
+    tests. Checkpoints go there."""
+    context = spark.sparkContext
+    now = context._jsc.sc().getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or (now.get() if now.isDefined() else tempfile.mkdtemp(prefix="shared-"))
+    if not now.isDefined():
+        context.setCheckpointDir(path)
     return path
 
 
