@@ -19,28 +19,34 @@ RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructFie
 # ---- connected components ----
 
 
-def block_labels(r: np.ndarray, c: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """For pixels of a block the smallest r * WIDTH + c of their 4-connected component of equal value."""
-    place = {(a, b): i for i, (a, b) in enumerate(zip(r.tolist(), c.tolist(), strict=True))}
-    root = list(range(len(r)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    key = (r * WIDTH + c).tolist()
-    for (a, b), i in place.items():
-        for n in ((a - 1, b), (a, b - 1)):
-            j = place.get(n)
-            if j is not None and v[i] == v[j]:
-                x, y = find(i), find(j)
-                if x != y:
-                    if key[x] > key[y]:
-                        x, y = y, x
-                    root[y] = x
-    return np.array([key[find(i)] for i in range(len(r))], np.int64)
+def block_labels(block: np.ndarray, r: np.ndarray, c: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For pixels of many blocks the smallest r * WIDTH + c of their 4-connected component of equal value within their
+    block: labels sink to the least of their neighbours, and to the label's label, until nothing moves."""
+    r0, c0 = r - r.min(), c - c.min()
+    tall, wide = int(r0.max()) + 2, int(c0.max()) + 2
+    order = np.lexsort((c0, r0, block))
+    place = ((block[order] - block.min()) * tall + r0[order]) * wide + c0[order]
+    value = v[order]
+    pairs = []
+    for step in (1, wide):  # the pixel to the right and the one below
+        at = np.searchsorted(place, place + step)
+        at[at == len(place)] = 0
+        ok = np.flatnonzero((place[at] == place + step) & (value[at] == value))
+        pairs.append((ok, at[ok]))
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    label = np.arange(len(place))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    out = np.empty(len(order), np.int64)
+    out[order] = (r * WIDTH + c)[order][label]
+    return out
 
 
 def labelled(pixels: DataFrame, raster: str, chunk: int, row: str = "r", col: str = "c", value: str = "v", across: bool = True) -> DataFrame:
@@ -49,13 +55,29 @@ def labelled(pixels: DataFrame, raster: str, chunk: int, row: str = "r", col: st
     kind = dict(pixels.dtypes)
     schema = f"{raster} {kind[raster]}, {row} bigint, {col} bigint, {value} {kind[value]}, label bigint"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(frames):
+        # chunks come one after the other; the last of a batch may go on in the next
+        held = None
+        for pdf in frames:
+            if len(pdf):
+                held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+                key = held[[raster, "chunk_r", "chunk_c"]]
+                block = (key != key.shift()).any(axis=1).cumsum().to_numpy()
+                done = block < block[-1]
+                if done.any():
+                    yield made(held[done], block[done])
+                    held = held[~done]
+        if held is not None:
+            yield made(held, np.zeros(len(held), np.int64))
+
+    def made(pdf: pd.DataFrame, block: np.ndarray) -> pd.DataFrame:
         out = pdf[[raster, row, col, value]].copy()
-        out["label"] = block_labels(pdf[row].to_numpy(), pdf[col].to_numpy(), pdf[value].to_numpy())
+        out["label"] = block_labels(block, pdf[row].to_numpy(), pdf[col].to_numpy(), pdf[value].to_numpy())
         return out
 
     by = [F.floor(F.col(row) / chunk).alias("chunk_r"), F.floor(F.col(col) / chunk).alias("chunk_c")]
-    local = pixels.select(raster, row, col, value, *by).groupBy(raster, "chunk_r", "chunk_c").applyInPandas(run, schema)
+    keys = [raster, "chunk_r", "chunk_c"]
+    local = pixels.select(raster, row, col, value, *by).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
     if not across:
         return local
     local = local.checkpoint()
