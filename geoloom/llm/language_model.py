@@ -1,21 +1,24 @@
 """Hierarchical Pitman-Yor language model: training by Gibbs sampling, scoring by averaged predictive probabilities.
 
-The restaurants: one for each context, a class of the word before (by its beginning and its ending; a text's beginning
-is a class of its own); the contexts with one ending share a parent restaurant; all parents share the root, whose base
-is uniform over the V words of training and one for all others. So the number of restaurants is fixed, and all that
-concerns one word, at every level, can be kept in one place, whatever contexts it stands in.
+The restaurants: one for each word before (a text's beginning is one too), as many as the corpus has; the parent of each
+is the class of that word (by its beginning and its ending); the classes with one ending share a parent, all of which
+share the root, whose base is uniform over the V words of training and one for all others. All that concerns one word,
+at every level, is in one place, whatever contexts it stands in.
 
 Words are dealt by hash into buckets. A training task counts (word, context) pairs of a block of texts and sends each
 bucket one compressed row; a bucket holds its words' customers and tables. A Gibbs sweep seats, for every word and
-restaurant, the word's customers anew given all else; only the restaurants' totals (a few hundred numbers) pass through
-the driver between sweeps. For scoring, each block of texts asks the buckets for its distinct pairs, gets counts and
-probabilities back, and sums them up for each text. A word that makes up a third of the corpus is a few hundred pairs
-in each block, like any other frequent word; no row is sent for each token.
+restaurant, the word's customers anew given all else. What it needs of other buckets: the totals of the classes and of
+those above (a few hundred numbers), which pass through the driver, and the totals of its contexts, which each bucket
+sends in part to the context's own bucket (that of the same word) and gets back as sums; so neither a frequent word nor
+a frequent context is gathered. For scoring, each block of texts asks the buckets for its distinct pairs and words, gets
+counts, probabilities and the contexts' totals back, and sums up for each text. No row is sent for each token.
 """
 
 from __future__ import annotations
 
+import gc
 import zlib
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -27,27 +30,32 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, materialised, remainder, remainder_of
 
-#: Endings (parents) and beginnings of a class; contexts are their pairs, and one for a text's beginning.
+#: Endings (parents) and beginnings of a class; classes are their pairs, and one for a text's beginning.
 ENDINGS, BEGINNINGS = 64, 8
 PARENTS = ENDINGS + 1
 CONTEXTS = ENDINGS * BEGINNINGS + 1
 START = CONTEXTS - 1
+#: A context's key is its class above so many bits of the word's hash: 56 bits, which a pair is sent with.
+KEY_BITS = 46
+KEY_MASK = np.uint64((1 << KEY_BITS) - 1)
 #: Tokens of a block: what a task counts, or asks for, at a time. A longer text is a block by itself.
 BLOCK_TOKENS = 2_000_000
 #: Sweeps before the first sample, and samples that are averaged.
 BURN_IN, SAMPLES = 1, 2
-#: Strength of each level: contexts, parents, root.
-STRENGTH = (1.0, 1.0, 1.0)
+#: Strength of each level: contexts, classes, parents, root.
+STRENGTH = (1.0, 1.0, 1.0, 1.0)
 #: Up to so many customers of a word in a restaurant, its tables are drawn from their exact conditional; further ones
 #: are seated in order, in groups of an eighth of those seated, with the odds at the group's beginning.
 EXACT = 64
 #: The end of a text; no word has white space.
 END = b"\n"
-TOTALS = 2 * CONTEXTS + 2 * PARENTS + 2 + 2 + 6
+TOTALS = 2 * CONTEXTS + 2 * PARENTS + 2 + 2 + 8
 
 
 def context_of(word: bytes) -> int:
-    """The class of a word as a context."""
+    """The class of a word as a context (the end stands for the beginning of the next text)."""
+    if word == END:
+        return START
     return zlib.crc32(word[-2:]) % ENDINGS * BEGINNINGS + zlib.crc32(word[:2]) % BEGINNINGS
 
 
@@ -55,6 +63,11 @@ def parent_of(context: np.ndarray) -> np.ndarray:
     return context // BEGINNINGS
 
 
+def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of word hashes, or of contexts' keys: the same for a word and for the context it makes."""
+    return ((x & KEY_MASK) % np.uint64(buckets)).astype(np.int64)
+
+
 def tokens(text: bytes | None) -> list[bytes]:
     return [*(text.translate(LOWER).split() if text else []), END]
 
@@ -75,20 +88,23 @@ class Block:
         self.n += len(words)
 
     def pairs(self, buckets: int):
-        """The distinct pairs (bucket, hash, context) in this order, and of each token the place of its pair."""
+        """The distinct pairs as (bucket, hash, context's key, count) in the order of pair_keys(), and the words' places
+        in the order of (bucket, hash): of each token, and of the end."""
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.number), np.uint64, len(self.number))
-        classes = np.fromiter(map(context_of, self.number), np.int64, len(self.number))
-        bucket = hashes % np.uint64(buckets)
+        classes = np.fromiter(map(context_of, self.number), np.uint64, len(self.number))
+        bucket = bucket_of(hashes, buckets)
         order = np.lexsort((hashes, bucket))
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
-        ids = np.concatenate(self.parts)
-        before = np.full(len(ids), START, np.int64)
-        before[1:] = classes[ids[:-1]]
-        before[np.concatenate([[0], np.cumsum(self.sizes)[:-1]])] = START
-        key, inverse, count = np.unique(rank[ids] * CONTEXTS + before, return_inverse=True, return_counts=True)
-        word = order[key // CONTEXTS]
-        return bucket[word].astype(np.int64), hashes[word], (key % CONTEXTS).astype(np.uint16), inverse.astype(np.int32), count
+        at, end = rank[np.concatenate(self.parts)], int(rank[self.number[END]])
+        key, count = np.unique(pair_keys(at, end, len(order)), return_counts=True)
+        word, before = order[key // len(order)], order[key % len(order)]
+        return bucket[word], hashes[word], classes[before] << np.uint64(KEY_BITS) | hashes[before] & KEY_MASK, count, at, end
+
+
+def pair_keys(at: np.ndarray, end: int, words: int) -> np.ndarray:
+    """A number for each token's (word, word before). Each text ends with the end, so that comes before each text."""
+    return at.astype(np.int64) * words + np.concatenate([[end], at[:-1]])
 
 
 def blocks(batches, keep):
@@ -131,7 +147,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 def packed_pairs(hashes: np.ndarray, contexts: np.ndarray, *more: np.ndarray) -> bytes:
     """Pairs sorted by hash: each hash once, with its number of pairs."""
     first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-    return pack(hashes[first], np.diff(np.append(first, len(hashes))).astype(np.uint16), contexts, *more)
+    return pack(hashes[first], np.diff(np.append(first, len(hashes))).astype(np.uint32), contexts, *more)
 
 
 def unpacked_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -142,76 +158,120 @@ def unpacked_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray
 # ---- seating ----
 
 
+def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a sorted key: where each of its values begins, and of each row the number of its value."""
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
 class State:
     """A bucket's words: customers by (word, context), and tables of the last sample and of those kept."""
 
-    def __init__(self, h: np.ndarray, f: np.ndarray, c: np.ndarray, samples: list | None = None) -> None:
-        self.h, self.f, self.c = h, f.astype(np.int64), c.astype(np.int64)
-        self.word = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]).astype(np.int64)])) if len(h) else np.zeros(0, np.int64)
-        self.words = int(self.word[-1]) + 1 if len(h) else 0
-        group = self.word * PARENTS + parent_of(self.f)
-        self.first_g = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(h) else np.zeros(0, np.int64)
-        self.to_g = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]).astype(np.int64)])) if len(h) else np.zeros(0, np.int64)
-        self.g, self.word_g = parent_of(self.f)[self.first_g], self.word[self.first_g]
-        one = np.ones(len(self.g), np.int64)
-        self.samples = samples or [(np.ones(len(h), np.int64), one, np.ones(self.words, np.int64))]
-
-    @property
+    def __init__(self, h: np.ndarray, u: np.ndarray, c: np.ndarray, samples: list | None = None) -> None:
+        self.h, self.u, self.c = h, u, c.astype(np.int64)
+        first, self.word = runs(h)
+        self.words = len(first)
+        first_f, self.to_f = runs(self.word * CONTEXTS + (u >> np.uint64(KEY_BITS)).astype(np.int64))
+        self.f, word_f = (u[first_f] >> np.uint64(KEY_BITS)).astype(np.int64), self.word[first_f]
+        self.word_f = word_f
+        first_g, self.to_g = runs(word_f * PARENTS + parent_of(self.f))
+        self.g, self.word_g = parent_of(self.f)[first_g], word_f[first_g]
+        self.samples = samples or [tuple(np.ones(n, np.int64) for n in (len(h), len(self.f), len(self.g), self.words))]
+
+    @cached_property
     def word_hashes(self) -> np.ndarray:
-        return self.h[np.flatnonzero(np.concatenate([[True], self.h[1:] != self.h[:-1]]))] if len(self.h) else self.h
+        return self.h[runs(self.h)[0]]
+
+    @cached_property
+    def word_counts(self) -> np.ndarray:
+        return np.bincount(self.word, self.c, self.words).astype(np.int64)
+
+    @cached_property
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct contexts' keys, and of each pair the number of its context."""
+        return np.unique(self.u, return_inverse=True)
+
+    @cached_property
+    def pair_numbers(self) -> np.ndarray:
+        return self.word * max(1, len(self.contexts[0])) + self.contexts[1]
+
+    @cached_property
+    def class_numbers(self) -> np.ndarray:
+        return self.word_f * CONTEXTS + self.f
+
+    @cached_property
+    def parent_numbers(self) -> np.ndarray:
+        return self.word_g * PARENTS + self.g
 
-    def customers(self, sample) -> tuple[np.ndarray, np.ndarray]:
-        """Of the parents and of the root: the tables of the level below."""
-        t, s, _ = sample
-        return np.bincount(self.to_g, t, len(self.g)).astype(np.int64), np.bincount(self.word_g, s, self.words).astype(np.int64)
+    @cached_property
+    def sample_customers(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return [self.customers(sample) for sample in self.samples]
+
+    def customers(self, sample) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the classes, the parents and the root: the tables of the level below."""
+        q, t, s, _ = sample
+        by = ((self.to_f, q, len(self.f)), (self.to_g, t, len(self.g)), (self.word_g, s, self.words))
+        return tuple(np.bincount(at, x, n).astype(np.int64) for at, x, n in by)
 
     def totals(self) -> np.ndarray:
-        """What the driver adds up: by restaurant customers and tables, words and tokens, and how many of the
+        """What the driver adds up: by class and parent customers and tables, words and tokens, and how many of the
         customer numbers of each level are 1 and 2."""
-        t, s, r = self.samples[-1]
-        n_g, n_w = self.customers(self.samples[-1])
+        _, t, s, r = self.samples[-1]
+        n_f, n_g, n_w = self.customers(self.samples[-1])
         by = lambda at, x, n: np.bincount(at, x, n).astype(np.int64)
-        ones = [x for c in (self.c, n_g, n_w) for x in (int((c == 1).sum()), int((c == 2).sum()))]
-        return np.concatenate([by(self.f, self.c, CONTEXTS), by(self.f, t, CONTEXTS), by(self.g, n_g, PARENTS), by(self.g, s, PARENTS), [n_w.sum(), r.sum(), self.words, self.c.sum()], ones]).astype(np.int64)
+        ones = [x for c in (self.c, n_f, n_g, n_w) for x in (int((c == 1).sum()), int((c == 2).sum()))]
+        return np.concatenate([by(self.f, n_f, CONTEXTS), by(self.f, t, CONTEXTS), by(self.g, n_g, PARENTS), by(self.g, s, PARENTS), [n_w.sum(), r.sum(), self.words, self.c.sum()], ones]).astype(np.int64)
 
     def blob(self) -> bytes:
         small = [x.astype(np.uint32) for sample in self.samples for x in sample]
-        return packed_pairs(self.h, self.f.astype(np.uint16), self.c.astype(np.uint32), *small)
+        return packed_pairs(self.h, self.u, self.c.astype(np.uint32), *small)
 
     @staticmethod
     def of(blob: bytes) -> State:
-        h, f, (c, *flat) = unpacked_pairs(blob)
+        h, u, (c, *flat) = unpacked_pairs(blob)
         flat = [x.astype(np.int64) for x in flat]
-        return State(h, f, c, [tuple(flat[i : i + 3]) for i in range(0, len(flat), 3)])
+        return State(h, u, c, [tuple(flat[i : i + 4]) for i in range(0, len(flat), 4)])
 
 
 class Totals:
-    """The restaurants' totals and the model's parameters, for one sample."""
+    """The totals of classes and above and the model's parameters, for one sample."""
 
-    def __init__(self, x: np.ndarray, discounts: tuple[float, float, float] | None = None) -> None:
+    def __init__(self, x: np.ndarray, discounts: tuple[float, ...] | None = None) -> None:
         cut = np.split(x, np.cumsum([CONTEXTS, CONTEXTS, PARENTS, PARENTS]))
-        self.c_f, self.t_f, self.n_g, self.s_g = (v.astype(float) for v in cut[:4])
+        self.n_f, self.t_f, self.n_g, self.s_g = (v.astype(float) for v in cut[:4])
         self.n, self.r = float(cut[4][0]), float(cut[4][1])
         self.words, self.tokens = int(cut[4][2]), int(cut[4][3])
         ones = cut[4][4:]
-        self.d = discounts or tuple(min(0.95, max(0.05, (a + 0.5) / (a + 2 * b + 1))) for a, b in ones.reshape(3, 2).tolist())
+        self.d = discounts or tuple(min(0.95, max(0.05, (a + 0.5) / (a + 2 * b + 1))) for a, b in ones.reshape(4, 2).tolist())
 
     def probabilities(self, state: State, sample) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Predictive probabilities of the state's words in the root and in their parents and contexts."""
-        t, s, r = sample
-        n_g, n_w = state.customers(sample)
+        """Predictive probabilities of the state's words in the root and in their parents and classes."""
+        _, t, s, r = sample
+        n_f, n_g, n_w = state.customers(sample)
         root = self.root(n_w, r)
         parent = self.parent(state.g, n_g, s, root[state.word_g])
-        return root, parent, self.context(state.f, state.c, t, parent[state.to_g])
+        return root, parent, self.of_class(state.f, n_f, t, parent[state.to_g])
 
     def root(self, n, r):
-        return (np.maximum(n - self.d[2] * r, 0) + (STRENGTH[2] + self.d[2] * self.r) / (self.words + 1)) / (STRENGTH[2] + self.n)
+        return (np.maximum(n - self.d[3] * r, 0) + (STRENGTH[3] + self.d[3] * self.r) / (self.words + 1)) / (STRENGTH[3] + self.n)
 
     def parent(self, g, n, s, above):
-        return (np.maximum(n - self.d[1] * s, 0) + (STRENGTH[1] + self.d[1] * self.s_g[g]) * above) / (STRENGTH[1] + self.n_g[g])
+        return (np.maximum(n - self.d[2] * s, 0) + (STRENGTH[2] + self.d[2] * self.s_g[g]) * above) / (STRENGTH[2] + self.n_g[g])
+
+    def of_class(self, f, n, t, above):
+        return (np.maximum(n - self.d[1] * t, 0) + (STRENGTH[1] + self.d[1] * self.t_f[f]) * above) / (STRENGTH[1] + self.n_f[f])
+
+    def own(self, c, q):
+        """What a word has in a context of its own: divide it, plus the context's share(), by its size()."""
+        return np.maximum(c - self.d[0] * q, 0)
 
-    def context(self, f, c, t, above):
-        return (np.maximum(c - self.d[0] * t, 0) + (STRENGTH[0] + self.d[0] * self.t_f[f]) * above) / (STRENGTH[0] + self.c_f[f])
+    def share(self, q_u, above):
+        return (STRENGTH[0] + self.d[0] * q_u) * above
+
+    @staticmethod
+    def size(c_u):
+        return STRENGTH[0] + c_u
 
 
 def log_stirling(d: float) -> np.ndarray:
@@ -249,28 +309,32 @@ def seat(c: np.ndarray, tables_elsewhere: np.ndarray, strength: float, d: float,
     return np.minimum(t, c)
 
 
-def sweep(state: State, totals: Totals, seed: int, keep: bool) -> State:
-    """One Gibbs sweep over the bucket's words, from the contexts up. With keep the last sample stays beside the new."""
+def sweep(state: State, totals: Totals, tables_u: np.ndarray, seed: int, keep: bool) -> State:
+    """One Gibbs sweep over the bucket's words, from the contexts up. tables_u: of each pair, all tables of its context.
+    With keep the last sample stays beside the new."""
     rng = np.random.default_rng(seed)
-    t, s, r = state.samples[-1]
-    root, parent, _ = totals.probabilities(state, state.samples[-1])
+    q, t, s, r = state.samples[-1]
+    root, parent, of_class = totals.probabilities(state, state.samples[-1])
     tables = [log_stirling(d) for d in totals.d]
-    t = seat(state.c, np.maximum(0, totals.t_f[state.f] - t), STRENGTH[0], totals.d[0], parent[state.to_g], tables[0], rng)
+    q = seat(state.c, np.maximum(0, tables_u - q), STRENGTH[0], totals.d[0], of_class[state.to_f], tables[0], rng)
+    n_f = np.bincount(state.to_f, q, len(state.f)).astype(np.int64)
+    t = seat(n_f, np.maximum(0, totals.t_f[state.f] - t), STRENGTH[1], totals.d[1], parent[state.to_g], tables[1], rng)
     n_g = np.bincount(state.to_g, t, len(state.g)).astype(np.int64)
-    s = seat(n_g, np.maximum(0, totals.s_g[state.g] - s), STRENGTH[1], totals.d[1], root[state.word_g], tables[1], rng)
+    s = seat(n_g, np.maximum(0, totals.s_g[state.g] - s), STRENGTH[2], totals.d[2], root[state.word_g], tables[2], rng)
     n_w = np.bincount(state.word_g, s, state.words).astype(np.int64)
-    r = seat(n_w, np.maximum(0, totals.r - r), STRENGTH[2], totals.d[2], np.full(state.words, 1 / (totals.words + 1)), tables[2], rng)
-    return State(state.h, state.f, state.c, [*(state.samples if keep else []), (t, s, r)])
+    r = seat(n_w, np.maximum(0, totals.r - r), STRENGTH[3], totals.d[3], np.full(state.words, 1 / (totals.words + 1)), tables[3], rng)
+    return State(state.h, state.u, state.c, [*(state.samples if keep else []), (q, t, s, r)])
 
 
 # ---- on Spark ----
 
 
 class Model:
-    """states: a row (bucket, blob, totals) for each bucket; totals: of each kept sample."""
+    """states: a row (bucket, blob, totals) for each bucket; contexts: (bucket, blob) for each, of the contexts it sums
+    up; totals: of each kept sample."""
 
-    def __init__(self, states: DataFrame, buckets: int, totals: list[Totals]) -> None:
-        self.states, self.buckets, self.totals = states, buckets, totals
+    def __init__(self, states: DataFrame, contexts: DataFrame, buckets: int, totals: list[Totals]) -> None:
+        self.states, self.contexts, self.buckets, self.totals = states, contexts, buckets, totals
 
 
 def added(states: DataFrame) -> np.ndarray:
@@ -294,6 +358,72 @@ def state_row(bucket: int, state: State) -> pa.RecordBatch:
 
 
 STATE = "bucket int, blob binary, totals array<long>"
+SENT = "bucket int, sender int, blob binary"
+
+
+def row(schema: str, *values) -> pa.RecordBatch:
+    """A batch of one row; numbers are ints."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int32()) for x in values], names)
+
+
+def freed(spark) -> None:
+    """Spark removes the files of shuffles and checkpoints that are no longer used once the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def summed_contexts(states: DataFrame, buckets: int) -> DataFrame:
+    """The contexts' totals: rows (bucket, sender, blob) for each bucket that has pairs of the contexts of sender, with
+    customers and tables of those contexts in the order of their keys, over all buckets; and, with sender -1, the keys,
+    customers and kept tables of the contexts that belong to bucket."""
+
+    def send(batches):
+        for b in batches:
+            for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                state = State.of(blob)
+                keys, at = state.contexts
+                sums = [np.bincount(at, x, len(keys)).astype(np.uint64) for x in (state.c, *(sample[0] for sample in state.samples))]
+                owner = bucket_of(keys, buckets)
+                order = np.argsort(owner, kind="stable")
+                first, _ = runs(owner[order])
+                for part in np.split(order, first[1:]) if len(order) else []:
+                    yield row(SENT, int(owner[part[0]]), bucket, pack(keys[part], *(x[part] for x in sums)))
+
+    def add(key, table):
+        me, senders = key[0].as_py(), table.column("sender").to_pylist()
+        parts = [unpack(x.as_py()) for x in table.column("blob")]
+        keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate(x), len(keys)).astype(np.uint64) for x in zip(*(p[1:] for p in parts), strict=True)]
+        rows, start = [row(SENT, me, -1, pack(keys, *sums))], 0
+        for sender, p in zip(senders, parts, strict=True):
+            mine = at[start : start + len(p[0])]
+            start += len(p[0])
+            rows.append(row(SENT, sender, me, pack(sums[-1][mine])))
+        return pa.Table.from_batches(rows)
+
+    return materialised(states.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(add, SENT))
+
+
+def tables_of_contexts(state: State, sent: pa.Table, buckets: int) -> np.ndarray:
+    """Of each pair of the state, all tables of its context, from the rows that summed_contexts() has for the bucket."""
+    keys, at = state.contexts
+    order = np.argsort(bucket_of(keys, buckets), kind="stable")
+    got = sorted(zip(sent.column("sender").to_pylist(), sent.column("blob").to_pylist(), strict=True))
+    out = np.zeros(len(keys), np.int64)
+    out[order] = np.concatenate([unpack(blob)[0] for _, blob in got]).astype(np.int64)
+    return out[at]
+
+
+def swept(totals: Totals, buckets: int, seed: int, keep: bool):
+    """sweep() of a bucket's row, with the rows that summed_contexts() has for the bucket."""
+
+    def run(key, old, sent):
+        bucket, state = key[0].as_py(), State.of(old.column("blob")[0].as_py())
+        new = sweep(state, totals, tables_of_contexts(state, sent, buckets), seed + bucket * 101, keep)
+        return pa.Table.from_batches([state_row(bucket, new)])
+
+    return run
 
 
 def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", buckets: int | None = None, seed: int = 1, every: bool = False) -> Model:
@@ -305,66 +435,94 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", buckets:
 
     def count(batches):
         for block in blocks(batches, lambda i: every or remainder_of(i, 7) != 2):
-            bucket, h, f, _, c = block.pairs(buckets)
+            bucket, h, u, c, _, _ = block.pairs(buckets)
             edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([packed_pairs(h[a:b], f[a:b], c[a:b].astype(np.uint32))], pa.binary())], ["bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([packed_pairs(h[a:b], u[a:b], c[a:b].astype(np.uint32))], pa.binary())], ["bucket", "blob"])
 
     def merge(key, table):
         parts = [unpacked_pairs(x.as_py()) for x in table.column("blob")]
-        h, f, c = (np.concatenate(x) for x in zip(*[(h, f, c) for h, f, (c,) in parts], strict=True))
-        order = np.lexsort((f, h))
-        h, f, c = h[order], f[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (f[1:] != f[:-1])]))
-        return pa.Table.from_batches([state_row(key[0].as_py(), State(h[first], f[first], np.add.reduceat(c.astype(np.int64), first)))])
+        h, u, c = (np.concatenate(x) for x in zip(*[(h, u, c) for h, u, (c,) in parts], strict=True))
+        order = np.lexsort((u, h))
+        h, u, c = h[order], u[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (u[1:] != u[:-1])]))
+        return pa.Table.from_batches([state_row(key[0].as_py(), State(h[first], u[first], np.add.reduceat(c.astype(np.int64), first)))])
 
     states = materialised(rows.mapInArrow(count, "bucket int, blob binary").groupBy("bucket").applyInArrow(merge, STATE))
     totals = Totals(added(states))
     discounts, kept = totals.d, []
+    contexts = summed_contexts(states, buckets)
     for k in range(BURN_IN + SAMPLES):
-
-        def run(batches, totals=totals, k=k):
-            for b in batches:
-                for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                    yield state_row(bucket, sweep(State.of(blob), totals, seed * 1_000_003 + bucket * 101 + k, k > BURN_IN))
-
-        states = materialised(states.mapInArrow(run, STATE))
+        run = swept(totals, buckets, seed * 1_000_003 + k, k > BURN_IN)
+        states = materialised(states.groupBy("bucket").cogroup(contexts.filter("sender >= 0").groupBy("bucket")).applyInArrow(run, STATE))
+        freed(spark)
         totals = Totals(added(states), discounts)
+        contexts = summed_contexts(states, buckets)
+        freed(spark)
         if k >= BURN_IN:
             kept.append(totals)
-    return Model(states, buckets, kept)
+    return Model(states, contexts.filter("sender < 0").select("bucket", "blob"), buckets, kept)
 
 
-def answers(state: State | None, totals: list[Totals], h: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each pair the word's count in training and log10 of its probability in the context, averaged over the
-    samples."""
-    f = f.astype(np.int64)
-    state = state or State(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    g, known = parent_of(f), state.word_hashes
-    w = np.searchsorted(known, h)
-    w[w == len(known)] = 0
-    found = (known[w] == h) if len(known) else np.zeros(len(h), bool)
-    count = np.bincount(state.word, state.c, state.words).astype(np.int64)
-    c = np.where(found, count[w] if len(known) else 0, 0)
-
-    def place(keys, key):
-        at = np.searchsorted(keys, key)
-        at[at == len(keys)] = 0
-        return at, found & ((keys[at] == key) if len(keys) else False)
-
-    at_g, in_g = place(state.word_g * PARENTS + state.g, w * PARENTS + g)
-    at_f, in_f = place(state.word * CONTEXTS + state.f, w * CONTEXTS + f)
-    pick = lambda x, at, there: np.where(there, x[at], 0) if len(x) else np.zeros(len(h))
-    p = np.zeros(len(h))
-    for (t, s, r), total in zip(state.samples[-len(totals) :] if state.words else repeat((None, None, None), len(totals)), totals, strict=True):
-        if state.words:
-            n_g, n_w = state.customers((t, s, r))
-        else:
-            t = s = r = n_g = n_w = np.zeros(0)
+def place(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where key is in the sorted keys, and whether it is."""
+    at = np.searchsorted(keys, key)
+    at[at == len(keys)] = 0
+    return at, (keys[at] == key) if len(keys) else np.zeros(len(key), bool)
+
+
+def pick(x: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+    return np.where(there, x[at], 0) if len(x) else np.zeros(len(at), np.int64)
+
+
+def no_state() -> State:
+    return State(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def in_classes(state: State, totals: list[Totals], h: np.ndarray, f: np.ndarray) -> list[np.ndarray]:
+    """For each sample the probabilities of words in classes."""
+    g = parent_of(f)
+    w, found = place(state.word_hashes, h)
+    at_g, in_g = place(state.parent_numbers, w * PARENTS + g)
+    at_f, in_f = place(state.class_numbers, w * CONTEXTS + f)
+    in_g, in_f, out = in_g & found, in_f & found, []
+    kept = list(zip(state.samples, state.sample_customers, strict=True))
+    for ((_, t, s, r), (n_f, n_g, n_w)), total in zip(kept[-len(totals) :] if state.words else repeat(kept[-1], len(totals)), totals, strict=True):
         root = total.root(pick(n_w, w, found), pick(r, w, found))
         parent = total.parent(g, pick(n_g, at_g, in_g), pick(s, at_g, in_g), root)
-        p += total.context(f, pick(state.c, at_f, in_f), pick(t, at_f, in_f), parent)
-    return c, np.log10(p / len(totals))
+        out.append(total.of_class(f, pick(n_f, at_f, in_f), pick(t, at_f, in_f), parent))
+    return out
+
+
+def counts(state: State, h: np.ndarray) -> np.ndarray:
+    """The words' counts in training."""
+    return pick(state.word_counts, *place(state.word_hashes, h))
+
+
+def answers(state: State | None, totals: list[Totals], h: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of word and class the word's count in training and log10 of its probability after a word of that
+    class that training has not, averaged over the samples."""
+    state = state or no_state()
+    return counts(state, h), np.log10(sum(in_classes(state, totals, h, f.astype(np.int64))) / len(totals))
+
+
+def pair_answers(state: State | None, totals: list[Totals], h: np.ndarray, u: np.ndarray) -> list[np.ndarray]:
+    """For each pair of word and context, by sample: what the word has of its own in the context (Totals.own), and its
+    probability in the context's class."""
+    state = state or no_state()
+    w, found = place(state.word_hashes, h)
+    number, in_u = place(state.contexts[0], u)
+    at, there = place(state.pair_numbers, w * max(1, len(state.contexts[0])) + number)
+    there &= found & in_u
+    c = pick(state.c, at, there)
+    samples = state.samples[-len(totals) :] if state.words else [state.samples[-1]] * len(totals)
+    own = [total.own(c, pick(sample[0], at, there)) for sample, total in zip(samples, totals, strict=True)]
+    return [*own, *in_classes(state, totals, h, (u >> np.uint64(KEY_BITS)).astype(np.int64))]
+
+
+def probability(totals: list[Totals], c_u: np.ndarray, q_u: list[np.ndarray], own: list[np.ndarray], above: list[np.ndarray]) -> np.ndarray:
+    """Of pairs, averaged over the samples; c_u and q_u: customers of the context and, by sample, its tables."""
+    return sum((x + total.share(q, p)) / total.size(c_u) for total, q, x, p in zip(totals, q_u, own, above, strict=True)) / len(totals)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -378,6 +536,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
     buckets, totals = model.buckets, model.totals
     n, v = totals[0].tokens, totals[0].words
     none = pa.array([None], pa.list_(pa.int64()))
+    schema = "block string, bucket int, own boolean, ids array<long>, blob binary"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def ask(batches):
         from pyspark import TaskContext
@@ -385,40 +545,58 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
         part = TaskContext.get().partitionId()
         for k, block in enumerate(blocks(batches, lambda i: True)):
             name = pa.array([f"{part}-{k}"])
-            bucket, h, f, inverse, _ = block.pairs(buckets)
+            bucket, h, u, _, at, end = block.pairs(buckets)
             edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            schema = ["block", "bucket", "ids", "blob"]
-            yield pa.RecordBatch.from_arrays([name, pa.array([-1], pa.int32()), pa.array([block.ids], pa.list_(pa.int64())), pa.array([pack(np.array(block.sizes, np.int32), inverse)], pa.binary())], schema)
+            # the block's own row passes through some bucket unchanged
+            texts = pack(np.array(block.sizes, np.int32), at, np.array([end, len(block.number)], np.int32))
+            yield pa.RecordBatch.from_arrays([name, pa.array([zlib.crc32(name[0].as_py().encode()) % buckets], pa.int32()), pa.array([True]), pa.array([block.ids], pa.list_(pa.int64())), pa.array([texts], pa.binary())], names)
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                yield pa.RecordBatch.from_arrays([name, pa.array([int(bucket[a])], pa.int32()), none, pa.array([packed_pairs(h[a:b], f[a:b])], pa.binary())], schema)
-
-    def answer(key, asked, states):
-        names = asked.column("block").to_pylist()
-        state = State.of(states.column("blob")[0].as_py()) if states.num_rows else None
-        made = [answers(state, totals, *unpacked_pairs(x.as_py())[:2]) for x in asked.column("blob")]
-        blobs = [pack(c.astype(np.uint32), p.astype(np.float32)) for c, p in made]
-        bucket = pa.array([key[0].as_py()] * len(names), pa.int32())
-        return pa.table([pa.array(names, pa.string()), bucket, pa.array([None] * len(names), pa.list_(pa.int64())), pa.array(blobs, pa.binary())], ["block", "bucket", "ids", "blob"])
+                yield pa.RecordBatch.from_arrays([name, pa.array([int(bucket[a])], pa.int32()), pa.array([False]), none, pa.array([packed_pairs(h[a:b], u[a:b])], pa.binary())], names)
+
+    def answer(key, asked, found):
+        blobs = dict(zip(found.column("kind").to_pylist(), found.column("blob").to_pylist(), strict=True))
+        state = State.of(blobs["state"]) if "state" in blobs else None
+        keys, c_u, *q_u = unpack(blobs["contexts"]) if "contexts" in blobs else [np.zeros(0, np.uint64)] * (2 + len(totals))
+        # a context is found by its word: the class, which is the word's, is not asked for
+        order = np.argsort(keys & KEY_MASK, kind="stable")
+        keys, c_u, *q_u = (x[order] for x in (keys & KEY_MASK, c_u, *q_u[-len(totals) :]))
+
+        def made(blob):
+            h, u, _ = unpacked_pairs(blob)
+            own_and_class = [x.astype(np.float32) for x in pair_answers(state, totals, h, u)]
+            known = h[runs(h)[0]]
+            at, there = place(keys, known & KEY_MASK)
+            count = counts(state, known) if state else np.zeros(len(known))
+            first = own_and_class[len(totals)].view(np.int32)  # later samples differ little: send the differences
+            classes = [first, *(x.view(np.int32) - first for x in own_and_class[len(totals) + 1 :])]
+            return pack(count.astype(np.uint64), *(pick(x, at, there).astype(np.uint64) for x in (c_u, *q_u)), *own_and_class[: len(totals)], *classes)
+
+        out = [blob if own else made(blob) for own, blob in zip(asked.column("own").to_pylist(), asked.column("blob").to_pylist(), strict=True)]
+        return pa.table([asked.column("block"), asked.column("bucket"), asked.column("own"), asked.column("ids"), pa.array(out, pa.binary())], names)
 
     def total(key, table):
-        got = dict(zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True))
+        got = list(zip(table.column("own").to_pylist(), table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True))
         ids = next(x for x in table.column("ids").to_pylist() if x is not None)
-        sizes, inverse = unpack(got.pop(-1))
-        parts = [unpack(got[k]) for k in sorted(got)]
-        c, p = np.concatenate([x for x, _ in parts]).astype(np.int64), np.concatenate([x for _, x in parts]).astype(np.float64)
+        sizes, at, (end, words) = unpack(next(blob for own, _, blob in got if own))
+        c, c_u, *rest = (np.concatenate(x) for x in zip(*(unpack(blob) for own, _, blob in sorted(got) if not own), strict=True))
+        k = len(totals)
+        q_u, own, classes = rest[:k], rest[k : 2 * k], rest[2 * k :]
+        above = [x.view(np.float32).astype(np.float64) for x in (classes[0], *(classes[0] + x for x in classes[1:]))]
+        pair, inverse = np.unique(pair_keys(at, int(end), int(words)), return_inverse=True)
+        before = pair % int(words)
+        p = np.log10(probability(totals, c_u[before].astype(float), [x[before].astype(float) for x in q_u], own, above))
+        c = c[at].astype(np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        add = lambda x: np.add.reduceat(x[inverse], starts)
+        add = lambda x: np.add.reduceat(x, starts)
         base = np.log10((c + 1) / (n + v + 1))
         return pa.table(
-            [pa.array(ids, pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(ids), n, np.int64)), pa.array(add(base)), pa.array(add(p))],
+            [pa.array(ids, pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(ids), n, np.int64)), pa.array(add(base)), pa.array(add(p[inverse]))],
             ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    schema = "block string, bucket int, ids array<long>, blob binary"
-    asked = materialised(rows.mapInArrow(ask, schema))
-    answered = asked.filter("bucket >= 0").groupBy("bucket").cogroup(model.states.groupBy("bucket")).applyInArrow(answer, schema)
-    every = asked.filter("bucket < 0").unionByName(answered)
-    out = every.groupBy("block").applyInArrow(total, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    kinds = model.states.select("bucket", F.lit("state").alias("kind"), "blob").unionByName(model.contexts.select("bucket", F.lit("contexts").alias("kind"), "blob"))
+    answered = rows.mapInArrow(ask, schema).groupBy("bucket").cogroup(kinds.groupBy("bucket")).applyInArrow(answer, schema)
+    out = answered.groupBy("block").applyInArrow(total, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("doc_id", doc_id) if doc_id != "doc_id" else out
 
 

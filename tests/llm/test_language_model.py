@@ -81,3 +81,33 @@ def test_packing():
     a, b = np.array([1, 5, 2**60], np.uint64), np.zeros(0, np.uint16)
     x, y = M.unpack(M.pack(a, b))
     assert (x == a).all() and y.dtype == np.uint16 and len(y) == 0
+
+
+def test_each_word_before_is_a_context_of_its_own(spark):
+    import xxhash
+
+    one, two = b"ab1cd", b"ab2cd"
+    assert M.context_of(one) == M.context_of(two)
+    texts = ["ab1cd p", "ab2cd q", "ab1cd p p", "r s"] * 3
+    model = M.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), buckets=4, every=True)
+    asked = spark.createDataFrame([(1, "ab1cd p"), (2, "ab1cd q"), (3, "ab2cd q"), (4, "ab2cd p")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in M.score(asked, model).collect()}
+    assert score[1] > score[2] + 0.3 and score[3] > score[4] + 0.3
+
+    follow = Counter((b, w) for t in texts for b, w in zip([b"\n", *words(t)], words(t), strict=False))
+    hash_of = lambda w: np.uint64(xxhash.xxh64_intdigest(w))
+    key = lambda w: np.uint64(M.context_of(w)) << np.uint64(M.KEY_BITS) | hash_of(w) & M.KEY_MASK
+    contexts = {}
+    for r in model.contexts.collect():
+        keys, c, *q = M.unpack(bytes(r.blob))
+        contexts |= {int(k): (int(c[i]), [int(x[i]) for x in q[-M.SAMPLES :]]) for i, k in enumerate(keys)}
+    assert {k: c for k, (c, _) in contexts.items()} == {int(key(b)): sum(n for (x, _), n in follow.items() if x == b) for b, _ in follow}
+
+    states = {r.bucket: M.State.of(bytes(r.blob)) for r in model.states.collect()}
+    for before in (one, two, b"p", b"\n"):
+        total, (c, q) = 0.0, contexts[int(key(before))]
+        for w in [*{w for _, w in follow}, b"unseen"]:
+            h, u = np.array([hash_of(w)]), np.array([key(before)])
+            got = M.pair_answers(states.get(int(h[0] & M.KEY_MASK) % 4), model.totals, h, u)
+            total += M.probability(model.totals, np.array([c]), [np.array([x]) for x in q], got[: M.SAMPLES], got[M.SAMPLES :])[0]
+        assert math.isclose(total, 1, rel_tol=1e-9)
