@@ -1,124 +1,78 @@
-"""Hierarchical Pitman-Yor language model: training by Gibbs sampling, scoring by averaged predictive probabilities.
-
-The restaurants: one for each word before (a text's beginning is one too), as many as the corpus has; the parent of each
-is the class of that word (by its beginning and its ending); the classes with one ending share a parent, all of which
-share the root, whose base is uniform over the V words of training and one for all others. All that concerns one word,
-at every level, is in one place, whatever contexts it stands in.
-
-Words are dealt by hash into buckets. A training task counts (word, context) pairs of a block of texts and sends each
-bucket one compressed row; a bucket holds its words' customers and tables. A Gibbs sweep seats, for every word and
-restaurant, the word's customers anew given all else. What it needs of other buckets: the totals of the classes and of
-those above (a few hundred numbers), which pass through the driver, and the totals of its contexts, which each bucket
-sends in part to the context's own bucket (that of the same word) and gets back as sums; so neither a frequent word nor
-a frequent context is gathered. For scoring, each block of texts asks the buckets for its distinct pairs and words, gets
-counts, probabilities and the contexts' totals back, and sums up for each text. No row is sent for each token.
+"""Hierarchical Pitman-Yor language model: seating by Gibbs sampling, scores by averaged predictive probabilities.
+
+Restaurants: one for each word before (a text's beginning counts as one), as many as the corpus has; the parent of a
+word's restaurant is that of its ending, the last two bytes, which all words with that ending share; their parent is the
+root, whose base is uniform over the V words of training and one for all others.
+
+The texts are tokenised once, into blocks. A block's words and pairs go to two kinds of buckets, both in number
+proportional to the corpus, and both set by the corpus alone:
+
+* Context buckets hold the restaurants of words before. All contexts lie on a line, ending after ending, each ending as
+  long as its tokens and its contexts spread over that length by hash; a bucket is a stretch of the line. A context with
+  very many tokens has a stretch of its own, over which its pairs are spread by the hash of the word, so that it's dealt
+  to as many buckets as it needs; its totals are then summed over them.
+* Word buckets hold all that concerns a word in the endings' restaurants and in the root.
+
+A round: each context bucket draws its words' tables anew, given the words' probabilities in the parents, and sends the
+numbers of tables to the word buckets; those draw the tables of endings and root, and send customers and tables back.
+Totals of the endings (at most 65,536), of the root and of the split contexts are summed by Spark and pass through the
+driver. After the first rounds each round's seating is a sample; a pair's probability is averaged over the samples,
+and each block adds up its texts from the probabilities of its distinct pairs. No row is sent for each token.
 """
 
 from __future__ import annotations
 
 import gc
-import zlib
-from functools import cached_property
-from itertools import repeat
+import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialised, remainder, remainder_of
+from .common import LOWER, materialised, remainder, removed, shared_dir, small_batches
 
-#: Endings (parents) and beginnings of a class; classes are their pairs, and one for a text's beginning.
-ENDINGS, BEGINNINGS = 64, 8
-PARENTS = ENDINGS + 1
-CONTEXTS = ENDINGS * BEGINNINGS + 1
-START = CONTEXTS - 1
-#: A context's key is its class above so many bits of the word's hash: 56 bits, which a pair is sent with.
-KEY_BITS = 46
-KEY_MASK = np.uint64((1 << KEY_BITS) - 1)
 #: Tokens of a block: what a task counts, or asks for, at a time. A longer text is a block by itself.
 BLOCK_TOKENS = 2_000_000
-#: Sweeps before the first sample, and samples that are averaged.
-BURN_IN, SAMPLES = 1, 2
-#: Strength of each level: contexts, classes, parents, root.
-STRENGTH = (1.0, 1.0, 1.0, 1.0)
-#: Up to so many customers of a word in a restaurant, its tables are drawn from their exact conditional; further ones
-#: are seated in order, in groups of an eighth of those seated, with the odds at the group's beginning.
-EXACT = 64
+#: Tokens of a context bucket, and distinct words (of all blocks together) of a word bucket, about.
+BUCKET_TOKENS, BUCKET_WORDS = 1_500_000, 1_500_000
+#: A context of so many tokens, or of a millionth of all if that is more, is dealt to several buckets: at most a million.
+SPLIT_TOKENS, MOST_SPLIT = 500_000, 1_000_000
+#: Rounds before the first sample, samples that are averaged, and draws of the tables within a round.
+BURN_IN, SAMPLES, DRAWS = 1, 2, 4
+#: Strength of each level: contexts, endings, root.
+STRENGTH = (1.0, 1.0, 1.0)
+#: Up to so many customers of a word in a restaurant its tables are drawn from their exact conditional. The further ones
+#: of more frequent words are seated in order, in groups of an eighth of those seated, with the odds at the group's
+#: beginning; README has the difference that this makes.
+EXACT = 256
 #: The end of a text; no word has white space.
 END = b"\n"
-TOTALS = 2 * CONTEXTS + 2 * PARENTS + 2 + 2 + 8
+ENDINGS = 1 << 16
+SENT = "kind string, bucket long, sender long, blob binary"
+#: Keys of summed totals: endings by their code, then single numbers, then split contexts.
+NUMBERS, SPLIT = 1 << 20, 1 << 32
 
 
-def context_of(word: bytes) -> int:
-    """The class of a word as a context (the end stands for the beginning of the next text)."""
-    if word == END:
-        return START
-    return zlib.crc32(word[-2:]) % ENDINGS * BEGINNINGS + zlib.crc32(word[:2]) % BEGINNINGS
-
-
-def parent_of(context: np.ndarray) -> np.ndarray:
-    return context // BEGINNINGS
-
-
-def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of word hashes, or of contexts' keys: the same for a word and for the context it makes."""
-    return ((x & KEY_MASK) % np.uint64(buckets)).astype(np.int64)
+def ending(word: bytes) -> int:
+    """The code of a word's last two bytes."""
+    return int.from_bytes(word[-2:], "big")
 
 
 def tokens(text: bytes | None) -> list[bytes]:
     return [*(text.translate(LOWER).split() if text else []), END]
 
 
-class Block:
-    """Texts as pairs: word hashes and contexts."""
-
-    def __init__(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.parts, self.sizes, self.ids, self.n = [], [], [], 0
-
-    def add(self, doc_id, text: bytes | None) -> None:
-        words = tokens(text)
-        number = self.number
-        self.parts.append(np.array([number.setdefault(w, len(number)) for w in words], np.int32))
-        self.sizes.append(len(words))
-        self.ids.append(doc_id)
-        self.n += len(words)
-
-    def pairs(self, buckets: int):
-        """The distinct pairs as (bucket, hash, context's key, count) in the order of pair_keys(), and the words' places
-        in the order of (bucket, hash): of each token, and of the end."""
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.number), np.uint64, len(self.number))
-        classes = np.fromiter(map(context_of, self.number), np.uint64, len(self.number))
-        bucket = bucket_of(hashes, buckets)
-        order = np.lexsort((hashes, bucket))
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order))
-        at, end = rank[np.concatenate(self.parts)], int(rank[self.number[END]])
-        key, count = np.unique(pair_keys(at, end, len(order)), return_counts=True)
-        word, before = order[key // len(order)], order[key % len(order)]
-        return bucket[word], hashes[word], classes[before] << np.uint64(KEY_BITS) | hashes[before] & KEY_MASK, count, at, end
-
-
-def pair_keys(at: np.ndarray, end: int, words: int) -> np.ndarray:
-    """A number for each token's (word, word before). Each text ends with the end, so that comes before each text."""
-    return at.astype(np.int64) * words + np.concatenate([[end], at[:-1]])
+# ---- packing ----
 
 
-def blocks(batches, keep):
-    """Blocks of the texts (doc_id, text) for which keep(doc_id) holds."""
-    now = Block()
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            if keep(doc_id):
-                now.add(doc_id, text)
-                if now.n >= BLOCK_TOKENS:
-                    yield now
-                    now = Block()
-    if now.n:
-        yield now
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Counts in the smallest unsigned type that holds them."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -134,473 +88,571 @@ def pack(*arrays: np.ndarray) -> bytes:
 def unpack(blob: bytes) -> list[np.ndarray]:
     data, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
     while at < len(data):
-        end = data.index(b";", at)
-        kind, n = data[at:end].split()
+        stop = data.index(b";", at, at + 40)
+        kind, n = data[at:stop].split()
         kind, n = np.dtype(kind.decode()), int(n)
-        at = end + 1
+        at = stop + 1
         planes = np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
         out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
         at += n * kind.itemsize
     return out
 
 
-def packed_pairs(hashes: np.ndarray, contexts: np.ndarray, *more: np.ndarray) -> bytes:
-    """Pairs sorted by hash: each hash once, with its number of pairs."""
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-    return pack(hashes[first], np.diff(np.append(first, len(hashes))).astype(np.uint32), contexts, *more)
+def rows(*made: tuple[str, int, int, bytes]) -> pa.RecordBatch:
+    """Rows of SENT."""
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], ["kind", "bucket", "sender", "blob"])
 
 
-def unpacked_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    hashes, n, contexts, *more = unpack(blob)
-    return np.repeat(hashes, n), contexts, more
+def firsts(x: np.ndarray) -> np.ndarray:
+    """Of a sorted array: where each of its values begins."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
 
-# ---- seating ----
+def parts_of(owner: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(owner, rows) for each owner in ascending order; rows keep their order."""
+    order = np.argsort(owner, kind="stable")
+    first = firsts(owner[order])
+    return [(int(owner[p[0]]), p) for p in np.split(order, first[1:])] if len(order) else []
 
 
-def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a sorted key: where each of its values begins, and of each row the number of its value."""
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    return np.flatnonzero(new), np.cumsum(new) - 1
-
-
-class State:
-    """A bucket's words: customers by (word, context), and tables of the last sample and of those kept."""
-
-    def __init__(self, h: np.ndarray, u: np.ndarray, c: np.ndarray, samples: list | None = None) -> None:
-        self.h, self.u, self.c = h, u, c.astype(np.int64)
-        first, self.word = runs(h)
-        self.words = len(first)
-        first_f, self.to_f = runs(self.word * CONTEXTS + (u >> np.uint64(KEY_BITS)).astype(np.int64))
-        self.f, word_f = (u[first_f] >> np.uint64(KEY_BITS)).astype(np.int64), self.word[first_f]
-        self.word_f = word_f
-        first_g, self.to_g = runs(word_f * PARENTS + parent_of(self.f))
-        self.g, self.word_g = parent_of(self.f)[first_g], word_f[first_g]
-        self.samples = samples or [tuple(np.ones(n, np.int64) for n in (len(h), len(self.f), len(self.g), self.words))]
-
-    @cached_property
-    def word_hashes(self) -> np.ndarray:
-        return self.h[runs(self.h)[0]]
-
-    @cached_property
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.word, self.c, self.words).astype(np.int64)
-
-    @cached_property
-    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct contexts' keys, and of each pair the number of its context."""
-        return np.unique(self.u, return_inverse=True)
-
-    @cached_property
-    def pair_numbers(self) -> np.ndarray:
-        return self.word * max(1, len(self.contexts[0])) + self.contexts[1]
-
-    @cached_property
-    def class_numbers(self) -> np.ndarray:
-        return self.word_f * CONTEXTS + self.f
-
-    @cached_property
-    def parent_numbers(self) -> np.ndarray:
-        return self.word_g * PARENTS + self.g
-
-    @cached_property
-    def sample_customers(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        return [self.customers(sample) for sample in self.samples]
-
-    def customers(self, sample) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the classes, the parents and the root: the tables of the level below."""
-        q, t, s, _ = sample
-        by = ((self.to_f, q, len(self.f)), (self.to_g, t, len(self.g)), (self.word_g, s, self.words))
-        return tuple(np.bincount(at, x, n).astype(np.int64) for at, x, n in by)
-
-    def totals(self) -> np.ndarray:
-        """What the driver adds up: by class and parent customers and tables, words and tokens, and how many of the
-        customer numbers of each level are 1 and 2."""
-        _, t, s, r = self.samples[-1]
-        n_f, n_g, n_w = self.customers(self.samples[-1])
-        by = lambda at, x, n: np.bincount(at, x, n).astype(np.int64)
-        ones = [x for c in (self.c, n_f, n_g, n_w) for x in (int((c == 1).sum()), int((c == 2).sum()))]
-        return np.concatenate([by(self.f, n_f, CONTEXTS), by(self.f, t, CONTEXTS), by(self.g, n_g, PARENTS), by(self.g, s, PARENTS), [n_w.sum(), r.sum(), self.words, self.c.sum()], ones]).astype(np.int64)
+def word_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h % np.uint64(buckets)).astype(np.int64)
 
-    def blob(self) -> bytes:
-        small = [x.astype(np.uint32) for sample in self.samples for x in sample]
-        return packed_pairs(self.h, self.u, self.c.astype(np.uint32), *small)
 
-    @staticmethod
-    def of(blob: bytes) -> State:
-        h, u, (c, *flat) = unpacked_pairs(blob)
-        flat = [x.astype(np.int64) for x in flat]
-        return State(h, u, c, [tuple(flat[i : i + 4]) for i in range(0, len(flat), 4)])
+# ---- blocks ----
 
 
-class Totals:
-    """The totals of classes and above and the model's parameters, for one sample."""
+class Block:
+    """Texts as numbers of their words, in the order in which words appear."""
 
-    def __init__(self, x: np.ndarray, discounts: tuple[float, ...] | None = None) -> None:
-        cut = np.split(x, np.cumsum([CONTEXTS, CONTEXTS, PARENTS, PARENTS]))
-        self.n_f, self.t_f, self.n_g, self.s_g = (v.astype(float) for v in cut[:4])
-        self.n, self.r = float(cut[4][0]), float(cut[4][1])
-        self.words, self.tokens = int(cut[4][2]), int(cut[4][3])
-        ones = cut[4][4:]
-        self.d = discounts or tuple(min(0.95, max(0.05, (a + 0.5) / (a + 2 * b + 1))) for a, b in ones.reshape(4, 2).tolist())
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.parts, self.sizes, self.learn, self.ids, self.n = [], [], [], [], 0
 
-    def probabilities(self, state: State, sample) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Predictive probabilities of the state's words in the root and in their parents and classes."""
-        _, t, s, r = sample
-        n_f, n_g, n_w = state.customers(sample)
-        root = self.root(n_w, r)
-        parent = self.parent(state.g, n_g, s, root[state.word_g])
-        return root, parent, self.of_class(state.f, n_f, t, parent[state.to_g])
+    def add(self, doc_id, learn: bool, text: bytes | None) -> None:
+        words, number = tokens(text), self.number
+        self.parts.append(np.array([number.setdefault(w, len(number)) for w in words], np.int32))
+        self.sizes.append(len(words))
+        self.learn.append(learn)
+        self.ids.append(doc_id)
+        self.n += len(words)
 
-    def root(self, n, r):
-        return (np.maximum(n - self.d[3] * r, 0) + (STRENGTH[3] + self.d[3] * self.r) / (self.words + 1)) / (STRENGTH[3] + self.n)
+    def blob(self) -> bytes:
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.number), np.uint64, len(self.number))
+        endings = np.fromiter(map(ending, self.number), np.uint16, len(self.number))
+        return pack(narrow(np.array(self.sizes)), np.array(self.learn, np.uint8), narrow(np.concatenate(self.parts)), hashes, endings)
 
-    def parent(self, g, n, s, above):
-        return (np.maximum(n - self.d[2] * s, 0) + (STRENGTH[2] + self.d[2] * self.s_g[g]) * above) / (STRENGTH[2] + self.n_g[g])
 
-    def of_class(self, f, n, t, above):
-        return (np.maximum(n - self.d[1] * t, 0) + (STRENGTH[1] + self.d[1] * self.t_f[f]) * above) / (STRENGTH[1] + self.n_f[f])
+class Texts:
+    """A block as it was packed, its words in the order of their hashes."""
 
-    def own(self, c, q):
-        """What a word has in a context of its own: divide it, plus the context's share(), by its size()."""
-        return np.maximum(c - self.d[0] * q, 0)
+    def __init__(self, blob: bytes) -> None:
+        sizes, learn, at, hashes, endings = unpack(blob)
+        self.sizes = sizes.astype(np.int64)
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.h, self.e, self.at = hashes[order], endings[order], rank[at]
+        self.learn = np.repeat(learn.astype(np.int64), self.sizes)
+        # each text ends with the end, so that comes before each text
+        end = np.searchsorted(self.h, np.uint64(xxhash.xxh64_intdigest(END)))
+        self.key = np.concatenate([[end], self.at[:-1]]) * len(self.h) + self.at
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word its tokens in training texts and in all."""
+        n = len(self.h)
+        return np.bincount(self.at, self.learn, n).astype(np.int64), np.bincount(self.at, minlength=n)
+
+    def pairs(self, line: Line) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct pairs in the order of (bucket, word before, word): key, bucket, word before, word, and tokens
+        in training."""
+        x = np.sort(self.key * 2 + self.learn)
+        first = firsts(x >> 1)
+        key, c = x[first] >> 1, np.add.reduceat(x & 1, first)
+        u, w = key // len(self.h), key % len(self.h)
+        bucket = line.buckets_of(self.h, self.e, u, w)
+        order = np.argsort(bucket, kind="stable")
+        return key[order], bucket[order], u[order], w[order], c[order]
+
+
+def blocks(batches, limit: int):
+    now = Block()
+    for batch in batches:
+        for doc_id, learn, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+            now.add(doc_id, learn, text)
+            if now.n >= limit:
+                yield now
+                now = Block()
+    if now.n:
+        yield now
 
-    def share(self, q_u, above):
-        return (STRENGTH[0] + self.d[0] * q_u) * above
 
-    @staticmethod
-    def size(c_u):
-        return STRENGTH[0] + c_u
+class Line:
+    """Where contexts lie: endings one after the other, each as long as its tokens; split contexts after them."""
+
+    def __init__(self, endings: dict[int, int], split: list[tuple[int, int, int, int]], size: int) -> None:
+        """endings: tokens by code; split: (hash, ending, tokens, tokens in training)."""
+        self.length = np.zeros(ENDINGS, np.float64)
+        for code, n in endings.items():
+            self.length[code] = n
+        split = sorted(split)
+        for _, code, n, _ in split:
+            self.length[code] -= n
+        self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
+        self.h = np.array([x[0] for x in split], np.uint64)
+        self.own = np.array([x[2] for x in split], np.float64)
+        self.learned = np.array([x[3] for x in split], np.int64)
+        self.own_start = self.length.sum() + np.concatenate([[0], np.cumsum(self.own)[:-1]]) if split else np.zeros(0)
+        total = float(self.length.sum() + self.own.sum())
+        self.buckets = max(1, int(-(-total // size)))
+        self.size = max(1.0, total / self.buckets)
+
+    def split(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of the contexts among those that are split, -1 for others."""
+        if not len(self.h):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where(self.h[at] == h, at, -1)
+
+    def buckets_of(self, h: np.ndarray, e: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The buckets of pairs (u, w), numbers of words with hashes h and endings e."""
+        share, own = h.astype(np.float64) / 2.0**64, self.split(h)
+        place = (self.start[e] + self.length[e] * share)[u]
+        some = np.flatnonzero(own[u] >= 0)
+        k = own[u[some]]
+        place[some] = self.own_start[k] + self.own[k] * share[w[some]] if len(some) else 0
+        return np.clip(place // self.size, 0, self.buckets - 1).astype(np.int64)
 
 
-def log_stirling(d: float) -> np.ndarray:
+# ---- seating ----
+
+
+@lru_cache(maxsize=16)
+def log_stirling(d: float, most: int = EXACT) -> np.ndarray:
     """Logarithms of the generalised Stirling numbers of discount d: [customers, tables]."""
-    out = np.full((EXACT + 1, EXACT + 2), -np.inf)
+    out = np.full((most + 1, most + 2), -np.inf)
     out[0, 0] = 0
     with np.errstate(invalid="ignore", divide="ignore"):
-        for c in range(EXACT):
+        for c in range(most):
             t = np.arange(1, c + 2)
             out[c + 1, 1 : c + 2] = np.logaddexp(out[c, : c + 1], np.where(c - d * t > 0, np.log(np.maximum(c - d * t, 1e-300)), -np.inf) + out[c, 1 : c + 2])
     return out
 
 
-def seat(c: np.ndarray, tables_elsewhere: np.ndarray, strength: float, d: float, above: np.ndarray, stirling: np.ndarray, rng) -> np.ndarray:
-    """Draws the number of tables of each word in a restaurant given its customers c: up to EXACT customers from the
-    full conditional, in proportion to stirling * product of (strength + d * tables before) * above ** tables."""
-    t = np.ones(len(c), np.int64)
-    for n in np.unique(c[(c > 1) & (c <= EXACT)]).tolist():
-        rows = np.flatnonzero(c == n)
-        for part in np.array_split(rows, max(1, len(rows) * n // 2_000_000)):
+def seat(c: np.ndarray, elsewhere: np.ndarray, strength: float, d: float, above: np.ndarray, rng, exact: int = EXACT) -> np.ndarray:
+    """Draws the number of tables of each word in a restaurant given its customers c, the tables of other words and its
+    probability in the parent: in proportion to stirling * product of (strength + d * tables before) * above ** tables."""
+    t = np.minimum(c, 1)
+    stirling = log_stirling(d, exact)
+    some = np.flatnonzero((c > 1) & (c <= exact))
+    order = some[np.argsort(c[some], kind="stable")]
+    for group in np.split(order, firsts(c[order])[1:]) if len(order) else []:
+        n = int(c[group[0]])
+        for part in np.array_split(group, max(1, len(group) * n // 1_000_000)):
             j = np.arange(n)
-            new = np.log(strength + d * (tables_elsewhere[part, None] + j)) + np.log(above[part, None])
+            new = np.log(strength + d * (elsewhere[part, None] + j)) + np.log(above[part, None])
             logit = stirling[n, 1 : n + 1] + np.cumsum(new, axis=1)
             p = np.cumsum(np.exp(logit - logit.max(1, keepdims=True)), axis=1)
             t[part] = 1 + (p < rng.random(len(part))[:, None] * p[:, -1:]).sum(1)
-    rows = np.flatnonzero(c > EXACT)
-    if len(rows):
-        seated = np.ones(len(rows), np.int64)
-        while (live := np.flatnonzero(seated < c[rows])).size:
-            at = rows[live]
+    many = np.flatnonzero(c > exact)
+    if len(many):
+        seated = np.ones(len(many), np.int64)
+        while (live := np.flatnonzero(seated < c[many])).size:
+            at = many[live]
             more = np.minimum(c[at] - seated[live], np.maximum(1, seated[live] // 8))
-            new = (strength + d * (tables_elsewhere[at] + t[at])) * above[at]
+            new = (strength + d * (elsewhere[at] + t[at])) * above[at]
             t[at] += rng.binomial(more, new / (new + seated[live] - d * t[at]))
             seated[live] += more
     return np.minimum(t, c)
 
 
-def sweep(state: State, totals: Totals, tables_u: np.ndarray, seed: int, keep: bool) -> State:
-    """One Gibbs sweep over the bucket's words, from the contexts up. tables_u: of each pair, all tables of its context.
-    With keep the last sample stays beside the new."""
-    rng = np.random.default_rng(seed)
-    q, t, s, r = state.samples[-1]
-    root, parent, of_class = totals.probabilities(state, state.samples[-1])
-    tables = [log_stirling(d) for d in totals.d]
-    q = seat(state.c, np.maximum(0, tables_u - q), STRENGTH[0], totals.d[0], of_class[state.to_f], tables[0], rng)
-    n_f = np.bincount(state.to_f, q, len(state.f)).astype(np.int64)
-    t = seat(n_f, np.maximum(0, totals.t_f[state.f] - t), STRENGTH[1], totals.d[1], parent[state.to_g], tables[1], rng)
-    n_g = np.bincount(state.to_g, t, len(state.g)).astype(np.int64)
-    s = seat(n_g, np.maximum(0, totals.s_g[state.g] - s), STRENGTH[2], totals.d[2], root[state.word_g], tables[2], rng)
-    n_w = np.bincount(state.word_g, s, state.words).astype(np.int64)
-    r = seat(n_w, np.maximum(0, totals.r - r), STRENGTH[3], totals.d[3], np.full(state.words, 1 / (totals.words + 1)), tables[3], rng)
-    return State(state.h, state.u, state.c, [*(state.samples if keep else []), (q, t, s, r)])
+def discount(once: int, twice: int) -> float:
+    return min(0.95, max(0.05, (once + 0.5) / (once + 2 * twice + 1)))
 
 
-# ---- on Spark ----
+class Totals:
+    """V, N, customers and tables of endings and root, discounts, and the tables of split contexts."""
+
+    def __init__(self, summed: dict[int, tuple[int, int]], words: int, tokens: int, split: int) -> None:
+        self.words, self.tokens = words, tokens
+        self.n_g, self.t_g = np.zeros(ENDINGS), np.zeros(ENDINGS)
+        self.t_split = np.zeros(split, np.int64)
+        for key, (a, b) in summed.items():
+            if key < ENDINGS:
+                self.n_g[key], self.t_g[key] = a, b
+            elif key >= SPLIT:
+                self.t_split[key - SPLIT] = a
+        once = [summed.get(NUMBERS + 1 + i, (0, 0)) for i in range(3)]
+        self.n, self.s = summed.get(NUMBERS, (0, 0))
+        self.d = tuple(discount(*x) for x in once)
+
+    def probability(self, g: np.ndarray, n: np.ndarray, t: np.ndarray, n_w: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Of words in endings' restaurants: n, t are customers and tables there, n_w, s in the root."""
+        root = self.root(n_w, s)
+        return (np.maximum(n - self.d[1] * t, 0) + (STRENGTH[1] + self.d[1] * self.t_g[g]) * root) / (STRENGTH[1] + self.n_g[g])
+
+    def root(self, n_w, s):
+        return (np.maximum(n_w - self.d[2] * s, 0) + (STRENGTH[2] + self.d[2] * self.s) / (self.words + 1)) / (STRENGTH[2] + self.n)
+
+
+class Contexts:
+    """A context bucket: pairs in the order of (word before, word), c their tokens in training (0: only asked for), t
+    their tables, p the sum of their probabilities in the samples so far."""
+
+    def __init__(self, uh, ue, size, wh, w, c, t=None, p=None) -> None:
+        self.uh, self.ue, self.size, self.wh = uh, ue, size.astype(np.int64), wh
+        self.w, self.c = w.astype(np.int64), c.astype(np.int64)
+        self.t = np.minimum(self.c, 1) if t is None else t.astype(np.int64)
+        self.p = p if p is not None else np.zeros(len(self.c))
+        self.u = np.repeat(np.arange(len(uh)), self.size)
+        # entries: the distinct (ending, word) of the pairs, dealt to word buckets
+        code, self.entry = np.unique(self.ue[self.u].astype(np.int64) * max(1, len(wh)) + self.w, return_inverse=True)
+        self.entry_g, self.entry_w = code // max(1, len(wh)), code % max(1, len(wh))
+
+    def blob(self) -> bytes:
+        return pack(self.uh, self.ue, narrow(self.size), self.wh, narrow(self.w), narrow(self.c), narrow(self.t), self.p)
+
+    def order(self, buckets: int) -> list[tuple[int, np.ndarray]]:
+        """The entries of each word bucket."""
+        return parts_of(word_bucket(self.wh[self.entry_w], buckets))
+
+    def tables(self) -> np.ndarray:
+        """Of each entry: the tables of its pairs."""
+        return np.bincount(self.entry, self.t, len(self.entry_g)).astype(np.int64)
+
+    def restaurants(self, line: Line, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each context: customers, the tables it has in other buckets, and its number among the split ones. before:
+        all tables of the split contexts when this bucket had the tables it has now."""
+        c_u, own = np.bincount(self.u, self.c, len(self.uh)), line.split(self.uh)
+        elsewhere, some = np.zeros(len(self.uh)), np.flatnonzero(own >= 0)
+        if len(some):
+            c_u[some] = line.learned[own[some]]
+            elsewhere[some] = before[own[some]] - np.bincount(self.u, self.t, len(self.uh))[some]
+        return c_u, elsewhere, own
+
+    def predictive(self, c_u: np.ndarray, elsewhere: np.ndarray, d: float, above: np.ndarray) -> np.ndarray:
+        t_u = np.bincount(self.u, self.t, len(self.uh)) + elsewhere
+        return (np.maximum(self.c - d * self.t, 0) + ((STRENGTH[0] + d * t_u)[self.u]) * above) / (STRENGTH[0] + c_u[self.u])
+
+    def draw(self, elsewhere: np.ndarray, d: float, above: np.ndarray, rng, draws: int = DRAWS) -> None:
+        """Draws all tables anew, so many times; the words of a restaurant at once, given each other's tables before."""
+        some = np.flatnonzero(self.c > 1)
+        u, c, p = self.u[some], self.c[some], above[some]
+        for _ in range(draws):
+            t_u = np.bincount(self.u, self.t, len(self.uh)) + elsewhere
+            self.t[some] = seat(c, np.maximum(0, t_u[u] - self.t[some]), STRENGTH[0], d, p, rng)
+
+
+class Words:
+    """A word bucket: entries (ending g, word w) with n customers and t tables, and of each word n_w and s in the root.
+    at: the entries that each sending context bucket has, in its order."""
+
+    def __init__(self, senders, sizes, at, words, w, g, t=None, s=None) -> None:
+        self.senders, self.sizes, self.at = senders.astype(np.int64), sizes.astype(np.int64), at.astype(np.int64)
+        self.words, self.w, self.g = int(words), w.astype(np.int64), g.astype(np.int64)
+        self.t, self.s = t, s
+
+    def fixed(self) -> bytes:
+        return pack(self.senders, self.sizes, narrow(self.at), np.array([self.words]), narrow(self.w), narrow(self.g))
+
+    def seats(self) -> bytes:
+        return pack(narrow(self.t), narrow(self.s))
+
+    def customers(self, sent: np.ndarray) -> np.ndarray:
+        """sent: what the senders have, one after the other."""
+        return np.bincount(self.at, sent, len(self.w)).astype(np.int64)
+
+    def in_root(self) -> np.ndarray:
+        return np.bincount(self.w, self.t, self.words).astype(np.int64)
+
+    def begin(self, n: np.ndarray) -> None:
+        self.t = np.minimum(n, 1)
+        self.s = np.minimum(self.in_root(), 1)
+
+    def draw(self, n: np.ndarray, totals: Totals, rng, draws: int = DRAWS) -> None:
+        before, above_before = self.t, self.s
+        for _ in range(draws):
+            root = totals.root(self.in_root(), self.s)
+            self.t = seat(n, np.maximum(0, totals.t_g[self.g] - before), STRENGTH[1], totals.d[1], root[self.w], rng)
+            self.s = seat(self.in_root(), np.maximum(0, totals.s - above_before), STRENGTH[2], totals.d[2], np.full(self.words, 1 / (totals.words + 1)), rng)
+
+    def down(self, n: np.ndarray) -> list[tuple[int, list[np.ndarray]]]:
+        """For each sender: customers and tables of its entries, in their restaurant and in the root."""
+        per = [x[self.at] for x in (n, self.t, self.in_root()[self.w], self.s[self.w])]
+        cut = np.cumsum(self.sizes)[:-1]
+        return list(zip(self.senders.tolist(), zip(*(np.split(x, cut) for x in per), strict=True), strict=True))
+
+    def totals(self, n: np.ndarray) -> list[tuple[int, int, int]]:
+        g, at = np.unique(self.g, return_inverse=True)
+        n_w = self.in_root()
+        out = list(zip(g.tolist(), np.bincount(at, n, len(g)).astype(np.int64).tolist(), np.bincount(at, self.t, len(g)).astype(np.int64).tolist(), strict=True))
+        out += [(NUMBERS, int(n_w.sum()), int(self.s.sum()))]
+        return out + [(NUMBERS + 2 + i, int((x == 1).sum()), int((x == 2).sum())) for i, x in enumerate((n, n_w))]
+
 
+# ---- on Spark ----
 
-class Model:
-    """states: a row (bucket, blob, totals) for each bucket; contexts: (bucket, blob) for each, of the contexts it sums
-    up; totals: of each kept sample."""
 
-    def __init__(self, states: DataFrame, contexts: DataFrame, buckets: int, totals: list[Totals]) -> None:
-        self.states, self.contexts, self.buckets, self.totals = states, contexts, buckets, totals
+def packed_totals(found: list[tuple[int, int, int]]) -> bytes:
+    x = np.array(found, np.int64).reshape(-1, 3)
+    return pack(*(np.ascontiguousarray(x[:, i]) for i in range(3)))
 
 
-def added(states: DataFrame) -> np.ndarray:
-    """The sum of the buckets' totals, in each task first: TOTALS numbers, whatever the corpus."""
-    out = np.zeros(TOTALS, np.int64)
+def summed(stored: DataFrame) -> dict[int, tuple[int, int]]:
+    """The rows of kind totals added up by key: at most ENDINGS, a few, and MOST_SPLIT keys reach the driver."""
 
-    def partly(batches):
-        total = np.zeros(TOTALS, np.int64)
+    def opened(batches):
         for b in batches:
             for x in b.column(0).to_pylist():
-                total += np.array(x, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["totals"])
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in unpack(x)], ["k", "a", "b"])
 
-    for k, n in states.select("totals").mapInArrow(partly, "totals array<long>").select(F.posexplode("totals").alias("k", "n")).groupBy("k").agg(F.sum("n")).collect():
-        out[k] = n
-    return out
+    found = stored.filter("kind = 'totals'").select("blob").mapInArrow(opened, "k long, a long, b long").groupBy("k").agg(F.sum("a"), F.sum("b")).collect()
+    return {k: (a, b) for k, a, b in found}
 
 
-def state_row(bucket: int, state: State) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([state.blob()], pa.binary()), pa.array([state.totals().tolist()], pa.list_(pa.int64()))], ["bucket", "blob", "totals"])
+class Folder:
+    """Tables of one run in the shared folder, each read by kind and removed when it is no longer needed."""
 
+    def __init__(self, spark) -> None:
+        self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/language-model-{uuid.uuid4().hex}"
 
-STATE = "bucket int, blob binary, totals array<long>"
-SENT = "bucket int, sender int, blob binary"
+    def keep(self, df: DataFrame, name: str, by_kind: bool = True) -> DataFrame:
+        out = df.write.option("compression", "none").option("parquet.block.size", str(16 << 20))
+        (out.partitionBy("kind") if by_kind else out).parquet(f"{self.path}/{name}")
+        gc.collect()  # what the table was made from is no longer used: Spark removes its shuffle files
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def drop(self, name: str = "") -> None:
+        removed(self.spark, f"{self.path}/{name}".rstrip("/"))
 
-def row(schema: str, *values) -> pa.RecordBatch:
-    """A batch of one row; numbers are ints."""
-    names = [x.split()[0] for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int32()) for x in values], names)
 
+def rounds(burn_in: int = BURN_IN, samples: int = SAMPLES) -> int:
+    return burn_in + samples
 
-def freed(spark) -> None:
-    """Spark removes the files of shuffles and checkpoints that are no longer used once the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
+def language_model(docs: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", seed: int = 1, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
+    """Learns from the rows where ``learn`` is true and scores all: (doc_id, n_tokens, n_known, train_tokens,
+    base_score, score) of each row.
 
-def summed_contexts(states: DataFrame, buckets: int) -> DataFrame:
-    """The contexts' totals: rows (bucket, sender, blob) for each bucket that has pairs of the contexts of sender, with
-    customers and tables of those contexts in the order of their keys, over all buckets; and, with sender -1, the keys,
-    customers and kept tables of the contexts that belong to bucket."""
+    Tokens are words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, then one end. A null text is an empty one: an end; a
+    null learn is false. base_score adds up log10((c + 1) / (N + V + 1)), score log10 of the model's probability.
+    Repeated ids and rows get a row each, ids of any type are returned as they are; other columns aren't read. Without
+    training rows every probability is 1, so scores are 0; an empty table gives an empty one. Draws depend on the seed
+    and on the training texts, not on partitions or settings.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    id_type = docs.schema[doc_id].dataType.simpleString()
+    source = docs.select(F.col(doc_id).alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    folder, limit = Folder(spark), BLOCK_TOKENS
 
-    def send(batches):
-        for b in batches:
-            for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                state = State.of(blob)
-                keys, at = state.contexts
-                sums = [np.bincount(at, x, len(keys)).astype(np.uint64) for x in (state.c, *(sample[0] for sample in state.samples))]
-                owner = bucket_of(keys, buckets)
-                order = np.argsort(owner, kind="stable")
-                first, _ = runs(owner[order])
-                for part in np.split(order, first[1:]) if len(order) else []:
-                    yield row(SENT, int(owner[part[0]]), bucket, pack(keys[part], *(x[part] for x in sums)))
-
-    def add(key, table):
-        me, senders = key[0].as_py(), table.column("sender").to_pylist()
+    def tokenised(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for k, block in enumerate(blocks(batches, limit)):
+            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k]), pa.array([block.n]), pa.array([len(block.number)]), pa.array([[str(i) if i is not None else None for i in block.ids]], pa.list_(pa.string())), pa.array([block.blob()], pa.binary())], ["block", "tokens", "words", "ids", "blob"])
+
+    texts = folder.keep(source.mapInArrow(tokenised, "block long, tokens long, words long, ids array<string>, blob binary"), "blocks", False)
+    size = texts.agg(F.sum("tokens"), F.sum("words")).first()
+    all_tokens, word_buckets = size[0] or 0, max(1, -(-(size[1] or 0) // BUCKET_WORDS))
+    split_from = max(SPLIT_TOKENS, -(-all_tokens // MOST_SPLIT))
+
+    def send_words(batches):
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                t = Texts(blob)
+                counts = t.counts()
+                yield rows(*(("word", k, block, pack(t.h[p], t.e[p], *(narrow(c[p]) for c in counts))) for k, p in parts_of(word_bucket(t.h, word_buckets))))
+
+    def count_words(key, table):
         parts = [unpack(x.as_py()) for x in table.column("blob")]
-        keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate(x), len(keys)).astype(np.uint64) for x in zip(*(p[1:] for p in parts), strict=True)]
-        rows, start = [row(SENT, me, -1, pack(keys, *sums))], 0
-        for sender, p in zip(senders, parts, strict=True):
-            mine = at[start : start + len(p[0])]
+        h, first, at = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+        e = np.concatenate([p[1] for p in parts])[first].astype(np.int64)
+        c, every = (np.bincount(at, np.concatenate([p[i] for p in parts]).astype(np.int64), len(h)).astype(np.int64) for i in (2, 3))
+        made, start = [], 0
+        for sender, p in zip(table.column("sender").to_pylist(), parts, strict=True):
+            made.append(("count", sender, key[0].as_py(), pack(narrow(c[at[start : start + len(p[0])]]))))
             start += len(p[0])
-            rows.append(row(SENT, sender, me, pack(sums[-1][mine])))
-        return pa.Table.from_batches(rows)
-
-    return materialised(states.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(add, SENT))
-
+        g, at_g = np.unique(e, return_inverse=True)
+        found = list(zip(g.tolist(), np.bincount(at_g, every, len(g)).astype(np.int64).tolist(), [0] * len(g), strict=True))
+        made.append(("totals", 0, 0, packed_totals([*found, (NUMBERS, int((c > 0).sum()), int(c.sum()))])))
+        hot = np.flatnonzero(every >= split_from)
+        if len(hot):
+            made.append(("split", 0, 0, pack(h[hot], e[hot], every[hot], c[hot])))
+        return pa.Table.from_batches([rows(*made)])
+
+    counted = folder.keep(texts.select("block", "blob").mapInArrow(send_words, SENT).groupBy("bucket").applyInArrow(count_words, SENT), "counts")
+    found = summed(counted)
+    words, n = found.pop(NUMBERS, (0, 0))
+    split = [tuple(int(y) for y in x) for r in counted.filter("kind = 'split'").select("blob").collect() for x in zip(*unpack(bytes(r.blob)), strict=True)]
+    line = Line({k: a for k, (a, _) in found.items()}, split, BUCKET_TOKENS)
+    shared = spark.sparkContext.broadcast(line)  # ENDINGS numbers, and MOST_SPLIT contexts at most
+
+    def send_pairs(batches):
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                t = Texts(blob)
+                _, bucket, u, w, c = t.pairs(shared.value)
+                for k, p in parts_of(bucket):
+                    a, b = u[p], w[p]
+                    first, wd = firsts(a), np.unique(b)
+                    yield rows(("pair", k, block, pack(t.h[a[first]], t.e[a[first]], narrow(np.diff(np.append(first, len(a)))), t.h[wd], narrow(np.searchsorted(wd, b)), narrow(c[p]))))
 
-def tables_of_contexts(state: State, sent: pa.Table, buckets: int) -> np.ndarray:
-    """Of each pair of the state, all tables of its context, from the rows that summed_contexts() has for the bucket."""
-    keys, at = state.contexts
-    order = np.argsort(bucket_of(keys, buckets), kind="stable")
+    def merge(key, table):
+        me, parts = key[0].as_py(), [unpack(x.as_py()) for x in table.column("blob")]
+        uh, first, u = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+        ue = np.concatenate([p[1] for p in parts])[first]
+        u = np.repeat(u, np.concatenate([p[2] for p in parts]).astype(np.int64))
+        wh, w = np.unique(np.concatenate([p[3] for p in parts]), return_inverse=True)
+        shift = np.cumsum([0, *(len(p[3]) for p in parts)])
+        w = w[np.concatenate([p[4].astype(np.int64) + s for p, s in zip(parts, shift, strict=False)])]
+        pair, at = np.unique(u * len(wh) + w, return_inverse=True)
+        c = np.bincount(at, np.concatenate([p[5] for p in parts]).astype(np.int64), len(pair)).astype(np.int64)
+        u, w = pair // len(wh), pair % len(wh)
+        state = Contexts(uh, ue, np.bincount(u, minlength=len(uh)), wh, w, c)
+        made, start = [("state", me, -1, state.blob())], 0
+        for sender, p in zip(table.column("sender").to_pylist(), parts, strict=True):
+            made.append(("ask", me, sender, pack(narrow(at[start : start + len(p[4])]))))
+            start += len(p[4])
+        tables = state.tables()
+        made += [("up", k, me, pack(wh[state.entry_w[p]], narrow(state.entry_g[p]), narrow(tables[p]))) for k, p in state.order(word_buckets)]
+        made.append(("totals", 0, 0, packed_totals([(NUMBERS + 1, int((c == 1).sum()), int((c == 2).sum())), *split_tables(state, shared.value)])))
+        return pa.Table.from_batches([rows(*made)])
+
+    pairs = texts.select("block", "blob").mapInArrow(send_pairs, SENT).groupBy("bucket").applyInArrow(merge, SENT)
+    states = asked = folder.keep(pairs, "pairs")
+
+    def gather(key, table):
+        got = sorted(zip(table.column("sender").to_pylist(), table.column("blob").to_pylist(), strict=True))
+        parts = [unpack(x) for _, x in got]
+        wh, w = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        pair, at = np.unique(w * ENDINGS + np.concatenate([p[1] for p in parts]).astype(np.int64), return_inverse=True)
+        state = Words(np.array([s for s, _ in got]), np.array([len(p[0]) for p in parts]), at, len(wh), pair // ENDINGS, pair % ENDINGS)
+        n = state.customers(np.concatenate([p[2] for p in parts]))
+        state.begin(n)
+        return pa.Table.from_batches([rows(("fixed", key[0].as_py(), -1, state.fixed())), word_rows(key[0].as_py(), state, n)])
+
+    seats = fixed = folder.keep(states.filter("kind = 'up'").groupBy("bucket").applyInArrow(gather, SENT), "words")
+    totals = Totals(first := summed(states) | summed(fixed), words, n, len(split))
+    of_contexts = first.get(NUMBERS + 1, (0, 0))
+
+    for k in range(burn_in + samples - 1):
+        states_before, seats_before = ("pairs", None) if not k else (f"states{k - 1}", f"seats{k - 1}")
+        run = context_round(totals, shared, word_buckets, [seed, k, 0], k >= burn_in)
+        down, now = seats.filter("kind = 'down'"), states.filter("kind = 'state'")
+        states = folder.keep(now.groupBy("bucket").cogroup(down.groupBy("bucket")).applyInArrow(run, SENT), f"states{k}")
+        run = word_round(totals, [seed, k, 1])
+        held = fixed.filter("kind = 'fixed'").unionByName(seats.filter("kind = 'seats'"))
+        seats = folder.keep(held.groupBy("bucket").cogroup(states.filter("kind = 'up'").groupBy("bucket")).applyInArrow(run, SENT), f"seats{k}")
+        totals = Totals({NUMBERS + 1: of_contexts} | summed(states) | summed(seats), words, n, len(split))
+        if k:
+            folder.drop(states_before)
+            folder.drop(seats_before)
+
+    answers = answered(totals, shared, word_buckets, samples)
+    held = states.filter("kind = 'state'").unionByName(asked.filter("kind = 'ask'"))
+    sent = held.groupBy("bucket").cogroup(seats.filter("kind = 'down'").groupBy("bucket")).applyInArrow(answers, SENT)
+    sent = sent.unionByName(counted.filter("kind = 'count'"))
+    out = texts.select("block", "ids", "blob").groupBy("block").cogroup(sent.groupBy("bucket")).applyInArrow(added(shared, word_buckets, words, n), "id string, n_tokens long, n_known long, base_score double, score double")
+    done = materialised(out.select(F.col("id").cast(id_type).alias(doc_id), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"))
+    folder.drop()
+    return done
+
+
+def split_tables(state: Contexts, line: Line) -> list[tuple[int, int, int]]:
+    """This bucket's tables of the split contexts, as rows of totals."""
+    own = line.split(state.uh)
+    t_u = np.bincount(state.u, state.t, len(state.uh)).astype(np.int64)
+    return [(SPLIT + int(own[i]), int(t_u[i]), 0) for i in np.flatnonzero(own >= 0).tolist()]
+
+
+def word_rows(bucket: int, state: Words, n: np.ndarray) -> pa.RecordBatch:
+    down = [("down", sender, bucket, pack(*map(narrow, x))) for sender, x in state.down(n)]
+    return rows(("seats", bucket, -1, state.seats()), ("totals", 0, 0, packed_totals(state.totals(n))), *down)
+
+
+def opened(state: Contexts, sent: pa.Table, totals: Totals, buckets: int) -> np.ndarray:
+    """Of each pair the word's probability in the ending's restaurant, from the rows that the word buckets sent."""
     got = sorted(zip(sent.column("sender").to_pylist(), sent.column("blob").to_pylist(), strict=True))
-    out = np.zeros(len(keys), np.int64)
-    out[order] = np.concatenate([unpack(blob)[0] for _, blob in got]).astype(np.int64)
-    return out[at]
+    parts = zip(*(unpack(x) for _, x in got), strict=True)
+    order = np.concatenate([p for _, p in state.order(buckets)])
+    above = np.empty(len(order))
+    above[order] = totals.probability(state.entry_g[order], *(np.concatenate(x).astype(np.float64) for x in parts))
+    return above[state.entry]
 
 
-def swept(totals: Totals, buckets: int, seed: int, keep: bool):
-    """sweep() of a bucket's row, with the rows that summed_contexts() has for the bucket."""
+def context_round(totals: Totals, shared, word_buckets: int, seed: list[int], sample: bool):
+    """A context bucket's part of a round; with sample, the seating it begins with is one."""
 
     def run(key, old, sent):
-        bucket, state = key[0].as_py(), State.of(old.column("blob")[0].as_py())
-        new = sweep(state, totals, tables_of_contexts(state, sent, buckets), seed + bucket * 101, keep)
-        return pa.Table.from_batches([state_row(bucket, new)])
+        me, state = key[0].as_py(), Contexts(*unpack(old.column("blob")[0].as_py()))
+        above = opened(state, sent, totals, word_buckets)
+        c_u, elsewhere, _ = state.restaurants(shared.value, totals.t_split)
+        if sample:
+            state.p = state.p + state.predictive(c_u, elsewhere, totals.d[0], above)
+        state.draw(elsewhere, totals.d[0], above, np.random.default_rng([*seed, me]))
+        tables = state.tables()
+        up = [("up", k, me, pack(narrow(tables[p]))) for k, p in state.order(word_buckets)]
+        return pa.Table.from_batches([rows(("state", me, -1, state.blob()), ("totals", 0, 0, packed_totals(split_tables(state, shared.value))), *up)])
 
     return run
 
 
-def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", buckets: int | None = None, seed: int = 1, every: bool = False) -> Model:
-    """Learns from the documents whose crc32(id as text) mod 7 is not 2 (with every: from all). Draws depend on the
-    seed, the buckets and the words only, not on how the rows are dealt."""
-    spark = docs.sparkSession
-    buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(doc_id).cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")))
-
-    def count(batches):
-        for block in blocks(batches, lambda i: every or remainder_of(i, 7) != 2):
-            bucket, h, u, c, _, _ = block.pairs(buckets)
-            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([packed_pairs(h[a:b], u[a:b], c[a:b].astype(np.uint32))], pa.binary())], ["bucket", "blob"])
-
-    def merge(key, table):
-        parts = [unpacked_pairs(x.as_py()) for x in table.column("blob")]
-        h, u, c = (np.concatenate(x) for x in zip(*[(h, u, c) for h, u, (c,) in parts], strict=True))
-        order = np.lexsort((u, h))
-        h, u, c = h[order], u[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (u[1:] != u[:-1])]))
-        return pa.Table.from_batches([state_row(key[0].as_py(), State(h[first], u[first], np.add.reduceat(c.astype(np.int64), first)))])
-
-    states = materialised(rows.mapInArrow(count, "bucket int, blob binary").groupBy("bucket").applyInArrow(merge, STATE))
-    totals = Totals(added(states))
-    discounts, kept = totals.d, []
-    contexts = summed_contexts(states, buckets)
-    for k in range(BURN_IN + SAMPLES):
-        run = swept(totals, buckets, seed * 1_000_003 + k, k > BURN_IN)
-        states = materialised(states.groupBy("bucket").cogroup(contexts.filter("sender >= 0").groupBy("bucket")).applyInArrow(run, STATE))
-        freed(spark)
-        totals = Totals(added(states), discounts)
-        contexts = summed_contexts(states, buckets)
-        freed(spark)
-        if k >= BURN_IN:
-            kept.append(totals)
-    return Model(states, contexts.filter("sender < 0").select("bucket", "blob"), buckets, kept)
-
-
-def place(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where key is in the sorted keys, and whether it is."""
-    at = np.searchsorted(keys, key)
-    at[at == len(keys)] = 0
-    return at, (keys[at] == key) if len(keys) else np.zeros(len(key), bool)
-
-
-def pick(x: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
-    return np.where(there, x[at], 0) if len(x) else np.zeros(len(at), np.int64)
-
-
-def no_state() -> State:
-    return State(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-
-def in_classes(state: State, totals: list[Totals], h: np.ndarray, f: np.ndarray) -> list[np.ndarray]:
-    """For each sample the probabilities of words in classes."""
-    g = parent_of(f)
-    w, found = place(state.word_hashes, h)
-    at_g, in_g = place(state.parent_numbers, w * PARENTS + g)
-    at_f, in_f = place(state.class_numbers, w * CONTEXTS + f)
-    in_g, in_f, out = in_g & found, in_f & found, []
-    kept = list(zip(state.samples, state.sample_customers, strict=True))
-    for ((_, t, s, r), (n_f, n_g, n_w)), total in zip(kept[-len(totals) :] if state.words else repeat(kept[-1], len(totals)), totals, strict=True):
-        root = total.root(pick(n_w, w, found), pick(r, w, found))
-        parent = total.parent(g, pick(n_g, at_g, in_g), pick(s, at_g, in_g), root)
-        out.append(total.of_class(f, pick(n_f, at_f, in_f), pick(t, at_f, in_f), parent))
-    return out
+def word_round(totals: Totals, seed: list[int]):
+    """A word bucket's part of a round."""
 
+    def run(key, held, sent):
+        me, blobs = key[0].as_py(), dict(zip(held.column("kind").to_pylist(), held.column("blob").to_pylist(), strict=True))
+        t, s = unpack(blobs["seats"])
+        state = Words(*unpack(blobs["fixed"]), t=t.astype(np.int64), s=s.astype(np.int64))
+        got = sorted(zip(sent.column("sender").to_pylist(), sent.column("blob").to_pylist(), strict=True))
+        n = state.customers(np.concatenate([unpack(x)[0] for _, x in got]))
+        state.draw(n, totals, np.random.default_rng([*seed, me]))
+        return pa.Table.from_batches([word_rows(me, state, n)])
 
-def counts(state: State, h: np.ndarray) -> np.ndarray:
-    """The words' counts in training."""
-    return pick(state.word_counts, *place(state.word_hashes, h))
-
-
-def answers(state: State | None, totals: list[Totals], h: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each pair of word and class the word's count in training and log10 of its probability after a word of that
-    class that training has not, averaged over the samples."""
-    state = state or no_state()
-    return counts(state, h), np.log10(sum(in_classes(state, totals, h, f.astype(np.int64))) / len(totals))
+    return run
 
 
-def pair_answers(state: State | None, totals: list[Totals], h: np.ndarray, u: np.ndarray) -> list[np.ndarray]:
-    """For each pair of word and context, by sample: what the word has of its own in the context (Totals.own), and its
-    probability in the context's class."""
-    state = state or no_state()
-    w, found = place(state.word_hashes, h)
-    number, in_u = place(state.contexts[0], u)
-    at, there = place(state.pair_numbers, w * max(1, len(state.contexts[0])) + number)
-    there &= found & in_u
-    c = pick(state.c, at, there)
-    samples = state.samples[-len(totals) :] if state.words else [state.samples[-1]] * len(totals)
-    own = [total.own(c, pick(sample[0], at, there)) for sample, total in zip(samples, totals, strict=True)]
-    return [*own, *in_classes(state, totals, h, (u >> np.uint64(KEY_BITS)).astype(np.int64))]
+def answered(totals: Totals, shared, word_buckets: int, samples: int):
+    """The last sample, and to each block log10 of its pairs' averaged probabilities."""
 
+    def run(key, held, sent):
+        me, kinds, blobs = key[0].as_py(), held.column("kind").to_pylist(), held.column("blob").to_pylist()
+        state = Contexts(*unpack(blobs[kinds.index("state")]))
+        above = opened(state, sent, totals, word_buckets)
+        c_u, elsewhere, _ = state.restaurants(shared.value, totals.t_split)
+        p = np.log10((state.p + state.predictive(c_u, elsewhere, totals.d[0], above)) / samples).astype(np.float32)
+        return pa.Table.from_batches([rows(*(("answer", s, me, pack(p[unpack(x)[0]])) for kind, s, x in zip(kinds, held.column("sender").to_pylist(), blobs, strict=True) if kind == "ask"))])
 
-def probability(totals: list[Totals], c_u: np.ndarray, q_u: list[np.ndarray], own: list[np.ndarray], above: list[np.ndarray]) -> np.ndarray:
-    """Of pairs, averaged over the samples; c_u and q_u: customers of the context and, by sample, its tables."""
-    return sum((x + total.share(q, p)) / total.size(c_u) for total, q, x, p in zip(totals, q_u, own, above, strict=True)) / len(totals)
+    return run
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each document.
+def added(shared, word_buckets: int, words: int, n: int):
+    """A block's texts with their sums."""
 
-    Tokens are words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, then one end. A null text is an empty one: an end.
-    base_score adds up log10((c + 1) / (N + V + 1)), score log10 of the model's probability. Repeated ids and rows get
-    a row each. Without training rows every probability is 1.
-    """
-    rows = docs.select(F.col(doc_id).cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")))
-    buckets, totals = model.buckets, model.totals
-    n, v = totals[0].tokens, totals[0].words
-    none = pa.array([None], pa.list_(pa.int64()))
-    schema = "block string, bucket int, own boolean, ids array<long>, blob binary"
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def ask(batches):
-        from pyspark import TaskContext
+    def run(key, held, sent):
+        t = Texts(held.column("blob")[0].as_py())
+        got = sorted(zip(sent.column("kind").to_pylist(), sent.column("sender").to_pylist(), sent.column("blob").to_pylist(), strict=True))
+        c = np.empty(len(t.h), np.int64)
+        c[np.concatenate([p for _, p in parts_of(word_bucket(t.h, word_buckets))])] = np.concatenate([unpack(x)[0] for kind, _, x in got if kind == "count"])
+        pair = t.pairs(shared.value)[0]
+        p = np.concatenate([unpack(x)[0] for kind, _, x in got if kind == "answer"]).astype(np.float64)
+        order = np.argsort(pair)
+        p = p[order][np.searchsorted(pair[order], t.key)]
+        known = c[t.at]
+        starts = np.concatenate([[0], np.cumsum(t.sizes)[:-1]])
+        sums = [np.add.reduceat(x, starts) for x in ((known > 0).astype(np.int64), np.log10((known + 1) / (n + words + 1)), p)]
+        return pa.table([held.column("ids")[0].values, pa.array(t.sizes), *map(pa.array, sums)], ["id", "n_tokens", "n_known", "base_score", "score"])
 
-        part = TaskContext.get().partitionId()
-        for k, block in enumerate(blocks(batches, lambda i: True)):
-            name = pa.array([f"{part}-{k}"])
-            bucket, h, u, _, at, end = block.pairs(buckets)
-            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            # the block's own row passes through some bucket unchanged
-            texts = pack(np.array(block.sizes, np.int32), at, np.array([end, len(block.number)], np.int32))
-            yield pa.RecordBatch.from_arrays([name, pa.array([zlib.crc32(name[0].as_py().encode()) % buckets], pa.int32()), pa.array([True]), pa.array([block.ids], pa.list_(pa.int64())), pa.array([texts], pa.binary())], names)
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                yield pa.RecordBatch.from_arrays([name, pa.array([int(bucket[a])], pa.int32()), pa.array([False]), none, pa.array([packed_pairs(h[a:b], u[a:b])], pa.binary())], names)
-
-    def answer(key, asked, found):
-        blobs = dict(zip(found.column("kind").to_pylist(), found.column("blob").to_pylist(), strict=True))
-        state = State.of(blobs["state"]) if "state" in blobs else None
-        keys, c_u, *q_u = unpack(blobs["contexts"]) if "contexts" in blobs else [np.zeros(0, np.uint64)] * (2 + len(totals))
-        # a context is found by its word: the class, which is the word's, is not asked for
-        order = np.argsort(keys & KEY_MASK, kind="stable")
-        keys, c_u, *q_u = (x[order] for x in (keys & KEY_MASK, c_u, *q_u[-len(totals) :]))
-
-        def made(blob):
-            h, u, _ = unpacked_pairs(blob)
-            own_and_class = [x.astype(np.float32) for x in pair_answers(state, totals, h, u)]
-            known = h[runs(h)[0]]
-            at, there = place(keys, known & KEY_MASK)
-            count = counts(state, known) if state else np.zeros(len(known))
-            first = own_and_class[len(totals)].view(np.int32)  # later samples differ little: send the differences
-            classes = [first, *(x.view(np.int32) - first for x in own_and_class[len(totals) + 1 :])]
-            return pack(count.astype(np.uint64), *(pick(x, at, there).astype(np.uint64) for x in (c_u, *q_u)), *own_and_class[: len(totals)], *classes)
-
-        out = [blob if own else made(blob) for own, blob in zip(asked.column("own").to_pylist(), asked.column("blob").to_pylist(), strict=True)]
-        return pa.table([asked.column("block"), asked.column("bucket"), asked.column("own"), asked.column("ids"), pa.array(out, pa.binary())], names)
-
-    def total(key, table):
-        got = list(zip(table.column("own").to_pylist(), table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True))
-        ids = next(x for x in table.column("ids").to_pylist() if x is not None)
-        sizes, at, (end, words) = unpack(next(blob for own, _, blob in got if own))
-        c, c_u, *rest = (np.concatenate(x) for x in zip(*(unpack(blob) for own, _, blob in sorted(got) if not own), strict=True))
-        k = len(totals)
-        q_u, own, classes = rest[:k], rest[k : 2 * k], rest[2 * k :]
-        above = [x.view(np.float32).astype(np.float64) for x in (classes[0], *(classes[0] + x for x in classes[1:]))]
-        pair, inverse = np.unique(pair_keys(at, int(end), int(words)), return_inverse=True)
-        before = pair % int(words)
-        p = np.log10(probability(totals, c_u[before].astype(float), [x[before].astype(float) for x in q_u], own, above))
-        c = c[at].astype(np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        add = lambda x: np.add.reduceat(x, starts)
-        base = np.log10((c + 1) / (n + v + 1))
-        return pa.table(
-            [pa.array(ids, pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(ids), n, np.int64)), pa.array(add(base)), pa.array(add(p[inverse]))],
-            ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
-
-    kinds = model.states.select("bucket", F.lit("state").alias("kind"), "blob").unionByName(model.contexts.select("bucket", F.lit("contexts").alias("kind"), "blob"))
-    answered = rows.mapInArrow(ask, schema).groupBy("bucket").cogroup(kinds.groupBy("bucket")).applyInArrow(answer, schema)
-    out = answered.groupBy("block").applyInArrow(total, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.withColumnRenamed("doc_id", doc_id) if doc_id != "doc_id" else out
+    return run
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = score(docs, train(docs))
-    return rows.select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    out = language_model(docs, remainder(F.col("doc_id"), 7) != 2)
+    return out.select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
