@@ -125,16 +125,24 @@ def word_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 # ---- blocks ----
 
 
+class Numbers(dict):
+    """Numbers words as they appear."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Block:
     """Texts as numbers of their words, in the order in which words appear."""
 
     def __init__(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = Numbers()
         self.parts, self.sizes, self.learn, self.ids, self.n = [], [], [], [], 0
 
     def add(self, doc_id, learn: bool, text: bytes | None) -> None:
-        words, number = tokens(text), self.number
-        self.parts.append(np.array([number.setdefault(w, len(number)) for w in words], np.int32))
+        words = tokens(text)
+        self.parts.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
         self.sizes.append(len(words))
         self.learn.append(learn)
         self.ids.append(doc_id)
@@ -306,14 +314,17 @@ class Contexts:
         self.uh, self.ue, self.size, self.wh = uh, ue, size.astype(np.int64), wh
         self.w, self.c = w.astype(np.int64), c.astype(np.int64)
         self.t = np.minimum(self.c, 1) if t is None else t.astype(np.int64)
-        self.p = p if p is not None else np.zeros(len(self.c))
+        self.p = np.zeros(len(self.c), np.float32) if p is None else p
         self.u = np.repeat(np.arange(len(uh)), self.size)
         # entries: the distinct (ending, word) of the pairs, dealt to word buckets
         code, self.entry = np.unique(self.ue[self.u].astype(np.int64) * max(1, len(wh)) + self.w, return_inverse=True)
         self.entry_g, self.entry_w = code // max(1, len(wh)), code % max(1, len(wh))
 
-    def blob(self) -> bytes:
-        return pack(self.uh, self.ue, narrow(self.size), self.wh, narrow(self.w), narrow(self.c), narrow(self.t), self.p)
+    def fixed(self) -> bytes:
+        return pack(self.uh, self.ue, narrow(self.size), self.wh, narrow(self.w), narrow(self.c))
+
+    def seats(self) -> bytes:
+        return pack(narrow(self.t), self.p.astype(np.float32))
 
     def order(self, buckets: int) -> list[tuple[int, np.ndarray]]:
         """The entries of each word bucket."""
@@ -414,26 +425,32 @@ def summed(stored: DataFrame) -> dict[int, tuple[int, int]]:
 
 
 class Folder:
-    """Tables of one run in the shared folder, each read by kind and removed when it is no longer needed."""
+    """Tables of one run in the shared folder, each removed when it is no longer needed."""
 
     def __init__(self, spark) -> None:
-        self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/language-model-{uuid.uuid4().hex}"
+        self.spark, self.name, self.tables = spark, f"language_model_{uuid.uuid4().hex}", set()
+        self.path = f"{shared_dir(spark).rstrip('/')}/{self.name}"
 
-    def keep(self, df: DataFrame, name: str, by_kind: bool = True) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, bucketed: int = 0) -> DataFrame:
+        """With bucketed the table is dealt to so many files by its bucket, so that no later round shuffles it."""
         out = df.write.option("compression", "none").option("parquet.block.size", str(16 << 20))
-        (out.partitionBy("kind") if by_kind else out).parquet(f"{self.path}/{name}")
+        if "kind" in df.columns:
+            out = out.partitionBy("kind")
+        if bucketed:
+            out.option("path", f"{self.path}/{name}").bucketBy(bucketed, "bucket").saveAsTable(f"{self.name}_{name}")
+            self.tables.add(f"{self.name}_{name}")
+        else:
+            out.parquet(f"{self.path}/{name}")
         gc.collect()  # what the table was made from is no longer used: Spark removes its shuffle files
         self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+        return self.spark.table(f"{self.name}_{name}").select(*df.columns) if bucketed else self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str = "") -> None:
+        for table in [t for t in self.tables if not name]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         removed(self.spark, f"{self.path}/{name}".rstrip("/"))
 
 
-def rounds(burn_in: int = BURN_IN, samples: int = SAMPLES) -> int:
-    return burn_in + samples
-
-
 def language_model(docs: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", seed: int = 1, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """Learns from the rows where ``learn`` is true and scores all: (doc_id, n_tokens, n_known, train_tokens,
     base_score, score) of each row.
@@ -448,16 +465,28 @@ def language_model(docs: DataFrame, learn: Column, text: str = "text", doc_id: s
     small_batches(spark)
     id_type = docs.schema[doc_id].dataType.simpleString()
     source = docs.select(F.col(doc_id).alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    folder, limit = Folder(spark), BLOCK_TOKENS
+    folder = Folder(spark)
+    try:
+        out, n = scored(source, folder, seed, burn_in, samples)
+        return materialised(out.select(F.col("id").cast(id_type).alias(doc_id), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"))
+    finally:
+        folder.drop()
+
+
+def scored(source: DataFrame, folder: Folder, seed: int, burn_in: int, samples: int) -> tuple[DataFrame, int]:
+    """(id, n_tokens, n_known, base_score, score) of source's rows (id, learn, text), and the tokens in training."""
+    spark, limit = source.sparkSession, BLOCK_TOKENS
 
     def tokenised(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         for k, block in enumerate(blocks(batches, limit)):
-            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k]), pa.array([block.n]), pa.array([len(block.number)]), pa.array([[str(i) if i is not None else None for i in block.ids]], pa.list_(pa.string())), pa.array([block.blob()], pa.binary())], ["block", "tokens", "words", "ids", "blob"])
+            ids = pa.array([[str(i) if i is not None else None for i in block.ids]], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k]), pa.array([block.n]), pa.array([len(block.number)]), ids, pa.array([block.blob()], pa.binary())], ["bucket", "tokens", "words", "ids", "blob"])
 
-    texts = folder.keep(source.mapInArrow(tokenised, "block long, tokens long, words long, ids array<string>, blob binary"), "blocks", False)
+    made = source.mapInArrow(tokenised, "bucket long, tokens long, words long, ids array<string>, blob binary")
+    texts = folder.keep(made, "blocks", max(1, source.rdd.getNumPartitions()))
     size = texts.agg(F.sum("tokens"), F.sum("words")).first()
     all_tokens, word_buckets = size[0] or 0, max(1, -(-(size[1] or 0) // BUCKET_WORDS))
     split_from = max(SPLIT_TOKENS, -(-all_tokens // MOST_SPLIT))
@@ -486,7 +515,7 @@ def language_model(docs: DataFrame, learn: Column, text: str = "text", doc_id: s
             made.append(("split", 0, 0, pack(h[hot], e[hot], every[hot], c[hot])))
         return pa.Table.from_batches([rows(*made)])
 
-    counted = folder.keep(texts.select("block", "blob").mapInArrow(send_words, SENT).groupBy("bucket").applyInArrow(count_words, SENT), "counts")
+    counted = folder.keep(texts.select("bucket", "blob").mapInArrow(send_words, SENT).groupBy("bucket").applyInArrow(count_words, SENT), "counts")
     found = summed(counted)
     words, n = found.pop(NUMBERS, (0, 0))
     split = [tuple(int(y) for y in x) for r in counted.filter("kind = 'split'").select("blob").collect() for x in zip(*unpack(bytes(r.blob)), strict=True)]
@@ -500,8 +529,10 @@ def language_model(docs: DataFrame, learn: Column, text: str = "text", doc_id: s
                 _, bucket, u, w, c = t.pairs(shared.value)
                 for k, p in parts_of(bucket):
                     a, b = u[p], w[p]
-                    first, wd = firsts(a), np.unique(b)
-                    yield rows(("pair", k, block, pack(t.h[a[first]], t.e[a[first]], narrow(np.diff(np.append(first, len(a)))), t.h[wd], narrow(np.searchsorted(wd, b)), narrow(c[p]))))
+                    first = firsts(a)
+                    there = np.zeros(len(t.h), bool)
+                    there[b] = True
+                    yield rows(("pair", k, block, pack(t.h[a[first]], t.e[a[first]], narrow(np.diff(np.append(first, len(a)))), t.h[there], narrow((np.cumsum(there) - 1)[b]), narrow(c[p]))))
 
     def merge(key, table):
         me, parts = key[0].as_py(), [unpack(x.as_py()) for x in table.column("blob")]
@@ -515,7 +546,7 @@ def language_model(docs: DataFrame, learn: Column, text: str = "text", doc_id: s
         c = np.bincount(at, np.concatenate([p[5] for p in parts]).astype(np.int64), len(pair)).astype(np.int64)
         u, w = pair // len(wh), pair % len(wh)
         state = Contexts(uh, ue, np.bincount(u, minlength=len(uh)), wh, w, c)
-        made, start = [("state", me, -1, state.blob())], 0
+        made, start = [("fixed", me, -1, state.fixed())], 0
         for sender, p in zip(table.column("sender").to_pylist(), parts, strict=True):
             made.append(("ask", me, sender, pack(narrow(at[start : start + len(p[4])]))))
             start += len(p[4])
@@ -524,8 +555,7 @@ def language_model(docs: DataFrame, learn: Column, text: str = "text", doc_id: s
         made.append(("totals", 0, 0, packed_totals([(NUMBERS + 1, int((c == 1).sum()), int((c == 2).sum())), *split_tables(state, shared.value)])))
         return pa.Table.from_batches([rows(*made)])
 
-    pairs = texts.select("block", "blob").mapInArrow(send_pairs, SENT).groupBy("bucket").applyInArrow(merge, SENT)
-    states = asked = folder.keep(pairs, "pairs")
+    pairs = folder.keep(texts.select("bucket", "blob").mapInArrow(send_pairs, SENT).groupBy("bucket").applyInArrow(merge, SENT), "pairs", line.buckets)
 
     def gather(key, table):
         got = sorted(zip(table.column("sender").to_pylist(), table.column("blob").to_pylist(), strict=True))
@@ -537,31 +567,29 @@ def language_model(docs: DataFrame, learn: Column, text: str = "text", doc_id: s
         state.begin(n)
         return pa.Table.from_batches([rows(("fixed", key[0].as_py(), -1, state.fixed())), word_rows(key[0].as_py(), state, n)])
 
-    seats = fixed = folder.keep(states.filter("kind = 'up'").groupBy("bucket").applyInArrow(gather, SENT), "words")
-    totals = Totals(first := summed(states) | summed(fixed), words, n, len(split))
-    of_contexts = first.get(NUMBERS + 1, (0, 0))
-
+    of_words = folder.keep(pairs.filter("kind = 'up'").groupBy("bucket").applyInArrow(gather, SENT), "words", word_buckets)
+    first = summed(pairs) | summed(of_words)
+    totals, once = Totals(first, words, n, len(split)), first.get(NUMBERS + 1, (0, 0))
+    in_pairs, in_words = (x.filter("kind = 'fixed'").groupBy("bucket") for x in (pairs, of_words))
+    # what a round leaves: of the context buckets seats and up, of the word buckets seats and down
+    states, seats = None, of_words
     for k in range(burn_in + samples - 1):
-        states_before, seats_before = ("pairs", None) if not k else (f"states{k - 1}", f"seats{k - 1}")
-        run = context_round(totals, shared, word_buckets, [seed, k, 0], k >= burn_in)
-        down, now = seats.filter("kind = 'down'"), states.filter("kind = 'state'")
-        states = folder.keep(now.groupBy("bucket").cogroup(down.groupBy("bucket")).applyInArrow(run, SENT), f"states{k}")
-        run = word_round(totals, [seed, k, 1])
-        held = fixed.filter("kind = 'fixed'").unionByName(seats.filter("kind = 'seats'"))
-        seats = folder.keep(held.groupBy("bucket").cogroup(states.filter("kind = 'up'").groupBy("bucket")).applyInArrow(run, SENT), f"seats{k}")
-        totals = Totals({NUMBERS + 1: of_contexts} | summed(states) | summed(seats), words, n, len(split))
+        sent = seats.filter("kind = 'down'")
+        sent = sent.unionByName(states.filter("kind = 'seats'")) if states else sent
+        states = folder.keep(in_pairs.cogroup(sent.groupBy("bucket")).applyInArrow(context_round(totals, shared, word_buckets, [seed, k, 0], k >= burn_in), SENT), f"states{k}")
+        sent = states.filter("kind = 'up'").unionByName(seats.filter("kind = 'seats'"))
+        seats = folder.keep(in_words.cogroup(sent.groupBy("bucket")).applyInArrow(word_round(totals, [seed, k, 1]), SENT), f"seats{k}")
+        totals = Totals({NUMBERS + 1: once} | summed(states) | summed(seats), words, n, len(split))
         if k:
-            folder.drop(states_before)
-            folder.drop(seats_before)
+            folder.drop(f"states{k - 1}")
+            folder.drop(f"seats{k - 1}")
 
-    answers = answered(totals, shared, word_buckets, samples)
-    held = states.filter("kind = 'state'").unionByName(asked.filter("kind = 'ask'"))
-    sent = held.groupBy("bucket").cogroup(seats.filter("kind = 'down'").groupBy("bucket")).applyInArrow(answers, SENT)
-    sent = sent.unionByName(counted.filter("kind = 'count'"))
-    out = texts.select("block", "ids", "blob").groupBy("block").cogroup(sent.groupBy("bucket")).applyInArrow(added(shared, word_buckets, words, n), "id string, n_tokens long, n_known long, base_score double, score double")
-    done = materialised(out.select(F.col("id").cast(id_type).alias(doc_id), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"))
-    folder.drop()
-    return done
+    sent = seats.filter("kind = 'down'")
+    sent = sent.unionByName(states.filter("kind = 'seats'")) if states else sent
+    held = pairs.filter("kind IN ('fixed', 'ask')").groupBy("bucket")
+    answers = held.cogroup(sent.groupBy("bucket")).applyInArrow(answered(totals, shared, word_buckets, samples), SENT)
+    sent = answers.unionByName(counted.filter("kind = 'count'"))
+    return texts.select("bucket", "ids", "blob").groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(added(shared, word_buckets, words, n), "id string, n_tokens long, n_known long, base_score double, score double"), n
 
 
 def split_tables(state: Contexts, line: Line) -> list[tuple[int, int, int]]:
@@ -576,29 +604,38 @@ def word_rows(bucket: int, state: Words, n: np.ndarray) -> pa.RecordBatch:
     return rows(("seats", bucket, -1, state.seats()), ("totals", 0, 0, packed_totals(state.totals(n))), *down)
 
 
-def opened(state: Contexts, sent: pa.Table, totals: Totals, buckets: int) -> np.ndarray:
-    """Of each pair the word's probability in the ending's restaurant, from the rows that the word buckets sent."""
-    got = sorted(zip(sent.column("sender").to_pylist(), sent.column("blob").to_pylist(), strict=True))
-    parts = zip(*(unpack(x) for _, x in got), strict=True)
+def split_by_kind(table: pa.Table) -> dict[str, list[tuple[int, bytes]]]:
+    """(sender, blob) by kind, in the order of the senders."""
+    out: dict[str, list] = {}
+    for kind, sender, blob in zip(*(table.column(c).to_pylist() for c in ("kind", "sender", "blob")), strict=True):
+        out.setdefault(kind, []).append((sender, blob))
+    return {k: sorted(x) for k, x in out.items()}
+
+
+def opened(fixed: bytes, sent: dict, totals: Totals, buckets: int) -> tuple[Contexts, np.ndarray]:
+    """A context bucket, and of each pair the word's probability in the ending's restaurant, from what the word buckets
+    sent."""
+    state = Contexts(*unpack(fixed), *(unpack(sent["seats"][0][1]) if "seats" in sent else ()))
+    parts = zip(*(unpack(x) for _, x in sent["down"]), strict=True)
     order = np.concatenate([p for _, p in state.order(buckets)])
     above = np.empty(len(order))
     above[order] = totals.probability(state.entry_g[order], *(np.concatenate(x).astype(np.float64) for x in parts))
-    return above[state.entry]
+    return state, above[state.entry]
 
 
 def context_round(totals: Totals, shared, word_buckets: int, seed: list[int], sample: bool):
     """A context bucket's part of a round; with sample, the seating it begins with is one."""
 
-    def run(key, old, sent):
-        me, state = key[0].as_py(), Contexts(*unpack(old.column("blob")[0].as_py()))
-        above = opened(state, sent, totals, word_buckets)
+    def run(key, fixed, sent):
+        me = key[0].as_py()
+        state, above = opened(fixed.column("blob")[0].as_py(), split_by_kind(sent), totals, word_buckets)
         c_u, elsewhere, _ = state.restaurants(shared.value, totals.t_split)
         if sample:
             state.p = state.p + state.predictive(c_u, elsewhere, totals.d[0], above)
         state.draw(elsewhere, totals.d[0], above, np.random.default_rng([*seed, me]))
         tables = state.tables()
         up = [("up", k, me, pack(narrow(tables[p]))) for k, p in state.order(word_buckets)]
-        return pa.Table.from_batches([rows(("state", me, -1, state.blob()), ("totals", 0, 0, packed_totals(split_tables(state, shared.value))), *up)])
+        return pa.Table.from_batches([rows(("seats", me, -1, state.seats()), ("totals", 0, 0, packed_totals(split_tables(state, shared.value))), *up)])
 
     return run
 
@@ -606,12 +643,11 @@ def context_round(totals: Totals, shared, word_buckets: int, seed: list[int], sa
 def word_round(totals: Totals, seed: list[int]):
     """A word bucket's part of a round."""
 
-    def run(key, held, sent):
-        me, blobs = key[0].as_py(), dict(zip(held.column("kind").to_pylist(), held.column("blob").to_pylist(), strict=True))
-        t, s = unpack(blobs["seats"])
-        state = Words(*unpack(blobs["fixed"]), t=t.astype(np.int64), s=s.astype(np.int64))
-        got = sorted(zip(sent.column("sender").to_pylist(), sent.column("blob").to_pylist(), strict=True))
-        n = state.customers(np.concatenate([unpack(x)[0] for _, x in got]))
+    def run(key, fixed, sent):
+        me, sent = key[0].as_py(), split_by_kind(sent)
+        t, s = unpack(sent["seats"][0][1])
+        state = Words(*unpack(fixed.column("blob")[0].as_py()), t=t.astype(np.int64), s=s.astype(np.int64))
+        n = state.customers(np.concatenate([unpack(x)[0] for _, x in sent["up"]]))
         state.draw(n, totals, np.random.default_rng([*seed, me]))
         return pa.Table.from_batches([word_rows(me, state, n)])
 
@@ -622,12 +658,11 @@ def answered(totals: Totals, shared, word_buckets: int, samples: int):
     """The last sample, and to each block log10 of its pairs' averaged probabilities."""
 
     def run(key, held, sent):
-        me, kinds, blobs = key[0].as_py(), held.column("kind").to_pylist(), held.column("blob").to_pylist()
-        state = Contexts(*unpack(blobs[kinds.index("state")]))
-        above = opened(state, sent, totals, word_buckets)
+        me, held = key[0].as_py(), split_by_kind(held)
+        state, above = opened(held["fixed"][0][1], split_by_kind(sent), totals, word_buckets)
         c_u, elsewhere, _ = state.restaurants(shared.value, totals.t_split)
         p = np.log10((state.p + state.predictive(c_u, elsewhere, totals.d[0], above)) / samples).astype(np.float32)
-        return pa.Table.from_batches([rows(*(("answer", s, me, pack(p[unpack(x)[0]])) for kind, s, x in zip(kinds, held.column("sender").to_pylist(), blobs, strict=True) if kind == "ask"))])
+        return pa.Table.from_batches([rows(*(("answer", s, me, pack(p[unpack(x)[0]])) for s, x in held["ask"]))])
 
     return run
 
