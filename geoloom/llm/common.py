@@ -100,11 +100,15 @@ def remainder_of(doc_id: int | None, by: int) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or what the context has. A temporary
-    folder is made only where neither is set, as in local tests."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or what the context has. Where
+    neither is set a local session, as in tests, gets a temporary one; a cluster gets an error."""
     context = spark.sparkContext
     now = context._jsc.sc().getCheckpointDir()
-    path = spark.conf.get("spark.checkpoint.dir", None) or (now.get() if now.isDefined() else tempfile.mkdtemp(prefix="shared-"))
+    path = spark.conf.get("spark.checkpoint.dir", None) or (now.get() if now.isDefined() else None)
+    if not path:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="shared-")
     if not now.isDefined():
         context.setCheckpointDir(path)
     return path
@@ -112,7 +116,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialised(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the shared folder, so that neither a lost executor nor a later
-    iteration computes them again; Spark removes the files when the DataFrame is no longer used."""
+    iteration computes them again. Spark removes the files when the DataFrame is no longer used if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set; else they stay in the folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -134,7 +139,8 @@ def removed(spark: SparkSession, path: str) -> None:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, text, label) of at most ``bound`` labelled documents outside the hold-out (remainder 2 of 4), the
-    first by a hash of the id. A document with several or null labels counts once, by its largest label.
+    first by a hash of the id. A document with several or null labels counts once, by its largest label; of several
+    documents with one id only the smallest text counts.
 
     Only the ids are ordered and only ``bound`` of them (12 bytes each) are broadcast.
     """
@@ -145,4 +151,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int, do
         .orderBy(F.xxhash64("l_id"), "l_id").limit(bound)
     )
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "label")
+    found = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
