@@ -2,8 +2,11 @@
 
 Each line with a word is described by a few features; the field has a weight for each feature and label and one for
 each pair of labels of neighbouring lines. Viterbi decoding finds the best labels of all lines of a text together. The
-share of words in content lines decides whether the text is kept. Lines carry no labels of their own, so those of
-good documents are learned as content and those of bad ones as boilerplate.
+share of words in content lines decides whether the text is kept.
+
+Lines carry no labels of their own: only documents do. So the lines' labels are hidden, and learned by expectation and
+maximisation: a line of a good document is content with PURE odds to begin with, one of a bad document boilerplate;
+each round takes the labels' and label pairs' probabilities under the field and these odds for the truth of the next.
 """
 
 from __future__ import annotations
@@ -18,8 +21,12 @@ from pyspark.sql import types as T
 from .common import map_text, training_rows
 from .quality_classifier import SYMBOLS, shares
 
-#: At most so many labelled documents are learned from, and so many lines of each, in runs of SEGMENT.
-TRAINING_ROWS, TRAINING_LINES, SEGMENT = 3_000, 160, 16
+#: At most so many labelled documents are learned from, all lines of each, in runs of SEGMENT.
+TRAINING_ROWS, SEGMENT = 3_000, 16
+#: How sure a document's label is of a line before the field is heard, and rounds of learning with steps of each.
+PURE, ROUNDS, STEPS = 0.9, 3, 50
+#: Pulls to zero. That of the steps is stronger, as documents of one kind alone would make a change of label impossible.
+PULL, PULL_STEPS = 1e-4, 2e-2
 N_FEATURES = 12
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 
@@ -124,51 +131,60 @@ class Field:
         return float((self.labels(x) * sizes).sum() / sizes.sum()) if len(sizes) else 0.0
 
 
-def log_sum(a: np.ndarray, axis: int) -> np.ndarray:
-    m = a.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(a - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
-def train(segments: list[tuple[np.ndarray, int]], rounds: int = 150) -> Field:
-    """Maximises the conditional likelihood of the segments' labels by Adam over forward-backward gradients; each
-    class of segments weighs the same."""
-    weights, steps = np.zeros((2, N_FEATURES)), np.zeros((2, 2))
-    n, longest = len(segments), max(len(x) for x, _ in segments)
-    x, y = np.zeros((n, longest, N_FEATURES)), np.array([c for _, c in segments])
-    size = np.array([len(s) for s, _ in segments])
-    for i, (s, _) in enumerate(segments):
-        x[i, : len(s)] = s
-    live = np.arange(longest)[None, :] < size[:, None]
-    lines = np.array([max(1, size[y == c].sum()) for c in (0, 1)])
-    importance = (0.5 / lines)[y]
-    moment, spread, parts = 0.0, 0.0, (2 * N_FEATURES, 4)
-    theta = np.concatenate([weights.ravel(), steps.ravel()])
-    gold = np.zeros((n, longest, 2))
-    gold[np.arange(n), :, y] = 1
-    for r in range(1, rounds + 1):
-        weights, steps = theta[: parts[0]].reshape(2, -1), theta[parts[0] :].reshape(2, 2)
-        emit = x @ weights.T
-        forward, backward = np.zeros_like(emit), np.zeros_like(emit)
-        forward[:, 0] = emit[:, 0]
-        for t in range(1, longest):
-            step = log_sum(forward[:, t - 1, :, None] + steps[None], 1) + emit[:, t]
-            forward[:, t] = np.where(live[:, t, None], step, forward[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            step = log_sum(steps[None] + (emit[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
-            backward[:, t] = np.where(live[:, t + 1, None], step, 0.0)
-        total = log_sum(forward[:, -1], 1)
-        node = np.exp(np.minimum(0, forward + backward - total[:, None, None])) * live[..., None]
-        g_w = np.einsum("ntk,ntf,n->kf", gold * live[..., None] - node, x, importance)
-        pair_live = live[:, 1:]
-        pair = np.exp(np.minimum(0, forward[:, :-1, :, None] + steps[None, None] + (emit[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None]))
-        g_s = np.zeros((2, 2))
-        for c in (0, 1):
-            g_s[c, c] += (pair_live.sum(1) * importance)[y == c].sum()
-        g_s -= np.einsum("ntab,nt,n->ab", pair, pair_live.astype(float), importance)
-        g = np.concatenate([g_w.ravel(), g_s.ravel()]) - 1e-4 * theta
-        moment, spread = 0.9 * moment + 0.1 * g, 0.99 * spread + 0.01 * g * g
-        theta = theta + 0.15 * (moment / (1 - 0.9**r)) / (np.sqrt(spread / (1 - 0.99**r)) + 1e-8)
-    return Field(theta[: parts[0]].reshape(2, -1), theta[parts[0] :].reshape(2, 2))
+class Chains:
+    """Runs of lines with the label of their document, side by side."""
+
+    def __init__(self, segments: list[tuple[np.ndarray, int]]) -> None:
+        n, longest = len(segments), max(len(x) for x, _ in segments)
+        self.y, self.size = np.array([c for _, c in segments]), np.array([len(x) for x, _ in segments])
+        self.x = np.zeros((n, longest, N_FEATURES))
+        for i, (x, _) in enumerate(segments):
+            self.x[i, : len(x)] = x
+        self.live = np.arange(longest)[None, :] < self.size[:, None]
+        lines = np.array([max(1, self.size[self.y == c].sum()) for c in (0, 1)])
+        self.weight = (0.5 / lines)[self.y]  # each class of documents weighs the same
+
+    def expected(self, weights: np.ndarray, steps: np.ndarray, prior: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of the lines' labels, and of the pairs of neighbours' labels (forward and backward). prior: log
+        odds of the labels by the document's."""
+        emit = self.x @ weights.T + (prior[self.y][:, None, :] if prior is not None else 0)
+        e, s = np.exp(emit - emit.max(2, keepdims=True)), np.exp(steps - steps.max())
+        forward, backward = np.empty_like(e), np.ones_like(e)
+        forward[:, 0] = e[:, 0]
+        for t in range(1, e.shape[1]):
+            v = (forward[:, t - 1] @ s) * e[:, t]
+            forward[:, t] = np.where(self.live[:, t, None], v / v.sum(1, keepdims=True), forward[:, t - 1])
+        for t in range(e.shape[1] - 2, -1, -1):
+            v = (e[:, t + 1] * backward[:, t + 1]) @ s.T
+            backward[:, t] = np.where(self.live[:, t + 1, None], v / v.sum(1, keepdims=True), 1.0)
+        node = forward * backward
+        node *= self.live[..., None] / node.sum(2, keepdims=True)
+        pair = forward[:, :-1, :, None] * s * (e[:, 1:] * backward[:, 1:])[:, :, None, :]
+        return node, pair * (self.live[:, 1:] / pair.sum((2, 3)))[..., None, None]
+
+    def sums(self, node: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """What the field's parameters gain from labels with these probabilities."""
+        by_line = (node * self.weight[:, None, None]).reshape(-1, 2).T @ self.x.reshape(-1, N_FEATURES)
+        return np.concatenate([by_line.ravel(), np.tensordot(self.weight, pair.sum(1), 1).ravel()])
+
+
+def train(segments: list[tuple[np.ndarray, int]], rounds: int = ROUNDS, steps: int = STEPS) -> Field:
+    """Learns the field from runs of lines and their documents' labels: rounds of expectation, each followed by Adam steps
+    up the expected likelihood."""
+    chains = Chains(segments)
+    prior = np.log(np.array([[PURE, 1 - PURE], [1 - PURE, PURE]]))
+    sticky = np.log(np.array([[PURE, 1 - PURE], [1 - PURE, PURE]]))
+    cut, theta, pull = 2 * N_FEATURES, np.zeros(2 * N_FEATURES + 4), np.repeat([PULL, PULL_STEPS], [2 * N_FEATURES, 4])
+    split = lambda v: (v[:cut].reshape(2, -1), v[cut:].reshape(2, 2))
+    for r in range(rounds):
+        weights, between = split(theta)
+        truth = chains.sums(*chains.expected(weights, between if r else sticky, prior))
+        moment, spread = 0.0, 0.0
+        for k in range(1, steps + 1):
+            g = truth - chains.sums(*chains.expected(*split(theta))) - pull * theta
+            moment, spread = 0.9 * moment + 0.1 * g, 0.99 * spread + 0.01 * g * g
+            theta = theta + 0.15 * (moment / (1 - 0.9**k)) / (np.sqrt(spread / (1 - 0.99**k)) + 1e-8)
+    return Field(*split(theta))
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", bound: int = TRAINING_ROWS) -> Field:
@@ -180,18 +196,15 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             y, x, w = [], [], []
             for label, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 f, sizes = line_features(t.encode() if t else None)
-                if len(f) > TRAINING_LINES:  # runs of lines from all over the text
-                    starts = np.linspace(0, len(f) - SEGMENT, TRAINING_LINES // SEGMENT).astype(int)
-                    at = np.concatenate([np.arange(s, s + SEGMENT) for s in starts])
-                    f, sizes = f[at], sizes[at]
                 y.append(int(label > 0))
-                x.append(f.ravel().tolist())
-                w.append(sizes.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64())), pa.array(w, pa.list_(pa.int64()))], ["y", "x", "w"])
+                x.append(f.astype(np.float32).tobytes())
+                w.append(sizes.astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x, pa.binary()), pa.array(w, pa.binary())], ["y", "x", "w"])
 
     rows = training_rows(docs, labels, "quality", bound, doc_id, text).select("label", "text")
-    found = sorted((tuple(r.x), r.y, tuple(r.w)) for r in rows.mapInArrow(run, "y int, x array<double>, w array<long>").collect() if r.x)
-    every = [(np.array(x).reshape(-1, N_FEATURES), y, np.array(w)) for x, y, w in found]
+    # 52 bytes for each line of at most ``bound`` documents
+    found = sorted((bytes(r.x), r.y, bytes(r.w)) for r in rows.mapInArrow(run, "y int, x binary, w binary").collect() if r.x)
+    every = [(np.frombuffer(x, np.float32).reshape(-1, N_FEATURES).astype(float), y, np.frombuffer(w, np.int32)) for x, y, w in found]
     if len({y for _, y, _ in every}) < 2:
         content = Field(np.zeros((2, N_FEATURES)), np.zeros((2, 2)))
         content.weights[1, 0] = 1.0

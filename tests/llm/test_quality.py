@@ -89,3 +89,49 @@ def test_odd_rows(spark, odd):
     none = Q.learn(docs, labels.limit(0))
     assert {r.score for r in Q.quality(odd, none).collect()} == {0.5}
     assert R.quality_rules(docs.limit(0), R.learn(docs.limit(0), labels)).count() == 0
+
+
+def test_discriminant_against_densities_with_plain_inverses():
+    """The model's covariances by their definition, and the log densities with inverses and determinants."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 1, (150, Q.N_STATISTICS)), rng.normal(0.5, 1.5, (250, Q.N_STATISTICS))])
+    y = np.repeat([0.0, 1.0], [150, 250])
+    m, d = Q.fitted(x, y), Q.N_STATISTICS
+    z = (x - x.mean(0)) / (x.std(0) + 1e-3)
+    own = {c: z[y == c] for c in (0, 1)}
+    centred = {c: own[c] - own[c].mean(0) for c in (0, 1)}
+    pooled = sum(v.T @ v for v in centred.values()) / len(y)
+
+    def density(v, c):
+        cov = (centred[c].T @ centred[c] + d * pooled) / (len(own[c]) + d)
+        cov = (1 - Q.POOLED - Q.DIAGONAL) * cov + Q.POOLED * pooled + Q.DIAGONAL * np.diag(np.diag(pooled)) + 1e-3 * np.eye(d)
+        gap = v - own[c].mean(0)
+        return -0.5 * gap @ np.linalg.inv(cov) @ gap - 0.5 * np.log(np.linalg.det(cov))
+
+    want = [density(v, 1) - density(v, 0) for v in z[:20]]
+    assert np.allclose(m.difference(x[:20]), want, rtol=1e-6)
+    assert np.allclose(m.score(x[:20]), [1 / (1 + np.exp(-np.clip(m.slope * v + m.base, -30, 30))) for v in want], rtol=1e-6)
+
+
+def test_lines_of_one_text_get_different_labels_and_kept_follows_them(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    m = R.learn(docs, labels)
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    texts = [(quality[r.doc_id], r.text) for r in docs.orderBy("doc_id").collect() if r.doc_id in quality and 3 <= r.text.count(chr(10)) <= 8]
+    good, bad = next(t for q, t in texts if q), next(t for q, t in texts if not q)
+    labelled = m.labels(R.line_features(f"{good}\n{bad}".encode())[0])
+    assert labelled[: good.count(chr(10)) + 1].mean() > 0.7 and labelled[good.count(chr(10)) + 1 :].mean() < 0.3
+    # by brute force: the best of all labellings, the share of its content words, and the rules
+    some = [t for _, t in texts[:25]] + [f"{good}\n{bad}"]
+    got = {r.doc_id: r for r in R.quality_rules(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), m).collect()}
+    for i, t in enumerate(some):
+        x, sizes = R.line_features(t.encode())
+        if len(x) > 11:
+            continue
+        every = [[k >> j & 1 for j in range(len(x))] for k in range(2 ** len(x))]
+        value = lambda y: sum(x[j] @ m.weights[c] for j, c in enumerate(y)) + sum(m.steps[a, b] for a, b in zip(y, y[1:]))  # noqa: E731, B023
+        best = max(every, key=value)
+        share = sum(s for s, c in zip(sizes, best) if c) / sizes.sum()
+        n, _, _, _, repeated = brute(t)
+        assert np.isclose(got[i].content_share, share)
+        assert got[i].kept == (not (n < 10 or 100 * repeated > 20 * n) and share >= m.least)
