@@ -28,8 +28,6 @@ THRESHOLD = 0.3
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Of the entries taken, so large a share may be chance findings (Benjamini-Hochberg).
 FALSE_SHARE = 0.05
-#: Entries of the lexicon at most; those with the clearest evidence come first.
-ENTRIES = 5_000
 # Look-alikes and substitutions, by the Latin letter they are read as.
 LOOKALIKES = {
     "a": "аα@4ａ", "b": "Ьвβ8", "c": "сϲ", "d": "ԁ", "e": "еєε3", "g": "ɡ", "h": "һн", "i": "іι1!|ı", "j": "ј", "k": "кκ", "l": "ӏ", "m": "м",
@@ -98,10 +96,17 @@ class Matcher:
 
     def excepted(self, folded: str, begin: int) -> bool:
         """Whether the word at ``begin`` with the word before or after it is an exception phrase."""
-        around = WORD.findall(folded[begin : begin + 120])[:2]
-        before = WORD.findall(folded[max(0, begin - 60) : begin])[-1:]
-        phrases = {" ".join(around)} | ({f"{before[0]} {around[0]}"} if before and around else set())
-        return bool(phrases & self.model.exceptions)
+        me = WORD.match(folded, begin)
+        if not me:
+            return False
+        after, end = WORD.search(folded, me.end()), begin
+        while end and not WORD.match(folded, end - 1, end):
+            end -= 1
+        start = end
+        while start and WORD.match(folded, start - 1, start):
+            start -= 1
+        phrases = {f"{me.group()} {after.group()}"} if after else set()
+        return bool((phrases | ({f"{folded[start:end]} {me.group()}"} if end else set())) & self.model.exceptions)
 
 
 def entries_of(text: str) -> set[tuple[str, str]]:
@@ -139,8 +144,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     if total is None or not total.clean or not total.toxic:
         return Model()
     share = total.toxic / (total.clean + total.toxic)
-    # far more often toxic than the share of toxic documents: at most a small multiple of ENTRIES reaches the driver
-    strong = counts.filter(f"kind <> '' AND toxic >= 2 AND toxic > 4 * clean * {share / (1 - share)!r} + 1").orderBy(F.desc("toxic"), "clean", "kind", "entry").limit(8 * ENTRIES).collect()
+    # far more often toxic than the share of toxic documents; as all entries, from at most ``bound`` documents
+    strong = counts.filter(f"kind <> '' AND toxic >= 2 AND toxic > 4 * clean * {share / (1 - share)!r} + 1").orderBy(F.desc("toxic"), "clean", "kind", "entry").collect()
     likely = significant([(r.kind, r.entry, r.clean, r.toxic) for r in strong], total.clean, total.toxic)
     model = explain(rows, likely, total.clean, total.toxic)
     learn_exceptions(rows, model)
@@ -153,15 +158,20 @@ def significant(strong: list[tuple[str, str, int, int]], clean: int, toxic: int)
     share = toxic / (clean + toxic)
 
     def log_tail(k: int, n: int) -> float:
-        """log P(X >= k), X binomial with n trials and the share of toxic documents."""
-        terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(share) + (n - i) * math.log1p(-share) for i in range(k, min(n, k + 60) + 1)]
-        m = max(terms)
-        return m + math.log(sum(math.exp(t - m) for t in terms))
+        """log P(X >= k), X binomial with n trials and the share of toxic documents: terms until they change nothing."""
+        first = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share)
+        term = total = 1.0
+        for i in range(k, n):
+            term *= (n - i) / (i + 1) * share / (1 - share)
+            total += term
+            if term < 1e-17 * total:
+                break
+        return first + math.log(total)
 
     ranked = sorted((log_tail(t, t + c), k, e, c, t) for k, e, c, t in strong if t / (t + c) >= min(0.6, 4 * share))
     tested = max(2_000, len(strong))
     last = max((i for i, x in enumerate(ranked) if x[0] <= math.log(FALSE_SHARE * (i + 1) / tested)), default=-1)
-    return [x[1:] for x in ranked[: last + 1][:ENTRIES]]
+    return [x[1:] for x in ranked[: last + 1]]
 
 
 def explain(rows: DataFrame, likely: list[tuple[str, str, int, int]], clean: int, toxic: int) -> Model:
@@ -219,7 +229,7 @@ def learn_exceptions(rows: DataFrame, model: Model) -> None:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["phrase", "clean", "toxic"])
 
     counts = rows.mapInArrow(phrases, "phrase string, clean long, toxic long").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    model.exceptions = {r.phrase for r in counts.filter("clean >= 3 AND clean >= 3 * toxic").orderBy(F.desc("clean"), "phrase").limit(ENTRIES).collect()}
+    model.exceptions = {r.phrase for r in counts.filter("clean >= 3 AND clean >= 3 * toxic").collect()}
 
 
 def fit_curve(rows: DataFrame, model: Model) -> None:

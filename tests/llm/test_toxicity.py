@@ -54,3 +54,44 @@ def test_odd_rows(spark, odd):
     none = X.learn(docs.limit(0), labels)
     assert none == X.Model() and X.toxicity(docs.limit(0), none).count() == 0
     assert X.learn(docs, labels.limit(0)) == X.Model()
+
+
+def naive_rate(m, text):
+    """By trying every entry at every place."""
+    low = text.lower()
+    folded, inside = low.translate(X.FOLD), lambda c: c.isalpha() or c.isdigit()
+    total, words = 0.0, [(w.start(), w.end(), w.group()) for w in X.WORD.finditer(folded)]
+    for i in range(len(low)):
+        if i and inside(low[i - 1]):
+            continue
+        here = [x for w, x in m.words.items() if folded.startswith(w, i) and not (i + len(w) < len(low) and inside(low[i + len(w)]))]
+        here += [x for w, x in m.beginnings.items() if folded.startswith(w, i)]
+        if not here:
+            continue
+        me = X.WORD.match(folded, i)
+        if me:
+            before = [w for _, e, w in words if e <= i][-1:]
+            # a word that begins before i ends at i where a sign stands between them that folds to a letter
+            cut = [folded[b:i] for b, e, _ in words if b < i < e]
+            after = [w for b, _, w in words if b >= me.end()][:1]
+            phrases = {f"{me.group()} {w}" for w in after} | {f"{w} {me.group()}" for w in (cut or before)}
+            if phrases & m.exceptions:
+                continue
+        total += max(here)
+    n = len(text.split())
+    return 100 * total / n if n else 0.0
+
+
+def test_rate_against_every_entry_at_every_place():
+    rng = random.Random(9)
+    for _ in range(300):
+        syllable = lambda: rng.choice("abcdst") + rng.choice("aeio4 0!")
+        entry = lambda: "".join(rng.choice("abcdst") + rng.choice("aeio") for _ in range(rng.randint(1, 2)))
+        m = X.Model({entry(): rng.random() for _ in range(5)}, {entry(): rng.random() for _ in range(3)}, {f"{entry()} {entry()}" for _ in range(40)}, 1.0, -1.0)
+        t = "".join(syllable() + rng.choice(["", "", " ", "  ", ". ", "9 "]) for _ in range(40)).upper()
+        assert abs(X.Matcher(m).rate(t) - naive_rate(m, t)) < 1e-9, t
+
+
+def test_exceptions_beside_very_long_words():
+    m = X.Matcher(X.Model({"zwack": 2.0}, {}, {"zwack " + "b" * 500, "c" * 500 + " zwack"}, 1.0, -1.0))
+    assert m.rate("zwack " + "b" * 500) == 0 and m.rate("c" * 500 + ", " * 200 + "zwack") == 0 and m.rate("zwack") > 0
