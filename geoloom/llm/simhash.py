@@ -7,8 +7,10 @@ within one bit of both; so it is enough to copy each fingerprint to the anchors
 neighbours (about 17 distinct ones), which are anchors within covering radius plus threshold of it: both then meet at
 the anchor of z. Within an anchor, fingerprints are compared by their one-bit neighbourhoods.
 
-Exact copies collapse to one fingerprint first, links are kept as a forest for each anchor, and components are found
-by rounds of minimum labels over a table, so neither a large group nor a hot fingerprint meets in one task.
+Exact copies collapse to one fingerprint first, and links are kept as a forest for each anchor. An anchor with more than
+CROWD fingerprints is split by its points: each of its fingerprints goes to the 65 points within one bit, where no more
+than 65 distinct ones can meet. Components are found by rounds of minimum labels over a table. So no group of copies, no
+hot fingerprint and no crowded anchor is gathered in one task.
 """
 
 from __future__ import annotations
@@ -26,6 +28,11 @@ SEED = 42
 SHINGLE = 3
 #: Fingerprints link at so many differing bits or fewer; the anchors' reach of one bit each side is made for it.
 THRESHOLD = 2
+#: Distinct fingerprints of an anchor that are compared in one piece; others are split by points, which is as exact.
+CROWD = 4_096
+#: Row numbers of this size at most, in bytes, are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+FLIPS = np.concatenate([[0], np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))]).astype(np.uint64)
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -134,8 +141,7 @@ def anchor(x: np.ndarray) -> np.ndarray:
 
 def anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index into x, anchor) for the distinct anchors of each fingerprint and its one-bit neighbours."""
-    flips = np.concatenate([[0], np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))]).astype(np.uint64)
-    near = np.sort(anchor((x[:, None] ^ flips[None, :]).ravel()).reshape(len(x), 65), axis=1)
+    near = np.sort(anchor((x[:, None] ^ FLIPS[None, :]).ravel()).reshape(len(x), 65), axis=1)
     new = np.ones(near.shape, bool)
     new[:, 1:] = near[:, 1:] != near[:, :-1]
     return np.nonzero(new)[0], near[new]
@@ -170,7 +176,6 @@ def forest(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def by_neighbours(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among distinct fingerprints: two of them link if they share a point within one
     bit, so each point links those that reach it to the first of them. Work is 65 points for each, never all pairs."""
-    flips = np.concatenate([[0], np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))]).astype(np.uint64)
     root = list(range(len(fps)))
 
     def find(i: int) -> int:
@@ -180,7 +185,7 @@ def by_neighbours(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return i
 
     a, b = [], []
-    points = (fps[:, None] ^ flips[None, :]).ravel()
+    points = (fps[:, None] ^ FLIPS[None, :]).ravel()
     order = np.argsort(points, kind="stable")
     points, owner = points[order], order // 65
     for k in np.flatnonzero(points[1:] == points[:-1]).tolist():
@@ -224,8 +229,21 @@ def links(nodes: DataFrame) -> DataFrame:
         a, b = a.view(np.int64), b.view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
+    def to_points(batches):
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for i in range(0, len(fps), 5_000):
+                points = fps[i : i + 5_000, None] ^ FLIPS[None, :]
+                yield pa.RecordBatch.from_arrays([pa.array(points.ravel().view(np.int64)), pa.array(np.repeat(fps[i : i + 5_000], 65).view(np.int64))], ["key", "fp"])
+
+    compared = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
     copies = nodes.select("fp").mapInArrow(replicate, "key long, fp long")
-    return copies.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
+    crowded = materialised(copies.groupBy("key").count().filter(F.col("count") > CROWD).select("key"))
+    if crowded.isEmpty():
+        return compared(copies).distinct()
+    rest = copies.join(crowded, "key", "left_anti").select("key", "fp")
+    points = copies.join(crowded, "key", "left_semi").select("fp").distinct().mapInArrow(to_points, "key long, fp long")
+    return compared(rest).unionByName(compared(points)).distinct()
 
 
 # ---- components ----
@@ -263,17 +281,14 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("m").alias("a"), "b")).filter("a <> b").distinct()
 
 
-def grouped(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
-    """(id, fp) of each document, and of each distinct fingerprint (l_fp) the root of its component, component_id and
-    the (id, fp) of the document that stands for the component."""
-    prints = materialised(fingerprints(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "text", ["id"]))
-    nodes = materialised(prints.groupBy("fp").agg(F.min("id").alias("id")))
+def grouped(prints: DataFrame) -> DataFrame:
+    """Of each distinct fingerprint of prints (id, fp, and row) as l_fp: component_id, and the row first that stands for
+    its component."""
+    nodes = materialised(prints.groupBy("fp").agg(F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "row")).alias("first")))
     roots = components(links(nodes))
-    labels = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(nodes["fp"], "id", F.coalesce("root", nodes["fp"]).alias("root"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp"))
-    least = labels.groupBy("root").agg(F.min("id").alias("component_id"), first.alias("first")).withColumnRenamed("root", "r")
-    by_fp = labels.join(least, labels["root"] == least["r"]).select(F.col("fp").alias("l_fp"), "root", "component_id", F.col("first.id").alias("first_id"), F.col("first.fp").alias("first_fp"))
-    return prints, materialised(by_fp)
+    labels = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(nodes["fp"], "id", "first", F.coalesce("root", nodes["fp"]).alias("root"))
+    least = labels.groupBy("root").agg(F.min("id").alias("component_id"), F.min("first").alias("first")).withColumnRenamed("root", "r")
+    return materialised(labels.join(least, labels["root"] == least["r"]).select(F.col("fp").alias("l_fp"), "component_id", least["first"]["row"].alias("first")))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -283,20 +298,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     where all their ids are null it is null. Null and wordless texts have fingerprint 0 and link like any other.
     Repeated rows stay as they are. Links: at most 2 differing bits; no link is dropped.
     """
-    prints, by_fp = grouped(docs, text, doc_id)
+    prints = materialised(fingerprints(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("row")), "text", ["id", "row"]))
+    by_fp = grouped(prints)
     return prints.join(by_fp, prints["fp"] == by_fp["l_fp"]).select(F.col("id").alias(doc_id), "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs, one of each component: that with the smallest id (an id before none), and of several rows
-    with that id and fingerprint any one."""
-    _, by_fp = grouped(docs, text, doc_id)
-    stay = by_fp.select(F.col("first_id").alias("s_id"), F.col("first_fp").alias("s_fp")).distinct()
+    """The rows of docs, one of each component: that with the smallest id (an id before none), of those the one with the
+    smallest fingerprint, and of equal ones the first as the rows are read.
+
+    Fingerprints are made once, and the rows are kept with them and numbered; the numbers of rows that go are broadcast
+    if they are few enough, so that no text changes place.
+    """
     names = docs.columns
-    rows = fingerprints(docs.toDF(*[f"k{i}" for i in range(len(names))]), f"k{names.index(text)}")
-    key = f"k{names.index(doc_id)}"
-    kept = rows.join(stay, (rows[key].eqNullSafe(stay["s_id"])) & (rows["fp"] == stay["s_fp"]), "left_semi")
-    return kept.dropDuplicates([key, "fp"]).drop("fp").toDF(*names)
+    numbered = docs.toDF(*[f"k{i}" for i in range(len(names))]).withColumn("row", F.monotonically_increasing_id())
+    rows = materialised(fingerprints(numbered, f"k{names.index(text)}"))
+    prints = rows.select(F.col(f"k{names.index(doc_id)}").alias("id"), "fp", "row")
+    by_fp = grouped(prints)
+    gone = materialised(prints.join(by_fp, prints["fp"] == by_fp["l_fp"]).filter("row <> first").select(F.col("row").alias("gone")))
+    few = gone.count() * 16 <= BROADCAST_BYTES
+    return rows.join(F.broadcast(gone) if few else gone, F.col("row") == F.col("gone"), "left_anti").drop("row", "fp").toDF(*names)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

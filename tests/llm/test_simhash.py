@@ -95,3 +95,26 @@ def test_forest_joins_what_all_pairs_join():
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200)], "a long, b long")
     assert {(r.node, r.root) for r in S.components(edges).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (200, 100)}
+
+
+def test_crowded_anchors_are_split_by_points(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centre = rng.integers(0, 2**64, 1, dtype=np.uint64)[0]
+    near = [centre]
+    for _ in range(400):  # a chain of neighbours, all about one anchor, and strangers
+        near.append(near[rng.integers(len(near))] ^ np.uint64(1 << int(rng.integers(0, 12))) ^ np.uint64(1 << int(rng.integers(0, 64))))
+    fps = np.unique(np.concatenate([np.array(near, np.uint64), rng.integers(0, 2**64, 300, dtype=np.uint64)]))
+    nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+
+    def components():
+        return sorted(tuple(r) for r in S.components(S.links(nodes)).collect())
+
+    want = components()
+    monkeypatch.setattr(S, "CROWD", 20)
+    assert components() == want and len(want) > 300
+
+
+def test_row_numbers_are_joined_by_a_shuffle_if_they_are_many(spark, odd, monkeypatch):
+    want = sorted(map(str, S.deduplicated(odd).collect()))
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, S.deduplicated(odd).collect())) == want
