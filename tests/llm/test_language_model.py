@@ -45,10 +45,11 @@ def test_tables_follow_their_conditional(d, above):
     assert math.isclose(np.exp(s[2, 1]), 1 - d) and s[2, 2] == 0
 
 
-def test_words_seated_in_groups_have_about_the_tables_of_the_exact_conditional():
-    n, d, above = 4_000, 0.5, 0.01
-    exact, groups = (M.seat(np.full(n, 250), np.full(n, 100), 1.0, d, np.full(n, above), np.random.default_rng(2), limit).mean() for limit in (256, 64))
-    assert abs(groups / exact - 1) < 0.1
+@pytest.mark.parametrize("above,elsewhere,d", [(0.01, 100, 0.5), (0.001, 20_000, 0.8), (0.05, 3_000, 0.3), (0.0001, 10, 0.7)])
+def test_customers_seated_in_groups_hardly_move_probabilities(above, elsewhere, d):
+    n, c = 1_000, 3_000
+    exact, groups = (M.seat(np.full(n, c), np.full(n, elsewhere), 1.0, d, np.full(n, above), np.random.default_rng(2), limit).mean() for limit in (c, M.EXACT))
+    assert abs((c - d * groups) / (c - d * exact) - 1) < 0.01
 
 
 def test_packing():
