@@ -2,10 +2,10 @@
 
 Pre-tokens of a text are found by a pattern that looks at what follows a place, never at what stands before it. So if
 the scans of two chunks have a boundary in common, they agree from there on, and the scan of the later chunk can be
-taken over. Long texts are cut into chunks with an overlap, whose pre-tokens are found in parallel; the boundaries of
-neighbouring chunks are stitched where they first coincide; the runs of text between the seams are then encoded in
-parallel. Where an overlap has no common boundary (a pre-token longer than the overlap), the rest of that text is one
-run: slower, but right. Texts of up to ``long_chars`` are one run as they are.
+taken over. Every text is cut into chunks with an overlap, the pre-tokens of each chunk are found, the boundaries of
+neighbouring chunks are stitched where they first coincide, and the pre-tokens between the seams are encoded; a text of
+one chunk has no seam. The chunks of a text of more than SPREAD of them are dealt over tasks. Where an overlap has no
+common boundary (a pre-token longer than the overlap), the rest of that text is one run: slower, but right.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from .common import map_text
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Code points of a chunk without its overlap, and of the overlap.
-CHUNK, OVERLAP = 1 << 16, 1 << 9
+CHUNK, OVERLAP = 1 << 14, 1 << 8
+#: Chunks of a text that one task goes through; those of a longer text are dealt over tasks, by the same steps.
+SPREAD = 8
 #: The end of a match is certain only if so many code points of the text follow it in the chunk: the longest
 #: contraction has three.
 AHEAD = 3
@@ -70,6 +72,23 @@ class Encoder:
         if len(known) > REMEMBERED:
             known.clear()
 
+    def pieces(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+        """The pre-tokens of a text, from its chunks."""
+        n = len(text)
+        if n <= chunk:
+            return self.find.findall(text)
+        starts = list(range(0, n, chunk))
+        found = [boundaries(self.find, text[k : k + chunk + overlap], k + chunk + overlap >= n) for k in starts]
+        out = []
+        for k, (b, e) in enumerate(runs := seams(starts, found, n)):
+            if e == n and k + 1 == len(runs) < len(starts):  # no seam further on
+                out += self.run(text[b:], e - b)
+            else:
+                at = found[k]
+                at = at[bisect_left(at, b - starts[k]) : bisect_left(at, e - starts[k]) + 1]
+                out += [text[starts[k] + x : starts[k] + y] for x, y in zip(at, at[1:], strict=False)]
+        return out
+
     def run(self, text: str, length: int) -> list[str]:
         """The pre-tokens of the first ``length`` code points; what follows is only looked at."""
         if length == len(text):
@@ -111,7 +130,8 @@ def boundaries(find, chunk: str, last: bool) -> list[int]:
 
 def seams(starts: list[int], found: list[list[int]], end: int) -> list[tuple[int, int]]:
     """The runs (begin, end) of a text whose chunks begin at ``starts`` and have the boundaries ``found`` (counted from
-    the chunk's beginning): each seam is the first common boundary of two neighbours."""
+    the chunk's beginning; those in the overlaps are enough): each seam is the first common boundary of two neighbours.
+    The k-th run lies in the k-th chunk; without a further seam the last one goes on to the end."""
     out, begin = [], 0
     for k in range(len(starts) - 1):
         shift = starts[k + 1] - starts[k]
@@ -121,10 +141,10 @@ def seams(starts: list[int], found: list[list[int]], end: int) -> list[tuple[int
             break
         out.append((begin, begin := starts[k] + seam))
     out.append((begin, end))
-    return [x for x in out if x[1] > x[0]]
+    return out
 
 
-def encode(docs: DataFrame, text: str = "text", carry: list[str] | None = None, path: str | None = None, long_chars: int = CHUNK, chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", carry: list[str] | None = None, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD, decoded: bool = False) -> DataFrame:
     """Adds ids, the tokens of the whole text, to the columns of ``carry`` (default: all).
 
     The ids are those of the tiktoken library without special tokens: their strings are ordinary text. Null and empty
@@ -135,7 +155,7 @@ def encode(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
     shared = spark.sparkContext.broadcast(vocabulary_bytes(path))
     carry = docs.columns if carry is None else carry
     docs = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(carry)], docs[text].cast("string").alias("text"))
-    is_long = F.coalesce(F.length("text"), F.lit(0)) > long_chars
+    is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk * spread
 
     fields = [T.StructField("ids", IDS), *([T.StructField("decoded", T.BinaryType())] if decoded else [])]
 
@@ -147,7 +167,7 @@ def encode(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
             for t in texts:
                 n = len(flat)
                 if t:
-                    e.ids(e.find.findall(t.decode()), flat)
+                    e.ids(e.pieces(t.decode(), chunk, overlap), flat)
                 sizes.append(len(flat) - n)
                 if decoded:
                     back.append(e.bytes_of(flat[n:]))
@@ -166,43 +186,50 @@ def encode(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
 
 
 def encode_long(rows: DataFrame, shared, chunk: int, overlap: int) -> DataFrame:
-    """(h, ids) of texts keyed by their hash; equal texts are encoded once. A task holds a chunk of a text, but for
-    the list of a text's boundaries."""
-    texts = rows.dropDuplicates(["h"]).withColumn("n", F.length("text"))
-    last = F.floor((F.col("n") - 1) / chunk).cast("int")
-    at = F.explode(F.sequence(F.lit(0), last)).alias("k")
-    chunks = texts.select("h", "n", at, "text").select("h", "n", "k", F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("text"))
-
-    def scan():
-        e = encoder(shared)
-        return lambda part: [[boundaries(e.find, t[1:].decode(), t[:1] == b"1") for t in part]]
+    """(h, ids) of texts keyed by their hash; equal texts are encoded once. A task holds a chunk of a text, but for the
+    one that cuts it, and of a text's boundaries only those in the overlaps are brought together."""
+    texts = rows.dropDuplicates(["h"])
+
+    def cut(batches):
+        for batch in batches:
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for i in range(0, len(text), 64 * chunk):
+                    starts = range(i, min(len(text), i + 64 * chunk), chunk)
+                    yield pa.RecordBatch.from_arrays([pa.array([h] * len(starts)), pa.array([k // chunk for k in starts], pa.int32()), pa.array([len(text)] * len(starts), pa.int64()), pa.array([text[k : k + chunk + overlap] for k in starts])], ["h", "k", "n", "text"])
 
-    flagged = chunks.withColumn("text", F.concat(F.when(F.col("k") * chunk + chunk + overlap >= F.col("n"), "1").otherwise("0"), "text"))
-    scanned = map_text(flagged.repartition("h", "k"), "text", scan, [T.StructField("found", IDS)], ["h", "n", "k"])
+    chunks = texts.mapInArrow(cut, "h string, k int, n long, text string").repartition("h", "k")
+
+    def scan(batches):
+        e = encoder(shared)
+        for batch in batches:
+            found = []
+            for k, n, t in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                found.append([b for b in boundaries(e.find, t, k * chunk + chunk + overlap >= n) if b <= overlap or b >= chunk])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int32()))], ["h", "k", "n", "found"])
 
     def stitch(table: pa.Table) -> pa.Table:
         t = table.sort_by("k")
         h, n, found = t.column("h")[0].as_py(), t.column("n")[0].as_py(), t.column("found").to_pylist()
         runs = seams([k * chunk for k in t.column("k").to_pylist()], found, n)
-        return pa.table({"h": [h] * len(runs), "b": pa.array([x[0] for x in runs], pa.int32()), "e": pa.array([x[1] for x in runs], pa.int32())})
+        return pa.table({"h": [h] * len(runs), "k": pa.array(range(len(runs)), pa.int32()), "b": pa.array([x[0] for x in runs], pa.int64()), "e": pa.array([x[1] for x in runs], pa.int64()), "chunks": pa.array([len(found)] * len(runs), pa.int32()), "runs": pa.array([len(runs)] * len(runs), pa.int32())})
 
-    runs = scanned.groupBy("h").applyInArrow(stitch, "h string, b int, e int")
-    parts = texts.join(runs, "h").select("h", "b", F.concat(F.lpad((F.col("e") - F.col("b")).cast("string"), 12, "0"), F.substring("text", F.col("b") + 1, F.col("e") - F.col("b") + AHEAD)).alias("text"))
+    runs = chunks.mapInArrow(scan, "h string, k int, n long, found array<int>").groupBy("h").applyInArrow(stitch, "h string, k int, b long, e long, chunks int, runs int")
+    # the last run of a text without a further seam goes over its chunk's end
+    over = (F.col("k") + 1 == F.col("runs")) & (F.col("runs") < F.col("chunks"))
+    within = chunks.select("h", "k", "text").join(runs.filter(~over), ["h", "k"]).select("h", "b", "e", (F.col("k").cast("long") * chunk).alias("start"), "text")
+    beyond = texts.select("h", "text").join(runs.filter(over), "h").select("h", "b", "e", F.lit(0).cast("long").alias("start"), "text")
 
-    def encode_run():
+    def encode_run(batches):
         e = encoder(shared)
-
-        def work(part):
+        for batch in batches:
             flat, sizes = [], []
-            for t in part:
+            for b, stop, start, t in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
                 n = len(flat)
-                e.ids(e.run(t[12:].decode(), int(t[:12])), flat)
+                e.ids(e.run(t[b - start : stop - start + AHEAD], stop - b), flat)
                 sizes.append(len(flat) - n)
-            return [lists(flat, sizes)]
-
-        return work
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(flat, sizes)], ["h", "b", "ids"])
 
-    pieces = map_text(parts.repartition("h", "b"), "text", encode_run, [T.StructField("ids", IDS)], ["h", "b"])
+    pieces = within.unionByName(beyond).mapInArrow(encode_run, "h string, b long, ids array<int>")
     return pieces.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("b", "ids"))).alias("parts")).select("h", F.flatten("parts.ids").alias("ids"))
 
 

@@ -23,11 +23,11 @@ def test_digest_against_the_library(spark, library):
     assert got == want
 
 
-@pytest.mark.parametrize("chunk,overlap", [(40, 12), (64, 64), (1000, 8)])
-def test_chunks_agree_with_the_whole(spark, library, odd, chunk, overlap):
+@pytest.mark.parametrize("chunk,overlap,spread", [(40, 12, 1), (64, 64, 2), (1000, 8, 1), (40, 12, 10**6), (64, 64, 10**6), (7, 9, 10**6)])
+def test_chunks_agree_with_the_whole(spark, library, odd, chunk, overlap, spread):
     more = spark.createDataFrame([(90, "it's we'll   I'd don't\n\n  x" * 30), (91, " " * 500 + "a'" * 300), (92, "12345678 " * 99 + "'r" * 50), (93, "<|endoftext|>é　  b" * 40)], "doc_id long, text string")
     docs = odd.select("doc_id", "text").union(more)
-    rows = B.decode(B.encode(docs, long_chars=30, chunk=chunk, overlap=overlap)).collect()
+    rows = B.decode(B.encode(docs, chunk=chunk, overlap=overlap, spread=spread)).collect()
     assert len(rows) == docs.count()
     for r in rows:
         assert r.ids == library.encode_ordinary(r.text or "")
@@ -35,7 +35,7 @@ def test_chunks_agree_with_the_whole(spark, library, odd, chunk, overlap):
 
 
 def test_decoding_in_the_same_task(spark, odd):
-    rows = B.encode(odd, long_chars=2_000, decoded=True).collect()
+    rows = B.encode(odd, chunk=500, spread=4, decoded=True).collect()
     assert len(rows) == odd.count() and all(bytes(r.decoded) == (r.text or "").encode() for r in rows)
 
 
@@ -54,3 +54,13 @@ def test_a_repeated_pretoken_longer_than_the_overlap(library):
     runs = B.seams(list(range(0, len(text), 40)), found, len(text))
     e = B.Encoder(B.vocabulary_bytes())
     assert [p for b, n in runs for p in e.run(text[b : n + B.AHEAD], n - b)] == find.findall(text)
+    assert e.pieces(text, 40, 10) == find.findall(text)
+
+
+def test_very_long_texts(spark, library):
+    texts = ["word " * 400_000, "x" * 300_000, "a1 " * 50_000 + " " * 70_000 + "it's " * 40_000]
+    rows = B.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), decoded=True).collect()
+    for r in rows:
+        assert r.decoded == texts[r.doc_id].encode() and len(r.ids) > 1_000
+        if r.doc_id != 1:
+            assert r.ids == library.encode_ordinary(texts[r.doc_id])
