@@ -1,7 +1,8 @@
 """Token counts of a unigram tokenizer without the tokens: Viterbi over Aho-Corasick matches.
 
 The automaton gives, at each place of the text, the vocabulary pieces that end there. The dynamic programme carries
-only the best score and the number of pieces up to each place; no path is kept. Rules are those of the tokenizers
+only the best score and the number of pieces up to each of the last places, as many as the longest piece has signs; no
+path is kept. Rules are those of the tokenizers
 library's Unigram model: of equal scores the piece that begins first wins; a character that is no piece by itself may
 be an unknown piece at the least score of the vocabulary less 10; unknown pieces in a row count as one.
 
@@ -46,6 +47,7 @@ class Counter:
                 self.found.add_word(p, (len(p), score))
         self.found.make_automaton()
         self.single = {p for p, _ in pieces if len(p) == 1}
+        self.longest = max(len(p) for p, _ in pieces)
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
         # words can be counted one by one if no piece reaches over the space between two, and if sums of scores are
         # exact, so that what stands before a word changes no comparison
@@ -55,22 +57,27 @@ class Counter:
 
     def pieces(self, text: str) -> int:
         """Number of pieces of a text as it is."""
-        n = len(text)
-        ends: list[list] = [[] for _ in range(n)]
-        for end, piece in self.found.iter(text):
-            ends[end].append(piece)
-        best, count, lost = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for e in range(n):
-            top, at = None, 0
-            for length, score in sorted(ends[e], reverse=True) if len(ends[e]) > 1 else ends[e]:
-                s = best[e + 1 - length] + score
-                if top is None or s > top:
-                    top, at = s, e + 1 - length
-            if text[e] not in self.single and (top is None or best[e] + self.unknown > top):
-                best[e + 1], count[e + 1], lost[e + 1] = best[e] + self.unknown, count[e] + (not lost[e]), True
+        size = self.longest + 1
+        best, count, lost = [0.0] * size, [0] * size, [False] * size  # by place, modulo size
+        matches = self.found.iter(text)
+        next_end, piece = next(matches, (-1, None))
+        now = 0
+        for e, sign in enumerate(text):
+            top, at, here = None, 0, []
+            while next_end == e:
+                here.append(piece)
+                next_end, piece = next(matches, (-1, None))
+            for length, score in sorted(here, reverse=True) if len(here) > 1 else here:
+                k = (e + 1 - length) % size
+                if top is None or best[k] + score > top:
+                    top, at = best[k] + score, k
+            after = (e + 1) % size
+            if sign not in self.single and (top is None or best[now] + self.unknown > top):
+                best[after], count[after], lost[after] = best[now] + self.unknown, count[now] + (not lost[now]), True
             else:
-                best[e + 1], count[e + 1] = top, count[at] + 1
-        return count[n]
+                best[after], count[after], lost[after] = top, count[at] + 1, False
+            now = after
+        return count[now]
 
     def count(self, text: str | None) -> int:
         """Number of pieces of a text with its spaces replaced and one before it; none for a null or empty text."""

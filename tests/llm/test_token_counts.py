@@ -44,3 +44,16 @@ def test_odd_rows(spark, odd):
     assert out.columns == ["doc_id", "text", "score", "n_tokens_in", "n_tokens"]
     assert all(r.n_tokens == count(r.text or "") for r in out.collect())
     assert C.token_counts(odd.limit(0)).count() == 0
+
+
+def test_a_long_text_without_spaces_needs_little_memory():
+    import tracemalloc
+
+    mine = C.Counter(C.vocabulary())
+    text = "日本語のabc" * 100_000
+    tracemalloc.start()
+    n = mine.pieces(C.SPACE + text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == library(C.vocabulary())(text)
+    assert peak < 6 * len(text)  # the automaton's copy of the text, four bytes a sign
