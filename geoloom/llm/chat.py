@@ -5,9 +5,11 @@ kept under its role, merged into the turn before, relabelled, or preceded by emp
 automaton's states finds the cheapest repair of the whole conversation, which is then rendered.
 
 The costs of a run of turns are a matrix over the states, and those of runs one after the other their product in
-(min, +). So conversations are ordered by range, cut into segments of a bounded number of turns, each reduced to its
-matrix; the matrices of a conversation are combined, and each segment is repaired between the two states that this
-gives. A conversation of any length, or one that holds a third of all turns, is spread over many tasks.
+(min, +). So conversations are ordered by range and cut into segments of a bounded number of turns, each reduced to its
+matrix; so are blocks of a bounded number of segments. The blocks of a conversation give the states between them, each
+block those between its segments, and each segment is repaired between its two states. So a conversation that holds a
+third of all turns is spread over many tasks; it meets in one place only as a matrix for each block, and at the very end
+as the one text that is asked for.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ NEXT = {BEGIN: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (
 MERGE, RELABEL, RELABEL_UNKNOWN, INSERT = 2, 3, 1, 4
 #: Conversations may end with these; another end costs the empty turns that are missing.
 FINAL = (USER, ASSISTANT)
-SEGMENT = 512
+SEGMENT, BLOCK = 512, 4_096
+#: By so many signs of tied turns' texts ranges are cut; within a range whole texts are compared.
+RANGE_SIGNS = 64
 INF = 10**15
 #: Rendered as <|role|>, the text and <|end|>, each on a line.
 TURN = "<|{}|>\n{}\n<|end|>\n"
@@ -96,13 +100,22 @@ def repair(roles: list[int], start: int, end: int) -> list[tuple[int, tuple[int,
     return out[::-1]
 
 
-def through(matrices: list[list[int]]) -> tuple[list[int], int]:
-    """The states between a conversation's segments, from BEGIN on, and the total cost."""
-    rows = [[0, INF, INF, INF]]
+def product(matrices: list[list[int]]) -> list[int]:
+    """Least costs from each state to each over segments one after the other."""
+    out = [0 if a == b else INF for a in range(4) for b in range(4)]
+    for m in matrices:
+        out = [min(INF, *(out[4 * a + k] + m[4 * k + b] for k in range(4))) for a in range(4) for b in range(4)]
+    return out
+
+
+def through(matrices: list[list[int]], start: int = BEGIN, end: int | None = None) -> tuple[list[int], int]:
+    """The states between segments, from ``start`` on, and the total cost. Without an end the cheapest is taken, with
+    what ending there costs."""
+    rows = [[0 if s == start else INF for s in range(4)]]
     for m in matrices:
         now = rows[-1]
-        rows.append([min(now[a] + m[4 * a + b] for a in range(4)) for b in range(4)])
-    total, end = min((rows[-1][s] + end_cost(s), s) for s in range(4))
+        rows.append([min(INF, *(now[a] + m[4 * a + b] for a in range(4))) for b in range(4)])
+    total, end = min((rows[-1][s] + end_cost(s), s) for s in range(4)) if end is None else (rows[-1][end], end)
     states = [end]
     for i in range(len(matrices) - 1, -1, -1):
         states.append(next(a for a in range(4) if rows[i][a] < INF and rows[i][a] + matrices[i][4 * a + states[-1]] == rows[i + 1][states[-1]]))
@@ -135,7 +148,7 @@ def format_chats(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     kind = turns.schema[conversation].dataType.simpleString()
     source = turns.select(F.col(conversation).alias("c"), F.col(turn).cast("long").alias("n"), F.col(role).cast("string").alias("r"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     # by range, so that a long conversation is dealt over as many tasks as its share of the rows asks for
-    ordered = source.repartitionByRange("c", "n", "r", "t").sortWithinPartitions("c", "n", "r", "t")
+    ordered = source.repartitionByRange("c", "n", "r", F.substring("t", 1, RANGE_SIGNS)).sortWithinPartitions("c", "n", "r", "t")
 
     def cut(batches):
         from pyspark import TaskContext
@@ -170,21 +183,36 @@ def format_chats(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(flat, kinds, strict=True)], names)
 
     segments = materialised(ordered.mapInArrow(cut, f"c {kind}, part int, place int, roles array<int>, texts array<string>, costs array<long>"))
-    steps = segments.select("c", "part", "place", "costs", F.size("roles").alias("n"))
+    block = BLOCK
+    steps = segments.select("c", "part", "place", F.floor(F.col("place") / block).cast("int").alias("block"), "costs", F.size("roles").cast("long").alias("n"))
+
+    def reduced(table):
+        t = table.sort_by("place")
+        return t.slice(0, 1).select(["c", "part", "block"]).append_column("costs", pa.array([product(t.column("costs").to_pylist())], pa.list_(pa.int64()))).append_column("n", pa.array([sum(t.column("n").to_pylist())], pa.int64()))
+
+    blocks = materialised(steps.groupBy("c", "part", "block").applyInArrow(reduced, f"c {kind}, part int, block int, costs array<long>, n long"))
 
     def combine(batches):
         for batch in batches:
             states, costs = [], []
             for runs in batch.column("runs").to_pylist():
                 s, total = through([x["costs"] for x in runs])
-                states.append([{"part": x["part"], "place": x["place"], "a": a, "b": b, "last": i + 1 == len(runs)} for i, (x, a, b) in enumerate(zip(runs, s, s[1:], strict=False))])
+                states.append([{"part": x["part"], "block": x["block"], "a": a, "b": b, "last": i + 1 == len(runs)} for i, (x, a, b) in enumerate(zip(runs, s, s[1:], strict=False))])
                 costs.append(total)
-            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("n"), pa.array(costs, pa.int64()), pa.array(states, pa.list_(pa.struct([("part", pa.int32()), ("place", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("last", pa.bool_())])))], ["c", "n", "cost", "runs"])
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("n"), pa.array(costs, pa.int64()), pa.array(states, pa.list_(pa.struct([("part", pa.int32()), ("block", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("last", pa.bool_())])))], ["c", "n", "cost", "runs"])
+
+    # a conversation's blocks: one row of 16 numbers for each BLOCK * SEGMENT turns, and for each range it reaches into
+    gathered = blocks.groupBy("c").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("part", "block", "costs"))).alias("runs"))
+    solved = materialised(gathered.mapInArrow(combine, f"c {kind}, n long, cost long, runs array<struct<part:int,block:int,a:int,b:int,last:boolean>>"))
+    ends = solved.select(F.col("c").alias("k"), F.inline("runs"))
+
+    def between(key, table, found):
+        t, x = table.sort_by("place"), found.to_pylist()[0]
+        s, _ = through(t.column("costs").to_pylist(), x["a"], x["b"])
+        n = len(t)
+        return pa.table({"part": t.column("part"), "place": t.column("place"), "a": pa.array(s[:-1], pa.int32()), "b": pa.array(s[1:], pa.int32()), "last": pa.array([x["last"] and i + 1 == n for i in range(n)])})
 
-    gathered = steps.groupBy("c").agg(F.sum("n").cast("long").alias("n"), F.array_sort(F.collect_list(F.struct("part", "place", "costs"))).alias("runs"))
-    solved = gathered.mapInArrow(combine, f"c {kind}, n long, cost long, runs array<struct<part:int,place:int,a:int,b:int,last:boolean>>")
-    solved = materialised(solved)
-    plan = solved.select(F.inline("runs"))
+    plan = steps.groupBy("c", "part", "block").cogroup(ends.groupBy("k", "part", "block")).applyInArrow(between, "part int, place int, a int, b int, last boolean")
 
     def repaired(batches):
         for batch in batches:
@@ -200,7 +228,7 @@ def format_chats(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     texts = parts.mapInArrow(repaired, f"c {kind}, part int, place int, lead string, own string, m int")
     whole = texts.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("part", "place", "lead", "own", "m"))).alias("x"), F.sum("m").cast("long").alias("m"))
     # a turn is closed where the next begins, in the same segment or a later one
-    joined = F.aggregate("x", F.lit(""), lambda a, x: F.concat(a, x["lead"], F.when((x["m"] > 0) & (F.length(a) > 0), "\n<|end|>\n").otherwise(""), x["own"]))
+    joined = F.array_join(F.transform("x", lambda x, i: F.concat(x["lead"], F.when((x["m"] > 0) & (i > 0), "\n<|end|>\n").otherwise(""), x["own"])), "")
     out = whole.select(F.col("c").alias("k"), "m", F.concat(joined, F.lit("\n<|end|>\n")).alias("rendered"))
     return solved.join(out, solved["c"].eqNullSafe(out["k"])).select(F.col("c").alias(conversation), F.col("n").alias("n_turns"), F.col("m").alias("n_rendered"), "cost", "rendered")
 

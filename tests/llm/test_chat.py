@@ -45,8 +45,9 @@ def test_costs_against_brute_force():
             assert cost == brute(roles), roles
 
 
-@pytest.mark.parametrize("segment", [1, 3, 512])
-def test_rendered_conversations(spark, segment):
+@pytest.mark.parametrize("segment,block", [(1, 4), (3, 2), (512, 4_096)])
+def test_rendered_conversations(spark, segment, block, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", block)
     rng = random.Random(segment)
     rows = [(c, i, rng.choice(["user", "assistant", "system", "User ", "tool", None]), f"t{c}.{i}") for c in range(60) for i in range(rng.randint(1, 9))]
     rows += [(None, i, "user", None) for i in range(4)] + [(99, 1, "user", "same")] * 5 + [(100, i, "user" if i % 2 else "assistant", "x") for i in range(2_000)]
@@ -71,3 +72,13 @@ def test_whole_table_and_no_rows(spark):
     assert len(out) == turns.select("conv_id").distinct().count() and sum(r.n_turns for r in out) == turns.count()
     assert all(legal(parse(r.rendered)) for r in out)
     assert C.format_chats(turns.limit(0)).count() == 0
+
+
+def test_blocks_of_segments_have_the_costs_of_the_whole():
+    rng = random.Random(4)
+    for _ in range(50):
+        roles = [rng.randrange(4) for _ in range(rng.randint(2, 30))]
+        parts = [roles[i : i + 3] for i in range(0, len(roles), 3)]
+        assert C.product([C.matrix(p) for p in parts]) == C.matrix(roles)
+        states, cost = C.through([C.matrix(p) for p in parts])
+        assert sum(C.through([C.matrix(p)], a, b)[1] for p, a, b in zip(parts, states, states[1:])) + C.end_cost(states[-1]) == cost == C.through([C.matrix(roles)])[1]
