@@ -6,13 +6,16 @@ of occurrences in all documents, and each distinct window is filed under its rar
 looked up in that prefix index; the position of the shingle in the window fixes where the window would begin, which
 must leave room on both sides (positional and length bounds); what is left is verified word for word.
 
-Benchmark items are handled in blocks of at most ``block_words`` words, each broadcast on its own: a larger benchmark
-means more blocks, never a larger broadcast. Documents stay where they are: there is no shuffle of their rows.
+Benchmark items are read and handled in blocks of at most ``block_words`` words (a longer item is cut into pieces that
+share all but their windows' first words), each broadcast on its own. Of several blocks each is gone through by itself:
+what it finds is kept, its broadcast is freed, and the findings are joined to the documents by row at the end. So neither
+the driver nor an executor ever holds more than a block. Documents stay where they are but for that last join.
 """
 
 from __future__ import annotations
 
-import hashlib
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_WORDS, map_text
+from .common import LOWER_WORDS, map_text, materialised
 
 WINDOW = 10
 SHINGLE = 3
@@ -136,8 +139,9 @@ def hits(index: Windows, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarra
     return np.concatenate(docs or none), np.concatenate(wins or none), np.cumsum(covered)[: len(ids)] > 0
 
 
-def shingle_counts(docs: DataFrame, text: str, index: Windows, shared) -> np.ndarray:
+def shingle_counts(docs: DataFrame, text: str, index: Windows) -> np.ndarray:
     """How often each shingle of the block occurs in all documents: counted in each task, then summed."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def count(batches):
         index = shared.value
@@ -159,21 +163,25 @@ def shingle_counts(docs: DataFrame, text: str, index: Windows, shared) -> np.nda
     counts = np.zeros(len(index.codes), np.int64)
     for k, n in rows.collect():  # a row for each shingle of the block, at most BLOCK_WORDS * 3
         counts[k] = n
+    shared.unpersist()
     return counts
 
 
-def blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> list[list[tuple[str, bytes]]]:
+def blocks(benchmark: DataFrame, item: str, text: str, block_words: int):
     """The items in blocks, read one after the other. A null text has no words; a null id counts as an empty one."""
     rows = benchmark.select(F.col(item).cast("string"), F.col(text).cast("string")).toLocalIterator()
-    out, words = [[]], 0
+    out, words = [], 0
     for i, t in rows:
-        n = len((b := (t or "").encode()).translate(LOWER_WORDS).split())
-        if words + n > block_words and out[-1]:
-            out.append([])
-            words = 0
-        out[-1].append((i or "", b))
-        words += n
-    return out
+        all_words = (t or "").encode().translate(LOWER_WORDS).split()
+        step = max(block_words, WINDOW)
+        for k in range(0, max(1, len(all_words) - WINDOW + 1), step):  # every window lies in one piece
+            piece = all_words[k : k + step + WINDOW - 1]
+            if words + len(piece) > block_words and out:
+                yield out
+                out, words = [], 0
+            out.append((i or "", b" ".join(piece)))
+            words += len(piece)
+    yield out
 
 
 def decontaminate(
@@ -195,31 +203,46 @@ def decontaminate(
     """
     spark = docs.sparkSession
     carry = docs.columns if carry is None else carry
-    found = blocks(benchmark, item, item_text, block_words)
     sent = text in carry  # then it isn't sent twice
     out = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(carry)], *([] if sent else [docs[text].alias("text")]))
     name = f"c{carry.index(text)}" if sent else "text"
-    for k, items in enumerate(found):
-        index = Windows(items)
-        index.order(shingle_counts(docs, text, index, spark.sparkContext.broadcast(index)))
-        out = mark(out, name, spark.sparkContext.broadcast(index), k)
-    every = range(len(found))
-    runs = F.array_sort(F.flatten(F.array(*[f"runs{k}" for k in every])))
+    every = blocks(benchmark, item, item_text, block_words)
+    first, second = next(every), next(every, None)
+    if second is None:
+        index = Windows(first)
+        index.order(shingle_counts(out, name, index))
+        out = mark(out, name, spark.sparkContext.broadcast(index))
+    else:
+        # numbered once and kept, so that each block's findings meet their rows again
+        out = materialised(out.withColumn("row", F.monotonically_increasing_id()))
+        words, kept = None, []
+        for items in chain([first, second], every):
+            index = Windows(items)
+            index.order(shingle_counts(out, name, index))
+            shared = spark.sparkContext.broadcast(index)
+            made = mark(out.select("row", name), name, shared)
+            kept.append(materialised(made.filter(F.size("found") > 0).select("row", "runs", "found")))
+            if words is None:
+                words = materialised(made.select("row", "words"))
+            shared.unpersist()
+        hits = reduce(DataFrame.unionByName, kept).groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("found")).alias("found"))
+        none = [F.coalesce(F.col(c), F.array().cast(hits.schema[c].dataType)).alias(c) for c in ("runs", "found")]
+        out = out.join(words, "row").join(hits, "row", "left").select(*[f"c{i}" for i in range(len(carry))], "words", *none)
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("e"))
     hit = F.aggregate(
-        runs, start, lambda a, r: F.struct((a.n + F.greatest(F.lit(0), r.e - F.greatest(r.b, a.e))).alias("n"), F.greatest(a.e, r.e).alias("e"))
+        F.array_sort("runs"), start, lambda a, r: F.struct((a.n + F.greatest(F.lit(0), r.e - F.greatest(r.b, a.e))).alias("n"), F.greatest(a.e, r.e).alias("e"))
     ).n
     return out.select(
         *[F.col(f"c{i}").alias(f"{c}_in" if c in ("n_words", "n_hit", "items", "contaminated") else c) for i, c in enumerate(carry)],
-        F.col("words0").alias("n_words"),
+        F.col("words").alias("n_words"),
         hit.alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.array(*[f"items{k}" for k in every])))).alias("items"),
+        F.array_sort(F.array_distinct("found")).alias("items"),
         (hit > 0).alias("contaminated"),
     )
 
 
-def mark(out: DataFrame, text: str, shared, k: int) -> DataFrame:
-    """Adds the number of words, the runs of hit words and the items found, for block k."""
+def mark(out: DataFrame, text: str, shared) -> DataFrame:
+    """Adds the number of words, the runs of hit words and the items found."""
 
     def setup():
         index = shared.value
@@ -239,7 +262,7 @@ def mark(out: DataFrame, text: str, shared, k: int) -> DataFrame:
         return work
 
     run = T.ArrayType(T.StructType([T.StructField("b", T.LongType()), T.StructField("e", T.LongType())]))
-    fields = [T.StructField(f"words{k}", T.LongType()), T.StructField(f"runs{k}", run), T.StructField(f"items{k}", T.ArrayType(T.StringType()))]
+    fields = [T.StructField("words", T.LongType()), T.StructField("runs", run), T.StructField("found", T.ArrayType(T.StringType()))]
     return map_text(out, text, setup, fields)
 
 

@@ -70,3 +70,15 @@ def test_odd_rows_and_empty_tables(spark, odd):
     assert D.decontaminate(odd.limit(0), b, carry=["doc_id"]).count() == 0
     digest = D.digest(D.decontaminate(odd, b.limit(0), carry=["doc_id"])).first()
     assert digest.items_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_items_longer_than_a_block(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abc") for _ in range(2))
+    long = " ".join(word() for _ in range(300))
+    items = [(1, long), (2, "x y"), (3, " ".join(long.split()[35:50]))]
+    docs = [" ".join(long.split()[k : k + n]) for k, n in ((0, 10), (31, 12), (100, 9), (290, 10), (50, 200))] + ["x y", "y x", long]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
+    b = spark.createDataFrame(items, "item_id int, text string")
+    for block in (37, 1_000):
+        assert got(D.decontaminate(d, b, block_words=block).orderBy("doc_id").collect()) == [brute(t, items) for t in docs]
