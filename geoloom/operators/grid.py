@@ -58,11 +58,16 @@ def overlay_last(value: str, order: str, nodata: float | None = None) -> Column:
     return F.max_by(v, F.when(v.isNotNull(), F.col(order)))
 
 
+def around(low: Column, high: Column, size: int) -> Column:
+    """The whole numbers from low to high, one more on either side, within 0 to size - 1."""
+    return F.sequence(F.greatest(F.floor(low) - 1, F.lit(0)).cast("bigint"), F.least(F.ceil(high) + 1, F.lit(size - 1)).cast("bigint"))
+
+
 def rescaled_nearest(df: DataFrame, by: list[str], height: int, width: int, to_height: int, to_width: int, row: str, col: str, value: str) -> DataFrame:
     """Nearest-neighbour resize. Each source pixel makes the target pixels it is nearest to: no join."""
     def targets(at: str, size: int, to: int) -> Column:
-        axis = F.sequence(F.lit(0).cast("bigint"), F.lit(to - 1).cast("bigint"))
-        return F.filter(axis, lambda i: F.floor((i + 0.5) * (size / to)) == F.col(at))
+        near = around(F.col(at) * (to / size) - 0.5, (F.col(at) + 1) * (to / size) - 0.5, to)
+        return F.filter(near, lambda i: F.floor((i + 0.5) * (size / to)) == F.col(at))
 
     rows = df.select(*by, F.explode(targets(row, height, to_height)).alias("nr"), col, value)
     return rows.select(*by, F.col("nr").alias(row), F.explode(targets(col, width, to_width)).alias(col), value)
@@ -72,7 +77,8 @@ def upsampled_bilinear(df: DataFrame, by: list[str], height: int, width: int, k:
     """Bilinear upsampling by k, borders clamped. Each source pixel sends its weighted value to the targets that it is
     a neighbour of, and the weights of a target add up to 1: one partial aggregate, no join."""
     def weights(at: str, size: int) -> Column:
-        axis = F.sequence(F.lit(0), F.lit(size * k - 1))
+        axis = around((F.col(at) - 0.5) * k - 0.5, (F.col(at) + 1.5) * k - 0.5, size * k)
+
         def place(i):
             return F.least(F.greatest((i + 0.5) / k - 0.5, F.lit(0.0)), F.lit(float(size - 1)))
         return F.filter(F.transform(axis, lambda i: F.struct(i.cast("bigint").alias("i"), F.greatest(F.lit(0.0), 1 - F.abs(place(i) - F.col(at))).alias("w"))), lambda x: x["w"] > 0)

@@ -1,7 +1,8 @@
 """Running totals, ranks, nearest neighbours in time, distribution matching, sampling and splits.
 
-Whole-table orders are never one window: rows are cut into ranges of the ordering value, each range is a window
-partition of its own, and the ranges' totals (a few dozen rows) are added as offsets.
+Whole-table orders are never one window: rows are dealt to ranges of the order, as many as the session's shuffles have
+partitions (adaptive execution joins small ones), each range is a window partition of its own, and the ranges' totals, a
+row each, are added as offsets. Ties are part of the order, so a value that very many rows have is dealt out as well.
 """
 
 from __future__ import annotations
@@ -9,27 +10,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+from ..sources.tables import shared_folder
 
 
-def ranged(df: DataFrame, by: str, ranges: int = RANGES) -> DataFrame:
-    """Adds range_no: equal values share it, and larger values never have a smaller one. Nulls are before all."""
-    bounds = sorted(set(df.approxQuantile(by, [i / ranges for i in range(1, ranges)], 0.002))) if ranges > 1 else []
-    at = sum(((F.col(by) >= float(b)).cast("int") for b in bounds), F.lit(0))
-    return df.withColumn("range_no", F.when(F.col(by).isNull(), -1).otherwise(at))
+def ranged(df: DataFrame, by: str, ties: list[str]) -> DataFrame:
+    """Adds range_no: rows in ascending order of ``by`` and ``ties`` (nulls first) are in ranges of ascending number. The
+    rows are kept in the shared folder, so that a range has the same rows whenever it is read."""
+    shared_folder(df.sparkSession)
+    return df.repartitionByRange(by, *ties).withColumn("range_no", F.spark_partition_id()).checkpoint()
 
 
-def running_total(df: DataFrame, by: str, ties: list[str], value: Column, out: str, ranges: int = RANGES) -> DataFrame:
+def running_total(df: DataFrame, by: str, ties: list[str], value: Column, out: str) -> DataFrame:
     """Adds the total of ``value`` over all rows up to each, ordered by ``by`` and then ``ties``."""
-    cut = ranged(df.withColumn("rt_value", value), by, ranges)
+    cut = ranged(df.withColumn("rt_value", value), by, ties)
     sums = cut.groupBy("range_no").agg(F.sum("rt_value").alias("range_sum"))
     before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
     offsets = sums.select("range_no", F.coalesce(F.sum("range_sum").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("range_no").orderBy(by, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.join(F.broadcast(offsets), "range_no")  # RANGES + 1 rows at most
+    joined = cut.join(F.broadcast(offsets), "range_no")  # a row for each partition of a shuffle
     return joined.withColumn(out, F.col("offset") + F.sum("rt_value").over(inside)).drop("range_no", "offset", "rt_value")
 
 
+def carried(df: DataFrame, by: str, ties: list[str], value: str, out: str) -> DataFrame:
+    """Adds the last value that isn't null in all rows up to each, ordered by ``by`` and then ``ties``."""
+    cut = ranged(df, by, ties)
+    there = F.when(F.col(value).isNotNull(), F.struct(by, *ties))
+    lasts = cut.groupBy("range_no").agg(F.max_by(value, there).alias("range_last"))
+    before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
+    offsets = lasts.select("range_no", F.last("range_last", True).over(before).alias("before"))
+    inside = Window.partitionBy("range_no").orderBy(by, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut.join(F.broadcast(offsets), "range_no")  # a row for each partition of a shuffle
+    return joined.withColumn(out, F.coalesce(F.last(value, True).over(inside), "before")).drop("range_no", "before")
+
+
 def row_numbers(df: DataFrame, by: str, ties: list[str], out: str = "rn") -> DataFrame:
     """A running number over the whole table, ordered by ``by`` and ``ties``."""
     return running_total(df, by, ties, F.lit(1).cast("bigint"), out)
@@ -164,13 +177,19 @@ def kfold(df: DataFrame, id_: str, k: int = 10, seed: int = 1117) -> DataFrame:
     return numbered.crossJoin(total).withColumn("fold", fold.cast("bigint")).drop("s_draw", "s_rn", "s_n")
 
 
+def share_drawn(id_: Column, seed: int) -> Column:
+    """A reproducible number in [0, 1) of an integer id."""
+    return draw(id_, seed) / F.lit(4294967296.0)
+
+
 def weighted_sample(df: DataFrame, id_: str, weight: str, n: int, seed: int = 7) -> DataFrame:
-    """(draw_no, id) of n draws with replacement, in proportion to the weights: cumulative weights are cut by n
-    numbers, each row taking those that fall into its interval."""
-    upto = running_total(df.select(id_, weight), weight, [id_], F.col(weight), "w_upto")
-    total = F.broadcast(df.agg(F.sum(weight).alias("w_all")))  # one row
-    drawn = df.sparkSession.range(n).select(F.col("id").alias("draw_no"), F.rand(seed).alias("u")).crossJoin(total).select("draw_no", (F.col("u") * F.col("w_all")).alias("u"))
-    cell = F.expr(f"greatest(w_all / {RANGES * 4}, 1e-12)")
-    rows = upto.filter(F.col(weight) > 0).crossJoin(total).withColumn("cell", F.explode(F.sequence(F.floor((F.col("w_upto") - F.col(weight)) / cell), F.floor(F.col("w_upto") / cell))))
-    asked = drawn.crossJoin(total).withColumn("cell", F.floor(F.col("u") / cell)).drop("w_all")
-    return asked.join(rows, "cell").filter((F.col("u") >= F.col("w_upto") - F.col(weight)) & (F.col("u") < F.col("w_upto"))).select("draw_no", id_)
+    """(draw_no, id) of n draws with replacement, in proportion to the weights. Rows lie one after the other, each as
+    long as its weight; n numbers are laid on the same line, and each takes the row that begins last before it: one
+    sweep over rows and draws together. Draws depend on their number and the seed only."""
+    upto = running_total(df.filter(F.col(weight) > 0).select(id_, weight), weight, [id_], F.col(weight), "w_upto")
+    total = F.broadcast(df.filter(F.col(weight) > 0).agg(F.sum(weight).cast("double").alias("w_all")))  # one row
+    kind = dict(df.dtypes)[id_]
+    begins = upto.select((F.col("w_upto") - F.col(weight)).cast("double").alias("at"), F.lit(-1).cast("bigint").alias("draw_no"), F.col(id_).alias("taken"))
+    drawn = df.sparkSession.range(n).crossJoin(total).select((share_drawn(F.col("id"), seed) * F.col("w_all")).alias("at"), F.col("id").alias("draw_no"), F.lit(None).cast(kind).alias("taken"))
+    # of rows and draws at one place the row comes first, as its number is -1
+    return carried(begins.unionByName(drawn), "at", ["draw_no"], "taken", "w_id").filter("draw_no >= 0").select("draw_no", F.col("w_id").alias(id_))

@@ -5,7 +5,7 @@ NaN and nodata are made null on the way in (clean()); comparisons with null are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -76,9 +76,15 @@ def select_bands(bands: Column, used: list[bool]) -> Column:
 
 
 def standardised(df: DataFrame, value: str, by: list[str], out: str, epsilon: float = 1e-8, nodata: float | None = None) -> DataFrame:
-    """(v - mean) / (population deviation + epsilon) over each group; null where there is no value."""
-    w, v = Window.partitionBy(*by), clean(F.col(value), nodata)
-    return df.withColumn(out, (v - F.avg(v).over(w)) / (F.stddev_pop(v).over(w) + epsilon))
+    """(v - mean) / (population deviation + epsilon) over each group; null where there is no value. The groups' numbers
+    are partial aggregates, joined back: no group's pixels come together in one task."""
+    v = clean(F.col(value), nodata)
+    stats = df.groupBy(*[F.col(c).alias(f"s_{c}") for c in by]).agg(F.avg(v).alias("s_mean"), F.stddev_pop(v).alias("s_sd"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"s_{c}"))
+    joined = df.join(stats, same) if by else df.crossJoin(F.broadcast(stats))  # one row
+    return joined.withColumn(out, (v - F.col("s_mean")) / (F.col("s_sd") + epsilon)).drop("s_mean", "s_sd", *[f"s_{c}" for c in by])
 
 
 def metres_to_degrees(dx: Column, dy: Column, lat: Column) -> tuple[Column, Column]:

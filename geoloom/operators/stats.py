@@ -105,7 +105,46 @@ def waic(log_likelihood: DataFrame, observation: str, value: str) -> DataFrame:
 
 
 def hdi(df: DataFrame, value: str, by: list[str], mass: float = 0.94) -> DataFrame:
-    """Central interval of a posterior by group, and its mean."""
-    a = (1 - mass) / 2
-    q = F.percentile(value, F.array(F.lit(a), F.lit(1 - a)))
-    return df.groupBy(*by).agg(F.avg(value).alias("mean"), q.alias("q")).select(*by, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    """Mean and highest-density interval of a posterior by group: of all intervals between two draws that hold the mass
+    the shortest, of equals the lowest. A posterior is a bounded number of draws, sorted as an array."""
+    draws = F.array_sort(F.collect_list(value))
+    rows = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.avg(value).alias("mean"), draws.alias("d"))
+    k = F.least(F.floor(F.size("d") * F.lit(mass)).cast("int"), F.size("d") - 1)
+    every = F.transform(F.sequence(F.lit(0), F.size("d") - 1 - F.col("k")), lambda i: F.struct((F.get("d", i + F.col("k")) - F.get("d", i)).alias("width"), F.get("d", i).alias("low"), F.get("d", i + F.col("k")).alias("high")))
+    best = rows.withColumn("k", k).withColumn("best", F.array_min(every))
+    return best.select(*by, "mean", F.col("best.low").alias("low"), F.col("best.high").alias("high"))
+
+
+def t_two_sided(t: Column, freedom: Column, terms: int = 400) -> Column:
+    """Two-sided p of Student's t, for whole degrees of freedom: the finite series in cos(theta), theta = atan(|t| /
+    sqrt(n)), of up to ``terms`` terms; with more degrees the normal distribution of t brought to its scale, which is then within 1e-5."""
+    theta, n = F.atan(F.abs(t) / F.sqrt(freedom)), freedom.cast("int")
+    c2 = F.cos(theta) ** 2
+    odd = n % 2 == 1
+    count = F.when(odd, ((n - 1) / 2).cast("int")).otherwise((n / 2).cast("int"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"))
+
+    def step(a, k):  # term k of 1 + 1/2 c^2 + 1*3/(2*4) c^4 ..., or of 1 + 2/3 c^2 + 2*4/(3*5) c^4 ...
+        up = F.when(odd, (2 * k) / (2 * k + 1.0)).otherwise((2 * k - 1) / (2.0 * k))
+        return F.struct((a["term"] * up * c2).alias("term"), (a["sum"] + a["term"]).alias("sum"))
+
+    series = F.when(count > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), start, step, lambda a: a["sum"])).otherwise(0.0)
+    inside = F.when(odd, (theta + F.sin(theta) * F.cos(theta) * series) * (2 / 3.141592653589793)).otherwise(F.sin(theta) * series)
+    small = F.greatest(F.lit(0.0), 1 - inside)
+    x = F.abs(t) * (1 - 1 / (4 * freedom)) / F.sqrt(1 + t * t / (2 * freedom)) / F.sqrt(F.lit(2.0))
+    u = 1 / (1 + 0.3275911 * x)
+    large = u * (0.254829592 + u * (-0.284496736 + u * (1.421413741 + u * (-1.453152027 + u * 1.061405429)))) * F.exp(-x * x)
+    return F.when(freedom <= 0, F.lit(None)).when(freedom <= 2 * terms, small).otherwise(large)
+
+
+def regression(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """Slope, intercept, correlation, n, standard error of the slope and two-sided p of no slope, of each group; p is 0
+    where all points lie on a line, and null for fewer than three points."""
+    out = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(
+        F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy")
+    )
+    freedom = F.col("n") - 2
+    error = F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("r") ** 2) * F.col("vy") / F.col("vx") / F.when(freedom > 0, freedom))
+    t = F.when(error > 0, F.col("slope") / error)
+    p = F.when(freedom <= 0, F.lit(None)).when(error == 0, F.lit(0.0)).otherwise(t_two_sided(t, freedom))
+    return out.select(*by, "slope", "intercept", "r", "n", error.alias("stderr"), p.alias("p"))

@@ -130,3 +130,50 @@ def shape_features(a: Column, perimeter: Column, width: Column, height: Column,
         F.try_divide(a, hull).alias("solidity"),
         F.try_divide(vertices.cast("double"), a).alias("vertex_density"),
     ]
+
+
+# ---- polygons: array of rings, the outer one first ----
+
+
+def hole_count(rings: Column) -> Column:
+    """Interior rings of a polygon."""
+    return F.greatest(F.size(rings) - 1, F.lit(0)).cast("bigint")
+
+
+def polygon_area(rings: Column) -> Column:
+    """Area of the outer ring less those of the holes."""
+    areas = F.transform(rings, ring_area)
+    return F.aggregate(F.slice(areas, 2, 1 << 30), F.element_at(areas, 1), lambda a, x: a - x)
+
+
+def geometry_type(points: Column) -> Column:
+    """Of an array of points: a point, a closed ring of three corners or more, or else a line."""
+    n = F.size(points)
+    closed = (F.element_at(points, 1) == F.element_at(points, -1)) & (n >= 4)
+    return F.when(n == 1, "Point").when(n < 1, None).when(closed, "Polygon").otherwise("LineString")
+
+
+#: Metres; the sphere of an ellipsoid's mean radius, as spherical area is an approximation anyway.
+MEAN_RADIUS = 6371008.8
+
+
+def spherical_area(ring: Column, radius: float = MEAN_RADIUS) -> Column:
+    """Square metres of a ring in degrees on a sphere: trapezoids between each side and the equator."""
+    pairs = F.arrays_zip(F.slice(ring, F.lit(1), F.size(ring) - 1).alias("a"), F.slice(ring, F.lit(2), F.size(ring) - 1).alias("b"))
+    side = lambda p: F.radians(p["b"]["x"] - p["a"]["x"]) * (2 + F.sin(F.radians(p["a"]["y"])) + F.sin(F.radians(p["b"]["y"])))
+    return F.abs(F.aggregate(pairs, F.lit(0.0), lambda s, p: s + side(p))) * (radius * radius / 2)
+
+
+def ring_centroid(ring: Column) -> Column:
+    """Centroid of a ring's area as struct<x, y>; of a ring without area its first point. Sums are taken from the first
+    point on, so that large coordinates lose no digits."""
+    x0, y0 = ring[0]["x"], ring[0]["y"]
+    pairs = F.arrays_zip(F.slice(ring, F.lit(1), F.size(ring) - 1).alias("a"), F.slice(ring, F.lit(2), F.size(ring) - 1).alias("b"))
+    start = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def add(s, p):
+        ax, ay, bx, by = p["a"]["x"] - x0, p["a"]["y"] - y0, p["b"]["x"] - x0, p["b"]["y"] - y0
+        w = ax * by - bx * ay
+        return F.struct((s["w"] + w).alias("w"), (s["x"] + w * (ax + bx)).alias("x"), (s["y"] + w * (ay + by)).alias("y"))
+
+    return F.aggregate(pairs, start, add, lambda s: F.struct((x0 + F.coalesce(F.try_divide(s["x"], 3 * s["w"]), F.lit(0.0))).alias("x"), (y0 + F.coalesce(F.try_divide(s["y"], 3 * s["w"]), F.lit(0.0))).alias("y")))

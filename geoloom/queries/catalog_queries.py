@@ -149,10 +149,13 @@ def status_tally(t):
     return s.agg(F.count_if(~bad).alias("success"), F.count_if(bad & missing).alias("missing"), F.count_if(bad & ~missing).alias("other"))
 
 
-@query("mode_crs", f"SELECT name, min(crs) AS crs FROM (SELECT name, 32600 + k % 4 AS crs FROM ({FILES})) GROUP BY name")
+_CRS = f"SELECT area % 11 AS grp, 32600 + area % 3 + id % 2 AS crs, count(*) AS n, min(id) AS f FROM ({FRAMES}) GROUP BY 1, 2"
+
+
+@query("mode_crs", f"SELECT grp, crs FROM (SELECT grp, crs, row_number() OVER (PARTITION BY grp ORDER BY n DESC, f) AS rn FROM ({_CRS})) WHERE rn = 1")
 def mode_crs(t):
-    f = files(t).withColumn("crs", 32600 + col("k") % 4)
-    return catalog.most_common(f, ["name"], "crs", "year")
+    f = frames(t).withColumn("grp", col("area") % 11).withColumn("crs", 32600 + col("area") % 3 + col("id") % 2)
+    return catalog.most_common(f, ["grp"], "crs", "id").select("grp", "crs")
 
 
 _MODE = f"SELECT size AS shape FROM (SELECT area % 5 AS size, count(*) AS n, min(id) AS f FROM ({FRAMES}) GROUP BY 1) ORDER BY n DESC, f LIMIT 1"
@@ -200,6 +203,8 @@ def split_table_json(t):
     return j.select("zone", F.array_join(F.from_json("j", "training_frames array<string>")["training_frames"], ",").alias("frames"))
 
 
-@query("run_metadata", f"SELECT zone AS model, max(id) AS last_run, CAST(arg_min(area, area) AS BIGINT) AS best FROM ({FRAMES}) GROUP BY zone")
+@query("run_metadata", f"SELECT zone AS model, count(*) AS runs, max(id) AS last_run, arg_max(area, id) AS last_loss, arg_min(id, (area, id)) AS best_run FROM (SELECT * FROM ({FRAMES}) WHERE id % 2 = 0 UNION ALL SELECT * FROM ({FRAMES}) WHERE id % 2 = 1) GROUP BY zone")
 def run_metadata(t):
-    return frames(t).groupBy(col("zone").alias("model")).agg(F.max("id").alias("last_run"), F.min_by("area", "area").alias("best"))
+    # the runs so far, and new ones appended to them
+    log, new = frames(t).filter("id % 2 = 0"), frames(t).filter("id % 2 = 1")
+    return log.unionByName(new).groupBy(col("zone").alias("model")).agg(F.count(F.lit(1)).alias("runs"), F.max("id").alias("last_run"), F.max_by("area", "id").alias("last_loss"), F.min_by("id", F.struct("area", "id")).alias("best_run"))

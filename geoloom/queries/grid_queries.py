@@ -33,9 +33,15 @@ def seq_patches(t):
     return grid.patches(images(t), "w", "h", 128, 96, sequential=True).select("id", "x", "y")
 
 
-@query("batch_assembly", f"SELECT id // 32 AS batch, count(*) AS n, CAST(sum(w * h) AS BIGINT) AS pixels FROM ({IMAGES}) GROUP BY 1")
+@query("batch_assembly", f"""WITH p AS (SELECT id, w, h, x, y, CAST((x // 112) * CAST(ceil(h / 112.0) AS BIGINT) + y // 112 AS BIGINT) AS ord FROM (SELECT id, w, h, unnest(range(0, w, 112)) AS x FROM ({IMAGES})) a, LATERAL (SELECT unnest(range(0, a.h, 112)) AS y)),
+n AS (SELECT *, row_number() OVER (ORDER BY id, ord) - 1 AS rn FROM p) SELECT rn // 50 AS batch, count(*) AS n, min(id) AS first, max(id) AS last, CAST(sum(least(128, w - x) * least(128, h - y)) AS BIGINT) AS pixels FROM n GROUP BY 1""")
 def batch_assembly(t):
-    return images(t).groupBy((col("id") / 32).cast("bigint").alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.sum(col("w") * col("h")).alias("pixels"))
+    from ..operators.ordered import row_numbers
+
+    # patches in order, fifty to a batch; what a patch has of its image, the rest is padded
+    p = row_numbers(grid.patches(images(t), "w", "h", 128, 112), "id", ["ord"], "rn").withColumn("batch", F.floor((col("rn") - 1) / 50))
+    own = F.least(F.lit(128), col("w") - col("x")) * F.least(F.lit(128), col("h") - col("y"))
+    return p.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.sum(own).alias("pixels"))
 
 
 @query("pad_edge", f"""SELECT a.tile, a.r, a.c, round(coalesce(b.v, 0), 6) AS v FROM (SELECT tile, r, c FROM (SELECT DISTINCT tile FROM ({TILES})), (SELECT unnest(range(10)) AS r), (SELECT unnest(range(10)) AS c)) a

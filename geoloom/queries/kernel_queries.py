@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from ..fixtures import CENTROIDS, RECTS, TILES, centroids, rects, tiles
 from ..operators import grid, kernels, pixel, projection, vector
+from ..operators.ordered import share_drawn
 from ..plans.pipelines import demo_model
-from ..registry import query
+from ..registry import ORACLE_SQL, query
+from . import grid_queries  # noqa: F401  its SQL is used here
+from .vector_queries import corner
 
 col, r6 = F.col, lambda c: F.round(c, 6)
 A = ("x0", "y0", "x1", "y1")
@@ -41,7 +44,13 @@ def polygonize_by_chunk(t):
     return lab.groupBy("tile", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("polygonize_across_chunks")
+_MOSAIC = f"SELECT tile // 25 AS image, ((tile // 5) % 5) * 8 + r AS r, (tile % 5) * 8 + c AS c, v FROM ({_B})"
+
+
+@query("polygonize_across_chunks", f"""WITH RECURSIVE b AS (SELECT image, r, c, r * 2147483648 + c AS k FROM ({_MOSAIC}) WHERE v = 1),
+e AS (SELECT a.image, a.k, b.k AS n FROM b a JOIN b ON b.image = a.image AND abs(a.r - b.r) + abs(a.c - b.c) <= 1),
+reach AS (SELECT image, k, k AS o FROM b UNION SELECT reach.image, reach.k, e.n FROM reach JOIN e ON e.image = reach.image AND e.k = reach.o)
+SELECT image, label, count(*) AS n FROM (SELECT image, k, min(o) AS label FROM reach GROUP BY image, k) GROUP BY image, label""")
 def polygonize_across_chunks(t):
     _checkpoints(t)
     lab = kernels.labelled(mosaic(t).filter("v = 1"), "image", 8)
@@ -67,21 +76,20 @@ def morph_open_close_r6(t):
     return kernels.open_close_blocks(mosaic(t), "image", 6, chunk=16).groupBy("image").agg(F.sum("v").alias("ones"), F.count(F.lit(1)).alias("n"))
 
 
-@query("morph_blocks_r1")
+@query("morph_blocks_r1", ORACLE_SQL["morph_open_close"])
 def morph_blocks_r1(t):
     return kernels.open_close_blocks(binary(t), "tile", 1, chunk=4).select("tile", "r", "c", "v")
 
 
-@query("convex_hull", f"SELECT id, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS hull, 1.0 AS solidity FROM ({RECTS})")
+@query("convex_hull", f"SELECT id, (x1 - x0) * (y1 - y0) * 0.875 AS hull, round(0.75 / 0.875, 6) AS solidity FROM ({RECTS})")
 def convex_hull(t):
-    ring = vector.rectangle(*A)
-    h = vector.ring_area(kernels.convex_hull(ring))
-    return rects(t).select("id", h.alias("hull"), (vector.ring_area(ring) / h).alias("solidity"))
+    r = rects(t).select("id", corner().alias("ring")).select("id", "ring", kernels.convex_hull("ring").alias("h"))
+    return r.select("id", vector.ring_area(col("h")).alias("hull"), r6(vector.ring_area(col("ring")) / vector.ring_area(col("h"))).alias("solidity"))
 
 
-@query("simplify", f"SELECT id, CAST(5 AS BIGINT) AS n, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area FROM ({RECTS})")
+@query("simplify", f"SELECT id, CAST(7 AS BIGINT) AS n, (x1 - x0) * (y1 - y0) * 0.75 AS area FROM ({RECTS})")
 def simplify(t):
-    r = rects(t).select("id", vector.rectangle(*A).alias("g"))
+    r = rects(t).select("id", corner().alias("g"))
     dense = F.flatten(F.transform(F.sequence(F.lit(1), F.size("g") - 1), lambda i: F.array(col("g")[i - 1], F.struct(((col("g")[i - 1]["x"] + col("g")[i]["x"]) / 2).alias("x"), ((col("g")[i - 1]["y"] + col("g")[i]["y"]) / 2).alias("y")))))
     s = r.select("id", kernels.simplified(F.concat(dense, F.slice("g", 1, 1)), 0.01).alias("s"))
     return s.select("id", F.size("s").cast("bigint").alias("n"), vector.ring_area(col("s")).alias("area"))
@@ -142,19 +150,21 @@ def batched_inference(t):
     return kernels.scored(p, demo_model, ["id"]).select("id", F.round(col("scores")[0], 5).alias("p"))
 
 
-@query("shapes_udtf", "SELECT p_partkey AS id, CAST(k AS BIGINT) AS shape FROM part, LATERAL (SELECT unnest(range(p_size % 3)) AS k)")
+@query("shapes_udtf", f"SELECT id, CAST(k AS BIGINT) AS corner, CAST(CASE WHEN k IN (1, 2) THEN x1 ELSE x0 END AS DOUBLE) AS x, CAST(CASE WHEN k IN (2, 3) THEN y1 ELSE y0 END AS DOUBLE) AS y FROM ({RECTS}), (SELECT unnest([0, 1, 2, 3]) AS k)")
 def shapes_udtf(t):
     from pyspark.sql.functions import udtf
 
-    @udtf(returnType="shape bigint")
-    class Shapes:
-        def eval(self, n: int):
-            for k in range(n):
-                yield (k,)
+    @udtf(returnType="corner bigint, x double, y double")
+    class Corners:
+        """A row for each corner of a closed ring."""
+
+        def eval(self, ring: list):
+            for k, p in enumerate(ring[:-1] if ring else ()):
+                yield k, p["x"], p["y"]
 
-    t.spark.udtf.register("geoloom_shapes", Shapes)
-    t.part.selectExpr("p_partkey id", "p_size % 3 n").createOrReplaceTempView("geoloom_parts")
-    return t.spark.sql("SELECT id, shape FROM geoloom_parts, LATERAL geoloom_shapes(n)")
+    t.spark.udtf.register("geoloom_corners", Corners)
+    rects(t).select("id", vector.rectangle(*A).alias("g")).createOrReplaceTempView("geoloom_rings")
+    return t.spark.sql("SELECT id, corner, x, y FROM geoloom_rings, LATERAL geoloom_corners(g)")
 
 
 @query("training_batches")
@@ -162,16 +172,15 @@ def training_batches(t):
     w, label = pixel.label_weight(col("v") * 4, col("v") * 5, 5)[::-1], pixel.above(col("v"), 0.02)
     p = tiles(t).withColumn("label", label).withColumn("weight", w[0])
     x = p.groupBy("tile").agg(F.array_sort(F.collect_list(F.struct("r", "c", "v", "label", "weight"))).alias("px"))
-    n = F.floor(F.rand(3) * 4).cast("int")
-    return x.withColumn("dy", n).withColumn("dx", F.floor(F.rand(4) * 4).cast("int")).select("tile", "dy", "dx", F.filter("px", lambda q: q["r"].between(col("dy"), col("dy") + 3) & q["c"].between(col("dx"), col("dx") + 3)).alias("patch"))
+    place = lambda seed: F.floor(share_drawn(col("tile"), seed) * 4).cast("int")
+    return x.withColumn("dy", place(3)).withColumn("dx", place(4)).select("tile", "dy", "dx", F.filter("px", lambda q: q["r"].between(col("dy"), col("dy") + 3) & q["c"].between(col("dx"), col("dx") + 3)).alias("patch"))
 
 
-@query("raster_copy_nearest", f"SELECT tile, r, c, round(v, 6) AS v FROM ({TILES}) WHERE r BETWEEN 1 AND 6 AND c BETWEEN 2 AND 5")
+@query("raster_copy_nearest", f"""SELECT t.tile, a.i AS r, b.j AS c, round(t.v, 6) AS v FROM (SELECT unnest(range(9)) AS i) a, (SELECT unnest(range(10)) AS j) b
+JOIN ({TILES}) t ON t.r = 1 + CAST(floor((a.i + 0.5) * (6 / 9)) AS BIGINT) AND t.c = 2 + CAST(floor((b.j + 0.5) * (4 / 10)) AS BIGINT)""")
 def raster_copy_nearest(t):
     w = tiles(t).filter("r BETWEEN 1 AND 6 AND c BETWEEN 2 AND 5")
-    up = grid.rescaled_nearest(w.withColumns({"r": col("r") - 1, "c": col("c") - 2}), ["tile"], 6, 4, 12, 8, "r", "c", "v")
-    down = grid.rescaled_nearest(up, ["tile"], 12, 8, 6, 4, "r", "c", "v")
-    return down.select("tile", (col("r") + 1).alias("r"), (col("c") + 2).alias("c"), r6("v").alias("v"))
+    return grid.rescaled_nearest(w.withColumns({"r": col("r") - 1, "c": col("c") - 2}), ["tile"], 6, 4, 9, 10, "r", "c", "v").withColumn("v", r6("v"))
 
 
 def _checkpoints(t):

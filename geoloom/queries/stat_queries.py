@@ -16,9 +16,10 @@ def cumulative_area(t):
     return ordered.running_total(areas(t), "area", ["id"], col("area"), "total").select("id", F.round("area", 4).alias("area"), F.round("total", 2).alias("total"))
 
 
-@query("sorted_array", f"SELECT dist, list(area ORDER BY area, id)[1] AS least, list(area ORDER BY area, id)[-1] AS most, count(*) AS n FROM ({AREAS}) GROUP BY dist")
+@query("sorted_array", f"SELECT dist, string_agg(CAST(CAST(floor(area) AS BIGINT) AS VARCHAR), ',' ORDER BY floor(area)) AS sorted, count(*) AS n FROM ({AREAS}) GROUP BY dist")
 def sorted_array(t):
-    return areas(t).groupBy("dist").agg(F.min("area").alias("least"), F.max("area").alias("most"), F.count(F.lit(1)).alias("n"))
+    a = areas(t).groupBy("dist").agg(F.array_sort(F.collect_list(F.floor("area").cast("bigint"))).alias("a"))
+    return a.select("dist", F.array_join(F.col("a").cast("array<string>"), ",").alias("sorted"), F.size("a").cast("bigint").alias("n"))
 
 
 _IN = "SELECT CAST(l_quantity AS BIGINT) AS v FROM lineitem WHERE l_returnflag = 'A'"
@@ -118,15 +119,16 @@ def area_weights(t):
     return frames(t).crossJoin(total).select("id", F.round(col("area") / col("all"), 9).alias("weight"))
 
 
-@query("weighted_sample")
+@query("weighted_sample", f"""WITH f AS (SELECT id, CAST(area AS DOUBLE) AS area FROM ({FRAMES}) WHERE area > 0), u AS (SELECT id, area, sum(area) OVER (ORDER BY area, id ROWS UNBOUNDED PRECEDING) AS upto FROM f),
+d AS (SELECT id AS draw_no, {_draw(7)} / 4294967296.0 * (SELECT sum(area) FROM f) AS u FROM (SELECT unnest(range(1000)) AS id)) SELECT draw_no, u.id FROM d JOIN u ON d.u >= u.upto - u.area AND d.u < u.upto""")
 def weighted_sample(t):
     return ordered.weighted_sample(frames(t), "id", "area", 1000)
 
 
-@query("random_patches")
+@query("random_patches", f"SELECT id, CAST(floor({_draw(1)} / 4294967296.0 * greatest(w - 128, 1)) AS BIGINT) AS x, CAST(floor({_draw(2)} / 4294967296.0 * greatest(h - 128, 1)) AS BIGINT) AS y FROM (SELECT id, 100 + area * 7 AS w, 80 + area * 5 AS h FROM ({FRAMES}))")
 def random_patches(t):
     f = frames(t).select("id", (100 + col("area") * 7).alias("w"), (80 + col("area") * 5).alias("h"))
-    place = lambda size, seed: F.floor(F.rand(seed) * F.greatest(size - 128, F.lit(1))).cast("bigint")
+    place = lambda size, seed: F.floor(ordered.share_drawn(col("id"), seed) * F.greatest(size - 128, F.lit(1))).cast("bigint")
     return f.select("id", place(col("w"), 1).alias("x"), place(col("h"), 2).alias("y"))
 
 
@@ -234,3 +236,22 @@ def waic(t):
     l = d.select("id", (-0.5 * ((col("v") - 4500 - col("k") * 20) / 3000) ** 2 - F.log(3000 * F.sqrt(2 * F.pi()))).alias("l"))  # noqa: E741
     w = stats.waic(l, "id", "l")
     return w.select(F.round("elpd", 4).alias("elpd"), F.round("waic", 4).alias("waic"), r6("p_waic").alias("p_waic"))
+
+
+#: Two-sided p of t with three degrees of freedom, in closed form.
+_P3 = "1 - 2 / pi() * (atan(t / sqrt(3.0)) + t / sqrt(3.0) / (1 + t * t / 3))"
+
+
+@query("slope_p_value", f"""WITH g AS (SELECT id // 5 AS grp, regr_slope(area, dist) AS slope, corr(dist, area) AS r, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY id) - 1 AS id, area, dist FROM ({AREAS})) GROUP BY 1)
+SELECT grp, round(slope, 4) AS slope, round({_P3}, 6) AS p FROM (SELECT *, abs(r) * sqrt(3.0 / (1 - r * r)) AS t FROM g WHERE n = 5 AND abs(r) < 1)""")
+def slope_p_value(t):
+    rows = ordered.row_numbers(areas(t), "id", [], "rn").withColumn("grp", F.floor((col("rn") - 1) / 5))
+    return stats.regression(rows, "dist", "area", ["grp"]).filter("n = 5 AND abs(r) < 1").select("grp", F.round("slope", 4).alias("slope"), r6("p").alias("p"))
+
+
+@query("shortest_interval", f"""WITH o AS (SELECT dist % 7 AS grp, list(area ORDER BY area) AS d FROM ({AREAS}) GROUP BY 1), k AS (SELECT grp, d, CAST(least(floor(len(d) * 0.5), len(d) - 1) AS BIGINT) AS k FROM o),
+w AS (SELECT grp, d[i] AS low, d[i + k] AS high FROM (SELECT grp, d, k, unnest(range(1, len(d) - k + 1)) AS i FROM k))
+SELECT grp, round(arg_min(low, (high - low, low)), 4) AS low, round(arg_min(high, (high - low, low)), 4) AS high FROM w GROUP BY grp""")
+def shortest_interval(t):
+    rows = areas(t).withColumn("grp", col("dist") % 7)
+    return stats.hdi(rows, "area", ["grp"], 0.5).select("grp", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))

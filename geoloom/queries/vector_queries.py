@@ -104,28 +104,62 @@ def water_overlap_filter(t):
     return water(t).select("id", (col("water") / col("area")).alias("share")).filter("share <= 0.3").withColumn("share", r6("share"))
 
 
-_SHAPE = f"SELECT id, (x1 - x0) * (y1 - y0) AS a, 2 * (x1 - x0 + y1 - y0) AS p, x1 - x0 AS w, y1 - y0 AS h FROM ({RECTS})"
+def corner(box=A):
+    """An L: a rectangle without its upper right quarter."""
+    x0, y0, x1, y1 = (col(c).cast("double") for c in box)
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    mx, my = (x0 + x1) / 2, (y0 + y1) / 2
+    return F.array(p(x0, y0), p(x1, y0), p(x1, my), p(mx, my), p(mx, y1), p(x0, y1), p(x0, y0))
 
 
-@query("feature_shape", f"SELECT id, CAST(a AS DOUBLE) AS area, CAST(p AS DOUBLE) AS perimeter, round(4 * 3.1416 * a / (p * p), 6) AS compactness, CAST(w * h AS DOUBLE) AS bbox_area, round(CASE WHEN h <> 0 THEN w / h ELSE 0 END, 6) AS aspect, 1.0 AS solidity, round(5.0 / a, 6) AS vertex_density FROM ({_SHAPE})")
+#: Of an L: area 3/4 and hull 7/8 of the box, the box's perimeter, seven points.
+_SHAPE = f"SELECT id, (x1 - x0) * (y1 - y0) * 0.75 AS a, 2 * (x1 - x0 + y1 - y0) AS p, x1 - x0 AS w, y1 - y0 AS h FROM ({RECTS})"
+
+
+@query("feature_shape", f"SELECT id, CAST(a AS DOUBLE) AS area, CAST(p AS DOUBLE) AS perimeter, round(4 * 3.1416 * a / (p * p), 6) AS compactness, CAST(w * h AS DOUBLE) AS bbox_area, round(CASE WHEN h <> 0 THEN w / h ELSE 0 END, 6) AS aspect, round(a / (w * h * 0.875), 6) AS solidity, round(7.0 / a, 6) AS vertex_density FROM ({_SHAPE})")
 def feature_shape(t):
-    ring = rects(t).select("id", *A, vector.rectangle(*A).alias("ring"))
-    m = ring.select("id", vector.ring_area(col("ring")).alias("area"), vector.ring_length(col("ring")).alias("perimeter"), (col("x1") - col("x0")).cast("double").alias("w"), (col("y1") - col("y0")).cast("double").alias("h"), F.size("ring").alias("n"))
-    features = vector.shape_features(col("area"), col("perimeter"), col("w"), col("h"), col("area"), col("n"))
+    from ..operators import kernels
+
+    ring = rects(t).select("id", *A, corner().alias("ring")).withColumn("hull", kernels.convex_hull("ring"))
+    m = ring.select("id", vector.ring_area(col("ring")).alias("area"), vector.ring_length(col("ring")).alias("perimeter"), (col("x1") - col("x0")).cast("double").alias("w"), (col("y1") - col("y0")).cast("double").alias("h"), F.size("ring").alias("n"), vector.ring_area(col("hull")).alias("hull"))
+    features = vector.shape_features(col("area"), col("perimeter"), col("w"), col("h"), col("hull"), col("n"))
     out = m.select("id", "area", "perimeter", *features)
-    return out.select("id", "area", "perimeter", *[r6(c).alias(c) if c in ("compactness", "aspect", "vertex_density") else col(c) for c in out.columns[3:]])
+    return out.select("id", "area", "perimeter", *[r6(c).alias(c) if c in ("compactness", "aspect", "solidity", "vertex_density") else col(c) for c in out.columns[3:]])
+
 
+def pierced():
+    """A rectangle ten times as large with id % 6 square holes, as rings."""
+    x, y = col("x0").cast("double") * 10, col("y0").cast("double") * 10
+    w, h = (col("x1") - col("x0")) * 10.0, (col("y1") - col("y0")) * 10.0
+    p = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    ring = lambda a, b, c, d: F.array(p(a, b), p(c, b), p(c, d), p(a, d), p(a, b))
+    hole = lambda k: ring(x + k + 1, y + 1, x + k + 1.5, y + 1.5)
+    holes = F.when(col("id") % 6 > 0, F.transform(F.sequence(F.lit(1), (col("id") % 6).cast("int")), lambda k: hole(k.cast("double"))))
+    outer = F.array(ring(x, y, x + w, y + h))
+    return F.when(col("id") % 6 > 0, F.concat(outer, holes)).otherwise(outer)
 
-@query("hole_filter", f"SELECT id, holes FROM (SELECT a.id, count(*) AS holes {FROM} WHERE a.x0 >= z.zx0 AND a.x1 <= z.zx1 GROUP BY a.id UNION ALL SELECT id, 0 FROM ({RECTS}) WHERE id NOT IN (SELECT a.id {FROM} WHERE a.x0 >= z.zx0 AND a.x1 <= z.zx1)) WHERE holes <= 3")
+
+@query("hole_filter", f"SELECT id, id % 6 AS holes, (x1 - x0) * (y1 - y0) * 100.0 - id % 6 * 0.25 AS area FROM ({RECTS}) WHERE id % 6 <= 3")
 def hole_filter(t):
-    n = pairs(t).filter("x0 >= zx0 AND x1 <= zx1").groupBy("id").agg(F.count(F.lit(1)).alias("holes"))
-    return rects(t).select("id").join(n, "id", "left").na.fill(0, ["holes"]).filter("holes <= 3")
+    r = rects(t).select("id", pierced().alias("rings")).withColumn("holes", vector.hole_count(col("rings"))).filter("holes <= 3")
+    return r.select("id", "holes", vector.polygon_area(col("rings")).alias("area"))
 
 
 _POINTS = "SELECT CAST(o_orderkey % 1000 AS BIGINT) AS px, CAST(o_custkey % 1000 AS BIGINT) AS py, CAST(o_totalprice > 150000 AS INT) AS wet FROM orders"
 _ZONAL = f"SELECT z.zid, avg(p.wet) AS mean, count(*) AS n FROM ({_POINTS}) p JOIN ({ZONES}) z ON p.px >= z.zx0 AND p.px < z.zx1 AND p.py >= z.zy0 AND p.py < z.zy1 GROUP BY z.zid"
 
 
+#: Water without a value counts as one.
+_ZONAL_NODATA = f"SELECT z.zid, avg(coalesce(p.wet, 1)) AS mean, count(*) AS n FROM (SELECT px, py, CASE WHEN py % 7 <> 0 THEN wet END AS wet FROM ({_POINTS})) p JOIN ({ZONES}) z ON p.px >= z.zx0 AND p.px < z.zx1 AND p.py >= z.zy0 AND p.py < z.zy1 GROUP BY z.zid"
+
+
+@query("zonal_mean_nodata", f"SELECT zid, round(mean, 6) AS mean, n FROM ({_ZONAL_NODATA})")
+def zonal_mean_nodata(t):
+    p = t.orders.selectExpr("o_orderkey % 1000 px", "o_custkey % 1000 py", "case when o_custkey % 1000 % 7 <> 0 then int(o_totalprice > 150000) end wet")
+    z = vector.points_in(p, zones(t), "px", "py", B, CELL).groupBy("zid").agg(F.avg(F.coalesce("wet", F.lit(1))).alias("mean"), F.count(F.lit(1)).alias("n"))
+    return z.withColumn("mean", r6("mean"))
+
+
 def zonal(t):
     p = t.orders.selectExpr("o_orderkey % 1000 px", "o_custkey % 1000 py", "int(o_totalprice > 150000) wet")
     return vector.points_in(p, zones(t), "px", "py", B, CELL).groupBy("zid").agg(F.avg("wet").alias("mean"), F.count(F.lit(1)).alias("n"))
@@ -183,9 +217,13 @@ def cutline_clip(t):
     return vector.points_in(inside, zones(t), "mx", "my", B, CELL).select("px", "py", "wet").distinct()
 
 
-@query("raster_under_cutline", f"SELECT z.zid, CAST(sum((zx1 - zx0) * (zy1 - zy0)) AS BIGINT) AS pixels FROM ({ZONES}) z GROUP BY z.zid")
+_ROUND = lambda v: f"CAST(ceil({v} / 3.0 - 0.5) AS BIGINT)"
+
+
+@query("raster_under_cutline", f"SELECT zid, ({_ROUND('zx1')} - {_ROUND('zx0')}) * ({_ROUND('zy1')} - {_ROUND('zy0')}) AS pixels FROM ({ZONES})")
 def raster_under_cutline(t):
-    return vector.rasterised(zones(t), B, 1, True, ["zid"]).groupBy("zid").agg(F.count(F.lit(1)).alias("pixels"))
+    # pixels of three units under zones that don't begin or end on their borders
+    return vector.rasterised(zones(t), B, 3, False, ["zid"]).groupBy("zid").agg(F.count(F.lit(1)).alias("pixels"))
 
 
 @query("overlap_window", f"SELECT a.id, z.zid, greatest(a.x0, z.zx0) AS col_off, greatest(a.y0, z.zy0) AS row_off, {IX} AS w, {IY} AS h {FROM}")
@@ -210,9 +248,11 @@ def annotations_json(t):
     return back.groupBy("zid").agg(F.count(F.lit(1)).alias("n"), F.sum("j.area").alias("area"))
 
 
-@query("explode_parts", f"SELECT id, CAST(k AS BIGINT) AS part, CASE k WHEN 0 THEN x0 ELSE x0 + 1 END AS x FROM ({RECTS}), (SELECT unnest([0, 1]) AS k)")
+@query("explode_parts", f"SELECT id, CAST(k AS BIGINT) AS part, CAST(x0 + k * 1000 AS DOUBLE) AS x, (x1 - x0) * (y1 - y0) * CASE k WHEN 0 THEN 1.0 ELSE 0.75 END AS area FROM ({RECTS}), (SELECT unnest([0, 1]) AS k)")
 def explode_parts(t):
-    return rects(t).select("id", F.posexplode(F.array("x0", col("x0") + 1)).alias("part", "x")).withColumn("part", col("part").cast("bigint"))
+    r = rects(t).withColumn("sx0", col("x0") + 1000).withColumn("sx1", col("x1") + 1000)
+    parts = r.select("id", F.posexplode(F.array(vector.rectangle(*A), corner(("sx0", "y0", "sx1", "y1")))).alias("part", "ring"))
+    return parts.select("id", col("part").cast("bigint").alias("part"), col("ring")[0]["x"].alias("x"), vector.ring_area(col("ring")).alias("area"))
 
 
 @query("drop_z", f"SELECT id, CAST(x0 AS DOUBLE) AS x, CAST(y0 AS DOUBLE) AS y, CAST(2 AS BIGINT) AS dims FROM ({RECTS})")
@@ -222,15 +262,25 @@ def drop_z(t):
     return p.select("id", col("ring")[0]["x"].alias("x"), col("ring")[0]["y"].alias("y"), F.size(F.json_object_keys(F.to_json(col("ring")[0]))).cast("bigint").alias("dims"))
 
 
-@query("geometry_type_filter", f"SELECT id FROM ({RECTS}) WHERE id % 4 <> 2")
+@query("geometry_type_filter", f"SELECT id FROM ({RECTS}) WHERE id % 4 NOT IN (2, 3)")
 def geometry_type_filter(t):
-    kind = F.when(col("id") % 4 == 2, "LineString").otherwise("Polygon")
-    return rects(t).withColumn("geom_type", kind).filter("geom_type = 'Polygon'").select("id")
+    g = vector.rectangle(*A)
+    shape = F.when(col("id") % 4 == 2, F.slice(g, 1, 4)).when(col("id") % 4 == 3, F.slice(g, 1, 1)).otherwise(g)  # an open line, a point, or a polygon
+    return rects(t).select("id", vector.geometry_type(shape).alias("geom_type")).filter("geom_type = 'Polygon'").select("id")
 
 
-@query("centroid_area", f"SELECT id, (x0 + x1) / 2.0 AS cx, (y0 + y1) / 2.0 AS cy, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area FROM ({RECTS})")
+@query("centroid_area", f"SELECT id, round(x0 + (x1 - x0) * 5 / 12.0, 6) AS cx, round(y0 + (y1 - y0) * 5 / 12.0, 6) AS cy, (x1 - x0) * (y1 - y0) * 0.75 AS area FROM ({RECTS})")
 def centroid_area(t):
-    return rects(t).select("id", ((col("x0") + col("x1")) / 2).alias("cx"), ((col("y0") + col("y1")) / 2).alias("cy"), vector.ring_area(vector.rectangle(*A)).alias("area"))
+    c = rects(t).select("id", corner().alias("ring")).select("id", vector.ring_centroid(col("ring")).alias("c"), vector.ring_area(col("ring")).alias("area"))
+    return c.select("id", r6("c.x").alias("cx"), r6("c.y").alias("cy"), "area")
+
+
+#: On a sphere a box of meridians and parallels has the area R^2 * dlon * (sin lat1 - sin lat0).
+@query("spherical_area", f"SELECT id, round({vector.MEAN_RADIUS} * {vector.MEAN_RADIUS} * radians(0.01) * (sin(radians(lat + 0.01)) - sin(radians(lat))), 2) AS area FROM ({CENTROIDS})")
+def spherical_area(t):
+    p = lambda d, e: F.struct((col("lon") + d).alias("x"), (col("lat") + e).alias("y"))
+    ring = F.array(p(0, 0), p(0.01, 0), p(0.01, 0.01), p(0, 0.01), p(0, 0))
+    return centroids(t).select("id", F.round(vector.spherical_area(ring), 2).alias("area"))
 
 
 @query("point_extent", f"SELECT id // 100 AS grp, round(min(lon), 6) AS x0, round(max(lat), 6) AS y1 FROM ({CENTROIDS}) GROUP BY 1")

@@ -13,11 +13,15 @@ FEATURES = "id bigint, geom array<struct<x:double,y:double>>, xmin double, ymin
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or of the context; a temporary one only where neither is set, as in local
-    tests. Checkpoints go there."""
+    """The folder of spark.checkpoint.dir, or of the context; where neither is set a local session, as in tests, gets a
+    temporary one, and a cluster an error. Checkpoints go there."""
     context = spark.sparkContext
     now = context._jsc.sc().getCheckpointDir()
-    path = spark.conf.get("spark.checkpoint.dir", None) or (now.get() if now.isDefined() else tempfile.mkdtemp(prefix="shared-"))
+    path = spark.conf.get("spark.checkpoint.dir", None) or (now.get() if now.isDefined() else None)
+    if not path:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="shared-")
     if not now.isDefined():
         context.setCheckpointDir(path)
     return path

@@ -87,7 +87,11 @@ def test_touching_boxes(spark):
 
 def test_running_total_does_not_depend_on_ranges(spark):
     df = spark.createDataFrame([(i, float(i * 7 % 5)) for i in range(40)], "id long, v double")
-    got = [sorted(values(ordered.running_total(df, "v", ["id"], col("v"), "s", n), "id", "s")) for n in (1, 4, 64)]
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in ("1", "4", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(sorted(values(ordered.running_total(df, "v", ["id"], col("v"), "s"), "id", "s")))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0] == got[1] == got[2]
 
 
@@ -171,3 +175,62 @@ def test_files_are_taken_up_once(spark, tmp_path):
         spark.range(n).write.mode("append").parquet(src)
         ingest.append(ingest.new_rows(spark, src, spark.range(1).schema), out, state).awaitTermination()
     assert spark.read.parquet(out).count() == 7
+
+
+def test_a_value_that_all_rows_have_is_dealt_to_many_ranges(spark):
+    df = spark.range(20_000).selectExpr("id", "1 v")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert ordered.ranged(df, "v", ["id"]).select("range_no").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {r.s for r in ordered.row_numbers(df, "v", ["id"], "s").collect()} == set(range(1, 20_001))
+
+
+def test_weighted_draws_follow_the_weights(spark):
+    df = spark.createDataFrame([(i, float(w)) for i, w in enumerate([0, 1, 0, 6, 3])], "id long, w double")
+    got = ordered.weighted_sample(df, "id", "w", 20_000)
+    n = {r.id: r["count"] for r in got.groupBy("id").count().collect()}
+    assert n.keys() == {1, 3, 4} and sum(n.values()) == 20_000
+    assert all(abs(n[i] / 20_000 - share) < 0.02 for i, share in ((1, 0.1), (3, 0.6), (4, 0.3)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ordered.weighted_sample(df.repartition(7), "id", "w", 20_000).collect()))
+
+
+def test_p_of_t_against_numerical_integration(spark):
+    import math
+
+    from geoloom.operators import stats
+
+    def want(t, n, steps=200_000):
+        c = math.exp(math.lgamma((n + 1) / 2) - math.lgamma(n / 2)) / math.sqrt(n * math.pi)
+        h = t / steps
+        return 1 - 2 * h * c * sum((1 + ((i + 0.5) * h) ** 2 / n) ** (-(n + 1) / 2) for i in range(steps))
+
+    rows = [(t, n) for t in (0.0, 0.3, 1.0, 2.5, 4.0) for n in (1, 2, 3, 4, 7, 30, 801, 802)]
+    got = spark.createDataFrame([(float(t), n) for t, n in rows], "t double, n int").select("t", "n", stats.t_two_sided(col("t"), col("n")).alias("p")).collect()
+    assert all(abs(r.p - want(r.t, r.n, 4_000)) < 1e-4 for r in got)
+
+
+def test_shortest_interval_and_regression_of_few_points(spark):
+    from geoloom.operators import stats
+
+    df = spark.createDataFrame([(1, v) for v in (0.0, 9.0, 10.0, 11.0, 30.0)] + [(2, 5.0), (3, None)], "g int, v double")
+    got = {r.g: (r.low, r.high) for r in stats.hdi(df, "v", ["g"], 0.5).collect()}
+    assert got == {1: (9.0, 11.0), 2: (5.0, 5.0)}
+    xy = spark.createDataFrame([(1, 0.0, 1.0), (1, 1.0, 2.0), (2, 0.0, 0.0), (2, 1.0, 1.0), (2, 2.0, 2.0), (3, 0.0, 0.0), (3, 1.0, 1.0), (3, 2.0, 1.0)], "g int, x double, y double")
+    p = {r.g: r.p for r in stats.regression(xy, "x", "y", ["g"]).collect()}
+    assert p[1] is None and p[2] == 0.0 and 0.3 < p[3] < 0.34
+
+
+def test_polygons_with_holes_and_geometry_types(spark):
+    from geoloom.operators import vector
+
+    p = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+    box = lambda a, b: F.array(p(a, a), p(b, a), p(b, b), p(a, b), p(a, a))
+    one = spark.range(1)
+    r = one.select(vector.polygon_area(F.array(box(0, 10), box(1, 2), box(4, 6))).alias("area"), vector.hole_count(F.array(box(0, 10), box(1, 2), box(4, 6))).alias("holes"), vector.polygon_area(F.array(box(0, 3))).alias("plain")).first()
+    assert (r.area, r.holes, r.plain) == (95.0, 2, 9.0)
+    kinds = one.select(*[vector.geometry_type(g).alias(k) for k, g in (("a", box(0, 1)), ("b", F.slice(box(0, 1), 1, 4)), ("c", F.array(p(0, 0))))]).first()
+    assert tuple(kinds) == ("Polygon", "LineString", "Point")
+    c = one.select(vector.ring_centroid(box(1e6, 1e6 + 2)).alias("c"), vector.spherical_area(box(0, 0)).alias("s")).first()
+    assert (c.c.x, c.c.y, c.s) == (1e6 + 1, 1e6 + 1, 0.0)
