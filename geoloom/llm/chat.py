@@ -17,6 +17,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import materialised
 
@@ -186,11 +187,28 @@ def format_chats(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     block = BLOCK
     steps = segments.select("c", "part", "place", F.floor(F.col("place") / block).cast("int").alias("block"), "costs", F.size("roles").cast("long").alias("n"))
 
-    def reduced(table):
-        t = table.sort_by("place")
-        return t.slice(0, 1).select(["c", "part", "block"]).append_column("costs", pa.array([product(t.column("costs").to_pylist())], pa.list_(pa.int64()))).append_column("n", pa.array([sum(t.column("n").to_pylist())], pa.int64()))
+    def runs_of(batches, names):
+        """The rows of the named columns, run by run of equal (c, part, block), which come one after the other."""
+        key, held = None, []
+        for batch in batches:
+            for r in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
+                if held and r[:3] != key:
+                    yield key, held
+                    held = []
+                key = r[:3]
+                held.append(r[3:])
+        if held:
+            yield key, held
 
-    blocks = materialised(steps.groupBy("c", "part", "block").applyInArrow(reduced, f"c {kind}, part int, block int, costs array<long>, n long"))
+    def reduced(batches):
+        # segments are kept as they were made, in order of their conversation and place
+        rows = [(*key, product([c for c, _ in held]), sum(n for _, n in held)) for key, held in runs_of(batches, ["c", "part", "block", "costs", "n"])]
+        kinds = [segment_kind, pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64()]
+        for i in range(0, len(rows), 2_000):
+            yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows[i : i + 2_000]], k) for x, k in enumerate(kinds)], ["c", "part", "block", "costs", "n"])
+
+    segment_kind = to_arrow_type(segments.schema["c"].dataType)
+    blocks = materialised(steps.mapInArrow(reduced, f"c {kind}, part int, block int, costs array<long>, n long"))
 
     def combine(batches):
         for batch in batches:
@@ -206,13 +224,27 @@ def format_chats(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     solved = materialised(gathered.mapInArrow(combine, f"c {kind}, n long, cost long, runs array<struct<part:int,block:int,a:int,b:int,last:boolean>>"))
     ends = solved.select(F.col("c").alias("k"), F.inline("runs"))
 
-    def between(key, table, found):
-        t, x = table.sort_by("place"), found.to_pylist()[0]
-        s, _ = through(t.column("costs").to_pylist(), x["a"], x["b"])
-        n = len(t)
-        return pa.table({"part": t.column("part"), "place": t.column("place"), "a": pa.array(s[:-1], pa.int32()), "b": pa.array(s[1:], pa.int32()), "last": pa.array([x["last"] and i + 1 == n for i in range(n)])})
+    def between(batches):
+        names, kinds, rows = ["part", "place", "a", "b", "last"], [pa.int32()] * 4 + [pa.bool_()], []
+
+        def record():
+            return pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], k) for x, k in enumerate(kinds)], names)
 
-    plan = steps.groupBy("c", "part", "block").cogroup(ends.groupBy("k", "part", "block")).applyInArrow(between, "part int, place int, a int, b int, last boolean")
+        for (_, part, _), held in runs_of(batches, ["c", "part", "block", "place", "costs", "a", "b", "last"]):
+            _, _, a, b, last = held[0]
+            s = through([x[1] for x in held], a, b)[0]
+            rows += [(part, x[0], s[i], s[i + 1], last and i + 1 == len(held)) for i, x in enumerate(held)]
+            if len(rows) >= 2_000:
+                yield record()
+                rows = []
+        if rows:
+            yield record()
+
+    keys = ["c", "part", "block"]
+    ends = ends.withColumnsRenamed({"part": "e_part", "block": "e_block"})
+    found = steps.join(ends, F.col("c").eqNullSafe(F.col("k")) & (F.col("part") == F.col("e_part")) & (F.col("block") == F.col("e_block")))
+    # a block's segments together and in order: at most BLOCK rows
+    plan = found.select(*keys, "place", "costs", "a", "b", "last").repartition(*keys).sortWithinPartitions(*keys, "place").mapInArrow(between, "part int, place int, a int, b int, last boolean")
 
     def repaired(batches):
         for batch in batches:
