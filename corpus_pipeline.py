@@ -22,26 +22,30 @@ def neutral(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored as toxic go. The lexicon is learned from the labelled rows among docs."""
+    """Documents scored as toxic go. The lexicon is learned from the labelled rows among docs. Null and empty texts get
+    the lowest score and stay; repeated rows are judged alike; without labels of both kinds, or without documents, none
+    goes."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows, text = neutral(docs)
     return toxicity.toxicity(rows, model, text).filter("predicted = 0").select(*rows.columns).toDF(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id."""
+    """One document of each group of near-duplicates (op 10's links) stays, that with the smallest id. Null, empty and
+    wordless texts are one group; of repeated rows one stays; rows without an id stay if their group has no id at all."""
     return simhash.deduplicated(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go. Null and empty texts stay; with an empty benchmark all do."""
     rows, text = neutral(docs)
     marked = decontaminate.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text)
     return marked.filter(~F.col("contaminated")).select(*rows.columns).toDF(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are replaced by their kind; n_chars follows the text. No document goes."""
+    """Spans of personal data are replaced by their kind; n_chars follows the text where it changes.
+    No document goes; null and empty texts stay as they are."""
     found = pii.find(docs.select(F.struct(*docs.columns).alias("row"), "text"), pii.fit(docs.select("doc_id", "text")))
     clean = found.select("row", pii.redacted(F.col("text"), F.col("spans")).alias("new"))
     changed = {"text": F.col("new"), "n_chars": F.when(F.col("new") == F.col("row.text"), F.col("row.n_chars")).otherwise(F.length("new").cast("long"))} if "n_chars" in docs.columns else {"text": F.col("new")}
@@ -49,7 +53,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document's tokens, with digests of the ids and of the text that they decode to."""
+    """The ids of each document's tokens, with digests of the ids and of the text that they decode to. Null
+    and empty texts have none; repeated rows and ids get a row each."""
     rows = bpe.encode(docs, carry=["doc_id"], decoded=True)
     return rows.select("doc_id", "ids", *bpe.digest(rows))
 
@@ -69,9 +74,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each written and read again; only the last table stays."""
     docs, folder, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}", None
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), path := f"{folder}/{name}")
-        if before:
-            removed(spark, before)
-        before = path
+    try:
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), path := f"{folder}/{name}")
+            if before:
+                removed(spark, before)
+            before = path
+    except BaseException:  # nothing is left behind by a run that fails
+        removed(spark, folder)
+        raise
     return docs
