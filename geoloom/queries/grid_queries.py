@@ -141,8 +141,7 @@ def density_map_tile_local(t):
     return d.groupBy("cx", "cy").agg(grid.overlay_last("n", "tile").alias("n"))
 
 
-_N = [(i, j) for i, j in grid.disc(1)]
-_OFF = "(VALUES " + ", ".join(f"({i}, {j})" for i, j in _N) + ") AS o(i, j)"
+_OFF = "(VALUES " + ", ".join(f"({i}, {j})" for i, j in grid.disc(1)) + ") AS o(i, j)"
 
 
 def _step(source, agg):

@@ -22,12 +22,30 @@ def basemap(t):
     return b.withColumn("ref", F.when(col("c") > 18, F.lit(0)).otherwise(col("ref")))
 
 
-@query("scene_pipeline")
+_SCENES = f"SELECT tile AS scene, r + tile % 10 * 3 AS r, c + tile // 10 % 10 * 3 AS c, greatest(0, CAST(floor((v + 0.3) * 100) AS BIGINT)) AS v FROM ({TILES})"
+_MATCHED = f"""WITH s AS ({_SCENES}), ok AS (SELECT * FROM s WHERE v <> 0),
+base AS (SELECT r, c, CASE WHEN c > 18 THEN 0 ELSE ref END AS ref FROM (SELECT o_orderkey % 30 AS r, o_custkey % 25 AS c, max(CAST(trunc(o_totalprice / 1000) AS BIGINT)) AS ref FROM orders GROUP BY 1, 2)),
+ext AS (SELECT min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM base), good AS (SELECT * FROM base WHERE ref <> 0),
+box AS (SELECT scene, max(r) < any_value(r0) OR min(r) > any_value(r1) OR max(c) < any_value(c0) OR min(c) > any_value(c1) AS outside FROM ok, ext GROUP BY scene),
+under AS (SELECT ok.scene, ref, count(*) AS n FROM ok JOIN good ON good.r = ok.r AND good.c = ok.c GROUP BY 1, 2),
+bare AS (SELECT scene FROM box WHERE NOT outside AND scene NOT IN (SELECT scene FROM under)),
+refs AS (SELECT * FROM under UNION ALL SELECT scene, ref, n FROM bare, (SELECT ref, count(*) AS n FROM good GROUP BY ref)),
+rc AS (SELECT scene, ref, sum(n) OVER (PARTITION BY scene ORDER BY ref) / sum(n) OVER (PARTITION BY scene) AS cdf FROM refs),
+ic AS (SELECT scene, v, sum(n) OVER (PARTITION BY scene ORDER BY v) / sum(n) OVER (PARTITION BY scene) AS cdf FROM (SELECT scene, v, count(*) AS n FROM ok GROUP BY 1, 2)),
+lk AS (SELECT i.scene, i.v, i.cdf, max(CASE WHEN rc.cdf <= i.cdf THEN rc.cdf END) AS x0, min(CASE WHEN rc.cdf >= i.cdf THEN rc.cdf END) AS x1 FROM ic i JOIN rc ON rc.scene = i.scene GROUP BY ALL),
+m AS (SELECT lk.scene, lk.v, CASE WHEN x0 IS NULL THEN f1.ref WHEN x1 IS NULL OR x0 = x1 THEN f0.ref ELSE f0.ref + (lk.cdf - x0) * (f1.ref - f0.ref) / (x1 - x0) END AS matched
+ FROM lk LEFT JOIN rc f0 ON f0.scene = lk.scene AND f0.cdf = x0 LEFT JOIN rc f1 ON f1.scene = lk.scene AND f1.cdf = x1),
+o AS (SELECT s.scene, s.r, s.c, CASE WHEN s.v = 0 THEN 0.0 WHEN box.outside THEN s.v ELSE coalesce(m.matched, s.v) END AS matched,
+ CASE WHEN box.outside THEN 'outside the basemap' WHEN bare.scene IS NOT NULL THEN 'whole basemap' ELSE 'matched' END AS status
+ FROM s LEFT JOIN m ON m.scene = s.scene AND m.v = s.v LEFT JOIN box ON box.scene = s.scene LEFT JOIN bare ON bare.scene = s.scene)"""
+
+
+@query("scene_pipeline", f"{_MATCHED} SELECT status, count(DISTINCT scene) AS scenes, round(avg(matched), 6) AS mean FROM o GROUP BY status")
 def scene_pipeline(t):
     return mosaic.match_scenes(scenes(t), basemap(t)).groupBy("status").agg(F.countDistinct("scene").alias("scenes"), r6(F.avg("matched")).alias("mean"))
 
 
-@query("scene_mosaic")
+@query("scene_mosaic", f"{_MATCHED} SELECT scene % 4 AS grp, CAST(1 AS INT) AS band, r, c, round(arg_max(CASE WHEN matched <> 0 THEN matched END, scene) FILTER (WHERE matched <> 0), 6) AS matched FROM o GROUP BY scene % 4, r, c")
 def scene_mosaic(t):
     m = mosaic.match_scenes(scenes(t), basemap(t)).withColumn("grp", col("scene") % 4)
     return mosaic.mosaicked(m, ["grp"], "matched", "scene").withColumn("matched", r6("matched"))

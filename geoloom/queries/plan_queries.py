@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import ZONES, rects, tiles, zones
+from ..fixtures import RECTS, ZONES, rects, tiles, zones
 from ..plans import pipelines
 from ..registry import query
-from .kernel_queries import _checkpoints, mosaic
+from .kernel_queries import _MOSAIC, _checkpoints, components, mosaic
 
 col, r6 = F.col, lambda c: F.round(c, 6)
 CONFIG = pipelines.Config(chunk=16, at=0.55)
@@ -32,14 +32,17 @@ def postprocess_cover(t):
     return pipelines.postprocess(predicted(t), CONFIG, ("cover",))["cover"].withColumn("cover", r6("cover"))
 
 
-@query("postprocess_density")
+_CLASSES = ", ".join(f"count(CASE WHEN n >= {a}{f' AND n < {b}' if b else ''} THEN 1 END) AS n_{i}" for i, (a, b) in enumerate(zip(CONFIG.area_limits, [*CONFIG.area_limits[1:], None], strict=True), 1))
+
+
+@query("postprocess_density", components(_MOSAIC, "image") + f" SELECT image, CAST(floor(x / 4) AS BIGINT) AS cx, CAST(floor(y / 4) AS BIGINT) AS cy, count(*) AS n, {_CLASSES} FROM comp GROUP BY 1, 2, 3")
 def postprocess_density(t):
     _checkpoints(t)
     m = mosaic(t).select("image", "r", "c", col("v").alias("mask"))
     return pipelines.postprocess(m, CONFIG, ("density",))["density"]
 
 
-@query("postprocess_features")
+@query("postprocess_features", components(_MOSAIC, "image") + " SELECT image, label, n, n_rings FROM comp")
 def postprocess_features(t):
     _checkpoints(t)
     m = mosaic(t).select("image", "r", "c", col("v").alias("mask"))
@@ -54,10 +57,21 @@ def preprocess_frames(t):
     return pipelines.frames(areas, rects(t), px, CONFIG).groupBy("area").agg(F.count(F.lit(1)).alias("pixels"))
 
 
-@query("evaluate_frames")
+_GROWN = f"(SELECT id, (x0 + x1) / 2.0 - (x1 - x0) * 0.75 AS x0, (y0 + y1) / 2.0 - (y1 - y0) * 0.75 AS y0, (x0 + x1) / 2.0 + (x1 - x0) * 0.75 AS x1, (y0 + y1) / 2.0 + (y1 - y0) * 0.75 AS y1 FROM ({RECTS}))"
+
+
+@query("evaluate_frames", f"""WITH hit AS (SELECT DISTINCT c, unnest(range(y0, y1)) AS r FROM (SELECT unnest(range(x0, x1)) AS c, y0, y1 FROM ({RECTS}))),
+common AS (SELECT greatest(a.x0, b.x0) AS x0, greatest(a.y0, b.y0) AS y0, least(a.x1, b.x1) AS x1, least(a.y1, b.y1) AS y1 FROM {_GROWN} a JOIN {_GROWN} b ON a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
+edge AS (SELECT DISTINCT c, unnest(range(CAST(floor(y0) AS BIGINT), CAST(ceil(y1) AS BIGINT))) AS r FROM (SELECT unnest(range(CAST(floor(x0) AS BIGINT), CAST(ceil(x1) AS BIGINT))) AS c, y0, y1 FROM common)),
+p AS (SELECT DISTINCT (o_orderkey * 7 + 3) % 1000 AS c, (o_custkey * 5 + 1) % 1000 AS r FROM orders),
+f AS (SELECT CAST(h.c IS NOT NULL AS INT) AS t, ((p.r * 31 + p.c * 17) % 100) / 100.0 AS p, CASE WHEN e.c IS NOT NULL AND h.c IS NULL THEN 10.0 ELSE 1.0 END AS w
+ FROM p JOIN ({ZONES}) z ON p.c >= zx0 AND p.c < zx1 AND p.r >= zy0 AND p.r < zy1 LEFT JOIN hit h ON h.c = p.c AND h.r = p.r LEFT JOIN edge e ON e.c = p.c AND e.r = p.r),
+s AS (SELECT avg((2 * t * p + 1e-5) / (t + p + 1e-5)) AS dice, sum(w * p * t) AS tp, sum(w * p * (1 - t)) AS fp, sum(w * (1 - p) * t) AS fn,
+ count(CASE WHEN t = 1 AND p > 0.55 THEN 1 END) AS htp, count(CASE WHEN t = 1 AND p <= 0.55 THEN 1 END) AS hfn, count(CASE WHEN t = 0 AND p > 0.55 THEN 1 END) AS hfp, count(CASE WHEN t = 0 AND p <= 0.55 THEN 1 END) AS htn FROM f)
+SELECT round(dice, 6) AS dice, round(1 - tp / (tp + 0.4 * fp + 0.6 * fn + 1e-5), 6) AS loss, round(coalesce(htp / nullif(htp + hfn, 0), 0), 6) AS sensitivity, round(coalesce(htn / nullif(htn + hfp, 0), 0), 6) AS specificity, round((htp + htn) / (htp + htn + hfp + hfn), 6) AS accuracy FROM s""")
 def evaluate_frames(t):
     areas = zones(t).toDF("area", "ax0", "ay0", "ax1", "ay1")
-    px = t.orders.selectExpr("o_orderkey % 1000 c", "o_custkey % 1000 r", "1.0 v").distinct()
+    px = t.orders.selectExpr("(o_orderkey * 7 + 3) % 1000 c", "(o_custkey * 5 + 1) % 1000 r", "1.0 v").distinct()
     truth = pipelines.frames(areas, rects(t), px, CONFIG)
     p = px.select("r", "c", (((col("r") * 31 + col("c") * 17) % 100) / 100).alias("p"))
     return pipelines.evaluate(truth, p, CONFIG).select(*[r6(c).alias(c) for c in ("dice", "loss", "sensitivity", "specificity", "accuracy")])
