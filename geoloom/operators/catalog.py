@@ -60,6 +60,35 @@ def tile_pattern(id_: Column) -> Column:
     return F.concat(F.lit("%"), sign(row), row_part, F.lit("#_"), sign(col), F.lit("00"), last2(col), F.lit("%super.gpkg"))
 
 
+def only_match(tiles: DataFrame, paths: DataFrame, id_: str = "id") -> DataFrame:
+    """(id, path) of the tiles (id) that exactly one file of paths (path, named <row>_<column>...super.gpkg after a
+    prefix of any kind) matches by tile_pattern. Files are cut where a tile's part can stand, so the join is one on
+    equal text; each file belongs to one tile at most."""
+    core = F.regexp_extract(basename(F.col("path")), r"([-0][0-9]{4}_[-0]00[0-9]{2})[^/]*super[.]gpkg$", 1)
+    wanted = tiles.select(id_, F.regexp_replace(F.translate(tile_pattern(F.col(id_)), "%#", ""), "super.gpkg$", "").alias("core"))
+    found = paths.select("path", core.alias("core")).filter("core <> ''").join(wanted, "core")
+    return found.groupBy(id_).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).filter("n = 1").select(id_, "path")
+
+
+def match_lines(pairs: DataFrame, key: str = "path", found: str = "pair") -> DataFrame:
+    """(place, line) of a match log: counts, then each name without a match, then each match in detail."""
+    counts = pairs.agg(F.count(F.lit(1)).alias("n"), F.count(found).alias("m")).select(F.explode(F.array(
+        F.struct(F.lit(0).alias("part"), F.concat(F.lit("total: "), F.col("n")).alias("line")),
+        F.struct(F.lit(1).alias("part"), F.concat(F.lit("matched: "), F.col("m")).alias("line")),
+        F.struct(F.lit(2).alias("part"), F.concat(F.lit("unmatched: "), F.col("n") - F.col("m")).alias("line")),
+    )).alias("x")).select("x.part", "x.line")
+    none = F.col(found).isNull()
+    names = pairs.select(F.when(none, 3).otherwise(4).alias("part"), F.when(none, F.concat(F.lit("no match: "), F.col(key))).otherwise(F.concat(F.col(key), F.lit(" -> "), F.col(found))).alias("line"))
+    return counts.unionByName(names)
+
+
+def required(df: DataFrame, what: str) -> DataFrame:
+    """df, which must have a row: an empty one is an error at once. It looks for one row only."""
+    if df.isEmpty():
+        raise ValueError(f"no {what}")
+    return df
+
+
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row of each key: the last in order."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
@@ -86,10 +115,16 @@ def pending(worklist: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def listed_images(lines: DataFrame, existing: DataFrame, folder: str, line: str = "line") -> DataFrame:
-    """Paths named by a list: absolute ones as they are, others in the folder; missing files are left out."""
+    """Paths named by a list: absolute ones as they are, others in the folder; missing files are left out. It is an
+    error if none is there."""
     p = F.trim(F.col(line))
     paths = lines.select(F.when(p.startswith("/"), p).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), p)).alias("path"))
-    return paths.join(existing.select("path"), "path", "left_semi").orderBy("path")
+    return required(paths.join(existing.select("path"), "path", "left_semi"), "image of the list").orderBy("path")
+
+
+def frame_bands(bands: Column) -> tuple[Column, Column, Column]:
+    """Image bands, label and weight of a training frame: all but the last two, the last but one, the last."""
+    return F.slice(bands, 1, F.greatest(F.size(bands) - 2, F.lit(0))), F.element_at(bands, -2), F.element_at(bands, -1)
 
 
 def seconds(time: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import grid, ordered
+from . import grid, ordered, pixel, vector
 
 
 def match_scenes(scenes: DataFrame, basemap: DataFrame, nodata: int = 0) -> DataFrame:
@@ -36,17 +36,64 @@ def mosaicked(scenes: DataFrame, by: list[str], value: str, order: str, nodata:
     return scenes.groupBy(*by, "band", "r", "c").agg(grid.overlay_last(value, order, nodata).alias(value))
 
 
+def _weight(d: Column, how: str) -> Column:
+    """Weight of a neighbour at distance d along one axis."""
+    if how == "bilinear":
+        return 1 - d
+    if how != "spline":
+        raise ValueError(f"no resampling {how}")
+    return F.when(d < 1, (4 - 6 * d * d + 3 * d * d * d) / 6).otherwise((2 - d) * (2 - d) * (2 - d) / 6)
+
+
+def report(matched: DataFrame, by: list[str]) -> DataFrame:
+    """Of each group of matched scenes (match_scenes): how many there are, the list of those that failed, and whether
+    the mosaic is done, or failed as it has no scene inside the basemap."""
+    scenes = matched.groupBy(*by, "scene").agg(F.first("status").alias("status"))
+    bad = F.when(F.col("status") == "outside the basemap", F.col("scene"))
+    out = scenes.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(bad)).alias("failed"))
+    return out.withColumn("status", F.when(F.size("failed") == F.col("n"), "failed").otherwise("done"))
+
+
+def raster_copy(
+    pixels: DataFrame, by: list[str], transform: list[float], to_transform: list[float], height: int, width: int,
+    to_source: Callable[[Column, Column], tuple[Column, Column]] | None = None, bands: list[int] | None = None, cutline: DataFrame | None = None, how: str = "nearest", cell: float = 64.0,
+) -> DataFrame:
+    """Copies rasters (by, band, r, c, v) into another grid of height x width pixels: the wanted bands, resampled as
+    ``how`` says, inside a cutline.
+
+    The transforms (a, b, c, d, e, f) take columns and rows to world coordinates of source and target; the target's
+    offset and size are its bounds. to_source takes target coordinates to the source's reference system, and is left
+    out where both have one. The cutline is boxes (cut_x0, cut_y0, cut_x1, cut_y1) in target coordinates: pixels whose
+    centre lies in none of them are left out.
+    """
+    if bands is not None:
+        pixels = pixels.filter(F.col("band").isin(bands))
+
+    def source(x: Column, y: Column) -> tuple[Column, Column]:
+        at = pixel.pixel_to_world(x, y, to_transform)
+        return pixel.world_to_pixel(*(to_source(*at) if to_source else at), transform)
+
+    out = warped(pixels, [*by, "band"], height, width, source, how)
+    if cutline is None:
+        return out
+    x, y = pixel.pixel_to_world(F.col("c") + 0.5, F.col("r") + 0.5, to_transform)
+    places = out.select("r", "c").distinct().select("r", "c", x.alias("cut_x"), y.alias("cut_y"))
+    inside = vector.points_in(places, cutline, "cut_x", "cut_y", ("cut_x0", "cut_y0", "cut_x1", "cut_y1"), cell).select("r", "c").distinct()
+    return out.join(inside, ["r", "c"], "left_semi").select(*by, "band", "r", "c", "v")
+
+
 def warped(pixels: DataFrame, by: list[str], height: int, width: int, source: Callable[[Column, Column], tuple[Column, Column]], how: str = "nearest", row: str = "r", col: str = "c", value: str = "v") -> DataFrame:
     """Each group's pixels in a target grid of height x width. source(column, row) gives the place of a target pixel's
-    centre in the source, in pixels with centres at halves; what has no source pixel is left out. Bilinear weights are
-    normalised over the neighbours that exist."""
+    centre in the source, in pixels with centres at halves; what has no source pixel is left out. how: nearest, bilinear, or spline, the cubic B-spline over four by four
+    neighbours; weights are normalised over the neighbours that exist."""
     axis = lambda n: F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
     target = pixels.select(*by).distinct().select(*by, F.explode(axis(height)).alias("t_r")).select(*by, "t_r", F.explode(axis(width)).alias("t_c"))
     x, y = source(F.col("t_c") + 0.5, F.col("t_r") + 0.5)
     if how == "nearest":
         at = target.withColumns({col: F.floor(x), row: F.floor(y)})
         return at.join(pixels, [*by, row, col]).select(*by, F.col("t_r").alias(row), F.col("t_c").alias(col), value)
-    around = lambda v: F.transform(F.array(F.floor(v - 0.5), F.floor(v - 0.5) + 1), lambda i: F.struct(i.cast("bigint").alias("i"), (1 - F.abs(v - 0.5 - i)).alias("w")))
+    reach = (0, 1) if how == "bilinear" else (-1, 0, 1, 2)
+    around = lambda v: F.transform(F.array(*[F.floor(v - 0.5) + k for k in reach]), lambda i: F.struct(i.cast("bigint").alias("i"), _weight(F.abs(v - 0.5 - i), how).alias("w")))
     near = target.select(*by, "t_r", "t_c", around(x).alias("xs"), F.explode(around(y)).alias("b")).select(*by, "t_r", "t_c", "b", F.explode("xs").alias("a"))
     near = near.select(*by, "t_r", "t_c", F.col("a.i").alias(col), F.col("b.i").alias(row), (F.col("a.w") * F.col("b.w")).alias("w")).filter("w > 0")
     mixed = near.join(pixels, [*by, row, col]).groupBy(*by, "t_r", "t_c").agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias(value))

@@ -87,6 +87,13 @@ def standardised(df: DataFrame, value: str, by: list[str], out: str, epsilon: fl
     return joined.withColumn(out, (v - F.col("s_mean")) / (F.col("s_sd") + epsilon)).drop("s_mean", "s_sd", *[f"s_{c}" for c in by])
 
 
+def standardised_bands(df: DataFrame, by: list[str], place: list[str], band: str, value: str, out: str, nodata: float, epsilon: float = 1e-8) -> DataFrame:
+    """Each band standardised as by standardised(), where a pixel without a value in any band has none in all."""
+    holes = df.filter(clean(F.col(value), nodata).isNull()).select(*by, *place, F.lit(True).alias("sb_hole")).distinct()
+    whole = df.join(holes, [*by, *place], "left").withColumn(value, F.when(F.col("sb_hole").isNull(), F.col(value))).drop("sb_hole")
+    return standardised(whole, value, [*by, band], out, epsilon)
+
+
 def metres_to_degrees(dx: Column, dy: Column, lat: Column) -> tuple[Column, Column]:
     return dx / (F.cos(F.radians(F.abs(lat))) * 111320), dy / 110540
 

@@ -104,6 +104,36 @@ def waic(log_likelihood: DataFrame, observation: str, value: str) -> DataFrame:
     return by.agg(F.sum(F.col("lppd") - F.col("p")).alias("elpd"), (-2 * F.sum(F.col("lppd") - F.col("p"))).alias("waic"), F.sum("p").alias("p_waic"))
 
 
+def loo(log_likelihood: DataFrame, observation: str, value: str) -> DataFrame:
+    """elpd, p and the number of observations with a tail index over 0.7, by leaving one out with importance sampling,
+    from (observation, draw, log-likelihood) rows; an observation has a bounded number of draws.
+
+    The ratios are 1 / likelihood, as they come: they aren't smoothed. The tail index is Hill's, over the largest
+    min(S / 5, 3 sqrt(S)) ratios of S draws, rounded up."""
+    size = F.size("d")
+    tail = F.ceil(F.least(size / 5, 3 * F.sqrt(size.cast("double")))).cast("int")
+    by = log_likelihood.groupBy(observation).agg(F.sort_array(F.collect_list(-F.col(value)), False).alias("d"), F.max(value).alias("top")).withColumns({"m": tail, "s": size})
+    # sums of exponentials about the largest, so that none overflows
+    total = lambda sign, about: F.aggregate("d", F.lit(0.0), lambda a, x: a + F.exp(sign * x - about))
+    elpd = -(F.col("d")[0] + F.log(total(1, F.col("d")[0]) / F.col("s")))
+    lppd = F.col("top") + F.log(total(-1, F.col("top")) / F.col("s"))
+    hill = F.when(F.col("m") < F.col("s"), F.aggregate(F.slice("d", F.lit(1), F.col("m")), F.lit(0.0), lambda a, x: a + x) / F.col("m") - F.get("d", F.col("m")))
+    each = by.select(elpd.alias("elpd"), (lppd - elpd).alias("p"), hill.alias("k"))
+    return each.agg(F.sum("elpd").alias("elpd"), F.sum("p").alias("p_loo"), F.count_if(F.col("k") > 0.7).alias("n_bad"), F.max("k").alias("k_max"))
+
+
+def correlation_bayes_factor(df: DataFrame, x: str, y: str, steps: int = 199) -> DataFrame:
+    """Natural logarithm of the Bayes factor of a correlation, uniform on (-1, 1), against none, for standardised normal pairs: the
+    likelihood averaged over the grid over that at zero."""
+    s = df.agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r"))
+    rho = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: i * 2 / (steps + 1) - 1)
+    n, r = F.col("n"), F.col("r")
+    over_null = lambda p: -n / 2 * F.log(1 - p * p) - n * (1 - p * r) / (1 - p * p) + n
+    g = s.select("n", "r", F.transform(rho, over_null).alias("l")).withColumn("top", F.array_max("l"))
+    mean = F.aggregate("l", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top"))) / (steps + 1)
+    return g.select("n", "r", (F.col("top") + F.log(mean)).alias("ln_bf10"))
+
+
 def hdi(df: DataFrame, value: str, by: list[str], mass: float = 0.94) -> DataFrame:
     """Mean and highest-density interval of a posterior by group: of all intervals between two draws that hold the mass
     the shortest, of equals the lowest. A posterior is a bounded number of draws, sorted as an array."""

@@ -78,6 +78,19 @@ def predict(images: DataFrame, pixels: DataFrame, masks: DataFrame | None, confi
     return out.withColumn("mask", pixel.threshold(F.col("p"), config.at))
 
 
+def written_mask(prediction: DataFrame, config: Config, areas: DataFrame | None = None, nodata: int = 255) -> DataFrame:
+    """(image, r, c, mask) as it is written, of a prediction (image, r, c, p): 1 from the threshold on, else 0, and nodata
+    where there is no value or where the centre lies in no box of areas (image, ax0, ay0, ax1, ay1) of the image."""
+    config.validate()
+    out = prediction.select("image", "r", "c", pixel.threshold(F.col("p"), config.at).alias("mask"))
+    if areas is not None:
+        centres = out.select("image", "r", "c", (F.col("c") + 0.5).alias("cut_x"), (F.col("r") + 0.5).alias("cut_y"))
+        boxes = areas.select(F.col("image").alias("cut_image"), "ax0", "ay0", "ax1", "ay1")
+        inside = vector.points_in(centres, boxes, "cut_x", "cut_y", ("ax0", "ay0", "ax1", "ay1"), float(config.chunk)).filter("image = cut_image").select("image", "r", "c", F.lit(1).alias("cut_in")).distinct()
+        out = out.join(inside, ["image", "r", "c"], "left").withColumn("mask", F.when(F.col("cut_in") == 1, F.col("mask")))
+    return out.select("image", "r", "c", F.coalesce("mask", F.lit(nodata)).cast("bigint").alias("mask"))
+
+
 def postprocess(mask: DataFrame, config: Config, wanted: tuple[str, ...] = ("features", "centroids", "density", "cover")) -> dict[str, DataFrame]:
     """Of predicted pixels (image, r, c, mask) what is wanted: features (image, label, v, n, rings), centroids (image,
     label, x, y, area), density and cover. Components are found, in jobs of their own, only where they are needed."""

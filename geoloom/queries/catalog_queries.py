@@ -208,3 +208,28 @@ def run_metadata(t):
     # the runs so far, and new ones appended to them
     log, new = frames(t).filter("id % 2 = 0"), frames(t).filter("id % 2 = 1")
     return log.unionByName(new).groupBy(col("zone").alias("model")).agg(F.count(F.lit(1)).alias("runs"), F.max("id").alias("last_run"), F.max_by("area", "id").alias("last_loss"), F.min_by("id", F.struct("area", "id")).alias("best_run"))
+
+
+@query("match_report", f"""WITH p AS (SELECT path, CASE WHEN k % 4 <> 0 THEN replace(path, '.tif', '_summary.tif') END AS pair FROM ({FILES})) SELECT 0 AS part, 'total: ' || count(*) AS line FROM p UNION ALL SELECT 1, 'matched: ' || count(pair) FROM p
+UNION ALL SELECT 2, 'unmatched: ' || (count(*) - count(pair)) FROM p UNION ALL SELECT 3, 'no match: ' || path FROM p WHERE pair IS NULL UNION ALL SELECT 4, path || ' -> ' || pair FROM p WHERE pair IS NOT NULL""")
+def match_report(t):
+    return catalog.match_lines(pair_lookup(t))
+
+
+_ROWS = "SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_nationkey * 13 % 130 + 100 AS VARCHAR) AS r, CAST(n_nationkey * 7 % 60 + 10 AS VARCHAR) AS c FROM nation"
+
+
+@query("only_match", f"SELECT r || ',' || c AS id, 'super/B1_00' || r || '_000' || c || '_super.gpkg' AS path FROM ({_ROWS}) WHERE k % 3 <> 0")
+def only_match(t):
+    # every third tile has two files, and is left out
+    rows = t.nation.selectExpr("n_nationkey k", "cast(n_nationkey * 13 % 130 + 100 as string) r", "cast(n_nationkey * 7 % 60 + 10 as string) c")
+    name = lambda b: F.concat(F.lit(f"super/{b}_00"), "r", F.lit("_000"), "c", F.lit("_super.gpkg")).alias("path")
+    paths = rows.select(name("B1")).union(rows.filter("k % 3 = 0").select(name("B2"))).union(rows.select(F.lit("super/readme.txt").alias("path")))
+    return catalog.only_match(rows.select(F.concat_ws(",", "r", "c").alias("id")), paths)
+
+
+@query("frame_bands", f"SELECT id, area || ',' || (area + 1) || ',' || (area + 2) AS image, area % 2 AS label, area % 3 AS weight FROM ({FRAMES})")
+def frame_bands(t):
+    bands = frames(t).select("id", F.array(col("area"), col("area") + 1, col("area") + 2, col("area") % 2, col("area") % 3).alias("bands"))
+    image, label, weight = catalog.frame_bands(col("bands"))
+    return bands.select("id", F.array_join(image.cast("array<string>"), ",").alias("image"), label.alias("label"), weight.alias("weight"))

@@ -102,9 +102,9 @@ def _disc_step(source, agg, radius):
 _R6 = ", ".join(f"s{i + 1} AS {_disc_step(f's{i}', agg, 6)}" for i, agg in enumerate(("min", "max", "max", "min")))
 
 
-@query("morph_open_close_r6", f"WITH s0 AS ({_MOSAIC.replace('0.02', '-0.3')}), {_R6} SELECT image, CAST(sum(v) AS BIGINT) AS ones, count(*) AS n FROM s4 GROUP BY image")
+@query("morph_open_close_r6", f"WITH s0 AS ({_MOSAIC.replace('0.02', '-0.24')}), {_R6} SELECT image, CAST(sum(v) AS BIGINT) AS ones, count(*) AS n FROM s4 GROUP BY image")
 def morph_open_close_r6(t):
-    return kernels.open_close_blocks(mosaic(t, -0.3), "image", 6, chunk=16).groupBy("image").agg(F.sum("v").alias("ones"), F.count(F.lit(1)).alias("n"))
+    return kernels.open_close_blocks(mosaic(t, -0.24), "image", 6, chunk=16).groupBy("image").agg(F.sum("v").alias("ones"), F.count(F.lit(1)).alias("n"))
 
 
 @query("morph_blocks_r1", ORACLE_SQL["morph_open_close"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import TILES, tiles
-from ..operators import mosaic
+from ..operators import mosaic, projection
 from ..registry import query
 
 col, r6 = F.col, lambda c: F.round(c, 6)
@@ -63,3 +63,37 @@ def warp_nearest(t):
 FROM ({_G}) g JOIN ({TILES}) t ON t.tile = g.tile AND abs(x - 0.5 - t.c) < 1 AND abs(y - 0.5 - t.r) < 1 GROUP BY 1, 2, 3""")
 def warp_bilinear(t):
     return mosaic.warped(tiles(t), ["tile"], 10, 10, lambda x, y: (x * 0.7, y * 0.6 + 1), "bilinear").withColumn("v", r6("v"))
+
+
+def _spline(d):
+    return f"CASE WHEN abs({d}) < 1 THEN (4 - 6 * ({d}) * ({d}) + 3 * abs(({d}) * ({d}) * ({d}))) / 6 ELSE pow(2 - abs({d}), 3) / 6 END"
+
+
+@query("warp_spline", f"""SELECT tile, r, c, round(sum(v * w) / sum(w), 6) AS v FROM (SELECT g.tile, g.tr AS r, g.tc AS c, t.v, ({_spline("x - 0.5 - t.c")}) * ({_spline("y - 0.5 - t.r")}) AS w
+FROM ({_G}) g JOIN ({TILES}) t ON t.tile = g.tile AND abs(x - 0.5 - t.c) < 2 AND abs(y - 0.5 - t.r) < 2) GROUP BY 1, 2, 3""")
+def warp_spline(t):
+    return mosaic.warped(tiles(t), ["tile"], 10, 10, lambda x, y: (x * 0.7, y * 0.6 + 1), "spline").withColumn("v", r6("v"))
+
+
+#: A raster of hundredths of a degree from 140 west, 69.08 north on, copied to an equal-area grid in metres.
+_DEGREES, _METRES = [0.01, 0.0, -140.0, 0.0, -0.01, 69.08], [700.0, 0.0, -13508079.0, 0.0, -350.0, 6854300.0]
+_BETA = f"asin(y * {2 * projection._K0 / projection.A / projection._QP!r})"
+_E2 = projection.E2
+_LAT = f"degrees({_BETA} + {_E2 / 3 + 31 * _E2**2 / 180 + 517 * _E2**3 / 5040!r} * sin(2 * {_BETA}) + {23 * _E2**2 / 360 + 251 * _E2**3 / 3780!r} * sin(4 * {_BETA}) + {761 * _E2**3 / 45360!r} * sin(6 * {_BETA}))"
+
+
+@query("raster_copy", f"""WITH g AS (SELECT i AS r, j AS c, (j + 0.5) * {_METRES[0]} + ({_METRES[2]}) AS x, (i + 0.5) * {_METRES[4]} + {_METRES[5]} AS y FROM (SELECT unnest(range(12)) AS i), (SELECT unnest(range(12)) AS j)),
+p AS (SELECT r, c, floor((degrees(x / {projection.A * projection._K0!r}) + 140) / 0.01) AS sc, floor(({_LAT} - 69.08) / -0.01) AS sr FROM g
+ WHERE (x >= {_METRES[2]} + 500 AND x < {_METRES[2]} + 4000 AND y >= {_METRES[5]} - 2000 AND y < {_METRES[5]} - 100) OR (x >= {_METRES[2]} + 3000 AND x < {_METRES[2]} + 6000 AND y >= {_METRES[5]} - 3500 AND y < {_METRES[5]} - 1000))
+SELECT t.tile // 2 AS image, t.tile % 2 AS band, p.r, p.c, round(t.v, 6) AS v FROM p JOIN ({TILES}) t ON t.r = p.sr AND t.c = p.sc WHERE t.tile % 2 = 1""")
+def raster_copy(t):
+    x0, y0 = _METRES[2], _METRES[5]
+    cut = t.spark.createDataFrame([(x0 + 500, y0 - 2000, x0 + 4000, y0 - 100), (x0 + 3000, y0 - 3500, x0 + 6000, y0 - 1000)], "cut_x0 double, cut_y0 double, cut_x1 double, cut_y1 double")
+    p = tiles(t).select(F.floor(col("tile") / 2).alias("image"), (col("tile") % 2).alias("band"), "r", "c", "v")
+    return mosaic.raster_copy(p, ["image"], _DEGREES, _METRES, 12, 12, projection.from_equal_area, [1], cut, cell=1000.0).withColumn("v", r6("v"))
+
+
+@query("mosaic_report", f"{_MATCHED}, g AS (SELECT scene // 5 % 40 AS grp, scene, any_value(status) AS status FROM o GROUP BY 1, 2) SELECT grp, count(*) AS n, coalesce(string_agg(CAST(scene AS VARCHAR), ',' ORDER BY scene) FILTER (WHERE status LIKE 'outside%'), '') AS failed, CASE WHEN bool_and(status LIKE 'outside%') THEN 'failed' ELSE 'done' END AS status FROM g GROUP BY grp")
+def mosaic_report(t):
+    m = mosaic.match_scenes(scenes(t), basemap(t)).withColumn("grp", F.floor(col("scene") / 5) % 40)
+    return mosaic.report(m, ["grp"]).withColumn("failed", F.array_join(F.col("failed").cast("array<string>"), ","))

@@ -104,6 +104,15 @@ def normalize_nodata(t):
     return pixel.standardised(x, "v", ["tile"], "z", nodata=-9999.0).select("tile", "r", "c", F.round("z", 5).alias("z"))
 
 
+@query("normalize_bands", f"""WITH v AS (SELECT tile // 2 AS image, tile % 2 AS band, r, c, CASE WHEN (r + c + tile) % 7 <> 0 THEN v END AS v FROM ({TILES})),
+w AS (SELECT image, band, r, c, CASE WHEN count(v) OVER (PARTITION BY image, r, c) = count(*) OVER (PARTITION BY image, r, c) THEN v END AS v FROM v)
+SELECT image, band, r, c, round((v - avg(v) OVER (PARTITION BY image, band)) / (stddev_pop(v) OVER (PARTITION BY image, band) + 1e-8), 5) AS z FROM w""")
+def normalize_bands(t):
+    x = tiles(t).withColumn("v", F.when((col("r") + col("c") + col("tile")) % 7 == 0, F.lit(-9999.0)).otherwise(col("v")))
+    x = x.select(F.floor(col("tile") / 2).alias("image"), (col("tile") % 2).alias("band"), "r", "c", "v")
+    return pixel.standardised_bands(x, ["image"], ["r", "c"], "band", "v", "z", -9999.0).select("image", "band", "r", "c", F.round("z", 5).alias("z"))
+
+
 @query("metres_degrees", f"SELECT id, round(100 / (cos(radians(abs(lat))) * 111320), 9) AS dx, round(100 / 110540.0, 9) AS dy, round(0.001 * cos(radians(abs(lat))) * 111320, 6) AS mx, round(0.001 * 110540, 6) AS my FROM ({CENTROIDS})")
 def metres_degrees(t):
     dx, dy = pixel.metres_to_degrees(F.lit(100.0), F.lit(100.0), col("lat"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..fixtures import RECTS, ZONES, rects, tiles, zones
@@ -13,10 +16,10 @@ col, r6 = F.col, lambda c: F.round(c, 6)
 CONFIG = pipelines.Config(chunk=16, at=0.55)
 
 
-def predicted(t):
+def predicted(t, config=CONFIG, model=pipelines.demo_model):
     p = tiles(t).selectExpr("tile div 25 image", "((tile div 5) % 5) * 8 + r r", "(tile % 5) * 8 + c c", "v")
     images = p.groupBy("image").agg((F.max("c") + 1).alias("w"), (F.max("r") + 1).alias("h"))
-    return pipelines.predict(images, p, None, CONFIG)
+    return pipelines.predict(images, p, None, config, model)
 
 
 _SRC = "SELECT vec_id // 25 AS image, ((vec_id // 5) % 5) * 8 + (p - 1) // 8 AS r, (vec_id % 5) * 8 + (p - 1) % 8 AS c, CAST(embedding[p] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS p FROM embeddings)"
@@ -27,6 +30,33 @@ def predict_all(t):
     return predicted(t).withColumn("p", r6("p"))
 
 
+def by_place(x):
+    """A model whose scores depend on a pixel's place in its patch, so that overlapping patches differ."""
+    return pipelines.demo_model(x) * (1 + np.arange(x.shape[1]) % 7) / 7
+
+
+_PATCHED = f"""(SELECT image, r, c, (c - dx) * 1000 + r - dy AS ord, 1 / (1 + exp(-10 * v)) * (1 + (dy * 8 + dx) % 7) / 7 AS p FROM (SELECT s.*, r % 4 + 4 * a AS dy, c % 4 + 4 * b AS dx FROM ({_SRC}) s, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)) WHERE dy <= r AND dx <= c)"""
+
+
+@query("predict_operators", f"""SELECT CAST(image AS BIGINT) AS image, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, round(max(p), 6) AS p_max, round(min(p), 6) AS p_min, round(sum(p * pow(0.5, m - i + 1)), 6) AS p_mean, round(arg_max(p, ord), 6) AS p_replace
+FROM (SELECT *, row_number() OVER (PARTITION BY image, r, c ORDER BY ord) AS i, count(*) OVER (PARTITION BY image, r, c) AS m FROM {_PATCHED}) GROUP BY 1, 2, 3""")
+def predict_operators(t):
+    out = None
+    for name in ("MAX", "MIN", "MEAN", "REPLACE"):
+        one = predicted(t, replace(CONFIG, operator=name), by_place).select("image", "r", "c", r6("p").alias(f"p_{name.lower()}"))
+        out = one if out is None else out.join(one, ["image", "r", "c"])
+    return out
+
+
+@query("predict_written", f"""WITH p AS (SELECT CAST(image AS BIGINT) AS image, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, max(p) AS p FROM {_PATCHED} GROUP BY 1, 2, 3)
+SELECT image, r, c, CAST(CASE WHEN (c + 0.5 >= image % 5 AND c + 0.5 < 20 AND r + 0.5 >= 2 AND r + 0.5 < 30) OR (c + 0.5 >= 15 AND c + 0.5 < 30.5 AND r + 0.5 >= 25 AND r + 0.5 < 38) THEN CAST(p >= 0.55 AS INT) ELSE 255 END AS BIGINT) AS mask FROM p""")
+def predict_written(t):
+    p = predicted(t, CONFIG, by_place)
+    images = t.embeddings.select(F.floor(col("vec_id") / 25).alias("image")).distinct()
+    areas = images.selectExpr("image", "inline(array(struct(double(image % 5) ax0, 2D ay0, 20D ax1, 30D ay1), struct(15D ax0, 25D ay0, 30.5D ax1, 38D ay1)))")
+    return pipelines.written_mask(p, CONFIG, areas)
+
+
 @query("postprocess_cover", f"SELECT CAST(image AS BIGINT) AS image, CAST(c // 4 AS BIGINT) AS cx, CAST(r // 4 AS BIGINT) AS cy, round(avg(CASE WHEN 1 / (1 + exp(-10 * v)) >= 0.55 THEN 1.0 ELSE 0.0 END) * 100, 6) AS cover FROM ({_SRC}) GROUP BY ALL")
 def postprocess_cover(t):
     return pipelines.postprocess(predicted(t), CONFIG, ("cover",))["cover"].withColumn("cover", r6("cover"))

@@ -255,3 +255,30 @@ SELECT grp, round(arg_min(low, (high - low, low)), 4) AS low, round(arg_min(high
 def shortest_interval(t):
     rows = areas(t).withColumn("grp", col("dist") % 7)
     return stats.hdi(rows, "area", ["grp"], 0.5).select("grp", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+
+
+@query("correlation_bayes_factor", f"""WITH d AS (SELECT count(*) AS n, corr(dist, area) AS r FROM ({AREAS})),
+l AS (SELECT -n / 2 * ln(1 - rho * rho) - n * (1 - rho * r) / (1 - rho * rho) + n AS l, n, r FROM (SELECT i * 2 / 200 - 1 AS rho FROM (SELECT unnest(range(1, 200)) AS i)), d)
+SELECT any_value(n) AS n, round(any_value(r), 6) AS r, round(ln(sum(exp(l)) / 200), 5) AS ln_bf10 FROM l""")
+def correlation_bayes_factor(t):
+    return stats.correlation_bayes_factor(areas(t), "dist", "area").select("n", r6("r").alias("r"), F.round("ln_bf10", 5).alias("ln_bf10"))
+
+
+def _likelihood(t, mean, step):
+    d = groups(t).select("id", "v", F.explode(F.sequence(F.lit(-5), F.lit(5))).alias("k"))
+    return d.select("id", (-0.5 * ((col("v") - mean - col("k") * step) / 3000) ** 2 - F.log(3000 * F.sqrt(2 * F.pi()))).alias("l"))
+
+
+def _loo(mean, step):
+    return f"""(SELECT sum(elpd) AS elpd, sum(lppd - elpd) AS p_loo, count(CASE WHEN k > 0.7 THEN 1 END) AS n_bad, max(k) AS k_max FROM
+ (SELECT -ln(avg(exp(-l))) AS elpd, ln(avg(exp(l))) AS lppd, list_avg(list_sort(list(-l), 'DESC')[1:3]) - list_sort(list(-l), 'DESC')[4] AS k FROM
+ (SELECT a.id, -0.5 * pow((a.v - {mean} - d.k * {step}) / 3000, 2) - ln(3000 * sqrt(2 * pi())) AS l FROM ({GROUPS}) a, (SELECT unnest(range(-5, 6)) AS k) d) GROUP BY id))"""
+
+
+@query("loo_bayes_factor", f"""SELECT round(a.elpd, 4) AS elpd_null, round(b.elpd, 4) AS elpd_alt, round(b.elpd - a.elpd, 4) AS ln_bf10, round(b.p_loo, 6) AS p_loo, b.n_bad, round(b.k_max, 5) AS k_max
+FROM {_loo(4000, 20)} a, {_loo(4500, 400)} b""")
+def loo_bayes_factor(t):
+    null = stats.loo(_likelihood(t, 4000, 20), "id", "l").select(col("elpd").alias("null"))
+    alt = stats.loo(_likelihood(t, 4500, 400), "id", "l")
+    both = alt.crossJoin(F.broadcast(null))  # one row each
+    return both.select(F.round("null", 4).alias("elpd_null"), F.round("elpd", 4).alias("elpd_alt"), F.round(col("elpd") - col("null"), 4).alias("ln_bf10"), r6("p_loo").alias("p_loo"), "n_bad", F.round("k_max", 5).alias("k_max"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.operators import catalog, grid, metrics, ordered, pixel, stats, vector
+from geoloom.operators import catalog, grid, metrics, mosaic, ordered, pixel, stats, vector
 from geoloom.plans import pipelines
 from geoloom.sources import tables
 from geoloom.streaming import ingest
@@ -234,3 +234,34 @@ def test_polygons_with_holes_and_geometry_types(spark):
     assert tuple(kinds) == ("Polygon", "LineString", "Point")
     c = one.select(vector.ring_centroid(box(1e6, 1e6 + 2)).alias("c"), vector.spherical_area(box(0, 0)).alias("s")).first()
     assert (c.c.x, c.c.y, c.s) == (1e6 + 1, 1e6 + 1, 0.0)
+
+
+def test_empty_lists_are_errors(spark):
+    there = spark.createDataFrame([("scenes/a.tif",)], "path string")
+    assert catalog.listed_images(spark.createDataFrame([(" a.tif ",), ("b.tif",)], "line string"), there, "scenes").count() == 1
+    with pytest.raises(ValueError, match="image of the list"):
+        catalog.listed_images(spark.createDataFrame([("b.tif",)], "line string"), there, "scenes")
+
+
+def test_only_match_wants_one_file(spark):
+    tiles = spark.createDataFrame([("113,17",), ("-5,8",), ("7,7",)], "id string")
+    names = ["x/a_00113_00017_super.gpkg", "x/a_-0005_00008_super.gpkg", "x/b_-0005_00008_super.gpkg", "x/00113_00017.gpkg"]
+    got = catalog.only_match(tiles, spark.createDataFrame([(n,) for n in names], "path string")).collect()
+    assert [tuple(r) for r in got] == [("113,17", names[0])]
+
+
+def test_spline_reproduces_a_plane_inside(spark):
+    px = spark.createDataFrame([(1, r, c, 2.0 * r + 3.0 * c) for r in range(9) for c in range(9)], "k int, r long, c long, v double")
+    got = mosaic.warped(px, ["k"], 4, 4, lambda x, y: (x * 0.5 + 3, y * 0.5 + 3), "spline").collect()
+    assert len(got) == 16
+    for q in got:
+        assert q["v"] == pytest.approx(2 * ((q["r"] + 0.5) * 0.5 + 2.5) + 3 * ((q["c"] + 0.5) * 0.5 + 2.5))
+    with pytest.raises(ValueError, match="no resampling"):
+        mosaic.warped(px, ["k"], 4, 4, lambda x, y: (x, y), "lanczos")
+
+
+def test_written_mask_has_nodata_outside_areas_and_without_a_value(spark):
+    p = spark.createDataFrame([(1, 0, 0, 0.9), (1, 0, 1, 0.1), (1, 0, 2, None), (1, 0, 3, 0.9), (2, 0, 0, 0.9)], "image long, r long, c long, p double")
+    areas = spark.createDataFrame([(1, 0.0, 0.0, 3.0, 1.0)], "image long, ax0 double, ay0 double, ax1 double, ay1 double")
+    got = {(q["image"], q["c"]): q["mask"] for q in pipelines.written_mask(p, pipelines.Config(), areas).collect()}
+    assert got == {(1, 0): 1, (1, 1): 0, (1, 2): 255, (1, 3): 255, (2, 0): 255}
