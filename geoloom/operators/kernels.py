@@ -323,26 +323,68 @@ def scored(patches: DataFrame, model: Callable[[np.ndarray], np.ndarray], keep:
     return patches.select(*keep, values).mapInPandas(run, schema)
 
 
-def augmented(frames: DataFrame, id_: str, values: str, height: int, width: int, seed: int = 1) -> DataFrame:
-    """Frames (arrays of height x width) flipped, cropped by up to a tenth and filled up again, blurred, and changed in
-    contrast, each with its chance; draws depend on the frame's id and the seed only, so a lost task repeats them."""
+def looked_up(a: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Values between the pixels of a frame, bilinear; places outside take the nearest border."""
+    y, x = np.clip(y, 0, a.shape[0] - 1), np.clip(x, 0, a.shape[1] - 1)
+    r, c = np.floor(y).astype(int), np.floor(x).astype(int)
+    r1, c1, fy, fx = np.minimum(r + 1, a.shape[0] - 1), np.minimum(c + 1, a.shape[1] - 1), y - r, x - c
+    return (a[r, c] * (1 - fx) + a[r, c1] * fx) * (1 - fy) + (a[r1, c] * (1 - fx) + a[r1, c1] * fx) * fy
+
+
+def bent(a: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Piecewise-affine change: the points of an even grid over the frame are moved (rows, columns, 2: shares of height
+    and width), and what lies between them moves in proportion to its distance from them."""
+    y, x = np.mgrid[: a.shape[0], : a.shape[1]].astype(float)
+    at = lambda v, n, m: v / max(n - 1, 1) * (m - 1)
+    gy, gx = at(y, a.shape[0], moves.shape[0]), at(x, a.shape[1], moves.shape[1])
+    return looked_up(a, y + looked_up(moves[..., 0], gy, gx) * a.shape[0], x + looked_up(moves[..., 1], gy, gx) * a.shape[1])
+
+
+def seen_aslant(a: np.ndarray, corners: np.ndarray) -> np.ndarray:
+    """Perspective change: the quadrilateral whose corners (upper left, upper right, lower right, lower left) lie so
+    far inside the frame's (4, 2: shares of height and width) fills the frame."""
+    h, w = a.shape[0] - 1, a.shape[1] - 1
+    to = np.array([(0, 0), (0, w), (h, w), (h, 0)], float)
+    here = to + corners * [a.shape] * [(1, 1), (1, -1), (-1, -1), (-1, 1)]
+    rows, right = [], []
+    for (ty, tx), (sy, sx) in zip(to, here, strict=True):
+        rows += [[tx, ty, 1, 0, 0, 0, -sx * tx, -sx * ty], [0, 0, 0, tx, ty, 1, -sy * tx, -sy * ty]]
+        right += [sx, sy]
+    if min(h, w) < 1:
+        return a
+    m = np.append(np.linalg.solve(np.array(rows), np.array(right)), 1).reshape(3, 3)
+    y, x = np.mgrid[: a.shape[0], : a.shape[1]].astype(float)
+    px, py, scale = (m[k, 0] * x + m[k, 1] * y + m[k, 2] for k in range(3))
+    return looked_up(a, py / scale, px / scale)
+
+
+def augmented(frames: DataFrame, id_: str, values: str, height: int, width: int, seed: int = 1, middle: float = 0.0) -> DataFrame:
+    """Frames (arrays of height x width) changed in a drawn order, each change with its chance: flipped either way, cropped by up to a tenth
+    and filled up again, blurred, contrast about ``middle``, bent and seen aslant. Draws depend on the frame's id and
+    the seed only, so a lost task repeats them."""
     schema = f"{id_} {dict(frames.dtypes)[id_]}, {values} array<double>"
 
+    def cropped(rng, a):
+        r, c = (int(rng.integers(0, max(1, n // 10) + 1)) for n in (height, width))
+        part = a[r : height - r or None, c : width - c or None]
+        return part[np.arange(height)[:, None] * part.shape[0] // height, np.arange(width)[None, :] * part.shape[1] // width]
+
+    def blurred(rng, a):
+        p = np.pad(a, 1, mode="edge")
+        return (p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] + 4 * p[1:-1, 1:-1]) / 8
+
+    changes = (
+        (0.5, lambda rng, a: np.flip(a, 0)), (0.5, lambda rng, a: np.flip(a, 1)), (0.5, cropped), (0.3, blurred), (0.3, lambda rng, a: (a - middle) * rng.uniform(0.3, 1.2) + middle),
+        (0.3, lambda rng, a: bent(a, rng.normal(0, 0.05, (4, 4, 2)))), (0.1, lambda rng, a: seen_aslant(a, np.minimum(np.abs(rng.normal(0, 0.01, (4, 2))), 0.4))),
+    )
+
     def one(key: int, v: np.ndarray) -> np.ndarray:
         rng = np.random.default_rng((seed, abs(int(key))))
         a = np.asarray(v, float).reshape(height, width)
-        for axis in (0, 1):
-            if rng.random() < 0.5:
-                a = np.flip(a, axis)
-        if rng.random() < 0.5:
-            r, c = (int(rng.integers(0, max(1, n // 10) + 1)) for n in (height, width))
-            part = a[r : height - r or None, c : width - c or None]
-            a = part[np.arange(height)[:, None] * part.shape[0] // height, np.arange(width)[None, :] * part.shape[1] // width]
-        if rng.random() < 0.3:
-            p = np.pad(a, 1, mode="edge")
-            a = (p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] + 4 * p[1:-1, 1:-1]) / 8
-        if rng.random() < 0.3:
-            a = (a - a.mean()) * rng.uniform(0.3, 1.2) + a.mean()
+        for k in rng.permutation(len(changes)):
+            chance, change = changes[k]
+            if rng.random() < chance:
+                a = change(rng, a)
         return a.ravel()
 
     def run(batches):

@@ -119,3 +119,22 @@ def test_simplify_and_clip():
     c = np.array(kernels.clip(square, window))
     assert abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(c, c[1:]))) / 2 == 1
     assert kernels.clip(square + 10, window) == []
+
+
+def test_frames_bent_and_seen_aslant():
+    r, c = np.mgrid[:9, :13].astype(float)
+    plane = 2 * r + 3 * c
+    assert np.allclose(kernels.bent(plane, np.zeros((4, 4, 2))), plane)
+    assert np.allclose(kernels.seen_aslant(plane, np.zeros((4, 2))), plane)
+    moved = kernels.bent(plane, np.full((4, 4, 2), 0.1))  # everything by a tenth of height and width
+    assert np.allclose(moved[:7, :11], (plane + 2 * 0.9 + 3 * 1.3)[:7, :11])
+    near = kernels.seen_aslant(plane, np.full((4, 2), 1 / 9))  # the same on all sides: a cut-out, enlarged
+    assert near[0, 0] == pytest.approx(2 * 1 + 3 * 13 / 9) and near[-1, -1] == pytest.approx(2 * 7 + 3 * (12 - 13 / 9))
+
+
+def test_augmentation_repeats_and_keeps_constant_frames(spark):
+    frames = spark.createDataFrame([(i, [float(5 if i < 40 else k) for k in range(64)]) for i in range(80)], "id long, v array<double>")
+    runs = [{q["id"]: q["v"] for q in kernels.augmented(f, "id", "v", 8, 8, middle=5.0).collect()} for f in (frames, frames.repartition(7))]
+    assert runs[0] == runs[1]
+    assert all(np.allclose(runs[0][i], 5) for i in range(40))
+    assert len({tuple(runs[0][i]) for i in range(40, 80)}) > 20
