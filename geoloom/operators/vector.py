@@ -2,7 +2,9 @@
 
 A box is copied to the grid cells that it reaches into, so that a spatial join is an equi-join on cells; a pair that
 shares several cells is kept in one of them only, that of the lower corner of what the two have in common. Hot cells
-are split by adaptive execution like any skewed join key. Cells should be about as large as the larger boxes.
+are split by adaptive execution like any skewed join key. Cells have sizes by level, each four times the one below: a box
+is in at most four cells of its own level, the first whose cells are as large as it, and goes to higher levels only
+as far as the other side has boxes there. So a very large box makes few rows. Cells should be about as large as most boxes.
 """
 
 from __future__ import annotations
@@ -13,10 +15,36 @@ from pyspark.sql import functions as F
 Box = tuple[str, str, str, str]
 
 
-def celled(df: DataFrame, box: Box, cell: float) -> DataFrame:
+#: Levels beyond this one aren't made: cells are 4^30 times as large there.
+TOP = 30
+
+
+def level(box: Box, cell: float) -> Column:
+    """The first level whose cells are as large as a box."""
+    x0, y0, x1, y1 = map(F.col, box)
+    side = F.greatest(x1 - x0, y1 - y0)
+    return F.when(side <= cell, 0).otherwise(F.least(F.ceil(F.log(4.0, side / cell)), F.lit(TOP))).cast("int")
+
+
+def highest(df: DataFrame, box: Box, cell: float) -> Column:
+    """The highest level of df's boxes: a scalar subquery, an aggregate of one number."""
+    return F.coalesce(df.agg(F.max(level(box, cell))).scalar(), F.lit(0))
+
+
+def size_at(k: Column, cell: float) -> Column:
+    return cell * F.pow(F.lit(4.0), k)
+
+
+def celled(df: DataFrame, box: Box, cell: float, top: Column | None = None, own: str = "cell_own") -> DataFrame:
+    """A row for each cell (cell_k, cell_x, cell_y) that a box reaches into, at its own level and up to level top."""
     x0, y0, x1, y1 = box
-    at = lambda c: F.floor(F.col(c) / cell)
-    return df.withColumn("cell_x", F.explode(F.sequence(at(x0), at(x1)))).withColumn("cell_y", F.explode(F.sequence(at(y0), at(y1))))
+    at = lambda c: F.floor(F.col(c) / size_at(F.col("cell_k"), cell))
+    out = df.withColumn(own, level(box, cell))
+    if top is None:
+        out = out.withColumn("cell_k", F.col(own))
+    else:
+        out = out.withColumn("cell_top", F.greatest(own, top)).withColumn("cell_k", F.explode(F.sequence(own, "cell_top"))).drop("cell_top")
+    return out.withColumn("cell_x", F.explode(F.sequence(at(x0), at(x1)))).withColumn("cell_y", F.explode(F.sequence(at(y0), at(y1))))
 
 
 def overlap(a: Box, b: Box, touch: bool) -> Column:
@@ -28,16 +56,17 @@ def overlap(a: Box, b: Box, touch: bool) -> Column:
 
 def overlap_join(left: DataFrame, right: DataFrame, a: Box, b: Box, cell: float, touch: bool = False) -> DataFrame:
     """All pairs whose boxes overlap, each once, with the columns of both (names must differ)."""
-    pairs = celled(left, a, cell).join(celled(right, b, cell), ["cell_x", "cell_y"])
-    reference = (F.col("cell_x") == F.floor(F.greatest(a[0], b[0]) / cell)) & (F.col("cell_y") == F.floor(F.greatest(a[1], b[1]) / cell))
-    return pairs.filter(overlap(a, b, touch) & reference).drop("cell_x", "cell_y")
+    pairs = celled(left, a, cell, highest(right, b, cell)).join(celled(right, b, cell, highest(left, a, cell), "cell_other"), ["cell_k", "cell_x", "cell_y"])
+    at = lambda x, y: F.floor(F.greatest(x, y) / size_at(F.col("cell_k"), cell))
+    reference = (F.col("cell_k") == F.greatest("cell_own", "cell_other")) & (F.col("cell_x") == at(a[0], b[0])) & (F.col("cell_y") == at(a[1], b[1]))
+    return pairs.filter(overlap(a, b, touch) & reference).drop("cell_k", "cell_x", "cell_y", "cell_own", "cell_other")
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, a: Box, b: Box, cell: float, touch: bool = False) -> DataFrame:
     """The keys of left that overlap anything of right: a semi-join on cells, so a match is looked for only once in each."""
-    small = celled(right.select(*b), b, cell)
-    on = (F.col("l.cell_x") == F.col("r.cell_x")) & (F.col("l.cell_y") == F.col("r.cell_y"))
-    return celled(left.select(key, *a), a, cell).alias("l").join(small.alias("r"), on & overlap(a, b, touch), "left_semi").select(key).distinct()
+    small = celled(right.select(*b), b, cell, highest(left, a, cell))
+    on = (F.col("l.cell_k") == F.col("r.cell_k")) & (F.col("l.cell_x") == F.col("r.cell_x")) & (F.col("l.cell_y") == F.col("r.cell_y"))
+    return celled(left.select(key, *a), a, cell, highest(right, b, cell)).alias("l").join(small.alias("r"), on & overlap(a, b, touch), "left_semi").select(key).distinct()
 
 
 def semi(left: DataFrame, right: DataFrame, key: str, a: Box, b: Box, cell: float, touch: bool = False) -> DataFrame:
@@ -55,12 +84,14 @@ def within_join(left: DataFrame, right: DataFrame, a: Box, b: Box, cell: float)
 
 
 def points_in(points: DataFrame, zones: DataFrame, x: str, y: str, box: Box, cell: float) -> DataFrame:
-    """Pairs of a point and a zone that it lies in; lower borders belong to a zone, upper ones don't. A point has one
-    cell, so no pair comes twice."""
-    p = points.withColumn("cell_x", F.floor(F.col(x) / cell)).withColumn("cell_y", F.floor(F.col(y) / cell))
-    pairs = p.join(celled(zones, box, cell), ["cell_x", "cell_y"])
+    """Pairs of a point and a zone that it lies in; lower borders belong to a zone, upper ones don't. A zone is in cells
+    of its own level only and a point has one cell of each level, so no pair comes twice."""
+    at = lambda v: F.floor(F.col(v) / size_at(F.col("cell_k"), cell))
+    p = points.withColumn("cell_top", highest(zones, box, cell)).withColumn("cell_k", F.explode(F.sequence(F.lit(0), "cell_top"))).drop("cell_top")
+    p = p.withColumn("cell_x", at(x)).withColumn("cell_y", at(y))
+    pairs = p.join(celled(zones, box, cell), ["cell_k", "cell_x", "cell_y"])
     c = F.col
-    return pairs.filter((c(x) >= c(box[0])) & (c(x) < c(box[2])) & (c(y) >= c(box[1])) & (c(y) < c(box[3]))).drop("cell_x", "cell_y")
+    return pairs.filter((c(x) >= c(box[0])) & (c(x) < c(box[2])) & (c(y) >= c(box[1])) & (c(y) < c(box[3]))).drop("cell_k", "cell_x", "cell_y", "cell_own")
 
 
 def common_box(a: Box, b: Box) -> list[Column]:

@@ -265,3 +265,32 @@ def test_written_mask_has_nodata_outside_areas_and_without_a_value(spark):
     areas = spark.createDataFrame([(1, 0.0, 0.0, 3.0, 1.0)], "image long, ax0 double, ay0 double, ax1 double, ay1 double")
     got = {(q["image"], q["c"]): q["mask"] for q in pipelines.written_mask(p, pipelines.Config(), areas).collect()}
     assert got == {(1, 0): 1, (1, 1): 0, (1, 2): 255, (1, 3): 255, (2, 0): 255}
+
+
+def test_joins_of_boxes_of_any_size_find_each_pair_once(spark):
+    import random
+
+    draw = random.Random(5)
+
+    def boxes(n):
+        out = []
+        for k in range(n):
+            size = draw.choice([0.5, 3, 40, 900, 20000])
+            x, y = draw.uniform(-1000, 1000), draw.uniform(-1000, 1000)
+            out.append((k, x, y, x + size * draw.random(), y + size * draw.random()))
+        return [*out, (n, None, 0.0, 1.0, 1.0), (n + 1, -1e9, -1e9, 1e9, 1e9)]
+
+    a, b = boxes(120), boxes(90)
+    names = lambda p: (f"{p}x0", f"{p}y0", f"{p}x1", f"{p}y1")
+    left, right = (spark.createDataFrame(rows, ", ".join([f"{p} long", *[f"{c} double" for c in names(p)]])) for rows, p in ((a, "a"), (b, "b")))
+    whole = lambda rows: [r for r in rows if None not in r]
+    want = sorted((p[0], q[0]) for p in whole(a) for q in whole(b) if p[1] < q[3] and q[1] < p[3] and p[2] < q[4] and q[2] < p[4])
+    got = vector.overlap_join(left, right, names("a"), names("b"), 10.0)
+    assert sorted(got.columns) == sorted(left.columns + right.columns)
+    assert sorted((q["a"], q["b"]) for q in got.collect()) == want
+    assert {q["a"] for q in vector.semi(left, right, "a", names("a"), names("b"), 10.0).collect()} == {p for p, _ in want}
+    points = left.selectExpr("a p", "ax0 x", "ay0 y").filter("x IS NOT NULL")
+    inside = sorted((p[0], q[0]) for p in whole(a) for q in whole(b) if q[1] <= p[1] < q[3] and q[2] <= p[2] < q[4])
+    assert sorted((q["p"], q["b"]) for q in vector.points_in(points, right, "x", "y", names("b"), 10.0).collect()) == inside
+    assert vector.celled(right, names("b"), 10.0).groupBy("b").count().filter("count > 9").isEmpty()
+    assert vector.overlap_join(left, right.limit(0), names("a"), names("b"), 10.0).isEmpty()
