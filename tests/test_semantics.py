@@ -294,3 +294,15 @@ def test_joins_of_boxes_of_any_size_find_each_pair_once(spark):
     assert sorted((q["p"], q["b"]) for q in vector.points_in(points, right, "x", "y", names("b"), 10.0).collect()) == inside
     assert vector.celled(right, names("b"), 10.0).groupBy("b").count().filter("count > 9").isEmpty()
     assert vector.overlap_join(left, right.limit(0), names("a"), names("b"), 10.0).isEmpty()
+
+
+def test_sampler_draws_the_normal_posterior(spark):
+    rows = spark.createDataFrame([(k % 2 == 0, float(k % 10) + (3 if k % 2 == 0 else 0)) for k in range(200)], "g boolean, v double")
+    known = {r["g"]: (r["m"], r["s"], r["n"]) for r in rows.groupBy("g").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.count("v").alias("n")).collect()}
+    sd = sum(s * s / (n + 1) for _, s, n in known.values()) ** 0.5  # values and prior are normal with the group's deviation
+    posterior = stats.group_difference_posterior(rows, "g", "v")
+    got = posterior.agg(F.avg("difference").alias("m"), F.stddev("difference").alias("s"), F.count("difference").alias("n")).first()
+    assert got["n"] == 2000
+    assert got["m"] == pytest.approx(known[True][0] - known[False][0], abs=0.25 * sd)
+    assert got["s"] == pytest.approx(sd, rel=0.2)
+    assert {tuple(r) for r in posterior.collect()} == {tuple(r) for r in stats.group_difference_posterior(rows.repartition(5), "g", "v").collect()}
