@@ -12,6 +12,8 @@ from ..sources import geopackage, tables, tiff
 
 col, r6 = F.col, lambda c: F.round(c, 6)
 A = ("x0", "y0", "x1", "y1")
+#: Features of a written file, about.
+FILE_FEATURES = 4_000
 
 
 @query("geotiff_round_trip", f"SELECT CAST(tile // 25 AS BIGINT) AS image, CAST(((tile // 5) % 5) * 8 + r AS BIGINT) AS r, CAST((tile % 5) * 8 + c AS BIGINT) AS c, round(v, 5) AS v FROM ({TILES}) WHERE ((tile // 5) % 5) * 8 + r BETWEEN 4 AND 33")
@@ -33,12 +35,14 @@ def geopackage_round_trip(t):
         import pandas as pd
 
         rows = [([[(p["x"], p["y"]) for p in g]], {"id": int(i)}) for g, i in zip(pdf["g"], pdf["id"], strict=True)]
-        return pd.DataFrame({"path": [str(pdf["layer"].iloc[0])], "content": [geopackage.geopackage("trees", 32607, rows)]})
+        return pd.DataFrame({"path": [f"{pdf['layer'].iloc[0]}/{pdf['part'].iloc[0]}"], "content": [geopackage.geopackage("trees", 32607, rows)]})
 
-    files = rects(t).select("id", (col("id") % 7).alias("layer"), vector.rectangle(*A).alias("g")).groupBy("layer").applyInPandas(pack, "path string, content binary")
+    # a task holds one file, so a layer is as many files as its features need
+    r = rects(t).select("id", (col("id") % 7).alias("layer"), *A)
+    files = tables.parted(r, ["layer"], "id", "part", FILE_FEATURES).select("id", "layer", "part", vector.rectangle(*A).alias("g")).groupBy("layer", "part").applyInPandas(pack, "path string, content binary")
     back = tables.decode_files(files, geopackage.features, "layer string, srid int, fid long, type string, parts array<array<array<struct<x:double,y:double>>>>, attributes string")
     area = vector.ring_area(col("parts")[0][0])
-    return back.groupBy(col("path").cast("bigint").alias("layer")).agg(F.count(F.lit(1)).alias("n"), F.sum(area).alias("area"))
+    return back.groupBy(F.substring_index("path", "/", 1).cast("bigint").alias("layer")).agg(F.count(F.lit(1)).alias("n"), F.sum(area).alias("area"))
 
 
 @query("merge_features", f"SELECT id, CAST(5 AS BIGINT) AS corners, id % 3 AS source FROM ({CENTROIDS})")

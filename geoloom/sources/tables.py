@@ -55,17 +55,29 @@ def decode_files(files: DataFrame, decode: Callable[[bytes], list[tuple]], schem
         import pandas as pd
 
         for pdf in frames:
-            rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    rows += [(path, None, *r) for r in decode(bytes(content))]
+                    rows = [(path, None, *r) for r in decode(bytes(content))]
                 except Exception as e:  # noqa: BLE001  whatever a decoder raises is the file's error
-                    rows.append((path, f"{type(e).__name__}: {e}", *[None] * len(names)))
-            yield pd.DataFrame(rows, columns=["path", "error", *names])
+                    rows = [(path, f"{type(e).__name__}: {e}", *[None] * len(names))]
+                # file by file: a batch may hold many
+                for i in range(0, len(rows), 10_000):
+                    yield pd.DataFrame(rows[i : i + 10_000], columns=["path", "error", *names])
 
     return files.select("path", "content").mapInPandas(run, f"path string, error string, {schema}")
 
 
+def parted(df: DataFrame, by: list[str], key: str, part: str, most: int) -> DataFrame:
+    """Adds part, a number from 0 on that cuts the rows of each group into parts of about ``most``, dealt by a hash of
+    the key. Groups up to ``most`` rows stay whole."""
+    many = df.groupBy(*[F.col(c).alias(f"many_{c}") for c in by]).agg(F.count(F.lit(1)).alias("many_n")).filter(F.col("many_n") > most)
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"many_{c}"))
+    n = F.coalesce(F.ceil(F.col("many_n") / most), F.lit(1))
+    return df.join(many, on, "left").select(*df.columns, F.pmod(F.xxhash64(key), n).alias(part))
+
+
 def write_raster(df: DataFrame, path: str, mode: str = "error") -> None:
     """A raster table, a folder for each raster and band; rows in order, so that row groups cover few tiles."""
     out = df.select("raster_id", "band", "r", "c", "value").repartition("raster_id", "band").sortWithinPartitions("raster_id", "band", "r", "c")

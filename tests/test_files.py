@@ -132,3 +132,33 @@ def test_heights_and_collections():
     assert G.parse(e)[1] == G.parse(z)[1]
     both = struct.pack("<BII", 1, 7, 2) + struct.pack("<BI2d", 1, 1, 5, 6) + z
     assert G.parse(both)[:2] == ("GeometryCollection", [[[(5, 6)]], [[(0, 1), (2, 3)]]])
+
+
+def test_a_layer_is_cut_into_files(spark, monkeypatch):
+    from geoloom.queries import QUERIES, source_queries
+    from geoloom.sources import tables
+
+    sizes = []
+    read = tables.decode_files
+    monkeypatch.setattr(source_queries, "FILE_FEATURES", 40)
+    monkeypatch.setattr(tables, "decode_files", lambda files, decode, schema: sizes.extend(r.n for r in files.selectExpr("length(content) n").collect()) or read(files, decode, schema))
+    rows = QUERIES["geopackage_round_trip"](spark, "/root/testdata/sf0.001").collect()
+    n = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert sum(r.n for r in rows) == n and len(rows) == 7
+    assert len(sizes) > n / 40 * 0.9 and max(sizes) < 60_000
+
+
+def test_files_are_decoded_one_by_one(spark):
+    from geoloom.sources import tables
+
+    files = spark.createDataFrame([("a", bytearray(b"12")), ("b", bytearray(b"x")), ("c", bytearray())], "path string, content binary").coalesce(1)
+    got = tables.decode_files(files, lambda c: [(int(chr(x)),) for x in c], "v int").collect()
+    assert sorted((r.path, r.v, r.error is None) for r in got) == [("a", 1, True), ("a", 2, True), ("b", None, False)]
+
+
+def test_parts_hold_all_rows_once(spark):
+    from geoloom.sources import tables
+
+    df = spark.range(1000).selectExpr("id", "if(id < 900, 1, cast(null as int)) g")
+    got = tables.parted(df, ["g"], "id", "part", 100).groupBy("g", "part").count().collect()
+    assert sum(r["count"] for r in got) == 1000 and sum(r.g == 1 for r in got) == 9 and sum(r.g is None for r in got) == 1
