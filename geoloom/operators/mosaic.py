@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import grid, ordered, pixel, vector
@@ -73,28 +73,54 @@ def raster_copy(
         at = pixel.pixel_to_world(x, y, to_transform)
         return pixel.world_to_pixel(*(to_source(*at) if to_source else at), transform)
 
-    out = warped(pixels, [*by, "band"], height, width, source, how)
-    if cutline is None:
-        return out
-    x, y = pixel.pixel_to_world(F.col("c") + 0.5, F.col("r") + 0.5, to_transform)
-    places = out.select("r", "c").distinct().select("r", "c", x.alias("cut_x"), y.alias("cut_y"))
-    inside = vector.points_in(places, cutline, "cut_x", "cut_y", ("cut_x0", "cut_y0", "cut_x1", "cut_y1"), cell).select("r", "c").distinct()
-    return out.join(inside, ["r", "c"], "left_semi").select(*by, "band", "r", "c", "v")
+    inside = None
+    if cutline is not None:
+        x, y = pixel.pixel_to_world(F.col("c") + 0.5, F.col("r") + 0.5, to_transform)
+        places = places_of(pixels.sparkSession, height, width, 1).select("r", "c", x.alias("cut_x"), y.alias("cut_y"))
+        inside = vector.points_in(places, cutline, "cut_x", "cut_y", ("cut_x0", "cut_y0", "cut_x1", "cut_y1"), cell).select("r", "c").distinct()
+    return warped(pixels, [*by, "band"], height, width, source, how, within=inside).select(*by, "band", "r", "c", "v")
 
 
-def warped(pixels: DataFrame, by: list[str], height: int, width: int, source: Callable[[Column, Column], tuple[Column, Column]], how: str = "nearest", row: str = "r", col: str = "c", value: str = "v") -> DataFrame:
+#: Rows of a table of places that is copied to all tasks at most; a larger one is shuffled.
+FEW_PLACES = 200_000
+
+
+def places_of(spark: SparkSession, height: int, width: int, reach: int) -> DataFrame:
+    """(r, c, i, j) of a grid, with i and j each below reach: one range, whose size the planner knows."""
+    n = F.col("id")
+    axis = lambda step, size: (F.floor(n / step) % size).cast("bigint")
+    return spark.range(height * width * reach * reach).select(axis(reach * reach * width, height).alias("r"), axis(reach * reach, width).alias("c"), axis(reach, reach).alias("i"), axis(1, reach).alias("j"))
+
+
+def warped(
+    pixels: DataFrame, by: list[str], height: int, width: int, source: Callable[[Column, Column], tuple[Column, Column]], how: str = "nearest", row: str = "r", col: str = "c", value: str = "v", within: DataFrame | None = None,
+) -> DataFrame:
     """Each group's pixels in a target grid of height x width. source(column, row) gives the place of a target pixel's
     centre in the source, in pixels with centres at halves; what has no source pixel is left out. how: nearest, bilinear, or spline, the cubic B-spline over four by four
-    neighbours; weights are normalised over the neighbours that exist."""
-    axis = lambda n: F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
-    target = pixels.select(*by).distinct().select(*by, F.explode(axis(height)).alias("t_r")).select(*by, "t_r", F.explode(axis(width)).alias("t_c"))
-    x, y = source(F.col("t_c") + 0.5, F.col("t_r") + 0.5)
+    neighbours; weights are normalised over the neighbours that exist. within: target pixels (r, c), if not all are wanted.
+
+    What a target pixel takes from is the same in all groups, so it is found once, and pixels look up there which
+    targets they bear on. The planner can't know how many rows arrays of pixels hold, so they are never broadcast."""
+    reach = {"nearest": (0,), "bilinear": (0, 1), "spline": (-1, 0, 1, 2)}.get(how)
+    if reach is None:
+        raise ValueError(f"no resampling {how}")
+    places = places_of(pixels.sparkSession, height, width, len(reach))
+    if within is not None:
+        places = places.join(within, ["r", "c"], "left_semi")
+    x, y = source(F.col("c") + 0.5, F.col("r") + 0.5)
+    half, names = (0.0 if how == "nearest" else 0.5), {"r": "t_r", "c": "t_c"}
+    places = places.select(F.col("r").alias("t_r"), F.col("c").alias("t_c"), "i", "j", x.alias("s_x"), y.alias("s_y"))
+    near = lambda v, k: (F.floor(F.col(v) - half) + reach[0] + F.col(k)).cast("bigint")
+    places = places.select(*names.values(), "s_x", "s_y", near("s_y", "i").alias("s_r"), near("s_x", "j").alias("s_c"))
+    if how == "nearest":
+        places = places.drop("s_x", "s_y")
+    else:
+        weight = lambda v, at: _weight(F.abs(F.col(v) - 0.5 - F.col(at)), how)
+        places = places.select("t_r", "t_c", "s_r", "s_c", (weight("s_x", "s_c") * weight("s_y", "s_r")).alias("s_w")).filter("s_w > 0")
+    mine = pixels.dropna(subset=by).select(*by, F.col(row).cast("bigint").alias("s_r"), F.col(col).cast("bigint").alias("s_c"), value)
+    few = height * width * len(reach) ** 2 <= FEW_PLACES
+    found = mine.join(F.broadcast(places) if few else places.hint("merge"), ["s_r", "s_c"])
     if how == "nearest":
-        at = target.withColumns({col: F.floor(x), row: F.floor(y)})
-        return at.join(pixels, [*by, row, col]).select(*by, F.col("t_r").alias(row), F.col("t_c").alias(col), value)
-    reach = (0, 1) if how == "bilinear" else (-1, 0, 1, 2)
-    around = lambda v: F.transform(F.array(*[F.floor(v - 0.5) + k for k in reach]), lambda i: F.struct(i.cast("bigint").alias("i"), _weight(F.abs(v - 0.5 - i), how).alias("w")))
-    near = target.select(*by, "t_r", "t_c", around(x).alias("xs"), F.explode(around(y)).alias("b")).select(*by, "t_r", "t_c", "b", F.explode("xs").alias("a"))
-    near = near.select(*by, "t_r", "t_c", F.col("a.i").alias(col), F.col("b.i").alias(row), (F.col("a.w") * F.col("b.w")).alias("w")).filter("w > 0")
-    mixed = near.join(pixels, [*by, row, col]).groupBy(*by, "t_r", "t_c").agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias(value))
+        return found.select(*by, F.col("t_r").alias(row), F.col("t_c").alias(col), value)
+    mixed = found.groupBy(*by, "t_r", "t_c").agg((F.sum(F.col(value) * F.col("s_w")) / F.sum("s_w")).alias(value))
     return mixed.select(*by, F.col("t_r").alias(row), F.col("t_c").alias(col), value)

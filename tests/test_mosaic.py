@@ -30,3 +30,38 @@ def test_scenes_against_interpolation(spark):
 def test_the_last_scene_with_a_value_stays(spark):
     a = spark.createDataFrame([(0, 1, 1, 0, 0, 5.0), (0, 2, 1, 0, 0, 0.0), (0, 3, 1, 0, 1, 0.0)], "g int, scene int, band int, r int, c int, v double")
     assert {(x.c, x.v) for x in mosaic.mosaicked(a, ["g"], "v", "scene").collect()} == {(0, 5.0), (1, None)}
+
+
+def joins(df):
+    """What a broadcast join of the plan copies to all tasks, as the first of its lines of the plan's text."""
+    import re
+
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"BroadcastExchange[^\n]*\n[^\n]*(?:\n[^\n]*){0,9}", text)
+
+
+def test_pixels_are_never_broadcast(spark, monkeypatch):
+    # arrays of pixels look small to the planner, however many rows they make
+    from geoloom.queries import QUERIES
+
+    for name in ("warp_nearest", "warp_bilinear", "warp_spline"):
+        for few in (200_000, 0):
+            monkeypatch.setattr(mosaic, "FEW_PLACES", few)
+            got = joins(QUERIES[name](spark, "/root/testdata/sf0.001"))
+            assert len(got) == bool(few) and all("Range" in x and "Generate" not in x and "FileScan" not in x for x in got), name
+
+
+def test_raster_copy_broadcasts_no_pixels(spark):
+    from geoloom.queries import QUERIES
+
+    assert not any("embedding" in x for x in joins(QUERIES["raster_copy"](spark, "/root/testdata/sf0.001")))
+
+
+def test_warped_either_way(spark, monkeypatch):
+    px = spark.createDataFrame([(g, r, c, float(g + r * 5 + c)) for g in range(3) for r in range(5) for c in range(6) if (r + c + g) % 4] + [(None, 0, 0, 1.0)], "g int, r int, c int, v double")
+    for how in ("nearest", "bilinear", "spline"):
+        made = []
+        for few in (200_000, 0):
+            monkeypatch.setattr(mosaic, "FEW_PLACES", few)
+            made.append(sorted((x.g, x.r, x.c, round(x.v, 9)) for x in mosaic.warped(px, ["g"], 7, 4, lambda x, y: (x * 1.3, y * 0.7), how).collect()))
+        assert made[0] == made[1] and made[0]
