@@ -54,7 +54,7 @@ def demo_model(x: np.ndarray) -> np.ndarray:
 def predict(images: DataFrame, pixels: DataFrame, masks: DataFrame | None, config: Config, model=demo_model) -> DataFrame:
     """(image, r, c, p, mask) from images (image, w, h) and pixels (image, r, c, v): patches are laid out, those that
     meet no mask box (image, mx0, my0, mx1, my1) are left out, the rest are scored in batches, combined where they
-    overlap, and thresholded. Null without a patch."""
+    overlap, and thresholded. Pixels that an image lacks count as 0 in their patches, but have no row."""
     config.validate()
     n = config.patch
     patches = grid.patches(images, "w", "h", n, config.stride).withColumns({"px1": F.col("x") + n, "py1": F.col("y") + n})
@@ -69,10 +69,12 @@ def predict(images: DataFrame, pixels: DataFrame, masks: DataFrame | None, confi
     held = sent.join(patches.select("image", "x", "y", "ord"), ["image", "x", "y"])
     cells = held.groupBy("image", "x", "y", "ord").agg(F.collect_list(F.struct(((F.col("r") - F.col("y")) * n + F.col("c") - F.col("x")).cast("int").alias("k"), "v")).alias("cells"))
     filled = cells.select("image", "x", "y", "ord", F.map_from_entries("cells").alias("m")).select(
-        "image", "x", "y", "ord", F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("values")
+        "image", "x", "y", "ord", F.map_keys("m").alias("there"), F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("values")
     )
-    done = kernels.scored(filled, model, ["image", "x", "y", "ord"], batch=config.batch)
-    flat = done.select("image", "x", "y", "ord", F.posexplode("scores").alias("k", "p")).select("image", (F.col("y") + F.floor(F.col("k") / n)).alias("r"), (F.col("x") + F.col("k") % n).alias("c"), "ord", "p")
+    done = kernels.scored(filled, model, ["image", "x", "y", "ord", "there"], batch=config.batch)
+    # a score for each pixel that the image has
+    own = F.explode(F.transform("there", lambda k: F.struct(k.alias("k"), F.get("scores", k).alias("p")))).alias("s")
+    flat = done.select("image", "x", "y", "ord", own).select("image", "x", "y", "ord", "s.k", "s.p").select("image", (F.col("y") + F.floor(F.col("k") / n)).alias("r"), (F.col("x") + F.col("k") % n).alias("c"), "ord", "p")
     inside = flat.join(images.select("image", "w", "h"), "image").filter("r < h AND c < w")  # edge patches reach over
     out = inside.groupBy("image", "r", "c").agg(grid.combine(config.operator, "p", "ord").alias("p"))
     return out.withColumn("mask", pixel.threshold(F.col("p"), config.at))
