@@ -121,11 +121,9 @@ def frames(areas: DataFrame, labels: DataFrame, pixels: DataFrame, config: Confi
     box, small = ("ax0", "ay0", "ax1", "ay1"), ("x0", "y0", "x1", "y1")
     burned = vector.rasterised(labels, small, 1, False, []).distinct().select(F.col("px").alias("c"), F.col("py").alias("r"), F.lit(1).cast("bigint").alias("hit"))
     grown = vector.scaled(labels.select("id", *small), small, config.boundary_scale, small)
-    meets = vector.overlap_join(grown, grown.toDF("other", "bx0", "by0", "bx1", "by1"), small, ("bx0", "by0", "bx1", "by1"), cell).filter("id < other")
-    common = meets.select(*vector.common_box(small, ("bx0", "by0", "bx1", "by1")))
-    edge = vector.rasterised(common, ("ix0", "iy0", "ix1", "iy1"), 1, True, []).distinct().select(F.col("px").alias("c"), F.col("py").alias("r"), F.lit(1).alias("edge"))
-    inside = vector.points_in(pixels, areas, "c", "r", box, cell)
-    out = inside.join(burned, ["r", "c"], "left").join(edge, ["r", "c"], "left")
+    edge = vector.met_pixels(grown, "id", small).select(F.col("px").alias("c"), F.col("py").alias("r"), F.lit(1).alias("edge"))
+    # pixels get what they bear before they are dealt to areas
+    out = vector.points_in(pixels.join(burned, ["r", "c"], "left").join(edge, ["r", "c"], "left"), areas, "c", "r", box, cell)
     label = F.coalesce("hit", F.lit(0)).cast("bigint")
     weight = F.when(F.col("edge").isNotNull() & (label == 0), config.boundary_weight).otherwise(1.0)
     return out.select("area", "r", "c", "v", label.alias("label"), weight.alias("weight"))
