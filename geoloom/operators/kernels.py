@@ -155,38 +155,66 @@ def rings_of(cells: pd.Series) -> pd.Series:
 
 # ---- morphology with a halo ----
 
+#: Cells of blocks that are gone through in one call, about.
+BLOCK_CELLS = 1 << 20
+
 
 def open_close_blocks(pixels: DataFrame, raster: str, radius: int, chunk: int = 64, row: str = "r", col: str = "c", value: str = "v") -> DataFrame:
     """Opening, then closing, by a disc, in blocks with a halo of four radii: each pixel is copied to the blocks it
     can bear on, and a block keeps its own pixels. Pixels outside a raster don't count."""
     halo, kind = 4 * radius, dict(pixels.dtypes)
-    axis = lambda x: F.sequence(F.floor((F.col(x) - halo) / chunk), F.floor((F.col(x) + halo) / chunk))
-    sent = pixels.select(raster, row, col, value, F.explode(axis(row)).alias("br")).select("*", F.explode(axis(col)).alias("bc"))
+    # a block without pixels of its own makes nothing: none beyond a raster's are made. Pixels may look few to the planner
+    # and be many, so they aren't broadcast
+    ends = [f(F.floor(F.col(x) / chunk)).alias(n) for f, x, n in ((F.min, row, "br0"), (F.max, row, "br1"), (F.min, col, "bc0"), (F.max, col, "bc1"))]
+    reach = pixels.groupBy(F.col(raster).alias("b_raster")).agg(*ends).hint("merge")
+    axis = lambda x, lo, hi: F.sequence(F.greatest(F.floor((F.col(x) - halo) / chunk), lo), F.least(F.floor((F.col(x) + halo) / chunk), hi))
+    ended = pixels.join(reach, F.col(raster).eqNullSafe(F.col("b_raster")))
+    sent = ended.select(raster, row, col, value, "bc0", "bc1", F.explode(axis(row, "br0", "br1")).alias("br")).select(raster, row, col, value, "br", F.explode(axis(col, "bc0", "bc1")).alias("bc"))
     offsets = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        br, bc = int(pdf["br"].iloc[0]), int(pdf["bc"].iloc[0])
-        r0, c0, size = br * chunk - halo, bc * chunk - halo, chunk + 2 * halo
-        r, c = pdf[row].to_numpy() - r0, pdf[col].to_numpy() - c0
-        a, there = np.zeros((size, size)), np.zeros((size, size), bool)
-        a[r, c], there[r, c] = pdf[value].to_numpy(), True
+    size, keys = chunk + 2 * halo, [raster, "br", "bc"]
+
+    def made(pdf: pd.DataFrame, block: np.ndarray) -> pd.DataFrame:
+        """The own pixels of blocks, numbered from 0."""
+        br, bc = pdf["br"].to_numpy() * chunk - halo, pdf["bc"].to_numpy() * chunk - halo
+        r, c = pdf[row].to_numpy() - br, pdf[col].to_numpy() - bc
+        own = (r >= halo) & (r < halo + chunk) & (c >= halo) & (c < halo + chunk)
+        shape = (int(block[-1]) + 1, size, size)
+        a, there = np.zeros(shape), np.zeros(shape, bool)
+        a[block, r, c], there[block, r, c] = pdf[value].to_numpy(), True
 
         def step(a: np.ndarray, grow: bool) -> np.ndarray:
             fill, pick = (-np.inf, np.maximum) if grow else (np.inf, np.minimum)
-            p = np.pad(np.where(there, a, fill), radius, constant_values=fill)
+            p = np.pad(np.where(there, a, fill), ((0, 0), (radius, radius), (radius, radius)), constant_values=fill)
             out = np.full(a.shape, fill)
             for i, j in offsets:
-                out = pick(out, p[radius + i : radius + i + size, radius + j : radius + j + size])
+                pick(out, p[:, radius + i : radius + i + size, radius + j : radius + j + size], out=out)
             return out
 
         for grow in (False, True, True, False):
             a = step(a, grow)
-        own = (r >= halo) & (r < halo + chunk) & (c >= halo) & (c < halo + chunk)
         out = pdf.loc[own, [raster, row, col, value]].copy()
-        out[value] = a[r[own], c[own]].astype(out[value].dtype)
+        out[value] = a[block[own], r[own], c[own]].astype(out[value].dtype)
         return out
 
-    return sent.groupBy(raster, "br", "bc").applyInPandas(run, f"{raster} {kind[raster]}, {row} bigint, {col} bigint, {value} {kind[value]}")
+    together = max(1, BLOCK_CELLS // (size * size))
+
+    def run(frames):
+        # blocks come one after the other; the last of a batch may go on in the next
+        held = None
+        for pdf in frames:
+            if len(pdf):
+                held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+                new = (held[keys] != held[keys].shift()).any(axis=1).to_numpy()
+                block = new.cumsum() - 1
+                for first in range(0, int(block[-1]), together):
+                    a, b = np.searchsorted(block, [first, min(first + together, int(block[-1]))])
+                    yield made(held.iloc[a:b], block[a:b] - first)
+                held = held.iloc[np.searchsorted(block, block[-1]) :].reset_index(drop=True)
+        if held is not None:
+            yield made(held, np.zeros(len(held), np.int64))
+
+    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, f"{raster} {kind[raster]}, {row} bigint, {col} bigint, {value} {kind[value]}")
 
 
 # ---- rings ----

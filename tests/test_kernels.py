@@ -138,3 +138,19 @@ def test_augmentation_repeats_and_keeps_constant_frames(spark):
     assert runs[0] == runs[1]
     assert all(np.allclose(runs[0][i], 5) for i in range(40))
     assert len({tuple(runs[0][i]) for i in range(40, 80)}) > 20
+
+
+def test_blocks_are_gone_through_together(spark, monkeypatch):
+    from geoloom.operators import kernels
+    from geoloom.queries import QUERIES
+
+    q = lambda: QUERIES["morph_blocks_r1"](spark, "/root/testdata/sf0.001")
+    plan = q()._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan and "BroadcastExchange" not in plan
+    many = sorted(map(tuple, q().collect()))
+    monkeypatch.setattr(kernels, "BLOCK_CELLS", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert sorted(map(tuple, q().collect())) == many
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
