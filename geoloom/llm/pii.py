@@ -2,11 +2,11 @@
 
 Generators with high recall propose spans that may overlap: numbers in any grouping as phone or card, spelled-out
 addresses, dotted or coloned groups. Boosted trees over format and context features score them; a threshold of each
-kind, calibrated on a part of the sample held back from the trees, selects what is added to the base spans.
+kind, calibrated on candidates that trees of other candidates score, selects what is added to the base spans.
 
-Everything done to documents is DataFrame expressions, compiled trees included. The trees are fitted on the driver
-over a bounded sample of all candidates: base matches, and the same written in other ways, against proposals that no
-base pattern confirms.
+Everything done to documents is DataFrame expressions, compiled trees included. The trees are fitted over all
+candidates of all documents: base matches, written in other ways, against proposals that no base pattern confirms.
+Candidates are counted by their features, and the driver fits on the distinct features with their counts.
 
 A text may have any number of spans: arrays are built in pieces of CHUNK, never by appending to a whole one, and what
 touches what is found by sorting, so the work grows little faster than the number of spans.
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 import random
-import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from .common import materialised
 
 KINDS = ("email", "ip", "card", "phone")
-#: Candidates of each kind and label that the trees are fitted on at most: the first by a hash, of all documents'.
-SAMPLE_CANDIDATES = 1_500
+#: What the candidates of a kind and label weigh together at most: where there are more, each weighs less.
+CLASS_WEIGHT = 1_500
 TREES, DEPTH, RATE = 40, 3, 0.3
 #: Rewritings of each kind at least, if it has any base match: few matches are rewritten several times.
 REWRITTEN = 600
-#: Of unconfirmed proposals held back, at most so large a share may pass a threshold.
-FALSE_SHARE = 0.005
+#: Of unconfirmed proposals, scored by trees of the other folds, at most so large a share may pass a threshold.
+FALSE_SHARE, FOLDS = 0.005, 3
 CONTEXT, N_FEATURES = 24, 20
 #: Items of an array that are gone through at a time.
 CHUNK = 256
@@ -147,16 +147,24 @@ def with_proposals(rows: DataFrame, text: str, base: str) -> DataFrame:
     after>>. In several steps, as the analyzer goes one lambda deeper each time; a column that a later step's lambdas
     use is bound first."""
     t = F.col(text)
-    found = [let(pieces(t, pattern, GENERATOR_NEEDS[kind]), lambda p: located(t, p, i)).alias(f"more{i}") for i, (kind, pattern, _, _) in enumerate(GENERATORS)]
+    found = [proposals(t, *g).alias(f"more{i}") for i, g in enumerate(GENERATORS)]
     rows = rows.select("*", *found)
     rows = rows.withColumn("more", F.concat(*[f"more{i}" for i in range(len(GENERATORS))])).drop(*[f"more{i}" for i in range(len(GENERATORS))])
     return rows.withColumn("more", let(F.col("more"), lambda f: F.when(F.size(f) > 0, let(F.col(base), lambda b: apart(f, b))).otherwise(f)))
 
 
-def located(text: Column, parts: Column, k: int) -> Column:
-    """The proposals of generator k from its pieces, each with CONTEXT code points around, as far as its neighbours'
+def proposals(text: Column, kind: str, pattern: str, low: int, high: int) -> Column:
+    return let(pieces(text, pattern, GENERATOR_NEEDS[kind]), lambda p: located(text, p, kind, lambda m: F.length(digits(m)).between(low, high)))
+
+
+def confirmed(text: Column, kind: str) -> Column:
+    """The valid base matches of a kind, as proposals are returned."""
+    return let(pieces(text, BASE[kind], NEEDS[kind]), lambda p: located(text, p, kind, lambda m: valid(kind, m)))
+
+
+def located(text: Column, parts: Column, kind: str, keep: Callable[[Column], Column]) -> Column:
+    """The matches to keep of a kind from their pieces, each with CONTEXT code points around, as far as its neighbours'
     pieces have them."""
-    kind, _, low, high = GENERATORS[k]
     tail = lambda c: F.when(F.length(c) > CONTEXT, F.substring(c, F.length(c) - CONTEXT + 1, F.lit(CONTEXT))).otherwise(c)
     head = lambda c: F.substring(c, 1, CONTEXT)
 
@@ -170,7 +178,7 @@ def located(text: Column, parts: Column, k: int) -> Column:
                 tail(F.concat(tail(g(i - 1)), tail(own))).alias("before"), head(F.concat(head(g(i + 1)), head(g(i + 2)))).alias("after"),
             )
 
-        return F.filter(F.transform(parts, one), lambda x: F.length(digits(x["m"])).between(low, high))
+        return F.filter(F.transform(parts, one), lambda x: keep(x["m"]))
 
     rest = lambda ends: F.when(F.size(ends) > 0, F.substring(text, F.get(ends, F.size(ends) - 1) + 1, F.lit(CONTEXT))).otherwise("")
     return let(ends_of(parts), lambda ends: let(rest(ends), lambda r: placed(ends, r)))
@@ -282,9 +290,9 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray) -> Trees:
-    """Gradient boosting of the logistic loss with second-order leaves."""
-    p = min(max(y.mean(), 0.01), 0.99)
+def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Trees:
+    """Gradient boosting of the logistic loss with second-order leaves; rows have weights."""
+    p = min(max(float(np.average(y, weights=w)), 0.01), 0.99)
     out = Trees(float(np.log(p / (1 - p))))
     f = np.full(len(y), out.base)
 
@@ -292,7 +300,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
         total, weight = g[rows].sum(), h[rows].sum()
         leaf = RATE * float(total / (weight + 1.0))
         best, cut = 1e-3, None
-        if depth and len(rows) > 10:
+        if depth and w[rows].sum() > 10:
             for j in range(x.shape[1]):
                 order = rows[np.argsort(x[rows, j], kind="stable")]
                 v = x[order, j]
@@ -310,7 +318,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
 
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-f))
-        out.trees.append(grow(np.arange(len(y)), y - p, p * (1 - p), DEPTH))
+        out.trees.append(grow(np.arange(len(y)), w * (y - p), w * p * (1 - p), DEPTH))
         f = out.score(x)
     return out
 
@@ -319,23 +327,26 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
 BEFORE, AFTER = ("on ", "in ", "and then ", "we met ", "look ", "he was ", "this was ", ""), (" and more", ".", "", ", then", " we said", " in all")
 
 
-def rewritten(kind: str, m: str, rng: random.Random) -> list[str]:
-    """A base match written in other ways, which the base patterns miss."""
-    if kind == "email":
-        local, _, domain = m.partition("@")
-        at, dot = rng.choice([(" at ", " dot "), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", "."), (" @ ", ".")])
-        return [local + at + domain.replace(".", dot)]
-    if kind == "ip":
-        return [m.replace(".", rng.choice([" . ", ". "])), ":".join(f"{rng.randrange(65536):x}" for _ in range(8))]
-    d = re.sub("[^0-9]", "", m)
-    if kind == "card":
-        s = rng.choice("./_ ")
-        return [s.join(d[i : i + 4] for i in range(0, len(d), 4)), d[:4] + "".join(rng.choice(["/", " ", ". "]) + d[i : i + 4] for i in range(4, len(d), 4))]
-    if len(d) < 10:
-        return ["00" + d]
+def rewritten(k: Column, m: Column, draw: Callable[[int, int], Column]) -> Column:
+    """A base match written in other ways, which the base patterns miss: an array. draw(i, n) is the i-th random number
+    below n."""
+    one = lambda i, *choices: F.element_at(F.array(*map(F.lit, choices)), draw(i, len(choices)) + 1)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    local = F.substring_index(m, "@", 1)
+    at, dot = one(0, " at ", "[at]", " (at) ", "(at)", " @ "), one(0, " dot ", "[dot]", " (dot) ", ".", ".")
+    email = [text(local, at, F.replace(F.substring(m, F.length(local) + 2, F.length(m)), F.lit("."), dot))]
+    ip = [F.replace(m, F.lit("."), one(1, " . ", ". ")), F.concat_ws(":", *[F.lower(F.hex(draw(10 + i, 65536))) for i in range(8)])]
+    d = digits(m)
+    four = lambda i: F.substring(d, 4 * i + 1, 4)
+    groups = lambda s: text(four(0), *[F.when(F.length(d) > 4 * i, text(s(i), four(i))).otherwise("") for i in range(1, 5)])
+    card = [groups(lambda i: one(2, ".", "/", "_", " ")), groups(lambda i: one(20 + i, "/", " ", ". "))]
     # other numbers of the same length: those of one corpus may have digits in common
-    d, s = d[:-10] + "".join(rng.choice("23456789" if i in (0, 3) else "0123456789") for i in range(10)), rng.choice(" .-")
-    return [f"({d[-10:-7]}){rng.choice([' ', ''])}{d[-7:-4]}{s}{d[-4:]}", f"00{d[:-10]}{s}{d[-10:-7]}{s}{d[-7:-4]}{s}{d[-4:]}", f"{d[-10:-7]}{s}{d[-7:-4]}{s}{d[-4:]}"]
+    digit = lambda i: (draw(30 + i, 8) + 2 if i in (0, 3) else draw(30 + i, 10)).cast("string")
+    area, middle, last = text(*map(digit, range(3))), text(*map(digit, range(3, 6))), text(*map(digit, range(6, 10)))
+    s, country = one(3, " ", ".", "-"), F.substring(d, F.lit(1), F.length(d) - 10)
+    phone = [text("(", area, ")", one(4, " ", ""), middle, s, last), text("00", country, s, area, s, middle, s, last), text(area, s, middle, s, last)]
+    out = F.when(k == 0, F.array(*email)).when(k == 1, F.array(*ip)).when(k == 2, F.array(*card))
+    return out.when(F.length(d) < 10, F.array(text("00", d))).otherwise(F.array(*phone))
 
 
 def harmless(rng: random.Random) -> dict:
@@ -359,45 +370,55 @@ def harmless(rng: random.Random) -> dict:
     return {"k": KINDS.index(kind), "m": m, "before": rng.choice([*BEFORE, "total of ", "no. ", "page ", "id "]), "after": rng.choice(AFTER), "y": 0}
 
 
-def fit(docs: DataFrame, text: str = "text", bound: int = SAMPLE_CANDIDATES) -> Trees:
-    """Fits trees and thresholds on at most ``bound`` candidates of each kind and label: all documents are searched, and
-    the first by a hash are taken. Without base matches nothing is ever added to the base spans."""
-    spark = docs.sparkSession
+def candidates(docs: DataFrame, text: str) -> DataFrame:
+    """(y, k, m, before, after): all distinct candidates of all documents, base matches with y = 1."""
     t = F.col("t")
-    sample = docs.select(F.col(text).cast("string").alias("t")).filter(t.rlike("[0-9@]|\\x20at\\x20|[(\\[{]\\x20?(?:at|AT)"))
-    plain = lambda i: lambda x: F.struct(x["b"].alias("b"), x["e"].alias("e"), F.lit(i).alias("k"), x["m"].alias("m"))
-    base = F.concat(*[F.transform(s, plain(i)) for i, s in enumerate(base_spans(t).values())])
-    sample = with_proposals(sample.select("t", base.alias("base")), "t", "base")
-    near = lambda x: F.struct(x["b"].alias("b"), x["e"].alias("e"), x["k"].alias("k"), x["m"].alias("m"), F.substring(t, F.greatest(F.lit(0), x["b"] - CONTEXT) + 1, F.least(F.lit(CONTEXT), x["b"])).alias("before"), F.substring(t, x["e"] + 1, F.lit(CONTEXT)).alias("after"))
-    # of a text with very many base spans the first CHUNK are learned from, as each is looked up in the text
-    labelled = F.array(F.struct(F.lit(1).alias("y"), F.transform(F.slice("base", 1, CHUNK), near).alias("c")), F.struct(F.lit(0).alias("y"), F.col("more").alias("c")))
-    both = sample.select(F.explode(labelled).alias("s")).select("s.y", F.inline("s.c")).drop("b", "e")
-    both = materialised(both.distinct())
-    order = F.xxhash64("m", "before", "after")
-    found = [r for y in (0, 1) for k in range(len(KINDS)) for r in both.filter((F.col("y") == y) & (F.col("k") == k)).orderBy(order, "m", "before", "after").limit(bound).collect()]
-    rng, rows = random.Random(7), []
-    matched = [sum(r.y and r.k == k for r in found) for k in range(len(KINDS))]
-    for r in found:
-        times = -(-REWRITTEN // matched[r.k]) if r.y else 1
-        for m in [r.m] if not r.y else [m for _ in range(times) for m in rewritten(KINDS[r.k], r.m, rng)]:
-            # half of the rewritings stand elsewhere, so that the words around aren't all that is learned
-            moved = r.y and rng.random() < 0.5
-            rows.append({"i": len(rows), "k": r.k, "m": m, "before": rng.choice(BEFORE) if moved else r.before, "after": rng.choice(AFTER) if moved else r.after, "y": r.y})
-    if not any(r["y"] for r in rows):
+    rows = docs.select(F.col(text).cast("string").alias("t")).filter(t.rlike("[0-9@]|\\x20at\\x20|[(\\[{]\\x20?(?:at|AT)"))
+    rows = rows.select("t", *[confirmed(t, k).alias(f"base_{k}") for k in KINDS])
+    rows = with_proposals(rows.select("t", F.concat(*[f"base_{k}" for k in KINDS]).alias("base")), "t", "base")
+    labelled = F.array(F.struct(F.lit(1).alias("y"), F.col("base").alias("c")), F.struct(F.lit(0).alias("y"), F.col("more").alias("c")))
+    return rows.select(F.explode(labelled).alias("s")).select("s.y", F.inline("s.c")).drop("b", "e").distinct()
+
+
+def fit(docs: DataFrame, text: str = "text", bound: int = CLASS_WEIGHT) -> Trees:
+    """Fits trees and thresholds on all candidates of all documents. The candidates of a kind and label weigh ``bound``
+    together where there are more, so that none drowns the others. The driver gets a row for each distinct vector of
+    features, with its count. Without base matches nothing is ever added to the base spans."""
+    spark = docs.sparkSession
+    both = materialised(candidates(docs, text))
+    n = {(r.y, r.k): r["count"] for r in both.groupBy("y", "k").count().collect()}
+    if not any(y for y, _ in n):
         return Trees()
-    rows += [{"i": len(rows) + i, **harmless(rng)} for i in range(3_000)]
-    kind = "array<struct<i:int,k:int,m:string,before:string,after:string,y:int>>"
-    x = F.struct("k", "m", "before", "after")
-    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind))).select("i", "y", F.array(*features(x)).alias("f")).orderBy("i").collect()
-    a, y = np.array([r.f for r in table]), np.array([r.y for r in table], float)
-    back = np.array([rng.random() < 1 / 3 for _ in table])  # held back for the thresholds
-    out = boost(a[~back], y[~back])
-    s, kinds = out.score(a), a[:, 0]
+    draw = lambda i, below: F.pmod(F.xxhash64("m", "before", "after", "copy", F.lit(i)), F.lit(below)).cast("int")
+    times = F.array(*[F.lit(-(-REWRITTEN // n.get((1, k), REWRITTEN))) for k in range(len(KINDS))])
+    true = both.filter("y = 1").withColumn("copy", F.explode(F.sequence(F.lit(1), F.element_at(times, F.col("k") + 1))))
+    true = true.select("y", "k", "m", "before", "after", "copy", F.posexplode(rewritten(F.col("k"), F.col("m"), draw)).alias("way", "made"))
+    # half of the rewritings stand elsewhere, so that the words around aren't all that is learned
+    place = lambda i, choices: F.get(F.array(*map(F.lit, choices)), F.pmod(F.xxhash64("m", "before", "after", "copy", "way", F.lit(i)), F.lit(len(choices))).cast("int"))
+    moved = lambda i, choices, own: F.when(place(50, (False, True)), place(i, choices)).otherwise(F.col(own)).alias(own)
+    true = true.select("y", "k", F.col("made").alias("m"), moved(51, BEFORE, "before"), moved(52, AFTER, "after"), F.concat_ws(":", "copy", "way").alias("which"), F.lit(True).alias("found"))
+    false = both.filter("y = 0").select("y", "k", "m", "before", "after", F.lit("").alias("which"), F.lit(True).alias("found"))
+    rng = random.Random(7)
+    rows = [{"which": str(i), **harmless(rng)} for i in range(3_000)]
+    kind = "array<struct<which:string,k:int,m:string,before:string,after:string,y:int>>"
+    other = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind))).withColumn("found", F.lit(False))
+    fold = F.pmod(F.xxhash64("m", "before", "after", "which"), F.lit(FOLDS)).cast("int").alias("fold")
+    every = true.unionByName(false).unionByName(other).select("y", "found", fold, F.array(*features(F.struct("k", "m", "before", "after"))).alias("f"))
+    table = sorted((r.f, r.y, r.found, r.fold, r["count"]) for r in every.groupBy("y", "found", "fold", "f").count().collect())
+    a, y, folds = np.array([r[0] for r in table]), np.array([r[1] for r in table], float), np.array([r[3] for r in table])
+    w = np.array([c * (min(1.0, bound / n[label, int(f[0])]) if found else 1.0) for f, label, found, _, c in table])
+    out = boost(a, y, w)
+    # for the thresholds each fold is scored by trees of the others
+    s, kinds = np.zeros(len(y)), a[:, 0]
+    for i in np.unique(folds):
+        s[folds == i] = boost(a[folds != i], y[folds != i], w[folds != i]).score(a[folds == i])
     limits = []
     for k in range(len(KINDS)):
-        false = np.sort(s[back & (y == 0) & (kinds == k)])[::-1]
-        allowed = int(FALSE_SHARE * len(false))
-        limits.append(max(float(np.log(9)), float(false[allowed]) + 1e-9 if len(false) > allowed else 0.0))  # at least 0.9 sure
+        false = (y == 0) & (kinds == k)
+        order = np.argsort(-s[false], kind="stable")
+        most = np.cumsum(w[false][order])  # weight of what scores as high
+        first = int(np.searchsorted(most, FALSE_SHARE * w[false].sum(), side="right"))
+        limits.append(max(float(np.log(9)), float(s[false][order][first]) + 1e-9 if first < len(most) else 0.0))  # at least 0.9 sure
     out.thresholds = tuple(limits)
     return out
 

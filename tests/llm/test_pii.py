@@ -128,3 +128,17 @@ def test_very_many_spans(spark):
     rows = P.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), trees)
     r = rows.select(F.size("spans").alias("n"), P.redacted(F.col("text"), F.col("spans")).alias("r")).first()
     assert r.n == 2 * n and r.r == "call [PHONE] or [EMAIL], " * n
+
+
+def test_trees_are_fitted_on_all_candidates(spark, monkeypatch):
+    # of one text with more base spans than a chunk, and beyond the weight of a class
+    text = " ".join(f"mail a{i}@b{i}.org," for i in range(P.CHUNK + 50)) + " ".join(f" no. {i:07}" for i in range(1, 10**7, 34_567))
+    docs = spark.createDataFrame([(1, text), (2, "call +1 (988) 555-2485 or 2024-01-02 10.30")], "doc_id int, text string")
+    rows = P.candidates(docs, "text").collect()
+    assert {r.m for r in rows if r.y and r.k == 0} == {f"a{i}@b{i}.org" for i in range(P.CHUNK + 50)}
+    assert {f"{i:07}" for i in range(1, 10**7, 34_567)} <= {r.m for r in rows if not r.y}
+    boost, seen = P.boost, []
+    monkeypatch.setattr(P, "boost", lambda x, y, *w: seen.append({(*map(float, f), t) for f, t in zip(x, y, strict=True)}) or boost(x, y, *w))
+    P.fit(docs, bound=1)
+    P.fit(docs, bound=10**6)
+    assert seen[: len(seen) // 2] == seen[len(seen) // 2 :]
