@@ -56,9 +56,11 @@ def overlap(a: Box, b: Box, touch: bool) -> Column:
     return less(c(a[0]), c(b[2])) & less(c(b[0]), c(a[2])) & less(c(a[1]), c(b[3])) & less(c(b[1]), c(a[3]))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, a: Box, b: Box, cell: float, touch: bool = False) -> DataFrame:
-    """All pairs whose boxes overlap, each once, with the columns of both (names must differ)."""
-    pairs = celled(left, a, cell, highest(right, b, cell)).join(celled(right, b, cell, highest(left, a, cell), "cell_other"), ["cell_k", "cell_x", "cell_y"])
+def overlap_join(left: DataFrame, right: DataFrame, a: Box, b: Box, cell: float, touch: bool = False, dealt: bool = False) -> DataFrame:
+    """All pairs whose boxes overlap, each once, with the columns of both (names must differ). With dealt both sides are
+    dealt by cell: where pairs become many rows, a broadcast would leave all of them to the few tasks of a small side."""
+    others = celled(right, b, cell, highest(left, a, cell), "cell_other")
+    pairs = celled(left, a, cell, highest(right, b, cell)).join(others.hint("merge") if dealt else others, ["cell_k", "cell_x", "cell_y"])
     at = lambda x, y: F.floor(F.greatest(x, y) / size_at(F.col("cell_k"), cell))
     reference = (F.col("cell_k") == F.greatest("cell_own", "cell_other")) & (F.col("cell_x") == at(a[0], b[0])) & (F.col("cell_y") == at(a[1], b[1]))
     return pairs.filter(overlap(a, b, touch) & reference).drop("cell_k", "cell_x", "cell_y", "cell_own", "cell_other")

@@ -40,3 +40,10 @@ def test_columns_and_filters_reach_the_scan(spark, tmp_path):
 def test_expressions_stay_in_the_jvm(spark):
     for name in ("yearly_presence", "ndvi", "spatial_join_intersects", "patch_combine_mean", "morph_open_close", "asof_nearest", "mann_whitney", "equal_area_projection"):
         assert not re.search("Python|Arrow|Pandas", plan(QUERIES[name](spark, SF)))
+
+
+@pytest.mark.parametrize("name", ("overlay_intersection",))
+def test_pairs_that_make_many_rows_are_dealt_by_cell(spark, name):
+    # a broadcast of the features left all rows to the one task that holds the few zones
+    joins = re.findall(r"(\w+Join) \[cell_k", plan(QUERIES[name](spark, SF)))
+    assert "SortMergeJoin" in joins and joins.count("SortMergeJoin") == 1
