@@ -42,7 +42,7 @@ def test_expressions_stay_in_the_jvm(spark):
         assert not re.search("Python|Arrow|Pandas", plan(QUERIES[name](spark, SF)))
 
 
-@pytest.mark.parametrize("name", ("overlay_intersection", "spatial_join_intersects"))
+@pytest.mark.parametrize("name", ("overlay_intersection", "spatial_join_intersects", "multi_mask_fold"))
 def test_pairs_that_make_many_rows_are_dealt_by_cell(spark, name):
     # a broadcast of the features left all rows to the one task that holds the few zones
     joins = re.findall(r"(\w+Join) \[cell_k", plan(QUERIES[name](spark, SF)))
