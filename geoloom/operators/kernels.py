@@ -422,3 +422,138 @@ def augmented(frames: DataFrame, id_: str, values: str, height: int, width: int,
             yield out
 
     return frames.select(id_, values).mapInPandas(run, schema)
+
+
+# ---- sums over overlapping boxes, without their pairs ----
+
+#: Numbers in one matrix of a cell, at most.
+MATRIX = 1 << 22
+
+
+def summed(i: np.ndarray, j: np.ndarray, w: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    return np.bincount(i * shape[1] + j, w, shape[0] * shape[1]).astype(float).reshape(shape)
+
+
+def prefix(a: np.ndarray) -> np.ndarray:
+    """Sums of all before a place on both axes, with a row and a column of zeros first."""
+    return np.pad(a, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+
+
+def paired_sums(q: np.ndarray, qs: np.ndarray, b: np.ndarray, bs: np.ndarray, w: np.ndarray, low: tuple, high: tuple, most: int = MATRIX) -> tuple[np.ndarray, np.ndarray]:
+    """As gridded_sums, pair by pair; any boxes, with the whole area of a pair where it counts, if low is infinite."""
+    n, area = np.zeros(q.shape[1]), np.zeros(q.shape[1])
+    step = max(1, most // max(1, b.shape[1]))
+    for at in range(0, q.shape[1] if b.shape[1] else 0, step):
+        a, s = q[:, at : at + step, None], qs[:, at : at + step, None]
+        hit = (a[0] < b[2]) & (b[0] < a[2]) & (a[1] < b[3]) & (b[1] < a[3])
+        here = hit & np.where(a[0] >= b[0], s[0], bs[0]) & np.where(a[1] >= b[1], s[1], bs[1])
+        n[at : at + step] = here @ w
+        x, y = (np.minimum(np.minimum(a[k + 2], b[k + 2]), high[k]) - np.maximum(np.maximum(a[k], b[k]), low[k]) for k in (0, 1))
+        part = here if np.isinf(low[0]) else hit & (x > 0) & (y > 0)
+        area[at : at + step] = np.where(part, x * y, 0.0) @ w
+    return n, area
+
+
+def gridded_sums(q: np.ndarray, qs: np.ndarray, b: np.ndarray, bs: np.ndarray, w: np.ndarray, low: tuple, high: tuple, most: int = MATRIX) -> tuple[np.ndarray, np.ndarray]:
+    """For each box of q (x0, y0, x1, y1 as rows; all with an area) the weight of the boxes of b that it overlaps, those
+    whose common lower corner lies in the cell from low to high, and the common area within the cell. qs and bs say for
+    each axis whether a box starts in the cell.
+
+    Corners lie on the grid of all coordinates, so sums are taken over matrices of it. On one axis, the lower corner of
+    two boxes is where b starts within q, or where q starts and b goes on.
+    """
+    if not q.shape[1] or not b.shape[1]:
+        return np.zeros(q.shape[1]), np.zeros(q.shape[1])
+    grids = [np.unique(np.concatenate([np.maximum(x[k], low[k]) for x in (q, b)] + [np.minimum(x[k + 2], high[k]) for x in (q, b)])) for k in (0, 1)]
+    shape = (len(grids[0]), len(grids[1]))
+    if shape[0] * shape[1] > min(most, max(1 << 14, q.shape[1] * b.shape[1])):
+        k = int(shape[1] > shape[0])
+        middle = grids[k][shape[k] // 2]
+        sides = [[x[k] < middle if first else x[k + 2] > middle for x in (q, b)] for first in (True, False)]
+        if low[k] < middle < high[k] and sum(i.sum() * j.sum() for i, j in sides) < 0.75 * q.shape[1] * b.shape[1]:
+            n, area = np.zeros(q.shape[1]), np.zeros(q.shape[1])
+            for first, (i, j) in zip((True, False), sides, strict=True):
+                lo, hi, starts = list(low), list(high), []
+                (hi if first else lo)[k] = middle
+                for x, s, at in ((q, qs, i), (b, bs, j)):
+                    t = s[:, at].copy()
+                    t[k] &= (x[k, at] < middle) == first
+                    starts.append(t)
+                more = gridded_sums(q[:, i], starts[0], b[:, j], starts[1], w[j], tuple(lo), tuple(hi), most)
+                n[i] += more[0]
+                area[i] += more[1]
+            return n, area
+        if shape[0] * shape[1] > most:
+            return paired_sums(q, qs, b, bs, w, low, high, most)
+    place = lambda x: [np.searchsorted(grids[k % 2], np.maximum(x[k], low[k]) if k < 2 else np.minimum(x[k], high[k - 2])) for k in range(4)]
+    (i0, j0, i1, j1), (a0, c0, a1, c1) = place(b), place(q)
+    over = lambda p, r0, s0, r1, s1: p[r1, s1] - p[r0, s1] - p[r1, s0] + p[r0, s0]
+
+    def covered(r0, s0, r1, s1, w):
+        """The weight at each place that boxes cover from their first row and column up to their last, not included."""
+        sign = np.concatenate([w, -w, -w, w])
+        return summed(np.concatenate([r0, r1, r0, r1]), np.concatenate([s0, s0, s1, s1]), sign, shape).cumsum(0).cumsum(1)
+
+    area = over(prefix(covered(i0, j0, i1, j1, w)[:-1, :-1] * np.outer(*map(np.diff, grids))), a0, c0, a1, c1)
+    sx, sy = bs
+    both = sx & sy
+    n = over(prefix(summed(i0[both], j0[both], w[both], shape)), a0, c0, a1, c1)
+    one = covered(i0[sx], (j0 + sy)[sx], i0[sx] + 1, j1[sx], w[sx])  # a row for the start, the columns gone on in
+    one = np.pad(one, ((1, 0), (0, 0))).cumsum(0)
+    n += np.where(qs[1], one[a1, c0] - one[a0, c0], 0.0)
+    one = covered((i0 + sx)[sy], j0[sy], i1[sy], j0[sy] + 1, w[sy])
+    one = np.pad(one, ((0, 0), (1, 0))).cumsum(1)
+    n += np.where(qs[0], one[a0, c1] - one[a0, c0], 0.0)
+    n += np.where(qs[0] & qs[1], covered(i0 + sx, j0 + sy, i1, j1, w)[a0, c0], 0.0)
+    return n, area
+
+
+def met_sums(boxes: DataFrame, box: tuple[str, str, str, str], copies: str, cell: float, most: int = MATRIX) -> DataFrame:
+    """Of distinct boxes (x0, y0, x1, y1) and the number of rows with each: the box, n and area, the number of rows whose
+    boxes overlap it (itself included, if it has an area) and the sum of the areas in common. Each task holds the boxes
+    of one cell; no pairs are made where coordinates recur, and where they don't, cells are halved first."""
+    from .vector import celled, highest
+
+    kind = dict(boxes.dtypes)
+    keys = ["cell_k", "cell_x", "cell_y"]
+
+    def made(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, x, y = (int(pdf[c].iat[0]) for c in keys)
+        size = cell * 4.0**k
+        b, w = pdf[list(box)].to_numpy(float).T, pdf[copies].to_numpy(float)
+        starts = np.floor(b[:2] / size) == [[x], [y]]
+        low, high = (x * size, y * size), ((x + 1) * size, (y + 1) * size)
+        own, sound = (pdf["cell_own"] == k).to_numpy(), (b[0] < b[2]) & (b[1] < b[3])
+        n, area = np.zeros(len(pdf)), np.zeros(len(pdf))
+        # pairs of boxes that are both of lower levels are counted in lower cells
+        for q, to in ((own, np.ones_like(own)), (~own, own)):
+            reach = (b[0] < high[0]) & (b[1] < high[1]) & (b[2] > low[0]) & (b[3] > low[1])
+            cases = [(gridded_sums, q & sound & reach, to & sound & reach, low, high)]
+            anywhere = ((-np.inf, -np.inf), (np.inf, np.inf))
+            cases += [(paired_sums, q & ~sound, to, *anywhere), (paired_sums, q & sound, to & ~sound, *anywhere)]
+            for f, i, j, lo, hi in cases:
+                if i.any() and j.any():
+                    more = f(b[:, i], starts[:, i], b[:, j], starts[:, j], w[j], lo, hi, most)
+                    n[i] += more[0]
+                    area[i] += more[1]
+        out = pdf[list(box)].copy()
+        out["n"], out["area"] = n.astype(np.int64), area
+        return out
+
+    def run(frames):
+        # cells come one after the other; the last of a batch may go on in the next
+        held = []
+        for pdf in frames:
+            new = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1))
+            for at, end in zip(new, [*new[1:], len(pdf)], strict=True):
+                part = pdf.iloc[at:end]
+                if held and (held[-1][keys].iloc[0] != part[keys].iloc[0]).any():
+                    yield made(pd.concat(held, ignore_index=True))
+                    held = []
+                held.append(part)
+        if held:
+            yield made(pd.concat(held, ignore_index=True))
+
+    dealt = celled(boxes, box, cell, highest(boxes, box, cell)).select(*keys, "cell_own", *box, copies).repartition(*keys).sortWithinPartitions(*keys)
+    sums = dealt.mapInPandas(run, ", ".join([*(f"{c} {kind[c]}" for c in box), "n bigint", "area double"]))
+    return sums.groupBy(*box).agg(F.sum("n").alias("n"), F.sum("area").alias("area"))

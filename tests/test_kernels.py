@@ -154,3 +154,22 @@ def test_blocks_are_gone_through_together(spark, monkeypatch):
         assert sorted(map(tuple, q().collect())) == many
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("most", (1 << 22, 40))
+@pytest.mark.parametrize("step", (4, 1000))
+def test_met_sums_against_pairs(spark, most, step):
+    # boxes of all levels, across zero, some empty or inverted; 40 forces halving and pairs
+    rng = np.random.default_rng(5)
+    start = rng.integers(-30 * step, 30 * step, (300, 2)) / step
+    side = np.where(rng.random((300, 2)) < 0.9, rng.integers(1, 8 * step, (300, 2)), rng.integers(-2 * step, 90 * step, (300, 2))) / step
+    side[:6] = [[0, 1], [1, 0], [0, 0], [-3, 2], [2, -3], [-2, -2]]
+    b = np.unique(np.concatenate([start, start + side], axis=1), axis=0)
+    w = rng.integers(1, 4, len(b))
+    df = spark.createDataFrame([(*map(float, x), int(n)) for x, n in zip(b, w, strict=True)] + [(None, 0.0, 1.0, 1.0, 1)], "x0 double, y0 double, x1 double, y1 double, copies long")
+    got = {tuple(r)[:4]: tuple(r)[4:] for r in kernels.met_sums(df, ("x0", "y0", "x1", "y1"), "copies", 5.0, most).collect()}
+    q = b[:, None]
+    hit = (q[..., 0] < b[:, 2]) & (b[:, 0] < q[..., 2]) & (q[..., 1] < b[:, 3]) & (b[:, 1] < q[..., 3])
+    shared = np.prod(np.minimum(q[..., 2:], b[:, 2:]) - np.maximum(q[..., :2], b[:, :2]), axis=2)
+    for x, n, area in zip(b, hit @ w, np.where(hit, shared, 0) @ w, strict=True):
+        assert got[tuple(x)][0] == n and got[tuple(x)][1] == pytest.approx(area, abs=1e-9)
