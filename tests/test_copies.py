@@ -1,5 +1,7 @@
 """Very many equal boxes: the queries compare distinct boxes once, or their pairs could never be gone through."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -65,6 +67,25 @@ def test_intersecting_keys_are_exploded_from_plain_stacks(spark, monkeypatch, tm
     assert len(want) > 300 and sorted(map(tuple, rows.collect())) == want
 
 
+def test_two_stacks_are_not_unstacked_in_one_loop(spark, monkeypatch, tmp_path):
+    # a generated loop holds all rows that it makes of one row: of two stacks the product of their sizes
+    monkeypatch.setattr(vector, "STACK", 7)
+    near = lambda m, n: f"id % 30 * {m} % 1000 + id % {n} - {n // 2}"
+    spark.range(300).selectExpr(f"if(id % 20 = 0, null, {near(37, 9)} + id * 1000) o_orderkey", f"if(id % 20 = 1, null, {near(91, 11)}) o_custkey", "0D o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    # 30 boxes of about 22 zones, some of which come twice
+    spark.range(700).selectExpr("if(id % 50 = 0, null, id % 30 + 1000 * (id div 30 % 20)) p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    rows = QUERIES["multi_mask_fold"](spark, str(tmp_path))
+    got = sorted(map(tuple, rows.collect()))
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    loops = re.findall(r"(?:\*\((\d+)\) )?Generate (?:explode|inline)\([^,]*zids", plan)
+    assert len(loops) == 2 and loops[0] and not loops[1]  # the upper one is in a loop, the one below in none
+    con = duckdb.connect()
+    for name in ("orders", "part"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLE_SQL["multi_mask_fold"]).fetchall())
+    assert len(want) > 300 and got == want
+
+
 def test_stacks_hold_null_keys_and_no_null_boxes(spark):
     box = ("a", "b", "c", "d")
     df = spark.createDataFrame([(1, 0, 0, 1, 1), (None, 0, 0, 1, 1), (3, None, 0, 1, 1)], "k int, a int, b int, c int, d int")
